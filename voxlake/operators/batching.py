@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxlake.functions.numbers import int_div
 from voxlake.operators.positions import land_positions
@@ -44,7 +44,21 @@ def group_batches(batched: DataFrame) -> DataFrame:
     work inside the row from here on.
     """
     item = F.struct(F.col("pos_in_batch").alias("pos"), "id", "text", "source", "lang")
-    return batched.groupBy("batch_idx").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return batched.groupBy("batch_idx").agg(
+        F.array_sort(F.collect_list(item)).alias("items"), F.bit_xor(_row_hash()).alias("digest")
+    )
+
+
+def _row_hash() -> Column:
+    return F.xxhash64("batch_idx", "pos_in_batch", "id", "text", "source", "lang")
+
+
+def fingerprint(batched: DataFrame) -> DataFrame:
+    """(rows, digest) of a batched input, independent of its partitioning.
+
+    The same digest is the xor of the `digest` column of its grouped batches.
+    """
+    return batched.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(_row_hash()).alias("digest"))
 
 
 def batch_lines(batches: DataFrame) -> DataFrame:

@@ -21,12 +21,14 @@ def land_verbatims(
     lang: str,
     limit: int | None = None,
     null_tokens: bool = False,
+    id_prefix: str | None = None,
 ) -> DataFrame:
     """All rows of `df`, normalised and numbered; `keep` marks the usable ones.
 
     Columns are given by ordinal. Only the four needed cells are read; the text
     of a dropped row is not written. Generated ids number the unfiltered rows
-    and carry the default source, so they show gaps where rows were dropped.
+    and carry the default source (or `id_prefix`), so they show gaps where rows
+    were dropped.
     """
     flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
@@ -48,7 +50,8 @@ def land_verbatims(
     if limit is not None:
         landed = landed.where(F.col("row_idx") < limit)
     return landed.withColumn(
-        "id", F.coalesce("id", F.concat(F.lit(f"{source}_"), F.col("row_idx").cast("string")))
+        "id",
+        F.coalesce("id", F.concat(F.lit(f"{id_prefix or source}_"), F.col("row_idx").cast("string"))),
     )
 
 

@@ -98,6 +98,7 @@ def from_dataframe(
     source: str = "dataframe",
     lang: str = DEFAULT_LANG,
     limit: int | None = None,
+    id_prefix: str | None = None,
 ) -> DataFrame:
     """Normalise any DataFrame. Without `id_col` ids are generated; a limit of 0 is none."""
     return land_verbatims(
@@ -106,5 +107,5 @@ def from_dataframe(
         None if id_col is None else require_column(df.columns, id_col),
         find_column(df.columns, SOURCE_CANDIDATES),
         find_column(df.columns, LANG_CANDIDATES),
-        source, lang, limit or None,
+        source, lang, limit or None, id_prefix=id_prefix,
     )
