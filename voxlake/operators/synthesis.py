@@ -49,7 +49,7 @@ def category_reviews(
         F.concat(F.lit("- ["), "sentiment", F.lit("] "), "summary").alias("line"),
         F.lit(1).alias("_one"),
     ).where(F.col("category").isNotNull())
-    placed = running_totals(rows, ["batch_idx", "pos"], {"_one": "_place"}, by=["category"])
+    placed = running_totals(rows, ["batch_idx", "pos"], {"_one": "_place"}, by=["category"], span=10_000)
     chunks = (
         placed.groupBy("category", int_div(F.col("_place") - 1, lines_per_call).alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct("_place", "line"))).alias("g"))
