@@ -25,25 +25,13 @@ def percent(n: Column, total: Column) -> Column:
     return n.cast("double") / F.nullif(total, F.lit(0)).cast("double") * 100
 
 
-def one_decimal(p: Column) -> Column:
-    """A non-negative double with one decimal, rounded on its exact binary value.
+def one_decimal(p: Column | str) -> Column:
+    """A percentage with one decimal; ties of the exact binary value go to the even digit.
 
-    Ties go to the even digit, as C and Python print them; Java's formatter
-    rounds the shortest decimal form half up instead. 20p = 16p + 4p is split
-    into a sum and its rounding error, so the comparison with the midpoint of
-    two tenths is exact.
+    That is how C and Python print it. `format_string` rounds the shortest
+    decimal form half up instead: 12.25 would become 12.3.
     """
-    a, b = p * 16, p * 4
-    s = a + b
-    back = s - a
-    err = (a - (s - back)) + (b - back)
-    low = F.floor(s / 2)
-    low = F.when((s == low * 2) & (err < 0), low - 1).otherwise(low)
-    gap = (s - (low * 2 + 1)) + err
-    tenths = F.when(gap > 0, low + 1).when(gap < 0, low).otherwise(low + low % 2).cast("bigint")
-    return F.concat(
-        F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")
-    )
+    return F.format_number(p, 1)
 
 
 def pad_left(c: Column, width: int) -> Column:

@@ -11,6 +11,7 @@ from voxlake.operators.lookup import HOT_ROWS, SALTS, lookup
 from voxlake.operators.quantify import COUNT_COLUMNS, global_sentiment
 from voxlake.schemas import TEXT_NOT_FOUND, UNKNOWN_SOURCE
 from voxlake.session import BROADCAST_ROWS, write_table
+from voxlake.sources.metadata import latest_metadata
 
 RESULT_COLUMNS = [
     "verbatim_id", "source", "texte_original", "macro_theme", "theme", "summary", "sentiment",
@@ -22,14 +23,16 @@ EXPLORER_COLUMNS = [
 
 def backfill(
     results: DataFrame,
-    metadata: DataFrame,
+    raw_rows: DataFrame,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Fill missing texts and sources from the raw metadata (id, text, source).
+    """Fill missing texts and sources from raw rows (file, row, id, text, source).
 
-    Rows that already have both, normally almost all, skip the join.
+    Rows that already have both, normally almost all, skip the join. The raw
+    rows are cut down to the ids in need: before they are shuffled when these
+    are few enough to broadcast, else after the latest row per id was found.
     """
     for name in ("texte_original", "source"):
         if name not in results.columns:
@@ -38,9 +41,13 @@ def backfill(
     no_source = F.coalesce(F.col("source"), F.lit(UNKNOWN_SOURCE)) == UNKNOWN_SOURCE
     complete = results.where(~(no_text | no_source))
     gaps = results.where(no_text | no_source)
-    wanted = gaps.select(F.col("verbatim_id").alias("id")).distinct()
+    wanted = write_table(gaps.select(F.col("verbatim_id").alias("id")).distinct(), "wanted")
+    if wanted.count() <= broadcast_rows:
+        latest = latest_metadata(raw_rows.join(F.broadcast(wanted), "id", "left_semi"))
+    else:
+        latest = latest_metadata(raw_rows).join(wanted, "id", "left_semi")
     known = write_table(
-        metadata.join(wanted, "id", "left_semi").select(
+        latest.select(
             F.col("id").alias("verbatim_id"),
             F.col("text").alias("_text"), F.col("source").alias("_source"),
         ),

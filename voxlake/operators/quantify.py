@@ -74,17 +74,19 @@ def theme_distribution(macros: DataFrame, categories: DataFrame) -> DataFrame:
     return joined.select("macro_theme", *zero, "category_pos", "first_row")
 
 
+def _ranked(distribution: DataFrame) -> DataFrame:
+    order = Window.orderBy(
+        F.desc("total"), F.asc_nulls_last("category_pos"), F.asc_nulls_last("first_row")
+    )
+    return distribution.withColumn("rank", F.row_number().over(order))
+
+
 def rank_by_volume(distribution: DataFrame) -> DataFrame:
     """Rank the macro themes, largest first; ties by category order, then first row.
 
     One row per macro theme takes part, never one per comment.
     """
-    order = Window.orderBy(
-        F.desc("total"), F.asc_nulls_last("category_pos"), F.asc_nulls_last("first_row")
-    )
-    return distribution.select(
-        F.row_number().over(order).alias("rank"), "macro_theme", "total"
-    )
+    return _ranked(distribution).select("rank", "macro_theme", "total")
 
 
 def sentiment_shares(distribution: DataFrame) -> DataFrame:
@@ -115,61 +117,61 @@ def global_shares(counts: DataFrame) -> DataFrame:
     )
 
 
-def _data_line(sentiment: Column, p: Column, n: Column, width: int, marks: Column) -> Column:
-    return F.concat(
-        pad_right(sentiment, 10), F.lit(" : "), pad_left(one_decimal(p), 5), F.lit("% ("),
-        pad_left(n.cast("string"), width), F.lit(") "), marks,
-    )
-
-
 def report_lines(distribution: DataFrame) -> DataFrame:
     """The text report as ordered lines (line_no, line); empty without rows.
 
-    Works on one row per macro theme.
+    First the cells of the report are listed, each a count out of another one,
+    then all are formatted alike. Works on one row per macro theme.
     """
-    ranks = rank_by_volume(distribution).select("macro_theme", "rank")
-    ranked = distribution.join(ranks, "macro_theme")
-    overall = distribution.agg(
-        *[F.sum(c).alias(c) for c in ["total", *COUNT_COLUMNS.values()]]
-    ).where(F.col("total") > 0)
-
-    pct = percent(F.col("s.n"), F.col("total"))
-    head = overall.select(
-        F.lit(0).alias("block"), F.lit(0).alias("sub"),
-        F.concat(F.lit("Total verbatims analysés : "), F.col("total").cast("string")).alias("line"),
-    )
-    overall_lines = overall.select("total", F.explode(_per_sentiment()).alias("s")).select(
-        F.lit(0).alias("block"), (F.col("s.ord") + 1).alias("sub"),
-        F.concat(
-            F.lit("  "),
-            _data_line(F.col("s.sentiment"), pct, F.col("s.n"), 3,
-                       F.concat(F.lit(" "), bar(pct, 5, "█"))),
-        ).alias("line"),
-    )
     everything = Window.partitionBy()
-    blocks = ranked.withColumn("_all", F.sum("total").over(everything)).where(F.col("_all") > 0)
-    titles = blocks.select(
-        F.col("rank").alias("block"), F.lit(0).alias("sub"),
-        F.concat(
-            pad_right(F.col("macro_theme"), 30), F.lit(" | Total: "),
-            pad_left(F.col("total").cast("string"), 3), F.lit(" ("),
-            pad_left(one_decimal(percent(F.col("total"), F.col("_all"))), 5), F.lit("%)"),
-        ).alias("line"),
-    )
-    inner = (
-        blocks.select("rank", "total", F.explode(_per_sentiment()).alias("s"))
-        .where(F.col("s.n") > 0)
-        .select(
-            F.col("rank").alias("block"), (F.col("s.ord") + 1).alias("sub"),
-            F.concat(
-                F.lit("    - "),
-                _data_line(F.col("s.sentiment"), pct, F.col("s.n"), 2, bar(pct, 10, "░")),
-            ).alias("line"),
+    ranked = _ranked(distribution).withColumn("all", F.sum("total").over(everything))
+
+    def cell(kind: str, sub: int, label: Column, n: Column, of: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), F.lit(sub).alias("sub"), label.alias("label"),
+            n.cast("bigint").alias("n"), of.cast("bigint").alias("of"),
         )
+
+    inner = [
+        cell("share", i + 1, F.lit(s), F.col(c), F.col("total"))
+        for i, (s, c) in enumerate(COUNT_COLUMNS.items())
+    ]
+    title = cell("title", 0, F.col("macro_theme"), F.col("total"), F.col("all"))
+    blocks = ranked.select(F.col("rank").alias("block"), F.explode(F.array(title, *inner)).alias("c"))
+
+    overall = distribution.agg(*[F.sum(c).alias(c) for c in ["total", *COUNT_COLUMNS.values()]])
+    top = [cell("total", 0, F.lit(""), F.col("total"), F.col("total"))] + [
+        cell("overall", i + 1, F.lit(s), F.col(c), F.col("total"))
+        for i, (s, c) in enumerate(COUNT_COLUMNS.items())
+    ]
+    head = overall.select(F.lit(0).alias("block"), F.explode(F.array(*top)).alias("c"))
+
+    cells = (
+        head.unionByName(blocks).select("block", "c.*")
+        .where(F.col("of") > 0)
+        .where((F.col("n") > 0) | (F.col("kind") != "share"))
+        .withColumn("pct", percent(F.col("n"), F.col("of")))
+        .withColumn("shown", pad_left(one_decimal("pct"), 5))
     )
-    lines = head.unionByName(overall_lines).unionByName(titles).unionByName(inner)
-    return lines.select(
-        F.row_number().over(Window.orderBy("block", "sub")).alias("line_no"), "line"
+    kind, label, n, shown = (F.col(c) for c in ("kind", "label", "n", "shown"))
+
+    def share(indent: str, width: int, marks: Column) -> Column:
+        return F.concat(
+            F.lit(indent), pad_right(label, 10), F.lit(" : "), shown, F.lit("% ("),
+            pad_left(n.cast("string"), width), F.lit(") "), marks,
+        )
+
+    line = (
+        F.when(kind == "total", F.concat(F.lit("Total verbatims analysés : "), n.cast("string")))
+        .when(kind == "overall", share("  ", 3, F.concat(F.lit(" "), bar(F.col("pct"), 5, "█"))))
+        .when(kind == "title", F.concat(
+            pad_right(label, 30), F.lit(" | Total: "), pad_left(n.cast("string"), 3),
+            F.lit(" ("), shown, F.lit("%)"),
+        ))
+        .when(kind == "share", share("    - ", 2, bar(F.col("pct"), 10, "░")))
+    )
+    return cells.select(
+        F.row_number().over(Window.orderBy("block", "sub")).alias("line_no"), line.alias("line")
     )
 
 

@@ -15,7 +15,8 @@ from voxlake.operators.batching import assign_batches, build_prompts, fingerprin
 from voxlake.operators.inference import Answers
 from voxlake.operators.responses import OK, UNEXPECTED, failed_batches, parse_answers
 from voxlake.operators.validation import (
-    all_errors, batch_tallies, check_batches, first_results, valid_analyses,
+    all_errors, batch_progress, batch_tallies, check_batches, first_results, run_totals,
+    valid_analyses,
 )
 from voxlake.plans.store import (
     STORED, Store, load_errors, new_run_id, read_results, save_errors, save_results,
@@ -55,6 +56,15 @@ class Run:
     def tallies(self) -> DataFrame:
         return _read_parts(self.store, "tallies", self.run_id, self.parts, _TALLY)
 
+    @property
+    def progress(self) -> DataFrame:
+        """After each batch of this call: its number, the total, rows and errors so far."""
+        return batch_progress(self.tallies, self.total_batches)
+
+    @property
+    def summary(self) -> DataFrame:
+        return run_totals(self.tallies)
+
     def preview(self, n: int = 5) -> DataFrame:
         return first_results(self.valid, n)
 

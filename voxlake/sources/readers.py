@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from voxlake.operators.normalize import land_verbatims
@@ -59,6 +62,17 @@ def load_csv(
     )
 
 
+@contextmanager
+def _case_sensitive(spark: SparkSession) -> Iterator[None]:
+    """Let a table be read whose field names differ only by case."""
+    before = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
+
+
 def load_jsonl(
     spark: SparkSession,
     path: str,
@@ -81,14 +95,15 @@ def load_jsonl(
     reader = spark.read.option("primitivesAsString", True)
     if columns is not None:
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
-    df = reader.json(path)
-    roles = detect_roles(df.columns)
-    if not detect:
-        roles["text"] = find_column(df.columns, [text_field], case_sensitive=True)
-        roles["id"] = find_column(df.columns, [id_field], case_sensitive=True)
-    return land_verbatims(
-        df, roles["text"], roles["id"], roles["source"], roles["lang"], source, lang, limit
-    )
+    with _case_sensitive(spark):
+        df = reader.json(path)
+        roles = detect_roles(df.columns)
+        if not detect:
+            roles["text"] = find_column(df.columns, [text_field], case_sensitive=True)
+            roles["id"] = find_column(df.columns, [id_field], case_sensitive=True)
+        return land_verbatims(
+            df, roles["text"], roles["id"], roles["source"], roles["lang"], source, lang, limit
+        )
 
 
 def from_dataframe(

@@ -473,7 +473,7 @@ def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def backfill_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.backfill(
-        fx.stored_results(spark, sf_dir), metadata.latest_metadata(fx.raw_files(spark, sf_dir))
+        fx.stored_results(spark, sf_dir), fx.raw_files(spark, sf_dir)
     ).select("verbatim_id", "texte_original", "source")
 
 
