@@ -7,6 +7,8 @@ checkpoint remembers which files were taken.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -37,6 +39,47 @@ def _epoch(epoch: int) -> str:
     return f"epoch-{epoch:09d}"
 
 
+def analyse_epoch(
+    frame: DataFrame,
+    epoch: int,
+    answers: Answers,
+    store: Store,
+    run_id: str,
+    text_col: str,
+    id_col: str | None = None,
+    source: str = "stream",
+    lang: str = DEFAULT_LANG,
+    batch_size: int = BATCH_SIZE,
+    max_retries: int = MAX_RETRIES,
+) -> None:
+    """Analyse one micro-batch and replace whatever its epoch stored before."""
+    verbatims = kept(from_dataframe(
+        frame, text_col, id_col, source, lang, id_prefix=f"{source}_{epoch}"
+    ))
+    batches = write_table(group_batches(assign_batches(verbatims, batch_size)), "batches")
+    tries, todo = [], None
+    for attempt in range(max_retries + 1):
+        asked = batches if todo is None else batches.join(
+            small_side(todo), "batch_idx", "left_semi"
+        )
+        raw = answers(build_prompts(asked), attempt).withColumn("attempt", F.lit(attempt))
+        judged = write_table(parse_answers(write_table(raw, "raw")).drop("raw", "error"), "judged")
+        tries.append(judged)
+        todo = judged.where(~F.col("kind").isin(OK, UNEXPECTED)).select("batch_idx")
+        if todo.limit(1).count() == 0:
+            break
+    parsed = reduce(DataFrame.unionByName, tries)
+    checked = write_table(check_batches(parsed.where(F.col("kind") == OK), batches), "checked")
+    failed = small_side(write_table(failed_batches(parsed), "failed"))
+    valid = valid_analyses(checked)
+    save_results(valid, store, run_id, _epoch(epoch))
+    save_errors(all_errors(checked, failed, batches), store, run_id, _epoch(epoch))
+    write_table(
+        global_sentiment(valid), "sentiment",
+        f"{store.path('sentiment', run_id)}/{_epoch(epoch)}",
+    )
+
+
 def analyse_stream(
     rows: DataFrame,
     answers: Answers,
@@ -57,34 +100,9 @@ def analyse_stream(
     """
 
     def one_epoch(frame: DataFrame, epoch: int) -> None:
-        verbatims = kept(from_dataframe(
-            frame, text_col, id_col, source, lang, id_prefix=f"{source}_{epoch}"
-        ))
-        batches = write_table(group_batches(assign_batches(verbatims, batch_size)), "batches")
-        judged, todo = [], None
-        for attempt in range(max_retries + 1):
-            asked = batches if todo is None else batches.join(
-                small_side(todo), "batch_idx", "left_semi"
-            )
-            raw = answers(build_prompts(asked), attempt).withColumn("attempt", F.lit(attempt))
-            tried = write_table(parse_answers(write_table(raw, "raw")).drop("raw", "error"), "judged")
-            judged.append(tried)
-            todo = tried.where(~F.col("kind").isin(OK, UNEXPECTED)).select("batch_idx")
-            if todo.limit(1).count() == 0:
-                break
-        tries = judged[0]
-        for more in judged[1:]:
-            tries = tries.unionByName(more)
-        checked = write_table(
-            check_batches(tries.where(F.col("kind") == OK), batches), "checked"
-        )
-        failed = small_side(write_table(failed_batches(tries), "failed"))
-        valid = valid_analyses(checked)
-        save_results(valid, store, run_id, _epoch(epoch))
-        save_errors(all_errors(checked, failed, batches), store, run_id, _epoch(epoch))
-        write_table(
-            global_sentiment(valid), "sentiment",
-            f"{store.path('sentiment', run_id)}/{_epoch(epoch)}",
+        analyse_epoch(
+            frame, epoch, answers, store, run_id, text_col, id_col, source, lang,
+            batch_size, max_retries,
         )
 
     return (
