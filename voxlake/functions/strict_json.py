@@ -33,6 +33,13 @@ def without_fences(c: Column) -> Column:
     return strip(text)
 
 
+def _outermost_braces(text: Column) -> Column:
+    """From the first `{` to the last `}`, found in linear time; null without such a pair."""
+    start = F.instr(text, "{")
+    end = F.length(text) - F.instr(F.reverse(text), "}") + 1
+    return F.when((start > 0) & (end > start), F.substring(text, start, end - start + 1))
+
+
 def with_strict_json(df: DataFrame, raw: str, out: str) -> DataFrame:
     """Add `out`: the JSON value held by the model answer `raw`, or null.
 
@@ -43,10 +50,7 @@ def with_strict_json(df: DataFrame, raw: str, out: str) -> DataFrame:
         df.withColumn("_text", without_fences(F.col(raw)))
         .withColumn("_probe", _probe(F.col("_text")))
         .withColumn("_whole", _unwrap("_probe", "_text"))
-        .withColumn(
-            "_span",
-            F.when(F.col("_whole").isNull(), F.regexp_extract("_text", r"(?s)\{.*\}", 0)),
-        )
+        .withColumn("_span", F.when(F.col("_whole").isNull(), _outermost_braces(F.col("_text"))))
         .withColumn("_probe", _probe(F.col("_span")))
         .withColumn(out, F.coalesce("_whole", _unwrap("_probe", "_span")))
         .drop("_text", "_probe", "_whole", "_span")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxlake.functions.numbers import int_div
@@ -37,28 +39,34 @@ def assign_batches(verbatims: DataFrame, batch_size: int = BATCH_SIZE) -> DataFr
     ).drop("position")
 
 
-def group_batches(batched: DataFrame) -> DataFrame:
+def group_batches(
+    batched: DataFrame, carry: Sequence[str] = ("text", "source", "lang")
+) -> DataFrame:
     """One row per batch: `items`, at most `batch_size` structs in input order.
 
     This is the only shuffle of the texts. Prompts, validation and enrichment
-    work inside the row from here on.
+    work inside the row from here on. `carry` names what an item holds besides
+    place and id; leave the text out where neither prompts nor results need it.
     """
-    item = F.struct(F.col("pos_in_batch").alias("pos"), "id", "text", "source", "lang")
-    return batched.groupBy("batch_idx").agg(
-        F.array_sort(F.collect_list(item)).alias("items"), F.bit_xor(_row_hash()).alias("digest")
-    )
+    item = F.struct(F.col("pos_in_batch").alias("pos"), "id", *carry)
+    return batched.groupBy("batch_idx").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
-def _row_hash() -> Column:
-    return F.xxhash64("batch_idx", "pos_in_batch", "id", "text", "source", "lang")
+_HASHED = ["id", "text", "source", "lang"]
 
 
 def fingerprint(batched: DataFrame) -> DataFrame:
-    """(rows, digest) of a batched input, independent of its partitioning.
+    """(rows, digest) of a batched input: the xor of a hash of each row and its place."""
+    digest = F.bit_xor(F.xxhash64("batch_idx", "pos_in_batch", *_HASHED))
+    return batched.agg(F.count(F.lit(1)).alias("rows"), digest.alias("digest"))
 
-    The same digest is the xor of the `digest` column of its grouped batches.
-    """
-    return batched.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(_row_hash()).alias("digest"))
+
+def items_digest() -> Column:
+    """The part of the fingerprint that one grouped batch accounts for."""
+    return F.aggregate(
+        "items", F.lit(0).cast("bigint"),
+        lambda acc, x: acc.bitwiseXOR(F.xxhash64("batch_idx", x["pos"], *[x[f] for f in _HASHED])),
+    )
 
 
 def batch_lines(batches: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from voxlake.functions.text import percent
 from voxlake.operators.lookup import HOT_ROWS, SALTS, lookup
 from voxlake.operators.quantify import COUNT_COLUMNS, global_sentiment
 from voxlake.schemas import TEXT_NOT_FOUND, UNKNOWN_SOURCE
-from voxlake.session import BROADCAST_ROWS, write_table
+from voxlake.session import BROADCAST_ROWS, is_small, write_table
 from voxlake.sources.metadata import latest_metadata
 
 RESULT_COLUMNS = [
@@ -42,7 +42,7 @@ def backfill(
     complete = results.where(~(no_text | no_source))
     gaps = results.where(no_text | no_source)
     wanted = write_table(gaps.select(F.col("verbatim_id").alias("id")).distinct(), "wanted")
-    if wanted.count() <= broadcast_rows:
+    if is_small(wanted, broadcast_rows):
         latest = latest_metadata(raw_rows.join(F.broadcast(wanted), "id", "left_semi"))
     else:
         latest = latest_metadata(raw_rows).join(wanted, "id", "left_semi")

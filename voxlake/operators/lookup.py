@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from voxlake.session import BROADCAST_ROWS, small_side, write_table
+from voxlake.session import BROADCAST_ROWS, is_small, small_side, write_table
 
 HOT_ROWS = 1_000_000
 SALTS = 64
@@ -20,12 +20,12 @@ def lookup(
 ) -> DataFrame:
     """Left join with `table` (written, unique on `key`), safe against hot keys.
 
-    A table counted as small is broadcast. Beyond that both sides are shuffled,
+    A table measured as small is broadcast. Beyond that both sides are shuffled,
     and each key with more than `hot_rows` facts is spread over `salts`
     partitions, its single table row repeated for each. Every row is kept.
     `facts` is read twice then (once for its keys only).
     """
-    if table.count() <= broadcast_rows:
+    if is_small(table, broadcast_rows):
         return facts.join(F.broadcast(table), key, "left")
     hot = write_table(
         facts.groupBy(key).count().where(F.col("count") > hot_rows)

@@ -50,8 +50,11 @@ def check_batches(accepted: DataFrame, batches: DataFrame) -> DataFrame:
     """One row per answered batch: counts, judged items, missing ids.
 
     `items` keeps the answer's order; each has its `issues`, and the original
-    text and source of its id (the last one sent, when an id was sent twice).
+    text and source of its id (the last one sent, when an id was sent twice) as
+    far as the batches carry them.
     """
+    sent_fields = batches.schema["items"].dataType.elementType.fieldNames()
+    carried = [f for f in ("text", "source") if f in sent_fields]
     joined = accepted.select("batch_idx", "analyses").join(
         batches.select("batch_idx", F.col("items").alias("sent")), "batch_idx"
     )
@@ -69,8 +72,7 @@ def check_batches(accepted: DataFrame, batches: DataFrame) -> DataFrame:
             i.cast("bigint").alias("pos"),
             item.alias("data"),
             _issues(item, i).alias("issues"),
-            origin["text"].alias("text"),
-            origin["source"].alias("source"),
+            *[origin[f].alias(f) for f in carried],
         )
 
     return with_ids.select(
@@ -91,15 +93,14 @@ def judged_items(checked: DataFrame) -> DataFrame:
 
 
 def valid_analyses(checked: DataFrame) -> DataFrame:
-    """Items without any issue, with their original text and source."""
-    return (
-        judged_items(checked)
-        .where(F.size("issues") == 0)
-        .select(
-            "batch_idx", "pos",
-            "data.verbatim_id", "data.theme", "data.summary", "data.sentiment",
-            F.col("text").alias("texte_original"), "source", "data.macro_theme",
-        )
+    """Items without any issue, with the original text and source that were carried."""
+    items = judged_items(checked)
+    origin = {"text": "texte_original", "source": "source"}
+    return items.where(F.size("issues") == 0).select(
+        "batch_idx", "pos",
+        "data.verbatim_id", "data.theme", "data.summary", "data.sentiment",
+        *[F.col(f).alias(name) for f, name in origin.items() if f in items.columns],
+        "data.macro_theme",
     )
 
 

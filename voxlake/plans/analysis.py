@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from voxlake.functions.numbers import int_div
-from voxlake.operators.batching import assign_batches, build_prompts, fingerprint, group_batches
+from voxlake.operators.batching import (
+    assign_batches, build_prompts, fingerprint, group_batches, items_digest,
+)
 from voxlake.operators.inference import Answers
 from voxlake.operators.responses import OK, UNEXPECTED, failed_batches, parse_answers
 from voxlake.operators.validation import (
@@ -106,10 +108,11 @@ class _Batches:
 
     def write(self, batched: DataFrame, buckets: int) -> None:
         spread = batched.repartition(buckets, "batch_idx")
+        grouped = group_batches(spread).withColumn("digest", items_digest())
         spark = batched.sparkSession
         spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         (
-            group_batches(spread).write.mode("overwrite").format("parquet")
+            grouped.write.mode("overwrite").format("parquet")
             .bucketBy(buckets, "batch_idx").option("path", self.path).saveAsTable(self.name)
         )
 

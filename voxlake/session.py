@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A side is broadcast only when it was counted and holds at most this many rows.
+# A side is broadcast only after it was measured and found within both bounds.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -44,12 +45,28 @@ def write_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Measure a written table: few rows, and few bytes once unpacked.
+
+    The size on disk says little, as repeated texts compress to almost nothing.
+    """
+    kinds = dict(table.dtypes)
+    if any(k.startswith(("array", "map", "struct", "variant", "binary")) for k in kinds.values()):
+        return False
+    per_row = F.lit(16 * len(kinds))
+    for name, kind in kinds.items():
+        if kind == "string":
+            per_row = per_row + F.coalesce(F.octet_length(name), F.lit(0))
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(per_row.cast("bigint")).alias("b")).first()
+    return size["n"] <= rows and (size["b"] or 0) <= BROADCAST_BYTES
+
+
 def small_side(table: DataFrame) -> DataFrame:
-    """Mark a written table for broadcast when its counted size allows it.
+    """Mark a written table for broadcast when its measured size allows it.
 
     Larger tables are returned as they are and joined by shuffle.
     """
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    return F.broadcast(table) if is_small(table) else table
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -6,9 +6,12 @@ that every operator can be compared with SQL over the same tables.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxlake.functions.numbers import int_div
+from voxlake.operators.batching import group_batches
 
 CATEGORIES = ["Produit", "Service", "Tarifs", "Vide"]
 BATCH = 10
@@ -76,17 +79,16 @@ def ideal_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sent_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was sent: one row per batch, as `group_batches` gives it."""
-    d = table(spark, sf_dir, "documents")
+def sent_batches(
+    spark: SparkSession, sf_dir: str, carry: Sequence[str] = ("text", "source", "lang")
+) -> DataFrame:
+    """What was sent, grouped by batch; place and number follow from the document id."""
     k = F.col("doc_id")
-    item = F.struct(
-        (k % BATCH).cast("int").alias("pos"),
-        F.concat(F.lit("doc_"), k.cast("string")).alias("id"), "text", "source", "lang",
-    )
-    return d.groupBy(int_div(k, BATCH).alias("batch_idx")).agg(
-        F.array_sort(F.collect_list(item)).alias("items")
+    batched = table(spark, sf_dir, "documents").select(
+        int_div(k, BATCH).alias("batch_idx"), (k % BATCH).cast("int").alias("pos_in_batch"),
+        F.concat(F.lit("doc_"), k.cast("string")).alias("id"), *carry,
     )
+    return group_batches(batched, carry)
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -59,15 +59,18 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.parse_answers(fx.responses(spark, sf_dir))
 
 
-def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _checked(
+    spark: SparkSession, sf_dir: str, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Judged answers; texts travel along only where a query returns them."""
     accepted = responses.first_accepted(_parsed(spark, sf_dir))
-    return validation.check_batches(accepted, fx.sent_batches(spark, sf_dir))
+    return validation.check_batches(accepted, fx.sent_batches(spark, sf_dir, carry))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Checked batches, failed batches and sent batches from answers read once."""
     parsed = write_table(_parsed(spark, sf_dir), "judged")
-    batches = fx.sent_batches(spark, sf_dir)
+    batches = fx.sent_batches(spark, sf_dir, carry=())
     checked = validation.check_batches(responses.first_accepted(parsed), batches)
     return checked, responses.failed_batches(parsed), batches
 
@@ -109,7 +112,8 @@ def _run(spark: SparkSession, sf_dir: str) -> Run:
 @query
 def sentiment_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest, batch, read answers, validate, enrich; then the split per source."""
-    batches = batching.group_batches(batching.assign_batches(_verbatims(spark, sf_dir)))
+    batched = batching.assign_batches(_verbatims(spark, sf_dir))
+    batches = batching.group_batches(batched, carry=["source"])
     accepted = responses.first_accepted(_parsed(spark, sf_dir))
     valid = validation.valid_analyses(validation.check_batches(accepted, batches))
     names = quantify.COUNT_COLUMNS.items()
@@ -303,7 +307,7 @@ def item_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def valid_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.valid_analyses(_checked(spark, sf_dir)).select(
+    return validation.valid_analyses(_checked(spark, sf_dir, ("text", "source"))).select(
         "verbatim_id", "theme", "summary", "sentiment", "texte_original", "source"
     )
 
@@ -319,7 +323,7 @@ def missing_verbatims(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def batch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = responses.failed_batches(_parsed(spark, sf_dir))
-    return validation.failure_errors(failed, fx.sent_batches(spark, sf_dir)).select(
+    return validation.failure_errors(failed, fx.sent_batches(spark, sf_dir, carry=())).select(
         "batch_idx", "type", F.size("verbatim_ids").alias("n_items"), "error"
     )
 
