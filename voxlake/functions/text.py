@@ -20,6 +20,15 @@ def word_count(c: Column) -> Column:
     return F.when(stripped == "", F.lit(0)).otherwise(F.size(F.split(stripped, WHITESPACE_RUN)))
 
 
+def fill(template: str, *values: Column) -> Column:
+    """A fixed text with values in place of its `{}` marks."""
+    pieces = template.split("{}")
+    parts = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:], strict=True):
+        parts += [value.cast("string"), F.lit(piece)]
+    return F.concat(*parts)
+
+
 def percent(n: Column, total: Column) -> Column:
     """`n / total * 100` in that order; null when there is nothing to divide by."""
     return n.cast("double") / F.nullif(total, F.lit(0)).cast("double") * 100

@@ -11,7 +11,7 @@ from voxlake.functions.strict_json import as_list, as_string, is_string, with_st
 from voxlake.operators.inference import Answers
 from voxlake.operators.lookup import lookup
 from voxlake.operators.positions import land_positions
-from voxlake.schemas import FALLBACK_CATEGORY, MAX_CATEGORIES
+from voxlake.schemas import FALLBACK_CATEGORY, MAX_CATEGORIES, RAW_EXCERPT
 from voxlake.session import prepare, write_table
 
 THEMES_PER_CALL = 2_000
@@ -85,7 +85,7 @@ def parse_mappings(responses: DataFrame) -> DataFrame:
         .when(F.coalesce("raw", F.lit("")) == "", F.lit("no answer for the harmonisation"))
         .when(
             F.col("_json").isNull() | empty,
-            F.concat(F.lit("no harmonisation JSON in: "), F.left("raw", F.lit(200))),
+            F.concat(F.lit("no harmonisation JSON in: "), F.left("raw", F.lit(RAW_EXCERPT))),
         )
         .when(~F.coalesce(ok, F.lit(False)), F.lit("harmonisation answer has the wrong shape"))
     )
@@ -169,10 +169,10 @@ def with_fallback(
 ) -> Harmonization:
     """Map the themes the answer left out.
 
-    `first` (the default) is the reference behaviour: when `Autre` is already a
-    category every unmapped theme goes to the first category; otherwise `Autre`
-    is appended, takes the first unmapped theme in code-point order, and the
-    later ones go to the first category. `autre` sends all of them to `Autre`.
+    `first` (the default): when `Autre` is already a category, every unmapped
+    theme goes to the first category; otherwise `Autre` is appended, takes the
+    first unmapped theme in code-point order, and the later ones go to the first
+    category. `autre` sends all of them to `Autre`.
     """
     if fallback not in ("first", "autre"):
         raise ValueError(f"unknown fallback {fallback!r}")

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voxlake.functions.strict_json import (
     as_list, as_string, field, is_string, is_string_or_absent, with_strict_json,
 )
+from voxlake.functions.text import fill
 from voxlake.schemas import (
-    ANALYSIS_FIELDS, OPTIONAL_FIELDS, REQUIRED_FIELDS, SENTIMENTS, SUMMARY_MAX,
+    ANALYSIS_FIELDS, ATTEMPTS_FAILED, INVALID_JSON, INVALID_SCHEMA, NO_API_ANSWER,
+    OPTIONAL_FIELDS, RAW_EXCERPT, REQUIRED_FIELDS, SENTIMENTS, SUMMARY_MAX,
 )
 from voxlake.session import prepare
 
@@ -55,9 +57,9 @@ def parse_answers(responses: DataFrame) -> DataFrame:
     )
     detail = (
         F.when(F.col("kind") == UNEXPECTED, F.col("error"))
-        .when(F.col("kind") == NO_ANSWER, F.lit("Pas de réponse de l'API"))
-        .when(F.col("kind") == BAD_JSON, F.concat(F.lit("JSON invalide: "), F.left("raw", F.lit(200))))
-        .when(F.col("kind") == BAD_SCHEMA, F.lit("Validation du schéma: réponse non conforme"))
+        .when(F.col("kind") == NO_ANSWER, F.lit(NO_API_ANSWER))
+        .when(F.col("kind") == BAD_JSON, fill(INVALID_JSON, F.left("raw", F.lit(RAW_EXCERPT))))
+        .when(F.col("kind") == BAD_SCHEMA, F.lit(INVALID_SCHEMA))
     )
     return (
         # A generated column: a filter on it stays above the parsing instead of
@@ -94,10 +96,8 @@ def failed_batches(parsed: DataFrame) -> DataFrame:
             F.when(F.col("last.kind") == UNEXPECTED, "unexpected_error")
             .otherwise("batch_failure").alias("type"),
             F.when(F.col("last.kind") == UNEXPECTED, F.col("last.last_error"))
-            .otherwise(F.concat(
-                F.lit("Échec après "), F.col("attempts").cast("string"),
-                F.lit(" tentatives: "), F.col("last.last_error"),
-            )).alias("error"),
+            .otherwise(fill(ATTEMPTS_FAILED, F.col("attempts"), F.col("last.last_error")))
+            .alias("error"),
         )
     )
 

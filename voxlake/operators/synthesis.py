@@ -16,7 +16,7 @@ from voxlake.functions.strict_json import (
 )
 from voxlake.operators.inference import Answers
 from voxlake.operators.positions import running_totals
-from voxlake.schemas import EMPTY_SYNTHESIS
+from voxlake.schemas import EMPTY_SYNTHESIS, RAW_EXCERPT
 from voxlake.session import prepare, write_table
 
 LINES_PER_CALL = 5_000
@@ -96,7 +96,7 @@ def parse_syntheses(responses: DataFrame) -> DataFrame:
         .when(F.coalesce("raw", F.lit("")) == "", F.concat(F.lit("no synthesis answer"), about))
         .when(
             j.isNull() | empty,
-            F.concat(F.lit("no synthesis JSON"), about, F.lit(": "), F.left("raw", F.lit(200))),
+            F.concat(F.lit("no synthesis JSON"), about, F.lit(": "), F.left("raw", F.lit(RAW_EXCERPT))),
         )
         .when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit("synthesis of wrong shape"), about))
     )

@@ -9,16 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxlake.functions.text import strip, word_count
+from voxlake.functions.text import fill, strip, word_count
 from voxlake.operators.positions import running_totals
-from voxlake.schemas import ERROR, SUMMARY_MIN, THEME_MAX_WORDS
+from voxlake.schemas import (
+    COUNT_MISMATCH, DUPLICATE_ID, EMPTY_THEME, ERROR, LONG_THEME, MISSING_VERBATIMS,
+    SHORT_SUMMARY, SUMMARY_MIN, THEME_MAX_WORDS, UNKNOWN_ID,
+)
 from voxlake.session import write_table
 
 
-def _text(value: str) -> Column:
-    return F.lit(value)
-
-
 def _issues(item: Column, i: Column) -> Column:
     """All issues of one item: repeated id, unknown id, theme, summary."""
     vid, theme, summary = item["verbatim_id"], item["theme"], item["summary"]
@@ -26,22 +25,16 @@ def _issues(item: Column, i: Column) -> Column:
     found = F.array(
         F.when(
             F.array_position("returned_ids", vid) != i + 1,
-            F.concat(_text("ID dupliqué: "), vid),
+            fill(DUPLICATE_ID, vid),
         ),
         F.when(
             ~F.array_contains("sent_ids", vid),
-            F.concat(_text("ID inconnu: "), vid, _text(" (attendus: "),
-                     F.array_join(F.array_sort(F.array_distinct("sent_ids")), ", "), _text(")")),
+            fill(UNKNOWN_ID, vid, F.array_join(F.array_sort(F.array_distinct("sent_ids")), ", ")),
         ),
-        F.when(words == 0, _text("Thème vide")).when(
-            words > THEME_MAX_WORDS,
-            F.concat(_text("Thème trop long ("), words.cast("string"), _text(" mots): '"),
-                     theme, _text("'")),
-        ),
-        F.when(
-            F.length(strip(summary)) < SUMMARY_MIN,
-            F.concat(_text("Résumé trop court: '"), summary, _text("'")),
+        F.when(words == 0, F.lit(EMPTY_THEME)).when(
+            words > THEME_MAX_WORDS, fill(LONG_THEME, words, theme)
         ),
+        F.when(F.length(strip(summary)) < SUMMARY_MIN, fill(SHORT_SUMMARY, summary)),
     )
     return F.filter(found, lambda x: x.isNotNull())
 
@@ -119,10 +112,7 @@ def batch_errors(checked: DataFrame) -> DataFrame:
         _error(
             type=F.lit("count_mismatch"), batch_idx=b,
             expected=F.col("expected"), got=F.col("got"),
-            detail=F.concat(
-                F.lit("Le LLM a retourné "), F.col("got").cast("string"),
-                F.lit(" analyses au lieu de "), F.col("expected").cast("string"),
-            ),
+            detail=fill(COUNT_MISMATCH, F.col("got"), F.col("expected")),
         ),
     )
     item_errors = F.transform(
@@ -136,9 +126,7 @@ def batch_errors(checked: DataFrame) -> DataFrame:
         F.size("missing_ids") > 0,
         _error(
             type=F.lit("missing_verbatims"), batch_idx=b, missing_ids=F.col("missing_ids"),
-            detail=F.concat(
-                F.size("missing_ids").cast("string"), F.lit(" verbatim(s) sauté(s) par le LLM")
-            ),
+            detail=fill(MISSING_VERBATIMS, F.size("missing_ids")),
         ),
     )
     around = lambda c: F.filter(F.array(c), lambda x: x.isNotNull())

@@ -154,14 +154,15 @@ def _open_run(
         )
     table.write(batched, buckets)
     batches = table.read(buckets)
-    facts = batches.agg(
+    batches.agg(
+        F.lit(run_id).alias("run_id"),
+        F.lit(batch_size).alias("batch_size"),
         F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("rows"),
         F.bit_xor("digest").alias("digest"),
         F.count(F.lit(1)).alias("total_batches"),
-    ).first()
-    row = (run_id, batch_size, facts["rows"], facts["digest"], facts["total_batches"], buckets)
-    spark.createDataFrame([row], _META).coalesce(1).write.mode("overwrite").json(meta_path)
-    return batches, facts["total_batches"]
+        F.lit(buckets).alias("buckets"),
+    ).write.mode("overwrite").json(meta_path)
+    return batches, spark.read.schema(_META).json(meta_path).first()["total_batches"]
 
 
 def _completed(store: Store, run_id: str) -> DataFrame:
@@ -290,10 +291,13 @@ def _run_part(
     )
     failed = write_table(failed_batches(judged(new)), "failed")
     save_results(valid_analyses(checked), store, run_id, part)
-    save_errors(all_errors(checked, small_side(failed), batches), store, run_id, part)
-    write_table(
+    tallies = write_table(
         batch_tallies(checked, failed), "tallies", f"{store.path('tallies', run_id)}/{part}"
     )
+    save_errors(
+        all_errors(checked, small_side(failed), batches), store, run_id, part,
+        any_errors=tallies.where(F.col("n_errors") > 0).limit(1).count() > 0,
+    )
     write_table(
         checked.select("batch_idx"), "checkpoint", f"{store.path('checkpoint', run_id)}/{part}"
     )

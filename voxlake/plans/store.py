@@ -60,10 +60,17 @@ def save_results(analyses: DataFrame, store: Store, run_id: str, part: str = "al
     return save_json(analyses, f"{store.path('results', run_id)}/{part}")
 
 
-def save_errors(errors: DataFrame, store: Store, run_id: str, part: str = "all") -> str | None:
-    """Write errors, only when there are any or older ones have to be replaced."""
+def save_errors(
+    errors: DataFrame, store: Store, run_id: str, part: str = "all", any_errors: bool | None = None
+) -> str | None:
+    """Write errors, only when there are any or older ones have to be replaced.
+
+    `any_errors` spares the look when the caller knows.
+    """
     path = f"{store.path('errors', run_id)}/{part}"
-    if errors.limit(1).count() == 0 and not path_exists(store.spark, path):
+    if any_errors is None:
+        any_errors = errors.limit(1).count() > 0
+    if not any_errors and not path_exists(store.spark, path):
         return None
     return save_json(errors, path)
 

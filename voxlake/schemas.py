@@ -48,6 +48,20 @@ UNKNOWN_SOURCE = "inconnue"
 TEXT_NOT_FOUND = "(Texte original introuvable)"
 EMPTY_SYNTHESIS = "Aucun avis disponible pour cette catégorie."
 
+# Texts of issues and errors; {} marks where values go.
+DUPLICATE_ID = "ID dupliqué: {}"
+UNKNOWN_ID = "ID inconnu: {} (attendus: {})"
+EMPTY_THEME = "Thème vide"
+LONG_THEME = "Thème trop long ({} mots): '{}'"
+SHORT_SUMMARY = "Résumé trop court: '{}'"
+COUNT_MISMATCH = "Le LLM a retourné {} analyses au lieu de {}"
+MISSING_VERBATIMS = "{} verbatim(s) sauté(s) par le LLM"
+ATTEMPTS_FAILED = "Échec après {} tentatives: {}"
+NO_API_ANSWER = "Pas de réponse de l'API"
+INVALID_JSON = "JSON invalide: {}"
+INVALID_SCHEMA = "Validation du schéma: réponse non conforme"
+RAW_EXCERPT = 200
+
 # --- frames --------------------------------------------------------------------
 
 VERBATIM = T.StructType([
