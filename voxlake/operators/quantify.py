@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxlake.functions.text import bar, one_decimal, pad_left, pad_right, percent
@@ -175,6 +177,12 @@ def report_lines(distribution: DataFrame) -> DataFrame:
     )
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Put one-row frames with different columns side by side, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 def report_document(
     distribution: DataFrame,
     mapping: DataFrame,
@@ -199,9 +207,7 @@ def report_document(
         pairs = mapping.agg(
             F.map_from_entries(F.collect_list(F.struct("theme", "macro_theme"))).alias("mapping")
         )
-        doc = doc.withColumn("_one", F.lit(1)).join(
-            F.broadcast(pairs.withColumn("_one", F.lit(1))), "_one"
-        )
+        doc = one_row(doc, pairs)
     else:
         doc = doc.withColumn("mapping", F.lit(None).cast("map<string,string>"))
     return doc.select(

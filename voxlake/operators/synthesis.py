@@ -16,6 +16,7 @@ from voxlake.functions.strict_json import (
 )
 from voxlake.operators.inference import Answers
 from voxlake.operators.positions import running_totals
+from voxlake.operators.quantify import one_row
 from voxlake.schemas import EMPTY_SYNTHESIS, RAW_EXCERPT
 from voxlake.session import prepare, write_table
 
@@ -181,11 +182,7 @@ def attach_syntheses(report: DataFrame, syntheses: DataFrame) -> DataFrame:
     all_ = syntheses.agg(
         F.map_from_entries(F.collect_list(F.struct("category", entry.alias("s")))).alias("syntheses")
     )
-    one = F.lit(1)
-    return (
-        report.drop("syntheses").withColumn("_one", one)
-        .join(F.broadcast(all_.withColumn("_one", one)), "_one").drop("_one")
-    )
+    return one_row(report.drop("syntheses"), all_)
 
 
 def synthesis_points(syntheses: DataFrame) -> DataFrame:
