@@ -151,7 +151,8 @@ def test_lookup_spreads_hot_keys_without_changing_rows(spark):
 
 
 def distribution_of(spark, analyses, mapping, names):
-    return theme_distribution(macro_tallies(analyses, mapping), categories_of(spark, names))
+    return theme_distribution(
+        macro_tallies(theme_tallies(analyses), mapping), categories_of(spark, names))
 
 
 def test_counts_and_ranking(spark):

@@ -45,22 +45,17 @@ def theme_tallies(analyses: DataFrame) -> DataFrame:
     )
 
 
-def macro_tallies(analyses: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Counts per macro theme.
+def macro_tallies(tallies: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Counts per macro theme from the tallies per theme.
 
-    Rows are summed up per theme before the mapping is joined, so neither a
+    Rows were summed up per theme before the mapping is joined, so neither a
     frequent theme nor a large mapping moves more than one row per theme.
     """
-    tallies = theme_tallies(analyses)
     table = write_table(mapping.select("theme", "macro_theme"), "mapping")
     named = lookup(tallies, table, "theme").withColumn(
         "macro_theme", F.coalesce("macro_theme", F.lit(FALLBACK_CATEGORY))
     )
-    return _sum_tallies(named)
-
-
-def _sum_tallies(tallies: DataFrame) -> DataFrame:
-    return tallies.groupBy("macro_theme").agg(
+    return named.groupBy("macro_theme").agg(
         *[F.sum(c).alias(c) for c in ["total", *COUNT_COLUMNS.values()]],
         F.min("first_row").alias("first_row"),
     )

@@ -6,7 +6,6 @@ import hashlib
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,7 +23,7 @@ from voxlake.plans.store import (
     STORED, Store, load_errors, new_run_id, read_results, save_errors, save_results,
 )
 from voxlake.schemas import BATCH_SIZE, ERROR, MAX_RETRIES
-from voxlake.session import small_side, write_table
+from voxlake.session import path_exists, small_side, write_table
 
 BUCKET_BYTES = 256 * 1024 * 1024
 
@@ -43,9 +42,8 @@ class Run:
 
     @property
     def valid(self) -> DataFrame:
-        spark = self.store.spark
-        rows = [read_results(spark, p) for p in self._paths("results")]
-        return reduce(DataFrame.unionByName, rows, spark.createDataFrame([], STORED))
+        spark, paths = self.store.spark, self._paths("results")
+        return read_results(spark, paths) if paths else spark.createDataFrame([], STORED)
 
     @property
     def errors(self) -> DataFrame:
@@ -166,8 +164,11 @@ def _open_run(
 
 
 def _completed(store: Store, run_id: str) -> DataFrame:
-    parts = store.committed("checkpoint", run_id)
-    return _read_parts(store, "checkpoint", run_id, parts, "batch_idx bigint")
+    spark, base = store.spark, store.path("checkpoint", run_id)
+    if not path_exists(spark, base):
+        return spark.createDataFrame([], "batch_idx bigint")
+    # A part that was not written to the end has no visible files yet.
+    return spark.read.schema("batch_idx bigint").option("recursiveFileLookup", True).parquet(base)
 
 
 def pending_batches(store: Store, run_id: str) -> DataFrame:

@@ -10,7 +10,9 @@ from voxlake.operators.harmonize import (
     THEMES_PER_CALL, Harmonization, apply_mapping, harmonize, unique_themes,
 )
 from voxlake.operators.inference import Answers
-from voxlake.operators.quantify import macro_tallies, report_document, report_lines, theme_distribution
+from voxlake.operators.quantify import (
+    macro_tallies, report_document, report_lines, theme_distribution, theme_tallies,
+)
 from voxlake.operators.synthesis import (
     LINES_PER_CALL, attach_syntheses, synthesize,
 )
@@ -45,15 +47,17 @@ def quantify_run(
     results.
     """
     analyses = load_results(store, run_id)
-    if analyses.limit(1).count() == 0:
+    # One pass over the rows; themes, counts and distribution all follow from it.
+    tallies = write_table(theme_tallies(analyses), "tallies")
+    if tallies.limit(1).count() == 0:
         return None
     found = harmonize(
-        unique_themes(analyses), answers, max_categories, fallback, themes_per_call
+        unique_themes(tallies), answers, max_categories, fallback, themes_per_call
     )
     mapping = write_table(found.mapping, "mapping", store.path("mapping", run_id))
     categories = write_table(found.categories, "categories", store.path("categories", run_id))
     distribution = write_table(
-        theme_distribution(macro_tallies(analyses, mapping), categories), "distribution"
+        theme_distribution(macro_tallies(tallies, mapping), categories), "distribution"
     )
     enriched_path = save_json(
         apply_mapping(analyses, mapping), store.path("enriched_results", run_id)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from voxlake.schemas import ANALYSIS, REQUIRED_FIELDS, SENTIMENTS, SUMMARY_MAX
-from voxlake.session import list_names, path_exists
+from voxlake.session import list_names, matching_paths, path_exists
 
 STORED = T.StructType(ANALYSIS.fields + [
     T.StructField("batch_idx", T.LongType()), T.StructField("pos", T.LongType()),
@@ -36,9 +36,8 @@ class Store:
 
     def committed(self, kind: str, run_id: str) -> list[str]:
         """Parts of a kind that were written to the end."""
-        base = self.path(kind, run_id)
-        return [n for n in list_names(self.spark, base)
-                if path_exists(self.spark, f"{base}/{n}/_SUCCESS")]
+        marks = matching_paths(self.spark, f"{self.path(kind, run_id)}/*/_SUCCESS")
+        return [m.split("/")[-2] for m in marks]
 
     def runs(self) -> DataFrame:
         """Ids of the runs with results, newest name first."""
@@ -75,7 +74,7 @@ def save_errors(
     return save_json(errors, path)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
+def read_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Read stored results; a line that is no JSON or breaks the contract fails the job."""
     rows = (
         spark.read.schema(STORED).options(mode="FAILFAST", recursiveFileLookup=True).json(path)

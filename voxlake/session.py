@@ -75,6 +75,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern, from one listing."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in fs.globStatus(jpath) or [])
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly under a folder, sorted; empty when it does not exist."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -92,10 +92,12 @@ def analyse_stream(
     lang: str = DEFAULT_LANG,
     batch_size: int = BATCH_SIZE,
     max_retries: int = MAX_RETRIES,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Start analysing a stream of comments; stops when all present files are done.
+    """Start analysing a stream of comments.
 
-    Row numbers start again in every epoch, so generated ids are
+    Stops when all present files are done, or looks for new ones `every` so
+    often ("1 minute") until it is stopped. Row numbers start again in every epoch, so generated ids are
     `{source}_{epoch}_{row}`.
     """
 
@@ -108,7 +110,7 @@ def analyse_stream(
     return (
         rows.writeStream.foreachBatch(one_epoch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"availableNow": True} if every is None else {"processingTime": every}))
         .start()
     )
 

@@ -84,7 +84,8 @@ def _mapped(spark: SparkSession, sf_dir: str, fallback: str = "first") -> harmon
 
 def _distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _mapped(spark, sf_dir)
-    macros = quantify.macro_tallies(fx.ideal_analyses(spark, sf_dir), found.mapping)
+    tallies = quantify.theme_tallies(fx.ideal_analyses(spark, sf_dir))
+    macros = quantify.macro_tallies(tallies, found.mapping)
     return quantify.theme_distribution(macros, found.categories)
 
 
@@ -458,7 +459,8 @@ def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report row, unpacked into comparable columns."""
     found = _mapped(spark, sf_dir)
     mapping = write_table(found.mapping, "mapping")
-    macros = quantify.macro_tallies(fx.ideal_analyses(spark, sf_dir), mapping)
+    tallies = quantify.theme_tallies(fx.ideal_analyses(spark, sf_dir))
+    macros = quantify.macro_tallies(tallies, mapping)
     doc = quantify.report_document(
         quantify.theme_distribution(macros, found.categories), mapping, "results_run"
     )
