@@ -186,5 +186,5 @@ def test_transport_failures_stay_with_their_prompt(spark):
         return None if "quiet" in prompt else prompt.upper()
 
     df = spark.createDataFrame([(0, "a"), (1, "boom"), (2, "quiet")], "batch_idx bigint, prompt string")
-    got = answer_with(transport, concurrency=2)(df, 0).orderBy("batch_idx").collect()
+    got = answer_with(transport, concurrency=2, threads=3)(df, 0).orderBy("batch_idx").collect()
     assert [tuple(r) for r in got] == [(0, "A", None), (1, None, "no such model"), (2, None, None)]

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, types as T
 Answers = Callable[[DataFrame, int], DataFrame]
 
 
-def answer_with(transport: Callable[[str], str | None], concurrency: int | None = None) -> Answers:
+def answer_with(
+    transport: Callable[[str], str | None], concurrency: int | None = None, threads: int = 1
+) -> Answers:
     """Make an answering step from `transport(prompt) -> text or None`.
 
     None means no answer: timeout, HTTP or network failure. An exception is an
     unexpected error; it is kept with its prompt and fails no other one.
-    `concurrency` sets how many partitions call the model at the same time.
+    `concurrency` sets into how many tasks the prompts are spread; each task
+    makes up to `threads` calls at a time, as a call mostly waits.
     The result must be written before it is read: a call is neither free nor
     repeatable, and a plan that is reused would call again.
     """
@@ -24,25 +27,28 @@ def answer_with(transport: Callable[[str], str | None], concurrency: int | None
         keys = [c for c in prompts.columns if c not in ("prompt", "n_items")]
         todo = prompts.select(*keys, "prompt")
         if concurrency is not None:
-            todo = todo.repartition(concurrency)
+            todo = todo.repartition(concurrency, *keys)
         schema = T.StructType(
             [todo.schema[k] for k in keys]
             + [T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())]
         )
 
         def call(frames: Iterator) -> Iterator:
-            for frame in frames:
-                raws, errors = [], []
-                for prompt in frame["prompt"]:
-                    try:
-                        raws.append(transport(prompt))
-                        errors.append(None)
-                    except Exception as e:  # noqa: BLE001 - kept as a row
-                        raws.append(None)
-                        errors.append(str(e) or type(e).__name__)
-                out = frame.drop(columns="prompt")
-                out["raw"], out["error"] = raws, errors
-                yield out
+            from concurrent.futures import ThreadPoolExecutor
+
+            def one(prompt: str) -> tuple[str | None, str | None]:
+                try:
+                    return transport(prompt), None
+                except Exception as e:  # noqa: BLE001 - kept as a row
+                    return None, str(e) or type(e).__name__
+
+            with ThreadPoolExecutor(threads) as pool:
+                for frame in frames:
+                    answered = list(pool.map(one, frame["prompt"]))
+                    out = frame.drop(columns="prompt")
+                    out["raw"] = [raw for raw, _ in answered]
+                    out["error"] = [error for _, error in answered]
+                    yield out
 
         return todo.mapInPandas(call, schema)
 
