@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxlake.functions.numbers import int_div
 from voxlake.operators.batching import (
@@ -26,6 +26,7 @@ from voxlake.schemas import BATCH_SIZE, ERROR, MAX_RETRIES
 from voxlake.session import path_exists, small_side, write_table
 
 BUCKET_BYTES = 256 * 1024 * 1024
+MAX_BUCKETS = 100_000  # Spark's own default limit for a bucketed table
 
 
 @dataclass(frozen=True)
@@ -93,10 +94,10 @@ def _scanned_bytes(df: DataFrame) -> int:
 
 
 class _Batches:
-    """The grouped input, kept as a table bucketed by batch.
+    """The grouped input, kept as a table bucketed and sorted by batch.
 
     Answers are joined to it after every part; the bucketing spares the texts a
-    second shuffle.
+    second shuffle, and the order lets a part skip the pages of other parts.
     """
 
     def __init__(self, store: Store, run_id: str) -> None:
@@ -111,7 +112,8 @@ class _Batches:
         spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         (
             grouped.write.mode("overwrite").format("parquet")
-            .bucketBy(buckets, "batch_idx").option("path", self.path).saveAsTable(self.name)
+            .bucketBy(buckets, "batch_idx").sortBy("batch_idx")
+            .option("path", self.path).saveAsTable(self.name)
         )
 
     def read(self, buckets: int) -> DataFrame:
@@ -120,7 +122,7 @@ class _Batches:
             spark.sql(
                 f"CREATE TABLE {self.name} (batch_idx BIGINT, items ARRAY<STRUCT<pos: INT, "
                 "id: STRING, text: STRING, source: STRING, lang: STRING>>, digest BIGINT) "
-                f"USING parquet CLUSTERED BY (batch_idx) INTO {buckets} BUCKETS "
+                f"USING parquet CLUSTERED BY (batch_idx) SORTED BY (batch_idx) INTO {buckets} BUCKETS "
                 f"LOCATION '{self.path}'"
             )
         return spark.table(self.name)
@@ -147,9 +149,10 @@ def _open_run(
         return table.read(meta["buckets"]), meta["total_batches"]
 
     if buckets is None:
-        buckets = max(
+        wanted = max(
             spark.sparkContext.defaultParallelism, _scanned_bytes(batched) // BUCKET_BYTES
         )
+        buckets = min(wanted, MAX_BUCKETS)
     table.write(batched, buckets)
     batches = table.read(buckets)
     batches.agg(
@@ -258,18 +261,18 @@ def run_analysis(
     parts: list[str] = []
     for wave in waves:
         part = f"{len(done_parts) + len(parts):06d}"
-        _run_part(
-            batches, unfinished.where(F.col("wave") == wave).select("batch_idx"),
-            answers, store, run_id, part, max_retries, wait,
-        )
+        mine = unfinished.where(F.col("wave") == wave).select("batch_idx")
+        reach = (F.col("batch_idx") >= wave * width) & (F.col("batch_idx") < (wave + 1) * width)
+        _run_part(batches, reach, mine, answers, store, run_id, part, max_retries, wait)
         parts.append(part)
     return Run(store, run_id, total, tuple(parts))
 
 
 def _run_part(
-    batches: DataFrame, mine: DataFrame, answers: Answers, store: Store, run_id: str, part: str,
-    max_retries: int, wait: Callable[[float], None],
+    batches: DataFrame, reach: Column, mine: DataFrame, answers: Answers, store: Store, run_id: str,
+    part: str, max_retries: int, wait: Callable[[float], None],
 ) -> None:
+    """Ask, judge, store and commit one part. `reach` is the range of its batch numbers."""
     answered = "batch_idx bigint, attempt int, kind string, last_error string, analyses " + (
         "array<struct<verbatim_id: string, theme: string, summary: string, sentiment: string, "
         "texte_original: string, source: string, macro_theme: string>>"
@@ -283,7 +286,9 @@ def _run_part(
     todo = mine if not before else write_table(
         mine.join(kept.select("batch_idx"), "batch_idx", "left_anti"), "todo"
     )
-    new = _rounds(batches, todo, answers, store, run_id, part, max_retries, wait)
+    new = _rounds(batches.where(reach), todo, answers, store, run_id, part, max_retries, wait)
+    if not before:  # kept answers of a crashed call may lie outside of this range
+        batches = batches.where(reach)
 
     # An accepted batch is never asked again, so there is one row per batch here.
     accepted = judged(before + new).where(F.col("kind") == OK)

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A side is broadcast only after it was measured and found within both bounds.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
