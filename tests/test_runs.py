@@ -210,11 +210,24 @@ def test_quantify_and_synthesise_a_run(spark, store):
     syntheses, failures = synthesize_run(store, "r", answer_with(transports.echo_synthesizer("Service")))
     assert [r["category"] for r in failures.collect()] == ["Service"]
     report, enriched = load_report(store, "r")
-    stored = report.first()["syntheses"].asDict()
+    stored = report.first()["syntheses"]
     assert set(stored) == {r["category"] for r in syntheses.collect()} and "Service" not in stored
     assert enriched.count() == 25
 
 
+def test_themes_that_differ_by_case_keep_their_entries(spark, store):
+    cells = [("a", "Prix", "s", "neutre", 0, 0), ("b", "prix", "s", "positif", 0, 1)]
+    save_results(spark.createDataFrame(cells, (
+        "verbatim_id string, theme string, summary string, sentiment string, batch_idx bigint, pos bigint"
+    )), store, "r")
+    answer = '{"categories": ["Prix", "prix"], "mapping": {"Prix": "Prix", "prix": "prix"}}'
+    quantify_run(store, "r", answer_with(lambda prompt: answer))
+    report = load_report(store, "r")[0].first()
+    assert report["mapping"] == {"Prix": "Prix", "prix": "prix"}
+    assert {k: v["total"] for k, v in report["theme_distribution"].items()} == {"Prix": 1, "prix": 1}
+    assert report["theme_distribution"]["prix"]["positif"] == 1
+
+
 def test_a_run_without_results_is_not_quantified(spark, store):
     run_analysis(comments(spark, 2), recording(transports.echo_analyst(), [(0, "always")]), store, "r",
                  max_retries=0, wait=no_wait)

@@ -90,7 +90,7 @@ def synthesize_run(
     ).unionByName(enriched.select("macro_theme")).distinct()
     done, failures = synthesize(categories, enriched, answers, lines_per_call)
     done = write_table(done, "syntheses", store.path("syntheses", run_id))
-    report = store.spark.read.json(store.path("quantification_report", run_id))
+    report, _ = load_report(store, run_id)
     # The report is one row; its replacement is written elsewhere before it takes its place.
     renewed = write_table(attach_syntheses(report, done), "report")
     save_json(renewed.coalesce(1), store.path("quantification_report", run_id))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from voxlake.schemas import ANALYSIS, REQUIRED_FIELDS, SENTIMENTS, SUMMARY_MAX
+from voxlake.schemas import ANALYSIS, REPORT, REQUIRED_FIELDS, SENTIMENTS, SUMMARY_MAX
 from voxlake.session import list_names, matching_paths, path_exists
 
 STORED = T.StructType(ANALYSIS.fields + [
@@ -109,7 +109,7 @@ def load_report(store: Store, run_id: str) -> tuple[DataFrame | None, DataFrame
     """The stored report and enriched rows of a run, None where not written yet."""
     report = enriched = None
     if store.exists("quantification_report", run_id):
-        report = store.spark.read.json(store.path("quantification_report", run_id))
+        report = store.spark.read.schema(REPORT).json(store.path("quantification_report", run_id))
     if store.exists("enriched_results", run_id):
         enriched = read_results(store.spark, store.path("enriched_results", run_id))
     return report, enriched

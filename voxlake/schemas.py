@@ -98,3 +98,26 @@ ERROR = T.StructType([
     T.StructField("detail", T.StringType()),
     T.StructField("error", T.StringType()),
 ])
+
+SYNTHESIS = T.StructType([
+    T.StructField("macro_theme", T.StringType()),
+    T.StructField("positive_points", T.ArrayType(T.StringType())),
+    T.StructField("negative_points", T.ArrayType(T.StringType())),
+    T.StructField("global_synthesis", T.StringType()),
+])
+
+# Themes and categories are keys, so they are read as maps: as fields of an
+# inferred struct, two that differ only by case would collide.
+REPORT = T.StructType([
+    T.StructField("metadata", T.StructType([
+        T.StructField("source_file", T.StringType()),
+        T.StructField("timestamp", T.StringType()),
+        T.StructField("total_verbatims", T.LongType()),
+    ])),
+    T.StructField("global_sentiment", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("theme_distribution", T.MapType(T.StringType(), T.StructType(
+        [T.StructField(name, T.LongType()) for name in ["total", *SENTIMENTS]]
+    ))),
+    T.StructField("mapping", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("syntheses", T.MapType(T.StringType(), SYNTHESIS)),
+])

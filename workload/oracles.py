@@ -391,6 +391,14 @@ ORACLES: dict[str, str] = {
         SELECT macro_theme AS category,
           CASE sentiment WHEN 'positif' THEN 'positive' ELSE 'negative' END AS polarity,
           pos::INTEGER AS pos, summary AS point FROM placed WHERE pos < 2""",
+    "enriched_results": f"""{_THEMED} SELECT id AS verbatim_id, theme, macro_theme, sentiment, source
+        FROM enriched""",
+    "stored_report": f"""{_THEMED} SELECT macro_theme AS category, total,
+          CASE WHEN macro_theme = 'Hors liste' THEN NULL
+               WHEN total = 0 THEN 'Aucun avis disponible pour cette catégorie.'
+               ELSE macro_theme || ': bilan' END AS global_synthesis,
+          CASE WHEN macro_theme <> 'Hors liste' THEN least(positif, 2)::INTEGER END AS n_positive
+        FROM distribution""",
     "streaming_sentiment": f"""
         WITH s AS (SELECT {_list(SENTIMENTS)}[doc_id % 3 + 1] AS sentiment,
             left(regexp_replace({_strip('text')}, '[ \\t\\n\\r]+', ' ', 'g'), 60) AS summary FROM documents),

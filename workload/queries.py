@@ -13,7 +13,8 @@ from voxlake.operators import (
 from voxlake.operators.inference import answer_with
 from voxlake.operators.positions import land_positions
 from voxlake.plans.analysis import Run, pending_batches, run_analysis
-from voxlake.plans.store import Store, save_results
+from voxlake.plans.quantification import Quantification, quantify_run, synthesize_run
+from voxlake.plans.store import Store, load_report, save_results
 from voxlake.session import new_path, prepare, write_table
 from voxlake.sources import columns, datasets, metadata
 from voxlake.sources.readers import from_dataframe
@@ -542,6 +543,38 @@ def synthesis_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthesis.synthesis_points(done)
 
 
+def _quantified(spark: SparkSession, sf_dir: str) -> tuple[Store, Quantification]:
+    """Stored results, harmonised, counted and stored again."""
+    store = _store(spark)
+    save_results(fx.ideal_analyses(spark, sf_dir), store, "run")
+    answers = answer_with(transports.echo_harmonizer(fx.CATEGORIES))
+    return store, quantify_run(store, "run", answers)
+
+
+@query
+def enriched_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored rows of a quantified run, read back."""
+    store, _ = _quantified(spark, sf_dir)
+    _, enriched = load_report(store, "run")
+    return enriched.select("verbatim_id", "theme", "macro_theme", "sentiment", "source")
+
+
+@query
+def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored report with its syntheses, read back, one row per category."""
+    store, _ = _quantified(spark, sf_dir)
+    answers = answer_with(transports.echo_synthesizer("Hors liste"))
+    synthesize_run(store, "run", answers, LINES_PER_CALL)
+    report, _ = load_report(store, "run")
+    return report.select(
+        "syntheses", F.explode("theme_distribution").alias("category", "counts")
+    ).select(
+        "category", "counts.total",
+        F.col("syntheses")[F.col("category")]["global_synthesis"].alias("global_synthesis"),
+        F.size(F.col("syntheses")[F.col("category")]["positive_points"]).alias("n_positive"),
+    )
+
+
 @query
 def streaming_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as a stream, analysed epoch by epoch."""
