@@ -12,7 +12,8 @@ from voxlake.plans.store import (
     Store, load_report, load_results, read_results, save_errors, save_results,
 )
 from voxlake.schemas import ERROR
-from voxlake.sources.readers import from_dataframe
+from voxlake.sources.columns import label_from_path
+from voxlake.sources.readers import from_dataframe, load_csv
 from workload import transports
 
 from conftest import rows
@@ -198,6 +199,20 @@ def test_runs_and_errors_on_disk(spark, store):
         load_results(store, "missing")
 
 
+def test_from_a_csv_file_to_the_report(spark, store, folder):
+    with open(f"{folder}/shop_reviews.csv", "w", encoding="utf-8") as f:
+        f.write('review_id,Comment,Platform\n' + "".join(
+            f'doc_{i},"comment ""{i}"",\nsecond line",{"web" if i % 2 else ""}\n' for i in range(12)))
+    path = f"{folder}/shop_reviews.csv"
+    landed = load_csv(spark, path, source=label_from_path(path))
+    run_analysis(kept(landed), answer_with(transports.echo_analyst()), store, "r", wait=no_wait)
+    done = quantify_run(store, "r", answer_with(transports.echo_harmonizer(["Produit"])))
+    assert {r["source"] for r in done.enriched.collect()} == {"shop", "web"}
+    first = done.enriched.where("verbatim_id = 'doc_3'").first()
+    assert first["texte_original"] == 'comment "3",\nsecond line' and first["summary"] == 'comment "3", second line'
+    assert done.report.first()["metadata"]["total_verbatims"] == 12
+
+
 def test_quantify_and_synthesise_a_run(spark, store):
     run_analysis(comments(spark), answer_with(transports.echo_analyst()), store, "r", wait=no_wait)
     assert load_report(store, "r") == (None, None)

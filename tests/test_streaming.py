@@ -42,6 +42,19 @@ def test_new_files_only_and_running_counts(spark, store, folder):
     assert store.committed("results", "s") == [f"epoch-{n:09d}" for n in range(3)]
 
 
+def test_csv_stream_with_null_tokens(spark, store, folder):
+    os.mkdir(f"{folder}/in")
+    with open(f"{folder}/in/a.csv", "w") as f:
+        f.write('id,text\ndoc_0,"two\nlines here"\ndoc_1,NA\ndoc_2,third comment\n')
+    rows_ = incremental.read_stream(spark, "csv", "id string, text string", f"{folder}/in")
+    incremental.analyse_stream(
+        rows_, answer_with(transports.echo_analyst()), store, "s", f"{folder}/checkpoint", "text", "id",
+        null_tokens=True,
+    ).awaitTermination()
+    assert rows(load_results(store, "s").select("verbatim_id", "texte_original")) == [
+        ("doc_0", "two\nlines here"), ("doc_2", "third comment")]
+
+
 def test_a_replayed_epoch_replaces_itself(spark, store):
     frame = spark.createDataFrame([(f"doc_{i}", f"comment number {i}") for i in range(6)], "id string, text string")
     echo = answer_with(transports.echo_analyst())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from voxlake.schemas import ID_CANDIDATES, NULL_TOKENS, UPLOAD_TEXT_CANDIDATES
 from voxlake.session import list_names, small_side, write_table
 from voxlake.sources.columns import distinct_headers, find_column
+from voxlake.sources.readers import CSV_OPTIONS
 
 _ROW = "file string, row bigint, id string, text string, source string"
 
@@ -105,7 +106,7 @@ def scan_raw_files(spark: SparkSession, folder: str, multiline: bool = True) ->
         id_ = find_column(names, ID_CANDIDATES, case_sensitive=True)
         source = find_column(names, ["source"], case_sensitive=True)
         rows = spark.read.schema(", ".join(f"c{i} string" for i in range(len(names)))).options(
-            header=True, multiLine=multiline, escape='"', encoding="UTF-8"
+            header=True, multiLine=multiline, **CSV_OPTIONS
         ).csv(files)
 
         def cell(i: int):

@@ -14,7 +14,7 @@ from voxlake.sources.columns import (
     detect_roles, distinct_headers, find_column, require_column,
 )
 
-_CSV = {"escape": '"', "encoding": "UTF-8"}
+CSV_OPTIONS = {"escape": '"', "encoding": "UTF-8"}
 
 
 def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -26,7 +26,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    options = {**_CSV, "multiLine": multiline}
+    options = {**CSV_OPTIONS, "multiLine": multiline}
     first = spark.read.options(header=False, **options).csv(path).limit(1).collect()
     if not first:
         raise ValueError(f"no header in {path}")
@@ -114,13 +114,17 @@ def from_dataframe(
     lang: str = DEFAULT_LANG,
     limit: int | None = None,
     id_prefix: str | None = None,
+    null_tokens: bool = False,
 ) -> DataFrame:
-    """Normalise any DataFrame. Without `id_col` ids are generated; a limit of 0 is none."""
+    """Normalise any DataFrame. Without `id_col` ids are generated; a limit of 0 is none.
+
+    `null_tokens` reads `NA`, `null` and the like as no value, as for CSV.
+    """
     return land_verbatims(
         df,
         require_column(df.columns, text_col),
         None if id_col is None else require_column(df.columns, id_col),
         find_column(df.columns, SOURCE_CANDIDATES),
         find_column(df.columns, LANG_CANDIDATES),
-        source, lang, limit or None, id_prefix=id_prefix,
+        source, lang, limit or None, null_tokens, id_prefix,
     )

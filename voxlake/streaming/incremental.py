@@ -21,7 +21,7 @@ from voxlake.operators.validation import all_errors, check_batches, valid_analys
 from voxlake.plans.store import Store, read_results, save_errors, save_results
 from voxlake.schemas import BATCH_SIZE, DEFAULT_LANG, MAX_RETRIES, SENTIMENTS
 from voxlake.session import path_exists, small_side, write_table
-from voxlake.sources.readers import from_dataframe
+from voxlake.sources.readers import CSV_OPTIONS, from_dataframe
 
 
 def read_stream(
@@ -29,6 +29,8 @@ def read_stream(
     files_per_batch: int | None = None, **options: str,
 ) -> DataFrame:
     """Files of a folder as a stream; each micro-batch takes the new ones."""
+    if fmt == "csv":
+        options = {**CSV_OPTIONS, "header": "true", "multiLine": "true", **options}
     reader = spark.readStream.format(fmt).schema(schema).options(**options)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -51,10 +53,12 @@ def analyse_epoch(
     lang: str = DEFAULT_LANG,
     batch_size: int = BATCH_SIZE,
     max_retries: int = MAX_RETRIES,
+    null_tokens: bool = False,
 ) -> None:
     """Analyse one micro-batch and replace whatever its epoch stored before."""
     verbatims = kept(from_dataframe(
-        frame, text_col, id_col, source, lang, id_prefix=f"{source}_{epoch}"
+        frame, text_col, id_col, source, lang,
+        id_prefix=f"{source}_{epoch}", null_tokens=null_tokens,
     ))
     batches = write_table(group_batches(assign_batches(verbatims, batch_size)), "batches")
     tries, todo = [], None
@@ -92,6 +96,7 @@ def analyse_stream(
     lang: str = DEFAULT_LANG,
     batch_size: int = BATCH_SIZE,
     max_retries: int = MAX_RETRIES,
+    null_tokens: bool = False,
     every: str | None = None,
 ) -> StreamingQuery:
     """Start analysing a stream of comments.
@@ -104,7 +109,7 @@ def analyse_stream(
     def one_epoch(frame: DataFrame, epoch: int) -> None:
         analyse_epoch(
             frame, epoch, answers, store, run_id, text_col, id_col, source, lang,
-            batch_size, max_retries,
+            batch_size, max_retries, null_tokens,
         )
 
     return (

@@ -190,7 +190,7 @@ def _report_lines() -> str:
       UNION ALL SELECT rank, ord + 1, '    - ' || rpad(sentiment, 10, ' ') || ' : '
         || printf('%5.1f', {pct}) || '% (' || printf('%2d', n) || ') '
         || repeat('░', floor({pct} / 10)::BIGINT) FROM cells WHERE n > 0)
-    SELECT row_number() OVER (ORDER BY block, sub) AS line_no, line FROM lines"""
+    SELECT (row_number() OVER (ORDER BY block, sub))::INTEGER AS line_no, line FROM lines"""
 
 
 def _synthetic() -> str:
@@ -244,7 +244,8 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'lang', 'lang', count(lang) FROM documents
         UNION ALL SELECT 'upload_text', 'text', count(text) FROM documents
         UNION ALL SELECT 'upload_id', NULL, 0""",
-    "row_limit": f"{_with(DIRTY)} SELECT id FROM kept WHERE row_idx < {q.ROW_LIMIT}",
+    "row_limit": f"""{_with(DIRTY)} SELECT id FROM kept
+        WHERE row_idx < (SELECT count(*) // 2 FROM documents)""",
     "ingest_counts": f"""{_with(DIRTY)} SELECT (SELECT count(*) FROM dirty) AS rows_read,
         (SELECT count(*) FROM kept) AS rows_kept""",
     "raw_metadata_latest": """

@@ -32,7 +32,6 @@ EXPLORER = {
     "macro_themes": ["Produit", "Service"],
     "sentiments": ["positif", "négatif"],
 }
-ROW_LIMIT = 120
 
 
 def query(fn: Query) -> Query:
@@ -158,9 +157,11 @@ def detect_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of the table, counted before blank rows are dropped."""
     dirty = fx.dirty_documents(spark, sf_dir)
+    half = dirty.count() // 2
     return normalize.kept(
-        from_dataframe(dirty, "text", source="documents", limit=ROW_LIMIT)
+        from_dataframe(dirty, "text", source="documents", limit=half)
     ).select("id")
 
 
