@@ -3,6 +3,7 @@ import os
 
 from voxlake.operators.inference import answer_with
 from voxlake.plans.store import load_results
+from voxlake.session import list_names, shared_dir
 from voxlake.streaming import incremental
 from workload import transports
 
@@ -42,6 +43,15 @@ def test_new_files_only_and_running_counts(spark, store, folder):
     assert store.committed("results", "s") == [f"epoch-{n:09d}" for n in range(3)]
 
 
+def test_an_epoch_leaves_no_scratch_tables(spark, store, folder):
+    os.mkdir(f"{folder}/in")
+    write(f"{folder}/in", "a.json", range(5))
+    before = set(list_names(spark, shared_dir(spark)))
+    run(spark, store, folder, answer_with(transports.echo_analyst()))
+    assert set(list_names(spark, shared_dir(spark))) == before
+    assert load_results(store, "s").count() == 5
+
+
 def test_csv_stream_with_null_tokens(spark, store, folder):
     os.mkdir(f"{folder}/in")
     with open(f"{folder}/in/a.csv", "w") as f:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,10 +40,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the unnamed tables written inside once the block is left.
+
+    For steps whose outcome is stored elsewhere by then, such as one epoch of a
+    stream that runs for months.
+    """
+    paths: list[str] = []
+    token = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in paths:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def write_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write `df` once and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = path or new_path(spark, name)
+    if path is None:
+        path = new_path(spark, name)
+        if (mine := _scratch.get()) is not None:
+            mine.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -20,7 +20,7 @@ from voxlake.operators.responses import OK, UNEXPECTED, failed_batches, parse_an
 from voxlake.operators.validation import all_errors, check_batches, valid_analyses
 from voxlake.plans.store import Store, read_results, save_errors, save_results
 from voxlake.schemas import BATCH_SIZE, DEFAULT_LANG, MAX_RETRIES, SENTIMENTS
-from voxlake.session import path_exists, small_side, write_table
+from voxlake.session import path_exists, scratch, small_side, write_table
 from voxlake.sources.readers import CSV_OPTIONS, from_dataframe
 
 
@@ -107,10 +107,11 @@ def analyse_stream(
     """
 
     def one_epoch(frame: DataFrame, epoch: int) -> None:
-        analyse_epoch(
-            frame, epoch, answers, store, run_id, text_col, id_col, source, lang,
-            batch_size, max_retries, null_tokens,
-        )
+        with scratch(frame.sparkSession):
+            analyse_epoch(
+                frame, epoch, answers, store, run_id, text_col, id_col, source, lang,
+                batch_size, max_retries, null_tokens,
+            )
 
     return (
         rows.writeStream.foreachBatch(one_epoch)
