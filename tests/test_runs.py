@@ -7,6 +7,7 @@ from voxlake.operators.inference import answer_with
 from voxlake.operators.normalize import kept
 from voxlake.plans import analysis
 from voxlake.plans.analysis import checkpoint, pending_batches, run_analysis, run_errors
+from voxlake.plans.dashboard import dashboard_rows
 from voxlake.plans.quantification import quantify_run, synthesize_run
 from voxlake.plans.store import (
     Store, load_report, load_results, read_results, save_errors, save_results,
@@ -73,7 +74,8 @@ def test_resume_replays_failed_batches_only(spark, store):
     bad = recording(transports.echo_analyst(), [(1, "always")])
     one = run_analysis(verbatims, bad, store, "r", max_retries=0, wait=no_wait)
     assert [r[0] for r in pending_batches(store, "r").collect()] == [1]
-    assert tuple(checkpoint(store, "r").first()) == ("r", 2, 3)
+    done = checkpoint(store, "r").first()
+    assert tuple(done)[:3] == ("r", 2, 3) and done["last_update"] is not None
     good = recording(transports.echo_analyst())
     two = run_analysis(verbatims, good, store, "r", wait=no_wait)
     assert good.calls == [(0, [1])]
@@ -131,8 +133,15 @@ def test_a_crash_between_rounds_keeps_the_answers(spark, store):
 
 
 def test_parts_are_committed_one_by_one(spark, store):
-    answers = recording(transports.echo_analyst())
-    run = run_analysis(comments(spark, 45), answers, store, "r", batches_per_commit=2, wait=no_wait)
+    answers, heard = recording(transports.echo_analyst()), []
+
+    def listener(*counts):
+        heard.append(counts)
+        raise RuntimeError("listeners may fail")
+
+    run = run_analysis(
+        comments(spark, 45), answers, store, "r", batches_per_commit=2, wait=no_wait, on_progress=listener)
+    assert heard == [(2, 5, 20, 0), (4, 5, 40, 0), (5, 5, 45, 0)]
     assert answers.calls == [(0, [0, 1]), (0, [2, 3]), (0, [4])]
     assert run.parts == ("000000", "000001", "000002")
     assert ids(run.valid) == list(range(45)) == ids(load_results(store, "r"))
@@ -187,6 +196,19 @@ def test_stored_lines_are_checked(spark, store, folder):
             read(json.dumps(good), bad)
 
 
+def test_dashboard_rows(spark, store, folder):
+    with open(f"{folder}/old_raw.csv", "w") as f:
+        f.write("id,text,source\na,raw a,web\n")
+    cells = [("a", "t", "s", "neutre"), ("b", "t", "s", "neutre")]
+    save_results(spark.createDataFrame(cells, "verbatim_id string, theme string, summary string, sentiment string"), store, "r")
+    assert rows(dashboard_rows(store, "r", folder)) == [
+        ("a", "web", "raw a", None, "t", "s", "neutre"),
+        ("b", "inconnue", "(Texte original introuvable)", None, "t", "s", "neutre"),
+    ]
+    quantify_run(store, "r", answer_with(lambda prompt: '{"categories": ["M"], "mapping": {"t": "M"}}'))
+    assert [r["macro_theme"] for r in dashboard_rows(store, "r").collect()] == ["M", "M"]
+
+
 def test_runs_and_errors_on_disk(spark, store):
     results = spark.createDataFrame([("a", "t", "s", "neutre", None)], "verbatim_id string, theme string, summary string, sentiment string, source string")
     for run_id in ("20240101_000000", "20250101_000000"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -25,6 +26,9 @@ from voxlake.plans.store import (
 from voxlake.schemas import BATCH_SIZE, ERROR, MAX_RETRIES
 from voxlake.session import path_exists, small_side, write_table
 
+# (batches handled by this call, all batches, valid rows, errors)
+Progress = Callable[[int, int, int, int], None]
+
 BUCKET_BYTES = 256 * 1024 * 1024
 MAX_BUCKETS = 100_000  # Spark's own default limit for a bucketed table
 
@@ -72,6 +76,7 @@ class Run:
 
 _TALLY = "batch_idx bigint, completed boolean, n_valid bigint, n_errors bigint"
 _RESPONSE = "batch_idx bigint, attempt int, raw string, error string"
+_CHECKPOINT = "batch_idx bigint, committed_at timestamp"
 _META = "run_id string, batch_size int, rows bigint, digest bigint, total_batches bigint, buckets int"
 
 
@@ -169,9 +174,9 @@ def _open_run(
 def _completed(store: Store, run_id: str) -> DataFrame:
     spark, base = store.spark, store.path("checkpoint", run_id)
     if not path_exists(spark, base):
-        return spark.createDataFrame([], "batch_idx bigint")
+        return spark.createDataFrame([], _CHECKPOINT)
     # A part that was not written to the end has no visible files yet.
-    return spark.read.schema("batch_idx bigint").option("recursiveFileLookup", True).parquet(base)
+    return spark.read.schema(_CHECKPOINT).option("recursiveFileLookup", True).parquet(base)
 
 
 def pending_batches(store: Store, run_id: str) -> DataFrame:
@@ -182,12 +187,13 @@ def pending_batches(store: Store, run_id: str) -> DataFrame:
 
 
 def checkpoint(store: Store, run_id: str) -> DataFrame:
-    """Number of completed batches and total, in one row."""
+    """Completed batches, all batches and the time of the last commit, in one row."""
     meta = store.spark.read.schema(_META).json(store.path("meta", run_id) + "/run").first()
     return _completed(store, run_id).agg(
         F.lit(run_id).alias("run_id"),
         F.count(F.lit(1)).alias("completed_batches"),
         F.lit(meta["total_batches"]).cast("bigint").alias("total_batches"),
+        F.max("committed_at").alias("last_update"),
     )
 
 
@@ -234,6 +240,7 @@ def run_analysis(
     batches_per_commit: int | None = None,
     buckets: int | None = None,
     wait: Callable[[float], None] = time.sleep,
+    on_progress: Progress | None = None,
 ) -> Run:
     """Analyse verbatims with the model behind `answers` and store the outcome.
 
@@ -243,6 +250,7 @@ def run_analysis(
     same name, so nothing is stored twice, and answers it had already paid for
     are used again. Batches without a readable answer stay out of the
     checkpoint and are replayed by the next call with the same `run_id`.
+    `on_progress` hears of every commit; the frame `Run.progress` has it by batch.
     """
     spark = store.spark
     run_id = run_id or new_run_id(spark)
@@ -259,12 +267,23 @@ def run_analysis(
     waves = [r["wave"] for r in unfinished.select("wave").distinct().orderBy("wave").collect()]
 
     parts: list[str] = []
+    handled = valid = errors = 0
     for wave in waves:
         part = f"{len(done_parts) + len(parts):06d}"
         mine = unfinished.where(F.col("wave") == wave).select("batch_idx")
         reach = (F.col("batch_idx") >= wave * width) & (F.col("batch_idx") < (wave + 1) * width)
         _run_part(batches, reach, mine, answers, store, run_id, part, max_retries, wait)
         parts.append(part)
+        if on_progress is not None:
+            sums = Run(store, run_id, total, (part,)).summary.first()
+            handled, valid, errors = (
+                before + sums[c] for before, c in
+                zip((handled, valid, errors), ("total", "valid", "errors"))
+            )
+            try:
+                on_progress(handled, total, valid, errors)
+            except Exception:  # noqa: BLE001 - a failing listener does not stop the run
+                logging.getLogger(__name__).exception("on_progress failed")
     return Run(store, run_id, total, tuple(parts))
 
 
@@ -305,7 +324,8 @@ def _run_part(
         any_errors=tallies.where(F.col("n_errors") > 0).limit(1).count() > 0,
     )
     write_table(
-        checked.select("batch_idx"), "checkpoint", f"{store.path('checkpoint', run_id)}/{part}"
+        checked.select("batch_idx", F.current_timestamp().alias("committed_at")), "checkpoint",
+        f"{store.path('checkpoint', run_id)}/{part}",
     )
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import csv
+import logging
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from voxlake.schemas import ID_CANDIDATES, NULL_TOKENS, UPLOAD_TEXT_CANDIDATES
@@ -14,37 +17,32 @@ from voxlake.sources.readers import CSV_OPTIONS
 _ROW = "file string, row bigint, id string, text string, source string"
 
 
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """First line of a file on any file system Spark knows; None when unreadable."""
+    java = spark._jvm.java.io
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        stream = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(jpath)
+        reader = java.BufferedReader(java.InputStreamReader(stream, "UTF-8"))
+        try:
+            return reader.readLine()
+        finally:
+            reader.close()
+    except Py4JJavaError:
+        logging.getLogger(__name__).warning("cannot read %s, file is left out", path)
+        return None
+
+
 def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by their header line; files that cannot be read are left out.
+    """Files grouped by their header; empty and unreadable files are left out.
 
-    Tasks open the files and read one line each.
+    One short read per file, like the listing itself.
     """
-
-    def first_lines(frames):
-        import io
-
-        import pyarrow.fs as fs
-
-        for frame in frames:
-            lines = []
-            for path in frame["path"]:
-                try:
-                    if "://" in path or path.startswith("file:"):
-                        system, name = fs.FileSystem.from_uri(path)
-                    else:
-                        system, name = fs.LocalFileSystem(), path
-                    with system.open_input_stream(name) as raw:
-                        lines.append(io.TextIOWrapper(raw, encoding="utf-8-sig").readline())
-                except (OSError, UnicodeDecodeError, ValueError):
-                    lines.append(None)
-            frame["line"] = lines
-            yield frame
-
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    found = listed.mapInPandas(first_lines, "path string, line string")
+    with ThreadPoolExecutor(16) as pool:
+        lines = list(pool.map(lambda path: _first_line(spark, path), paths))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path, line in found.toLocalIterator():
-        cells = next(csv.reader([line.rstrip("\r\n")]), []) if line else []
+    for path, line in zip(paths, lines):
+        cells = next(csv.reader([line.lstrip("\ufeff")]), []) if line else []
         if cells:
             groups.setdefault(tuple(cells), []).append(path)
     return groups
