@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxlake.functions.numbers import int_div
 from voxlake.functions.strict_json import as_list, as_string, is_string, with_strict_json
-from voxlake.operators.inference import Answers
+from voxlake.operators.inference import Answers, spread
 from voxlake.operators.lookup import lookup
 from voxlake.operators.positions import land_positions
 from voxlake.schemas import FALLBACK_CATEGORY, MAX_CATEGORIES, RAW_EXCERPT
@@ -108,7 +108,8 @@ def _ask(
     for the themes it was asked about.
     """
     chunks = theme_chunks(themes, per_call)
-    raw = write_table(answers(harmonization_prompts(chunks, max_categories), 0), "harmonization")
+    prompts = spread(harmonization_prompts(chunks, max_categories), "chunk")
+    raw = write_table(answers(prompts, 0), "harmonization")
     parsed = write_table(parse_mappings(raw), "mappings")
     bad = parsed.where(F.col("problem").isNotNull()).select("problem").first()
     if bad is not None:

@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame, types as T
 Answers = Callable[[DataFrame, int], DataFrame]
 
 
+def spread(prompts: DataFrame, *keys: str) -> DataFrame:
+    """One task per core for a modest number of prompts.
+
+    Adaptive execution would merge them by size into a few tasks, which then
+    make their slow calls one after another. A fixed number is left alone.
+    """
+    return prompts.repartition(prompts.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def answer_with(
     transport: Callable[[str], str | None], concurrency: int | None = None, threads: int = 1
 ) -> Answers:

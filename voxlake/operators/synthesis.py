@@ -14,7 +14,7 @@ from voxlake.functions.numbers import int_div
 from voxlake.functions.strict_json import (
     as_list, as_string, field, is_string, with_strict_json,
 )
-from voxlake.operators.inference import Answers
+from voxlake.operators.inference import Answers, spread
 from voxlake.operators.positions import running_totals
 from voxlake.operators.quantify import one_row
 from voxlake.schemas import EMPTY_SYNTHESIS, RAW_EXCERPT
@@ -151,7 +151,8 @@ def synthesize(
         F.array().cast("array<string>").alias("negative_points"),
         F.lit(EMPTY_SYNTHESIS).alias("global_synthesis"),
     )
-    raw = write_table(answers(synthesis_prompts(chunks), 0), "synthesis")
+    prompts = spread(synthesis_prompts(chunks), "category", "chunk")
+    raw = write_table(answers(prompts, 0), "synthesis")
     parts = write_table(parse_syntheses(raw), "syntheses")
     failures = parts.where(F.col("problem").isNotNull()).select("category", "problem")
     # Each round divides the number of parts of a category by parts_per_merge.
@@ -160,8 +161,9 @@ def synthesize(
         several = good.where(F.col("chunk") > 0).select("category").distinct()
         merged_in = good.join(several, "category", "left_semi")
         single = good.join(several, "category", "left_anti")
-        todo = synthesis_prompts(_partial_lines(merged_in, parts_per_merge), MERGE_PROMPT)
-        raw = write_table(answers(todo, 0), "synthesis")
+        lines = _partial_lines(merged_in, parts_per_merge)
+        prompts = spread(synthesis_prompts(lines, MERGE_PROMPT), "category", "chunk")
+        raw = write_table(answers(prompts, 0), "synthesis")
         parts = write_table(parse_syntheses(raw).unionByName(single), "syntheses")
         failures = failures.unionByName(
             parts.where(F.col("problem").isNotNull()).select("category", "problem")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from voxlake.operators.batching import assign_batches, build_prompts, group_batches
-from voxlake.operators.inference import Answers
+from voxlake.operators.inference import Answers, spread
 from voxlake.operators.normalize import kept
 from voxlake.operators.quantify import global_sentiment
 from voxlake.operators.responses import OK, UNEXPECTED, failed_batches, parse_answers
@@ -60,7 +60,8 @@ def analyse_epoch(
         frame, text_col, id_col, source, lang,
         id_prefix=f"{source}_{epoch}", null_tokens=null_tokens,
     ))
-    batches = write_table(group_batches(assign_batches(verbatims, batch_size)), "batches")
+    batched = spread(assign_batches(verbatims, batch_size), "batch_idx")
+    batches = write_table(group_batches(batched), "batches")
     tries, todo = [], None
     for attempt in range(max_retries + 1):
         asked = batches if todo is None else batches.join(
