@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake.operators import dashboard
+from voxlake.operators import dashboard, quantify
 from voxlake.operators.batching import assign_batches, group_batches
 from voxlake.operators.lookup import lookup
 from voxlake.operators.responses import first_accepted, parse_answers
@@ -78,6 +78,11 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<source:string>" in plan
 
 
+def test_theme_counts_are_hashed_not_sorted(spark):
+    plan = physical(quantify.theme_tallies(fx.ideal_analyses(spark, SF)))
+    assert "SortAggregate" not in plan and "partial_count" in plan
+
+
 def test_small_tables_are_broadcast_and_large_ones_spread(spark):
     facts = spark.range(1000).selectExpr("id", "id % 3 as k")
     table = write_table(spark.range(3).selectExpr("id as k", "id as v"), "table")

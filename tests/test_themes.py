@@ -140,13 +140,16 @@ def test_mapping_is_applied_with_autre_for_the_rest(spark):
 
 def test_lookup_spreads_hot_keys_without_changing_rows(spark):
     facts = spark.range(0, 400, 1, 4).selectExpr(
-        "id", "case when id % 3 = 0 then 'hot' else concat('k', id % 50) end as k"
+        "id", "case when id % 3 = 0 then 'hot' when id % 7 <> 0 then concat('k', id % 50) end as k"
     )
     table = write_table(spark.createDataFrame(
         [("hot", 1)] + [(f"k{i}", i) for i in range(0, 50, 2)], "k string, v int"), "t")
     plain = facts.join(table, "k", "left").select("id", "k", "v")
     spread = lookup(facts, table, "k", hot_rows=20, salts=5, broadcast_rows=0)
     assert rows(spread.select("id", "k", "v")) == rows(plain)
+    copies = spark.range(0, 300, 1, 4).selectExpr("'hot' as k")
+    spread = lookup(copies, table, "k", hot_rows=20, salts=5, broadcast_rows=0)
+    assert rows(spread.groupBy("k", "v").count()) == [("hot", 1, 300)]
     assert rows(lookup(facts, table, "k").select("id", "k", "v")) == rows(plain)
 
 
@@ -170,7 +173,7 @@ def test_counts_and_ranking(spark):
     assert [r["pct"] for r in global_shares(global_sentiment(analyses)).orderBy("n").collect()] == [20.0, 40.0, 40.0]
     assert ("A", "négatif", 1, 50.0) in rows(sentiment_shares(d))
     assert ("Empty", 0, 0.0) in rows(category_shares(d))
-    assert theme_tallies(analyses).where("theme = 't1'").first()["first_row"]["pos"] == 2
+    assert theme_tallies(analyses).where("theme = 't1'").first()["first_row"] == 2
 
 
 def test_report_lines_match_the_printed_form(spark):

@@ -23,7 +23,9 @@ def lookup(
     A table measured as small is broadcast. Beyond that both sides are shuffled,
     and each key with more than `hot_rows` facts is spread over `salts`
     partitions, its single table row repeated for each. Every row is kept.
-    `facts` is read twice then (once for its keys only).
+    `facts` is read twice then (once for its keys only) and should be a scan:
+    its rows are dealt out in scan order, so that even exact copies of one row
+    are spread, and a repeated task deals them out the same way.
     """
     if is_small(table, broadcast_rows):
         return facts.join(F.broadcast(table), key, "left")
@@ -33,13 +35,12 @@ def lookup(
         "hot-keys",
     )
     hot = small_side(hot)
-    # The whole row decides the salt, so a retried task repeats it.
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
-    salted = facts.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
+    dealt = facts.withColumn("_dealt", (F.monotonically_increasing_id() % salts).cast("int"))
+    salted = dealt.join(hot, key, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), F.col("_dealt")).otherwise(F.lit(0))
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))
     )
     repeated = table.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted.join(repeated, [key, "_salt"], "left").drop("_hot", "_salt")
+    return salted.join(repeated, [key, "_salt"], "left").drop("_hot", "_salt", "_dealt")

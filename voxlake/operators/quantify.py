@@ -15,6 +15,10 @@ from voxlake.session import write_table
 COUNT_COLUMNS = dict(zip(SENTIMENTS, ["positif", "negatif", "neutre"]))
 
 
+# More items than any answer holds.
+POSITIONS_PER_BATCH = 1 << 20
+
+
 def _counts() -> list[Column]:
     return [F.count(F.lit(1)).alias("total")] + [
         F.count_if(F.col("sentiment") == s).alias(c) for s, c in COUNT_COLUMNS.items()
@@ -40,9 +44,9 @@ def global_sentiment(analyses: DataFrame) -> DataFrame:
 
 def theme_tallies(analyses: DataFrame) -> DataFrame:
     """Counts per theme and where it first occurs: all a report needs of the rows."""
-    return analyses.groupBy("theme").agg(
-        *_counts(), F.min(F.struct("batch_idx", "pos")).alias("first_row")
-    )
+    # One number for the place keeps this a hash aggregation; a struct would sort all rows.
+    place = F.col("batch_idx") * POSITIONS_PER_BATCH + F.col("pos")
+    return analyses.groupBy("theme").agg(*_counts(), F.min(place).alias("first_row"))
 
 
 def macro_tallies(tallies: DataFrame, mapping: DataFrame) -> DataFrame:

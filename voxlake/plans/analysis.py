@@ -108,7 +108,8 @@ class _Batches:
     def __init__(self, store: Store, run_id: str) -> None:
         self.store, self.run_id = store, run_id
         self.path = store.path("batches", run_id)
-        self.name = "voxlake_batches_" + hashlib.md5(self.path.encode()).hexdigest()[:16]
+        digest = hashlib.md5(self.path.encode()).hexdigest()[:16]
+        self.name = f"spark_catalog.default.voxlake_batches_{digest}"
 
     def write(self, batched: DataFrame, buckets: int) -> None:
         spread = batched.repartition(buckets, "batch_idx")
