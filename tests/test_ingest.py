@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from voxlake.operators import positions
 from voxlake.operators.batching import assign_batches, batch_lines, build_prompts, group_batches
 from voxlake.operators.normalize import ingest_counts, kept, value_counts
 from voxlake.operators.positions import land_positions, running_totals
@@ -108,8 +109,10 @@ def test_positions_do_not_depend_on_partitions(spark, partitions):
     assert tuple(ingest_counts(landed).first()) == (100, len(want))
 
 
+@pytest.mark.parametrize("short", [-1, 1000])
 @pytest.mark.parametrize("limit", [0, 1, 30, 31, 99, 1000])
-def test_limit_across_partitions(spark, limit):
+def test_limit_across_partitions(spark, monkeypatch, limit, short):
+    monkeypatch.setattr(positions, "_SHORT", short)
     df = spark.range(0, 100, 1, 7).select(F.col("id").cast("string").alias("t"))
     got = sorted(int(r["t"]) for r in land_positions(df, limit=limit).where(F.col("row_idx") < limit).collect())
     assert got == list(range(min(limit, 100)))

@@ -9,6 +9,7 @@ from voxlake.session import small_side, write_table
 
 _SPLIT_BITS = 33  # monotonically_increasing_id: split number above, row in split below
 _ROW_MASK = (1 << _SPLIT_BITS) - 1
+_SHORT = 1_000  # rows of a trial run
 
 
 def land_positions(
@@ -26,10 +27,13 @@ def land_positions(
     only thing left is one running total over the splits.
 
     `limit` is an upper bound on the wanted `row_idx`: a split never needs more
-    than its first `limit` rows for that.
+    than its first `limit` rows for that. A trial run takes its few rows from
+    the first splits and leaves the others unread.
     """
+    if limit is not None and limit <= _SHORT:
+        df = df.sparkSession.createDataFrame(df.head(limit) if limit else [], df.schema)
     tagged = df.withColumn("_row", F.monotonically_increasing_id())
-    if limit is not None:
+    if limit is not None and limit > _SHORT:
         tagged = tagged.where(F.col("_row").bitwiseAND(F.lit(_ROW_MASK)) < limit)
     if keep is not None:
         tagged = (

@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxlake.functions.text import bar, one_decimal, pad_left, pad_right, percent
+from voxlake.functions.text import bar, fill, one_decimal, pad_left, pad_right, percent
 from voxlake.operators.lookup import lookup
-from voxlake.schemas import FALLBACK_CATEGORY, SENTIMENTS
+from voxlake.schemas import (
+    FALLBACK_CATEGORY, REPORT_CATEGORY, REPORT_OVERALL, REPORT_SHARE, REPORT_TOTAL, SENTIMENTS,
+)
 from voxlake.session import write_table
 
 # ASCII column names for the closed set of sentiments.
@@ -156,20 +158,17 @@ def report_lines(distribution: DataFrame) -> DataFrame:
     )
     kind, label, n, shown = (F.col(c) for c in ("kind", "label", "n", "shown"))
 
-    def share(indent: str, width: int, marks: Column) -> Column:
-        return F.concat(
-            F.lit(indent), pad_right(label, 10), F.lit(" : "), shown, F.lit("% ("),
-            pad_left(n.cast("string"), width), F.lit(") "), marks,
-        )
+    def counted(width: int) -> Column:
+        return pad_left(n.cast("string"), width)
 
+    name = pad_right(label, 10)
     line = (
-        F.when(kind == "total", F.concat(F.lit("Total verbatims analysés : "), n.cast("string")))
-        .when(kind == "overall", share("  ", 3, F.concat(F.lit(" "), bar(F.col("pct"), 5, "█"))))
-        .when(kind == "title", F.concat(
-            pad_right(label, 30), F.lit(" | Total: "), pad_left(n.cast("string"), 3),
-            F.lit(" ("), shown, F.lit("%)"),
-        ))
-        .when(kind == "share", share("    - ", 2, bar(F.col("pct"), 10, "░")))
+        F.when(kind == "total", fill(REPORT_TOTAL, n))
+        .when(kind == "overall", fill(
+            REPORT_OVERALL, name, shown, counted(3), bar(F.col("pct"), 5, "█")))
+        .when(kind == "title", fill(REPORT_CATEGORY, pad_right(label, 30), counted(3), shown))
+        .when(kind == "share", fill(
+            REPORT_SHARE, name, shown, counted(2), bar(F.col("pct"), 10, "░")))
     )
     return cells.select(
         F.row_number().over(Window.orderBy("block", "sub")).alias("line_no"), line.alias("line")

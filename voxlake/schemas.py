@@ -62,6 +62,12 @@ INVALID_JSON = "JSON invalide: {}"
 INVALID_SCHEMA = "Validation du schéma: réponse non conforme"
 RAW_EXCERPT = 200
 
+# Lines of the text report, padded by the caller.
+REPORT_TOTAL = "Total verbatims analysés : {}"
+REPORT_OVERALL = "  {} : {}% ({})  {}"
+REPORT_CATEGORY = "{} | Total: {} ({}%)"
+REPORT_SHARE = "    - {} : {}% ({}) {}"
+
 # --- frames --------------------------------------------------------------------
 
 VERBATIM = T.StructType([
