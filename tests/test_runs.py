@@ -116,6 +116,17 @@ def test_a_crash_before_the_checkpoint_stores_nothing_twice(spark, store, monkey
     assert ids(run.valid) == list(range(25)) and ids(load_results(store, "r")) == list(range(25))
 
 
+@pytest.mark.parametrize("forgotten", [False, True])
+def test_a_crash_while_opening_the_run(spark, store, forgotten):
+    verbatims = comments(spark)
+    table = analysis._Batches(store, "r")
+    table.write(analysis.assign_batches(verbatims, 7), 2)  # written, but the run was not opened
+    if forgotten:
+        spark.sql(f"DROP TABLE {table.name}")  # a new session does not know the table
+    run = run_analysis(verbatims, answer_with(transports.echo_analyst()), store, "r", wait=no_wait)
+    assert run.total_batches == 3 and ids(run.valid) == list(range(25))
+
+
 def test_a_crash_between_rounds_keeps_the_answers(spark, store):
     verbatims = comments(spark)
     good = recording(transports.echo_analyst(), [(2, 0)])

@@ -125,11 +125,12 @@ class _Batches:
     def read(self, buckets: int) -> DataFrame:
         spark = self.store.spark
         if not spark.catalog.tableExists(self.name):
+            escaped = self.path.replace("\\", "\\\\").replace("'", "\\'")
             spark.sql(
                 f"CREATE TABLE {self.name} (batch_idx BIGINT, items ARRAY<STRUCT<pos: INT, "
                 "id: STRING, text: STRING, source: STRING, lang: STRING>>, digest BIGINT) "
                 f"USING parquet CLUSTERED BY (batch_idx) SORTED BY (batch_idx) INTO {buckets} BUCKETS "
-                f"LOCATION '{self.path}'"
+                f"LOCATION '{escaped}'"
             )
         return spark.table(self.name)
 
