@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from voxlake.operators.dashboard import kpis
 from voxlake.operators.inference import answer_with
 from voxlake.operators.normalize import kept
 from voxlake.plans import analysis
@@ -10,7 +11,7 @@ from voxlake.plans.analysis import checkpoint, pending_batches, run_analysis, ru
 from voxlake.plans.dashboard import dashboard_rows
 from voxlake.plans.quantification import quantify_run, synthesize_run
 from voxlake.plans.store import (
-    Store, load_report, load_results, read_results, save_errors, save_results,
+    Store, load_report, load_results, read_json_results, save_errors, save_results,
 )
 from voxlake.schemas import ERROR
 from voxlake.sources.columns import label_from_path
@@ -199,12 +200,12 @@ def test_stored_lines_are_checked(spark, store, folder):
         path = f"{folder}/lines-{len(lines)}-{abs(hash(lines))}.jsonl"
         with open(path, "w") as f:
             f.write("\n".join(lines))
-        return read_results(spark, path).collect()
+        return read_json_results(spark, path)
 
-    assert len(read(json.dumps(good), "", json.dumps({**good, "more": 1}))) == 2
+    assert read(json.dumps(good), "", json.dumps({**good, "more": 1})).count() == 2
     for bad in ["{oops", json.dumps({**good, "sentiment": "mixte"}), json.dumps({"theme": "t"})]:
         with pytest.raises(Exception):
-            read(json.dumps(good), bad)
+            read(json.dumps(good), bad).select("theme").collect()
 
 
 def test_dashboard_rows(spark, store, folder):
@@ -263,6 +264,19 @@ def test_quantify_and_synthesise_a_run(spark, store):
     assert enriched.count() == 25
 
 
+def test_results_kept_in_columns(spark, folder):
+    store = Store(spark, folder, results_format="parquet")
+    run = run_analysis(comments(spark), answer_with(transports.echo_analyst()), store, "r", wait=no_wait)
+    assert ids(run.valid) == list(range(25)) == ids(load_results(store, "r"))
+    done = quantify_run(store, "r", answer_with(transports.echo_harmonizer(["Produit"])))
+    assert done.enriched.where("macro_theme is null").count() == 0
+    assert [r[0] for r in store.runs().collect()] == ["r"]
+    plan = kpis(done.enriched)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<sentiment:string>" in plan
+    with pytest.raises(ValueError):
+        Store(spark, folder, results_format="xml")
+
+
 def test_themes_that_differ_by_case_keep_their_entries(spark, store):
     cells = [("a", "Prix", "s", "neutre", 0, 0), ("b", "prix", "s", "positif", 0, 1)]
     save_results(spark.createDataFrame(cells, (

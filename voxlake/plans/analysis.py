@@ -21,7 +21,7 @@ from voxlake.operators.validation import (
     valid_analyses,
 )
 from voxlake.plans.store import (
-    STORED, Store, load_errors, new_run_id, read_results, save_errors, save_results,
+    STORED, Store, load_errors, new_run_id, save_errors, save_results,
 )
 from voxlake.schemas import BATCH_SIZE, ERROR, MAX_RETRIES
 from voxlake.session import path_exists, small_side, write_table
@@ -47,8 +47,10 @@ class Run:
 
     @property
     def valid(self) -> DataFrame:
-        spark, paths = self.store.spark, self._paths("results")
-        return read_results(spark, paths) if paths else spark.createDataFrame([], STORED)
+        paths = self._paths("results")
+        if not paths:
+            return self.store.spark.createDataFrame([], STORED)
+        return self.store.read_rows(paths)
 
     @property
     def errors(self) -> DataFrame:

@@ -16,7 +16,7 @@ from voxlake.operators.quantify import (
 from voxlake.operators.synthesis import (
     LINES_PER_CALL, attach_syntheses, synthesize,
 )
-from voxlake.plans.store import Store, load_report, load_results, read_results, save_json
+from voxlake.plans.store import Store, load_report, load_results, save_json
 from voxlake.schemas import MAX_CATEGORIES
 from voxlake.session import write_table
 
@@ -59,14 +59,14 @@ def quantify_run(
     distribution = write_table(
         theme_distribution(macro_tallies(tallies, mapping), categories), "distribution"
     )
-    enriched_path = save_json(
+    enriched_path = store.save_rows(
         apply_mapping(analyses, mapping), store.path("enriched_results", run_id)
     )
     report = report_document(distribution, mapping, store.path("results", run_id))
     save_json(report.coalesce(1), store.path("quantification_report", run_id))
     return Quantification(
         Harmonization(categories, mapping), distribution,
-        load_report(store, run_id)[0], read_results(store.spark, enriched_path),
+        load_report(store, run_id)[0], store.read_rows(enriched_path),
     )
 
 
@@ -81,7 +81,7 @@ def synthesize_run(
     Returns (syntheses, failures).
     """
     enriched = write_table(
-        read_results(store.spark, store.path("enriched_results", run_id))
+        store.read_rows(store.path("enriched_results", run_id))
         .select("macro_theme", "batch_idx", "pos", "sentiment", "summary"),
         "enriched",
     )

@@ -23,10 +23,33 @@ def new_run_id(spark: SparkSession) -> str:
 
 @dataclass(frozen=True)
 class Store:
-    """A folder that all executors see, laid out by kind and run."""
+    """A folder that all executors see, laid out by kind and run.
+
+    `results_format="parquet"` keeps results and enriched rows in columns, so
+    that counting sentiments does not read texts; the default is JSON Lines.
+    """
 
     spark: SparkSession
     root: str
+    results_format: str = "json"
+
+    def __post_init__(self) -> None:
+        if self.results_format not in ("json", "parquet"):
+            raise ValueError(f"unknown results format {self.results_format!r}")
+
+    def save_rows(self, rows: DataFrame, path: str) -> str:
+        """Write results or enriched rows, replacing what is there."""
+        if self.results_format == "json":
+            return save_json(rows, path)
+        rows.write.mode("overwrite").parquet(path)
+        return path
+
+    def read_rows(self, path: str | list[str]) -> DataFrame:
+        """Read rows back. Parquet holds only checked rows and is read by column."""
+        if self.results_format == "json":
+            return read_json_results(self.spark, path)
+        paths = [path] if isinstance(path, str) else path
+        return self.spark.read.schema(STORED).option("recursiveFileLookup", True).parquet(*paths)
 
     def path(self, kind: str, run_id: str) -> str:
         return f"{self.root.rstrip('/')}/{kind}_{run_id}"
@@ -56,7 +79,7 @@ def save_json(df: DataFrame, path: str) -> str:
 
 def save_results(analyses: DataFrame, store: Store, run_id: str, part: str = "all") -> str:
     """Write results of a run, or of one part of it; writing again replaces them."""
-    return save_json(analyses, f"{store.path('results', run_id)}/{part}")
+    return store.save_rows(analyses, f"{store.path('results', run_id)}/{part}")
 
 
 def save_errors(
@@ -74,19 +97,22 @@ def save_errors(
     return save_json(errors, path)
 
 
-def read_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Read stored results; a line that is no JSON or breaks the contract fails the job."""
+def read_json_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Read results from JSON Lines of any origin.
+
+    Blank lines are skipped; a line that is no JSON or breaks the contract fails
+    the job, whichever columns are used.
+    """
     rows = (
         spark.read.schema(STORED).options(mode="FAILFAST", recursiveFileLookup=True).json(path)
     )
-    sound = F.lit(True)
+    sound = F.col("sentiment").isin(SENTIMENTS) & (F.length("summary") <= SUMMARY_MAX)
     for name in REQUIRED_FIELDS:
         sound = sound & F.col(name).isNotNull()
-    sound = sound & F.col("sentiment").isin(SENTIMENTS) & (F.length("summary") <= SUMMARY_MAX)
-    bad = F.raise_error(F.concat(F.lit("invalid stored result: "), F.coalesce("verbatim_id", F.lit("?"))))
-    # The check rides on a column every reader needs, so it is never pruned away.
-    return rows.withColumn(
-        "verbatim_id", F.when(F.coalesce(sound, F.lit(False)), F.col("verbatim_id")).otherwise(bad)
+    message = F.concat(F.lit("invalid stored result: "), F.coalesce("verbatim_id", F.lit("?")))
+    return rows.where(
+        F.when(F.coalesce(sound, F.lit(False)), F.lit(True))
+        .otherwise(F.raise_error(message).cast("boolean"))
     )
 
 
@@ -95,7 +121,7 @@ def load_results(store: Store, run_id: str) -> DataFrame:
     base = store.path("results", run_id)
     if not path_exists(store.spark, base):
         raise FileNotFoundError(base)
-    return read_results(store.spark, base)
+    return store.read_rows(base)
 
 
 def load_errors(store: Store, run_id: str, schema: T.StructType) -> DataFrame:
@@ -111,5 +137,5 @@ def load_report(store: Store, run_id: str) -> tuple[DataFrame | None, DataFrame
     if store.exists("quantification_report", run_id):
         report = store.spark.read.schema(REPORT).json(store.path("quantification_report", run_id))
     if store.exists("enriched_results", run_id):
-        enriched = read_results(store.spark, store.path("enriched_results", run_id))
+        enriched = store.read_rows(store.path("enriched_results", run_id))
     return report, enriched

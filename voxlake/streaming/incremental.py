@@ -18,7 +18,7 @@ from voxlake.operators.normalize import kept
 from voxlake.operators.quantify import global_sentiment
 from voxlake.operators.responses import OK, UNEXPECTED, failed_batches, parse_answers
 from voxlake.operators.validation import all_errors, check_batches, valid_analyses
-from voxlake.plans.store import Store, read_results, save_errors, save_results
+from voxlake.plans.store import Store, save_errors, save_results
 from voxlake.schemas import BATCH_SIZE, DEFAULT_LANG, MAX_RETRIES, SENTIMENTS
 from voxlake.session import path_exists, scratch, small_side, write_table
 from voxlake.sources.readers import CSV_OPTIONS, from_dataframe
@@ -136,4 +136,4 @@ def running_sentiment(store: Store, run_id: str) -> DataFrame:
 
 
 def stream_results(store: Store, run_id: str) -> DataFrame:
-    return read_results(store.spark, store.path("results", run_id))
+    return store.read_rows(store.path("results", run_id))
