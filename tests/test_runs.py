@@ -100,10 +100,10 @@ def test_other_input_or_batch_size_is_refused(spark, store):
         run_analysis(comments(spark), echo, store, "r", resume=False, wait=no_wait)
 
 
-@pytest.mark.parametrize("broken", ["save_results", "save_errors", "batch_tallies", "check_batches"])
+@pytest.mark.parametrize("broken", ["parse_answers", "check_batches", "save_results", "batch_tallies", "save_errors"])
 def test_a_crash_before_the_checkpoint_stores_nothing_twice(spark, store, monkeypatch, broken):
     verbatims = comments(spark)
-    answers = recording(transports.echo_analyst(), [(2, 0)])
+    answers = recording(transports.echo_analyst(), [] if broken == "parse_answers" else [(2, 0)])
     with monkeypatch.context() as m:
         def crash(*args, **kwargs):
             raise RuntimeError("driver lost")
@@ -144,6 +144,19 @@ def test_a_crash_between_rounds_keeps_the_answers(spark, store):
     assert again.calls == [(0, [2])] and ids(run.valid) == list(range(25))
 
 
+def test_recovery_with_another_part_size_asks_nothing_twice(spark, store, monkeypatch):
+    verbatims, answers = comments(spark, 45), recording(transports.echo_analyst(), [(3, "always")])
+    with monkeypatch.context() as m:
+        m.setattr(analysis, "save_results", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run_analysis(verbatims, answers, store, "r", max_retries=0, wait=no_wait)
+    again = recording(transports.echo_analyst())
+    run = run_analysis(verbatims, again, store, "r", batches_per_commit=1, wait=no_wait)
+    assert again.calls == [(0, [3])] and run.parts == ("000000", "000001")
+    assert ids(run.valid) == list(range(45)) == ids(load_results(store, "r"))
+    assert pending_batches(store, "r").count() == 0
+
+
 def test_parts_are_committed_one_by_one(spark, store):
     answers, heard = recording(transports.echo_analyst()), []
 

@@ -78,6 +78,11 @@ class Run:
 
 _TALLY = "batch_idx bigint, completed boolean, n_valid bigint, n_errors bigint"
 _RESPONSE = "batch_idx bigint, attempt int, raw string, error string"
+_ANSWER = (
+    "batch_idx bigint, attempt int, kind string, analyses array<struct<verbatim_id: string, "
+    "theme: string, summary: string, sentiment: string, texte_original: string, source: string, "
+    "macro_theme: string>>, last_error string"
+)
 _CHECKPOINT = "batch_idx bigint, committed_at timestamp"
 _META = "run_id string, batch_size int, rows bigint, digest bigint, total_batches bigint, buckets int"
 
@@ -224,10 +229,7 @@ def _rounds(
             "batch_idx", F.lit(attempt).alias("attempt"), "raw", "error"
         )
         raw = write_table(asked, "responses", f"{store.path('responses', run_id)}/{name}")
-        judged = write_table(
-            parse_answers(raw).drop("raw", "error"), "answers",
-            f"{store.path('answers', run_id)}/{name}",
-        )
+        judged = _judge(raw, store, run_id, name)
         attempts.append(name)
         todo = judged.where(~F.col("kind").isin(OK, UNEXPECTED)).select("batch_idx")
     return attempts
@@ -250,9 +252,9 @@ def run_analysis(
 
     Work is committed in parts of `batches_per_commit` batches (default: one
     part). A part writes raw answers, judged answers, results, errors and, last
-    of all, its checkpoint; a part without checkpoint is done again under the
-    same name, so nothing is stored twice, and answers it had already paid for
-    are used again. Batches without a readable answer stay out of the
+    of all, its checkpoint. After a crash the answers already paid for are
+    committed first, under the name of the unfinished part, so nothing is asked
+    or stored twice. Batches without a readable answer stay out of the
     checkpoint and are replayed by the next call with the same `run_id`.
     `on_progress` hears of every commit; the frame `Run.progress` has it by batch.
     """
@@ -260,23 +262,27 @@ def run_analysis(
     run_id = run_id or new_run_id(spark)
     batches, total = _open_run(verbatims, store, run_id, batch_size, resume, buckets)
     width = batches_per_commit or max(total, 1)
-    done_parts = store.committed("checkpoint", run_id)
 
+    parts = _recover(batches, store, run_id)
+    done = store.committed("checkpoint", run_id)
     unfinished = batches.select("batch_idx")
-    if done_parts:
+    if done:
         unfinished = unfinished.join(_completed(store, run_id), "batch_idx", "left_anti")
     unfinished = write_table(
         unfinished.select("batch_idx", int_div("batch_idx", width).alias("wave")), "unfinished"
     )
     waves = [r["wave"] for r in unfinished.select("wave").distinct().orderBy("wave").collect()]
 
-    parts: list[str] = []
     handled = valid = errors = 0
-    for wave in waves:
-        part = f"{len(done_parts) + len(parts):06d}"
-        mine = unfinished.where(F.col("wave") == wave).select("batch_idx")
+    for i, wave in enumerate(waves):
+        part = _part_name(len(done) + i)
         reach = (F.col("batch_idx") >= wave * width) & (F.col("batch_idx") < (wave + 1) * width)
-        _run_part(batches, reach, mine, answers, store, run_id, part, max_retries, wait)
+        mine = batches.where(reach)
+        todo = unfinished.where(F.col("wave") == wave).select("batch_idx")
+        attempts = _rounds(mine, todo, answers, store, run_id, part, max_retries, wait)
+        judged = _read_parts(store, "answers", run_id, attempts, _ANSWER)
+        failed = write_table(failed_batches(judged), "failed")
+        _commit(mine, judged, failed, store, run_id, part)
         parts.append(part)
         if on_progress is not None:
             sums = Run(store, run_id, total, (part,)).summary.first()
@@ -291,34 +297,45 @@ def run_analysis(
     return Run(store, run_id, total, tuple(parts))
 
 
-def _run_part(
-    batches: DataFrame, reach: Column, mine: DataFrame, answers: Answers, store: Store, run_id: str,
-    part: str, max_retries: int, wait: Callable[[float], None],
-) -> None:
-    """Ask, judge, store and commit one part. `reach` is the range of its batch numbers."""
-    answered = "batch_idx bigint, attempt int, kind string, last_error string, analyses " + (
-        "array<struct<verbatim_id: string, theme: string, summary: string, sentiment: string, "
-        "texte_original: string, source: string, macro_theme: string>>"
-    )
+def _part_name(n: int) -> str:
+    return f"{n:06d}"
 
-    def judged(names: list[str]) -> DataFrame:
-        return _read_parts(store, "answers", run_id, names, answered)
 
-    before = [p for p in store.committed("answers", run_id) if p.startswith(f"{part}.")]
-    kept = judged(before).where(F.col("kind") == OK)
-    todo = mine if not before else write_table(
-        mine.join(kept.select("batch_idx"), "batch_idx", "left_anti"), "todo"
+def _judge(raw: DataFrame, store: Store, run_id: str, name: str) -> DataFrame:
+    return write_table(
+        parse_answers(raw).drop("raw", "error"), "answers",
+        f"{store.path('answers', run_id)}/{name}",
     )
-    new = _rounds(batches.where(reach), todo, answers, store, run_id, part, max_retries, wait)
-    if not before:  # kept answers of a crashed call may lie outside of this range
-        batches = batches.where(reach)
 
+
+def _recover(batches: DataFrame, store: Store, run_id: str) -> list[str]:
+    """Commit the answers that a crashed call had written; returns the part, if any.
+
+    Parts follow one another, so only the first uncommitted one can have answers.
+    """
+    part = _part_name(len(store.committed("checkpoint", run_id)))
+    asked = [p for p in store.committed("responses", run_id) if p.startswith(f"{part}.")]
+    judged_parts = store.committed("answers", run_id)
+    for name in asked:
+        if name not in judged_parts:
+            _judge(_read_parts(store, "responses", run_id, [name], _RESPONSE), store, run_id, name)
+    judged = _read_parts(store, "answers", run_id, asked, _ANSWER)
+    if judged.where(F.col("kind") == OK).limit(1).count() == 0:
+        return []
+    nothing = store.spark.createDataFrame([], "batch_idx bigint, type string, error string")
+    _commit(batches, judged, nothing, store, run_id, part)
+    return [part]
+
+
+def _commit(
+    batches: DataFrame, judged: DataFrame, failed: DataFrame, store: Store, run_id: str, part: str
+) -> None:
+    """Validate the accepted answers and store the part; the checkpoint comes last."""
     # An accepted batch is never asked again, so there is one row per batch here.
-    accepted = judged(before + new).where(F.col("kind") == OK)
+    accepted = judged.where(F.col("kind") == OK)
     checked = write_table(
         check_batches(accepted, batches), "checked", f"{store.path('checked', run_id)}/{part}"
     )
-    failed = write_table(failed_batches(judged(new)), "failed")
     save_results(valid_analyses(checked), store, run_id, part)
     tallies = write_table(
         batch_tallies(checked, failed), "tallies", f"{store.path('tallies', run_id)}/{part}"
