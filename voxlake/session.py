@@ -80,12 +80,14 @@ def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     kinds = dict(table.dtypes)
     if any(k.startswith(("array", "map", "struct", "variant", "binary")) for k in kinds.values()):
         return False
+    if table.count() > rows:  # from the file footers, without reading a column
+        return False
     per_row = F.lit(16 * len(kinds))
     for name, kind in kinds.items():
         if kind == "string":
             per_row = per_row + F.coalesce(F.octet_length(name), F.lit(0))
-    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(per_row.cast("bigint")).alias("b")).first()
-    return size["n"] <= rows and (size["b"] or 0) <= BROADCAST_BYTES
+    size = table.agg(F.sum(per_row.cast("bigint")).alias("bytes")).first()["bytes"]
+    return (size or 0) <= BROADCAST_BYTES
 
 
 def small_side(table: DataFrame) -> DataFrame:
