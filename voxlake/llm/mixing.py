@@ -13,7 +13,7 @@ from voxlake.session import small_side, write_table
 SOURCE_WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 # Buckets per doubling of the rank: the one bucket a source cuts through is sorted.
-BUCKETS_PER_DOUBLING = 16_384
+BUCKETS_PER_DOUBLING = 512
 
 
 def word_count(text: Column) -> Column:
