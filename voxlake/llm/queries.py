@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from voxlake.llm import (
-    exact_dedup, html_extraction, language_id, line_dedup, mixing, ngram_join, packing,
+    embedding_dedup, exact_dedup, html_extraction, language_id, line_dedup, mixing, ngram_join,
+    packing,
 )
 from voxlake.llm.common import table
 
@@ -55,3 +56,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
