@@ -12,3 +12,30 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id,
        sha256(t) AS text_sha256
 FROM n
 """
+
+# Parts hold 128 turns here, and no part has repeated turns.
+ORACLES["op2_chat_formatting"] = r"""
+WITH m AS (
+  SELECT DISTINCT conv_id, turn, coalesce(nullif(regexp_replace(trim(coalesce(role, ''), ' '), '[\s<>|]+', '_', 'g'), ''), 'unknown') AS name,
+         replace(coalesce(text, ''), '<|', '< |') AS content
+  FROM conversations WHERE conv_id IS NOT NULL
+), s AS (SELECT DISTINCT conv_id, name AS speaker FROM m WHERE name <> 'system'),
+r AS (
+  SELECT m.conv_id, speaker, coalesce(turn // 128, -1) AS part, turn, name, content,
+         name <> 'system' AND name = speaker AS own,
+         '<|im_start|>' || CASE WHEN name = 'system' THEN 'system' WHEN name = speaker THEN 'assistant'
+              ELSE 'user name=' || name END || chr(10) AS opening,
+         content || '<|im_end|>' AS body
+  FROM m JOIN s ON m.conv_id = s.conv_id
+), p AS (
+  SELECT *, coalesce(sum(length(opening) + length(body) + 1) OVER (
+           PARTITION BY conv_id, speaker, part ORDER BY turn, name, content
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(opening) AS start
+  FROM r
+)
+SELECT conv_id, speaker, part, 0::BIGINT AS piece, count(*)::INT AS n_messages,
+       string_agg(opening || body, chr(10) ORDER BY turn, name, content) || chr(10) AS text,
+       coalesce(string_agg(start::BIGINT::VARCHAR || '-' || (start + length(body))::BIGINT::VARCHAR, ','
+                ORDER BY turn, name, content) FILTER (WHERE own), '') AS spans
+FROM p GROUP BY conv_id, speaker, part
+"""

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from voxlake.llm import (
-    embedding_dedup, exact_dedup, html_extraction, language_id, line_dedup, mixing, ngram_join,
-    packing,
+    chat_format, embedding_dedup, exact_dedup, html_extraction, language_id, line_dedup, mixing, ngram_join,
+    packing, secret_scan,
 )
 from voxlake.llm.common import table
 
@@ -61,3 +61,14 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat_format.rotate_perspectives(table(spark, sf_dir, "conversations"))
+    return views.withColumn("spans", chat_format.span_digest())
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
