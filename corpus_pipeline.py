@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxlake.llm import mixing, packing
+from voxlake.llm import language_id as languages, line_dedup as lines, mixing, ngram_join, packing
 from voxlake.llm.common import table
 from voxlake.llm.queries import VOCABULARY
 from voxlake.session import write_table
@@ -14,6 +14,24 @@ from voxlake.session import write_table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter go."""
+    return languages.with_language(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without blocks of earlier ones; those that are left without a word go."""
+    shortened = lines.dedup_lines(docs)
+    gone = (F.col("n_deleted") > 0) & (F.col("n_deleted") == F.col("n_lines"))
+    kept = shortened.where(~gone).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id."""
+    return ngram_join.kept_documents(docs)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
@@ -25,11 +43,14 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
     ("source_mixing", source_mixing),
     ("best_fit_packing", best_fit_packing),
 ]
 
-# Tokenising and language models have no SQL; tests compare with brute force.
+# Language models, alignment and tokenising have no SQL; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
