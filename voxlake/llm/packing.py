@@ -9,7 +9,7 @@ ranks the pieces of each length and gives each rank its place.
 from __future__ import annotations
 
 import bisect
-import re
+import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -17,46 +17,64 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxlake.session import write_table
 
 CAPACITY = 2048
-# Parts of texts whose ids a worker remembers at most.
-REMEMBERED = 300_000
 # Exchanges tried at most. Each acts on all bins that are filled alike, so this
 # bounds the work on the driver whatever the corpus; places stay right without it.
 MOST_EXCHANGES = 4_000
 
-# A text can be cut before a space, and around a line feed, that stand alone
-# between characters that are no white space: byte-level BPE cuts there too.
-_PARTS = re.compile(r" ?\S+(?:(?!(?: |\n)\S)\s+\S*)*|\n(?=\S)|\s+\S*(?:(?!(?: |\n)\S)\s+\S*)*")
+# Fixed value: how byte-level BPE of this kind cuts a text into words.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit numbers; repeated parts are looked up."""
+    """Ids of texts as little-endian unsigned 32-bit numbers.
 
-    def __init__(self, vocabulary: str, remembered: int = REMEMBERED) -> None:
+    The ids are those of `tokenizers` for the vocabulary file, a byte-level BPE whose
+    merges are numbered in the order in which they apply. `tiktoken` reads the same
+    merges and is several times faster; a text that holds a special token goes to
+    `tokenizers` itself, as does any text if the merges are numbered otherwise.
+    """
+
+    def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.remembered = remembered
-        self.known: dict[str, bytes] = {}
+        self.slow = Tokenizer.from_file(vocabulary)
+        with open(vocabulary, encoding="utf-8") as file:
+            stored = json.load(file)
+        self.special = [t["content"] for t in stored["added_tokens"]]
+        self.fast = self._merges(stored["model"])
+
+    def _merges(self, model: dict) -> tiktoken.Encoding | None:
+        ids = {t: i for t, i in model["vocab"].items() if t not in self.special}
+        merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        if [ids.get(m.replace(" ", "")) for m in merged] != list(range(256, 256 + len(merged))):
+            return None
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in t): i for t, i in ids.items()}
+        return tiktoken.Encoding(
+            "vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
 
     def __call__(self, text: str) -> bytes:
-        parts = _PARTS.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            if len(self.known) > self.remembered:
-                self.known.clear()
-            new = list({p for p in parts if p not in self.known})
-            for part, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[part] = np.asarray(got.ids, dtype="<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, parts))
+        if self.fast is None or any(t in text for t in self.special):
+            ids = self.slow.encode(text, add_special_tokens=False).ids
+            return np.asarray(ids, dtype="<u4").tobytes()
+        return np.asarray(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte behind each letter of a byte-level vocabulary: printable ones stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 def cut_pieces(ids: int, capacity: int) -> list[tuple[int, int]]:
@@ -171,52 +189,54 @@ def improve(bins: Counter[Pattern], capacity: int, most: int = MOST_EXCHANGES) -
     allow, no exchange helps, or after `most` exchanges.
     """
     bins = Counter({p: c for p, c in bins.items() if c})
-    total = sum(_fill(p) * c for p, c in bins.items())
-    done, stuck = 0, set()
-    while done < most and sum(bins.values()) > -(-total // capacity):
+    least = -(-sum(_fill(p) * c for p, c in bins.items()) // capacity)
+    offers: dict[Pattern, tuple[list[tuple[int, ...]], np.ndarray]] = {}
+
+    def offer(pattern: Pattern) -> tuple[list[tuple[int, ...]], np.ndarray]:
+        """What a bin may give back, and its (tokens, documents, fill) as rows."""
+        if pattern not in offers:
+            gives, fill = list(_gives(pattern)), _fill(pattern)
+            offers[pattern] = gives, np.array([(sum(g), len(g), fill) for g in gives]).T
+        return offers[pattern]
+
+    stuck: set[Pattern] = set()
+    for _ in range(most):
         under = [p for p in bins if _fill(p) < capacity]
-        givers = sorted((p for p in under if p not in stuck), key=lambda p: (_fill(p), p))
-        if not givers:
-            break
-        giver = givers[0]
-        # Everything an underfull bin may give back, with its fill.
-        offers = [
-            (i, back, _fill(p)) for i, p in enumerate(under)
-            if p != giver or bins[p] > 1 for back in _gives(p)
-        ]
-        if not offers:
+        givers = [p for p in under if p not in stuck]
+        if not givers or sum(bins.values()) <= least:
             break
-        sent_back = np.array([sum(back) for _, back, _ in offers])
-        fill = np.array([f for _, _, f in offers])
-        size = np.array([len(back) for _, back, _ in offers])
-        best, best_gain = None, 0
+        giver = min(givers, key=lambda p: (_fill(p), p))
         own = _fill(giver)
-        for give in _gives(giver):
-            if not give:
-                continue
-            grown = sum(give) - sent_back
-            allowed = (
-                (grown > 0) & (fill + grown <= capacity)
-                & (size + len(give) <= 3) & ((len(give) == 1) | (size == 1))
-            )
-            gain = np.where(allowed, 2 * grown * (fill - own + grown), 0)
-            at = int(gain.argmax())
-            if gain[at] > best_gain:
-                best, best_gain = (give, offers[at]), gain[at]
-        if best is None:
+        takers = [p for p in under if p != giver or bins[p] > 1]
+        found = None
+        if takers:
+            ends = np.cumsum([len(offer(p)[0]) for p in takers])
+            back, size, fill = np.concatenate([offer(p)[1] for p in takers], axis=1)
+            most_gain = 0
+            for give in offer(giver)[0][1:]:
+                grown = sum(give) - back
+                # One for one, two for one, one for two, or a move of one.
+                allowed = (grown > 0) & (fill + grown <= capacity) & (
+                    (size <= 2) if len(give) == 1 else (size == 1)
+                )
+                gain = np.where(allowed, 2 * grown * (fill - own + grown), 0)
+                at = int(gain.argmax())
+                if gain[at] > most_gain:
+                    which = int(np.searchsorted(ends, at, side="right"))
+                    taken = offer(takers[which])[0][at - (ends[which - 1] if which else 0)]
+                    most_gain, found = gain[at], (give, takers[which], taken)
+        if found is None:
             stuck.add(giver)
             continue
-        give, (i, back, _) = best
-        taker = under[i]
+        give, taker, taken = found
         times = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
         bins[giver] -= times
         bins[taker] -= times
-        for new in (_exchange(giver, give, back), _exchange(taker, back, give)):
+        for new in (_exchange(giver, give, taken), _exchange(taker, taken, give)):
             if new:
                 bins[new] += times
         bins += Counter()
         stuck.clear()
-        done += 1
     return bins
 
 
