@@ -7,9 +7,10 @@ from the later document, the one with the larger id.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -27,27 +28,34 @@ def _hash(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
-def line_rows(text: str, block_words: int) -> list[tuple[int, int, int | None, int]]:
-    """(place, line, window, words) of the lines that have words.
+def line_rows(text: str, block_words: int) -> list[tuple[int, int, int | None, int | None, int]]:
+    """(place, line, ahead, behind, words) of the lines that have words.
 
-    `line` tells repeats of a line in one text apart by their number. `window` stands
-    for the fewest lines from here on that have `block_words` words together; it is
-    null where the text ends before. Equal blocks of that many words share a window.
+    `line` tells repeats of a line in one text apart by their number. `ahead` and
+    `behind` stand for the fewest lines from here on, or up to here, that have
+    `block_words` words together; they are null where the text has no more. Every
+    line of a common block of that many words lies in such a window inside the block.
     """
     lines = [b" ".join(x.split()) for x in text.encode("utf-8", "replace").split(b"\n")]
     places = [k for k, line in enumerate(lines) if line]
     words = [lines[k].count(b" ") + 1 for k in places]
     seen: Counter[bytes] = Counter()
+    upto = [0, *accumulate(words)]
+
+    def window(start: int, end: int) -> int:
+        return _hash(b"\n".join(lines[k] for k in places[start:end]))
+
     rows = []
     for at, place in enumerate(places):
         line = lines[place]
         seen[line] += 1
-        total, end = 0, at
-        while end < len(places) and total < block_words:
-            total += words[end]
-            end += 1
-        window = _hash(b"\n".join(lines[k] for k in places[at:end])) if total >= block_words else None
-        rows.append((at, _hash(b"%d\n%s" % (seen[line], line)), window, words[at]))
+        end = bisect_left(upto, upto[at] + block_words)
+        start = bisect_right(upto, upto[at + 1] - block_words) - 1
+        rows.append((
+            at, _hash(b"%d\n%s" % (seen[line], line)),
+            window(at, end) if end < len(upto) else None,
+            window(start, at + 1) if start >= 0 else None, words[at],
+        ))
     return rows
 
 
@@ -110,14 +118,14 @@ def _lines(docs: DataFrame, block_words: int) -> DataFrame:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1))
                 for row in line_rows(text.as_py() or "", block_words)
             ]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)],
-                ["doc_id", "place", "line", "window", "words"],
+                [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)],
+                ["doc_id", "place", "line", "ahead", "behind", "words"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(
-        split, "doc_id long, place int, line long, window long, words int"
+        split, "doc_id long, place int, line long, ahead long, behind long, words int"
     )
 
 
@@ -163,13 +171,15 @@ def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame
     )
     # Every window leads to the first document that has it: as many pairs as there
     # are later occurrences, however frequent it is.
+    windows = lines.select("doc_id", F.explode(F.array_distinct(F.array("ahead", "behind"))).alias("window"))
+    windows = windows.where("window is not null")
     firsts = write_table(
-        lines.where("window is not null").groupBy("window")
+        windows.groupBy("window")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .where("first < last").select("window", "first"), "firsts",
     )
     pairs = write_table(
-        lines.where("window is not null").join(firsts, "window").where("doc_id > first")
+        windows.join(firsts, "window").where("doc_id > first")
         .select("doc_id", "first").distinct(), "pairs",
     )
     later = write_table(
@@ -198,19 +208,17 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     by line feeds. Rows with a null id, or an id that several rows have, take no
     part. A null text has no lines and stays null.
     """
-    places = repeated_lines(docs, block_words).select(
-        F.col("doc_id").alias("_deleted_from"), F.col("places").alias("_places")
-    )
     # The short side is hashed, so that texts are dealt out but not sorted.
-    joined = docs.join(
-        places.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_deleted_from"), "left"
-    )
+    places = repeated_lines(docs, block_words).toDF("id", "places").hint("shuffle_hash")
+    joined = docs.join(places, docs["doc_id"].cast("long") == places["id"], "left")
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_deleted")]
+    # Places come last, under a name that no column of the documents has.
+    mark = "_".join(["places", *docs.columns])
 
     def shorten(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines, deleted = [], [], []
-            for text, places in zip(batch.column("text"), batch.column("_places")):
+            for text, places in zip(batch.column("text"), batch.column(mark)):
                 text, gone = text.as_py(), places.as_py()
                 split = (text or "").split("\n")
                 at = -1
@@ -234,6 +242,8 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     schema = T.StructType([
         *schema, *[T.StructField(c, T.IntegerType()) for c in ("n_lines", "n_deleted")]
     ])
-    out = joined.select(*names, F.col("text").cast("string").alias("text"), "_places").mapInArrow(shorten, schema)
+    out = joined.select(
+        *[docs[c] for c in names], docs["text"].cast("string").alias("text"), places["places"].alias(mark)
+    ).mapInArrow(shorten, schema)
     order = [c for c in docs.columns if c in out.columns and c not in ("n_lines", "n_deleted")]
     return out.select(*order, "n_lines", "n_deleted")
