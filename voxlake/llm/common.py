@@ -23,6 +23,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+# Rows of a written part of a table that holds a few numbers a row.
+ROWS_PER_PART = 250_000
+
+
+def write_parts(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """Write a table of at most about `rows` rows in as many parts as that needs.
+
+    Rounds over what is left of a problem soon hold little; without this each of
+    their tables would have a file for every shuffle partition.
+    """
+    parts = rows // ROWS_PER_PART + 1
+    if parts < shuffle_partitions(df.sparkSession):
+        df = df.coalesce(parts)
+    return write_table(df, name)
+
+
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),
@@ -31,46 +47,50 @@ def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     return int(row["n"]), int(row["h"])
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of `links` (u, v: long); component is the smallest node.
 
-    Alternates large-star and small-star steps until nothing changes. Every step
-    is two joins on written tables, so adaptive execution can split a node with
-    very many links, and rounds grow with the logarithm of the longest chain.
+    `links` is written. Alternates large-star and small-star steps until nothing
+    changes. Every step joins written tables, so adaptive execution can split a node
+    with very many links, and rounds grow with the logarithm of the longest chain.
     Nodes without links are not returned.
     """
-    edges = write_table(
+    n = links.count()
+    edges = write_parts(
         links.where("u != v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-        "edges",
+        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", n,
     )
     seen = _fingerprint(edges)
     while seen[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = write_table(
+        n = 2 * seen[0]
+        both = both_ways(edges)
+        lowest = write_parts(
             both.groupBy("u").agg(F.min("v").alias("m"))
-            .select("u", F.least("u", "m").alias("m")), "lowest",
+            .select("u", F.least("u", "m").alias("m")), "lowest", n,
         )
         # Large star: every larger neighbour moves to the smallest one known here.
-        large = write_table(
-            both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct(), "large",
+        large = write_parts(
+            both.where("v > u").join(lowest, "u")
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", n,
         )
         # Small star: a node and its smaller neighbours move to the smallest of them.
-        lowest = write_table(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
-        moved = large.join(lowest, "u")
-        edges = write_table(
-            moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(),
-            "edges",
+        lowest = write_parts(large.groupBy("u").agg(F.min("v").alias("m")), "lowest", n)
+        edges = write_parts(
+            large.join(lowest, "u").where("v != m")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges", n,
         )
         now = _fingerprint(edges)
         if now == seen:
             break
         seen = now
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return write_table(
+    return write_parts(
         edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         .unionByName(roots.select("node", F.col("node").alias("component"))),
-        "components",
+        "components", 2 * seen[0],
     )

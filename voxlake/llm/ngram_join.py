@@ -16,13 +16,14 @@ its occurrences are passed on without being gathered.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxlake.llm.common import components, shuffle_partitions
+from voxlake.llm.common import both_ways, components, shuffle_partitions, write_parts
 from voxlake.llm.shingles import Shingler, set_key
 from voxlake.session import small_side, write_table
 
@@ -32,8 +33,11 @@ BLOCK_TOKENS = 2_000_000
 BUCKET_TOKENS = 2_000_000
 # From this frequency on tokens count as equally frequent.
 FREQUENT = 64
-# Centres of a posting list in the first round, and how their number grows.
-CENTRES, MORE_CENTRES = 8, 4
+# In lists of so few classes all are compared; others have so many centres in the
+# first round, and times as many in each later one.
+FEW, CENTRES, MORE_CENTRES = 6, 2, 16
+# 64-bit words of a parity bitmap.
+PARITY_WORDS = 8
 
 _LOW = np.uint64(2**44 - 1)
 
@@ -198,6 +202,10 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
         .withColumn("a", F.row_number().over(by_class))
         .withColumn("unshared", F.col("n") - F.count(F.lit(1)).over(
             by_class.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        # Equal texts of different blocks may both have passed a frequent token on.
+        # Counting it twice only lengthens a prefix.
+        .withColumn("before", F.lag("token").over(by_class))
+        .where("before is null or before != token").drop("before")
         # Tokens that no other class has come first in every order.
         .where("unshared < longest")
         .withColumn("power", F.length(F.bin(F.col("rank") % 128)))
@@ -210,7 +218,11 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidate_sets(docs: DataFrame, sized: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, tokens) of the classes in `keys`, made again from one text of each."""
+    """(key, tokens, parity) of the classes in `keys`, made again from one text of each.
+
+    Bit b of `parity` tells whether the tokens that leave the remainder b are odd in
+    number. Two sets differ in at least as many tokens as their parities in bits.
+    """
     readers = write_table(
         sized.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
         .select(F.coalesce("doc_id", F.lit(-1)).alias("reader")).distinct(), "readers",
@@ -223,14 +235,24 @@ def _candidate_sets(docs: DataFrame, sized: DataFrame, keys: DataFrame) -> DataF
             found = [s for t in batch.column(0) if len(s := shingles(t.as_py()))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_key(s) for s in found], pa.int64()),
-                 pa.array([s.tobytes() for s in found], pa.binary())],
-                ["key", "tokens"],
+                 pa.array([s.tobytes() for s in found], pa.binary()),
+                 pa.array([_parity(s) for s in found], pa.list_(pa.int64()))],
+                ["key", "tokens", "parity"],
             )
 
     sets = texts.join(small_side(readers), "reader", "left_semi").select("text").mapInArrow(
-        rebuilt, "key long, tokens binary"
+        rebuilt, "key long, tokens binary, parity array<long>"
+    )
+    return write_table(
+        sets.groupBy("key").agg(F.first("tokens").alias("tokens"), F.first("parity").alias("parity")),
+        "sets",
     )
-    return write_table(sets.groupBy("key").agg(F.first("tokens").alias("tokens")), "sets")
+
+
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    bits = 64 * PARITY_WORDS
+    odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _verified(pairs: DataFrame, filters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -258,6 +280,7 @@ def _verified(pairs: DataFrame, filters: DataFrame, sets: DataFrame, percent: in
                 ["u", "v", "linked"],
             )
 
+    sets = sets.select("key", "tokens")
     return (
         close.join(side(sets, "u"), "u").join(side(sets, "v"), "v")
         .select("u", "v", "u_tokens", "v_tokens")
@@ -265,16 +288,59 @@ def _verified(pairs: DataFrame, filters: DataFrame, sets: DataFrame, percent: in
     )
 
 
+def _posting_lists(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(list, key, n, common, code, label, parity): classes that share a token of the first prefixes.
+
+    `common` is how many of the n tokens any other class has.
+
+    Near copies share many tokens and so the same list many times over; lists of equal
+    number, xor and sum of hashed keys are one. `code` orders the classes alike in all
+    lists, those with the fewest tokens of their own first.
+    """
+    entries = prefixes.where("a").select("token", "key", "n", "unshared")
+    hashed = F.xxhash64("key")
+    alike = entries.groupBy("token").agg(
+        F.count(F.lit(1)).alias("m"), F.bit_xor(hashed).alias("x"),
+        F.sum(F.shiftrightunsigned(hashed, 20)).alias("s"),
+    ).where("m > 1")
+    kept = write_table(
+        alike.groupBy("m", "x", "s").agg(F.min("token").alias("token")).select("token"), "lists"
+    )
+    code = F.shiftleft(F.col("unshared").cast("long"), 32) + F.shiftrightunsigned(
+        F.xxhash64(F.lit("order"), "key"), 32
+    )
+    listed = write_table(
+        entries.join(kept, "token").select(
+            F.col("token").alias("list"), "key", "n", (F.col("n") - F.col("unshared")).alias("common"),
+            code.alias("code"), F.col("key").alias("label"),
+        ), "lists",
+    )
+    return write_table(listed.join(sets.select("key", "parity"), "key"), "lists")
+
+
+def _joined_labels(links: DataFrame, rows: int) -> DataFrame:
+    """(label, joined): for linked labels (u, v) the smallest label within two links.
+
+    Not the whole component, but the same for nearly all of one that hangs on a few
+    centres; a label stays within its component in any case.
+    """
+    both = both_ways(links)
+    near = write_parts(
+        both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "near", rows
+    )
+    far = both.join(near.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("m"))
+    return write_parts(far.select(F.col("u").alias("label"), F.col("m").alias("joined")), "joined", rows)
+
+
 def _links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(key, component) of classes with links.
-
-    A posting list of m classes is not turned into its m (m - 1) / 2 pairs. In each
-    round a few of its classes, those with the fewest tokens of their own, are
-    centres and are compared with the rest. What links becomes one component, and
-    pairs inside one component need no comparison. Centres leave their list when
-    they are done; it ends when it is empty or all of one component. So no
-    pair between components is left out. Centres grow fourfold a round, and the
-    rounds with the logarithm of the longest list.
+    """(key, component) of classes with links, None if there are none.
+
+    A list of m classes is not turned into its m (m - 1) / 2 pairs, unless it has
+    FEW. In each round some of its classes are centres and are compared with the
+    rest. What links gets one label, and classes with one label need no comparison.
+    Centres leave their list when they are done; it ends when it is empty or all of
+    one label. So no pair between labels is left out. Centres grow fourfold a
+    round, and the rounds with the logarithm of the longest list.
     """
     filters = write_table(
         prefixes.groupBy("key").agg(
@@ -283,54 +349,63 @@ def _links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | No
             F.collect_list(F.when(F.col("c"), F.col("token"))).alias("c"),
         ), "filters",
     )
-    lists = write_table(
-        prefixes.where("a").select("token", "key", "n", "unshared", F.col("key").alias("component"))
-        .distinct(), "lists",
-    )
-    spark = lists.sparkSession
+    lists = _posting_lists(prefixes, sets)
     done: DataFrame | None = None
     found: DataFrame | None = None
-    together: DataFrame | None = None
     slots = CENTRES
     while True:
-        several = write_table(
-            lists.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            .where("lo != hi").select("token"), "several",
+        rows = lists.count()
+        if not rows:
+            break
+        several = lists.groupBy("list").agg(
+            F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")
+        ).where("lo != hi").select("list", "m")
+        lists = write_parts(lists.join(write_parts(several, "several", rows), "list"), "lists", rows)
+        slot = F.when(F.col("m") <= FEW, F.col("key")).otherwise(
+            F.pmod(F.xxhash64(F.lit(slots), "key"), F.lit(slots))
         )
-        lists = write_table(lists.join(several, "token", "left_semi"), "lists")
-        if lists.isEmpty():
-            return together
-        slot = F.pmod(F.xxhash64(F.lit(slots), "key"), F.lit(slots))
-        centres = write_table(
-            lists.groupBy("token", slot.alias("slot")).agg(
-                F.min_by("key", "unshared").alias("centre"),
-            ).join(lists.select("token", F.col("key").alias("centre"), F.col("n").alias("centre_n"),
-                                F.col("component").alias("centre_component")), ["token", "centre"])
-            .select("token", "centre", "centre_n", "centre_component"), "centres",
+        first = F.min(F.struct("code", *[
+            F.col(c).alias(f"centre_{c}") for c in ("key", "n", "common", "label", "parity")
+        ])).alias("c")
+        centres = write_parts(
+            lists.groupBy("list", slot.alias("slot")).agg(first)
+            .select("list", "c.*").drop("code"), "centres", rows,
         )
+        # Two sets share at most what each has in common with any other.
+        shared, both = F.least("common", "centre_common"), F.col("n") + F.col("centre_n")
+        differ = reduce(Column.__add__, [
+            F.bit_count(F.get("parity", F.lit(k)).bitwiseXOR(F.get("centre_parity", F.lit(k))))
+            for k in range(PARITY_WORDS)
+        ])
         pairs = (
-            lists.join(centres, "token")
-            .where("component != centre_component")
-            .where(f"100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)")
-            .select(F.least("key", "centre").alias("u"), F.greatest("key", "centre").alias("v"))
-            .distinct()
+            lists.join(centres, "list").where("label != centre_label")
+            .where(100 * shared >= percent * (both - shared))
+            .where((100 + percent) * differ <= (100 - percent) * both)
+            .groupBy(F.least("key", "centre_key").alias("u"), F.greatest("key", "centre_key").alias("v"))
+            .agg(F.min(F.least("label", "centre_label")).alias("u_label"),
+                 F.min(F.greatest("label", "centre_label")).alias("v_label"))
         )
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
-        pairs = write_table(pairs, "pairs")
-        verdicts = write_table(_verified(pairs, filters, sets, percent), "verdicts")
-        done = pairs if done is None else done.unionByName(pairs)
+        pairs = write_parts(pairs, "pairs", rows)
+        verdicts = write_parts(_verified(pairs.select("u", "v"), filters, sets, percent), "verdicts", rows)
+        done = pairs.select("u", "v") if done is None else done.unionByName(pairs.select("u", "v"))
         linked = verdicts.where("linked").select("u", "v")
         found = linked if found is None else found.unionByName(linked)
-        together = components(found).toDF("key", "component")
-        lists = (
-            lists.drop("component")
-            .join(centres.select("token", F.col("centre").alias("key")), ["token", "key"], "left_anti")
-            .join(together, "key", "left")
-            .select("token", "key", "n", "unshared", F.coalesce("component", "key").alias("component"))
+        labels = write_parts(
+            pairs.join(linked, ["u", "v"]).select(F.col("u_label").alias("u"), F.col("v_label").alias("v")),
+            "labels", rows,
+        )
+        lists = write_parts(
+            lists.drop("m")
+            .join(centres.select("list", F.col("centre_key").alias("key")), ["list", "key"], "left_anti")
+            .join(_joined_labels(labels, rows), "label", "left")
+            .select("list", "key", "n", "common", "code", "parity",
+                    F.coalesce("joined", "label").alias("label")),
+            "lists", rows,
         )
-        lists = write_table(lists, "lists")
         slots *= MORE_CENTRES
+    return None if found is None else components(found).toDF("key", "component")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -379,4 +454,5 @@ def kept_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         jaccard_components(docs, percent).where("doc_id != component_id")
         .select(F.col("doc_id").alias("gone_id")).distinct(), "gone",
     )
-    return docs.join(small_side(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    named = small_side(gone)
+    return docs.join(named, docs["doc_id"] == named["gone_id"], "left_anti")
