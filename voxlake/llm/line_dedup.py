@@ -40,19 +40,21 @@ def line_rows(text: str, block_words: int) -> list[tuple[int, int, int | None, i
     places = [k for k, line in enumerate(lines) if line]
     words = [lines[k].count(b" ") + 1 for k in places]
     seen: Counter[bytes] = Counter()
+    told = []
+    for place in places:
+        seen[lines[place]] += 1
+        told.append(b"%d\n%s" % (seen[lines[place]], lines[place]))
     upto = [0, *accumulate(words)]
 
     def window(start: int, end: int) -> int:
-        return _hash(b"\n".join(lines[k] for k in places[start:end]))
+        return _hash(b"\n".join(told[start:end]))
 
     rows = []
-    for at, place in enumerate(places):
-        line = lines[place]
-        seen[line] += 1
+    for at, line in enumerate(told):
         end = bisect_left(upto, upto[at] + block_words)
         start = bisect_right(upto, upto[at + 1] - block_words) - 1
         rows.append((
-            at, _hash(b"%d\n%s" % (seen[line], line)),
+            at, _hash(line),
             window(at, end) if end < len(upto) else None,
             window(start, at + 1) if start >= 0 else None, words[at],
         ))
