@@ -21,8 +21,8 @@ from voxlake.session import write_table
 # Labelled pages that the weights are fitted on, in expectation.
 TRAIN_PAGES = 2_000
 # Weights stay within these bounds; kinds never seen get the default.
-WORD_LEAST, WORD_MOST, WORD_DEFAULT = 0.05, 4.0, 0.5
-TAG_LEAST, TAG_MOST, TAG_DEFAULT = -12.0, -0.02, -1.0
+WORD_LEAST, WORD_MOST, WORD_DEFAULT = 0.05, 4.0, 1.0
+TAG_LEAST, TAG_MOST, TAG_DEFAULT = -12.0, -0.02, -1.5
 
 # HTML elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -65,58 +65,73 @@ def _kind(name: str, attributes: str) -> tuple[str, bool]:
 def tokens(page: str) -> Iterator[Token]:
     """Tags and stretches of text, in page order; character references are decoded.
 
-    Text of boilerplate elements is left out, their tags are not. Markup may be broken:
+    What stands inside boilerplate elements is left out, their own tags are not. Markup
+    may be broken:
     an end tag without its start is ignored, a block ends an open paragraph, and an
     element that is never closed ends with the one around it.
     """
-    opened: list[tuple[str, bool]] = []  # (name, boilerplate)
-    content = 0
+    # (name, boilerplate, innermost link or block), and how often each name is open.
+    opened: list[tuple[str, bool, str]] = []
+    names: Counter[str] = Counter()
+    content = hidden = 0
     fresh = True
+
+    def close(name: str) -> None:
+        nonlocal content, hidden
+        while opened:
+            last, boilerplate, _ = opened.pop()
+            names[last] -= 1
+            content -= last in CONTENT
+            hidden -= boilerplate
+            if last == name:
+                return
+
+    def words(text: str) -> Iterator[Token]:
+        nonlocal fresh
+        text = html.unescape(text)
+        if hidden or not text:
+            return
+        n = len(text.split())
+        if n:
+            yield opened[-1][2] if opened else "", n, text, content > 0, fresh
+            fresh = False
+        elif not fresh:
+            yield "", 0, " ", content > 0, False
+
     at = 0
     for match in _TOKEN.finditer(page):
-        if match.start() > at:
-            text = html.unescape(page[at:match.start()])
-            if text.strip() and not any(b for _, b in opened):
-                inner = next((n for n, _ in reversed(opened) if n == "a" or n not in INLINE), "")
-                yield inner, len(text.split()), text, content > 0, fresh
-                fresh = False
-            elif text and not fresh:
-                yield "", 0, " ", content > 0, False
+        yield from words(page[at:match.start()])
         at = match.end()
         name = (match[3] or match[6] or "").lower()
         if not name:
             continue
-        closing = bool(match[2] or match[5])
         if name not in INLINE:
             fresh = True
-        elif name == "br":
+        elif name == "br" and not hidden:
             yield "", 0, " ", content > 0, False
-        if closing:
-            yield "/" + name, -1, "", content > 0 and name not in CONTENT, fresh
-            if any(n == name for n, _ in opened):
-                while opened:
-                    n, _ = opened.pop()
-                    content -= n in CONTENT
-                    if n == name:
-                        break
+        if match[2] or match[5]:
+            if names[name]:
+                before = hidden
+                close(name)
+                if not before or not hidden:
+                    yield "/" + name, -1, "", content > 0, fresh
             continue
-        kind, marked = _kind(name, match[4] or match[7] or "")
-        if name not in INLINE and opened and any(n == "p" for n, _ in opened):
-            while opened:
-                n, _ = opened.pop()
-                content -= n in CONTENT
-                if n == "p":
-                    break
-        yield kind + "!" * marked, -1, "", content > 0, fresh
-        if name in VOID or (match[4] or match[7] or "").rstrip().endswith("/"):
+        attributes = match[4] or match[7] or ""
+        kind, marked = _kind(name, attributes)
+        if name not in INLINE and names["p"]:
+            close("p")
+        if not hidden:
+            yield kind + "!" * marked, -1, "", content > 0, fresh
+        if name in VOID or attributes.rstrip().endswith("/"):
             continue
         outside = name == "header" and not content
+        boilerplate = marked or name in BOILERPLATE or outside
+        inline = name in INLINE and name != "a"
+        opened.append((name, boilerplate, opened[-1][2] if inline and opened else "" if inline else name))
+        names[name] += 1
         content += name in CONTENT
-        opened.append((name, marked or name in BOILERPLATE or outside))
-    text = html.unescape(page[at:])
-    if text.strip() and not any(b for _, b in opened):
-        inner = next((n for n, _ in reversed(opened) if n == "a" or n not in INLINE), "")
-        yield inner, len(text.split()), text, content > 0, fresh
+        hidden += boilerplate
+    yield from words(page[at:])
 
 
 def _learned(pages: DataFrame, wanted: int) -> tuple[dict[str, float], dict[str, float]]:

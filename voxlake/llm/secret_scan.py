@@ -70,7 +70,7 @@ def labelled_findings(found: DataFrame) -> DataFrame:
     harmless one stays what it is.
     """
     beside = F.concat_ws(" ", "before")
-    named = beside.rlike(rf"(?i)\b(?:{'|'.join(KEY_WORDS)})\W*(?:[=:]|:=|=>)\W*$")
+    named = beside.rlike(rf"(?i)(?:^|[^a-z])(?:{'|'.join(KEY_WORDS)})\W*(?:[=:]|:=|=>)\W*$")
     real = found.withColumn("label", named.cast("double"))
     secret = real.where("label = 1")
     words = F.array(*map(F.lit, HASH_WORDS))
