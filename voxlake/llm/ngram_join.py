@@ -388,7 +388,7 @@ def _links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | No
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = write_parts(pairs, "pairs", rows)
-        verdicts = write_parts(_verified(pairs.select("u", "v"), filters, sets, percent), "verdicts", rows)
+        verdicts = write_table(_verified(pairs.select("u", "v"), filters, sets, percent), "verdicts")
         done = pairs.select("u", "v") if done is None else done.unionByName(pairs.select("u", "v"))
         linked = verdicts.where("linked").select("u", "v")
         found = linked if found is None else found.unionByName(linked)
