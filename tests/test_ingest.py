@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake.operators import positions
 from voxlake.operators.batching import assign_batches, batch_lines, build_prompts, group_batches
 from voxlake.operators.normalize import ingest_counts, kept, value_counts
 from voxlake.operators.positions import land_positions, running_totals
@@ -53,6 +52,39 @@ def test_csv_limits(spark, folder):
     assert verbatims(load_csv(spark, path, limit=0)) == []
 
 
+def test_csv_folder_with_differing_headers(spark, folder):
+    write(f"{folder}/a b_1.csv", "id,text\n1,one\n")
+    write(f"{folder}/é+_2.csv", "text,id\ntwo,2\n,3\n")
+    write(f"{folder}/z.csv", "Review,Platform\nthree,web\n")
+    assert verbatims(load_csv(spark, folder, source=None)) == [
+        (0, "1", "one", "a b", "fr"), (1, "z_1", "three", "web", "fr"), (2, "2", "two", "é+", "fr"),
+    ]
+
+
+def test_csv_surplus_cells(spark, folder):
+    path = write(f"{folder}/a.csv", "id,text\n1,one,more\n2,two,\n")
+    with pytest.raises(Exception, match="more cells than columns"):
+        load_csv(spark, path)
+    assert [r[2] for r in verbatims(load_csv(spark, path, surplus="drop"))] == ["one", "two"]
+
+
+@pytest.mark.parametrize("size", ["10m", "2k", "64k"])
+def test_positions_follow_files_not_splits(spark, folder, size):
+    import os
+
+    for name, start, n in (("b.jsonl", 300, 40), ("a.jsonl", 0, 300), ("c.jsonl", 340, 7)):
+        write(f"{folder}/{name}", "".join(f'{{"text": "row {i} {"x" * 50}"}}\n' for i in range(start, start + n)))
+    os.mkdir(f"{folder}/none")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        landed = load_jsonl(spark, f"{folder}/*.jsonl")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = [(r["row_idx"], int(r["text"].split()[1]), r["position"]) for r in kept(landed).orderBy("row_idx").collect()]
+    assert got == [(i, i, i) for i in range(347)]
+
+
 def test_csv_errors(spark, folder):
     with pytest.raises(FileNotFoundError):
         load_csv(spark, f"{folder}/none.csv")
@@ -109,10 +141,8 @@ def test_positions_do_not_depend_on_partitions(spark, partitions):
     assert tuple(ingest_counts(landed).first()) == (100, len(want))
 
 
-@pytest.mark.parametrize("short", [-1, 1000])
 @pytest.mark.parametrize("limit", [0, 1, 30, 31, 99, 1000])
-def test_limit_across_partitions(spark, monkeypatch, limit, short):
-    monkeypatch.setattr(positions, "_SHORT", short)
+def test_limit_across_partitions(spark, limit):
     df = spark.range(0, 100, 1, 7).select(F.col("id").cast("string").alias("t"))
     got = sorted(int(r["t"]) for r in land_positions(df, limit=limit).where(F.col("row_idx") < limit).collect())
     assert got == list(range(min(limit, 100)))

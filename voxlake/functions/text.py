@@ -53,3 +53,15 @@ def pad_right(c: Column, width: int) -> Column:
 
 def bar(p: Column, step: int, mark: str) -> Column:
     return F.repeat(F.lit(mark), F.floor(p / step).cast("int"))
+
+
+def file_name(path: Column) -> Column:
+    """A path as it is on disk: Spark reports it percent-encoded."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
+def source_label(path: Column, until: str = "_") -> Column:
+    """Source label of a file, as `label_from_path` gives it for a string."""
+    name = F.regexp_extract(F.regexp_replace(path, r"/+$", ""), r"([^/\\]*)$", 1)
+    stem = name if until == "." else F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    return F.substring_index(stem, until, 1)

@@ -5,32 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxlake.functions.text import strip
-from voxlake.operators.positions import land_positions
+from voxlake.operators.positions import land_positions, with_place
 from voxlake.schemas import NULL_TOKENS
 
 VERBATIM_COLUMNS = ["row_idx", "id", "text", "source", "lang"]
 
 
-def land_verbatims(
+def verbatim_cells(
     df: DataFrame,
     text: int | None,
     id: int | None,
     source_col: int | None,
     lang_col: int | None,
-    source: str,
+    source: str | Column,
     lang: str,
-    limit: int | None = None,
     null_tokens: bool = False,
-    id_prefix: str | None = None,
 ) -> DataFrame:
-    """All rows of `df`, normalised and numbered; `keep` marks the usable ones.
+    """The four needed cells of `df`, normalised, with the place each row was read from.
 
-    Columns are given by ordinal. Only the four needed cells are read; the text
-    of a dropped row is not written. Generated ids number the unfiltered rows
-    and carry the default source (or `id_prefix`), so they show gaps where rows
-    were dropped.
+    Columns are given by ordinal. `source` is the default source: a string, or a
+    column over `_path`, the file of the row.
     """
-    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    placed = with_place(df)
+    flat = placed.toDF(*[f"c{i}" for i in range(len(placed.columns) - 2)], "_path", "_block")
 
     def cell(i: int | None) -> Column:
         if i is None:
@@ -38,21 +35,48 @@ def land_verbatims(
         value = F.col(f"c{i}").cast("string")
         return F.when(~value.isin(NULL_TOKENS), value) if null_tokens else value
 
-    cells = flat.select(
+    default = F.lit(source) if isinstance(source, str) else source
+    return flat.select(
         strip(cell(text)).alias("text"),
         cell(id).alias("id"),
-        F.coalesce(strip(cell(source_col)), F.lit(source)).alias("source"),
+        F.coalesce(strip(cell(source_col)), default).alias("source"),
         F.coalesce(strip(cell(lang_col)), F.lit(lang)).alias("lang"),
+        default.alias("_prefix"), "_path", "_block",
     )
+
+
+def land_cells(
+    cells: DataFrame, limit: int | None = None, id_prefix: str | None = None
+) -> DataFrame:
+    """Number the rows of `verbatim_cells`; `keep` marks the usable ones.
+
+    The text of a dropped row is not written. Generated ids number the unfiltered
+    rows and carry the default source (or `id_prefix`), so they show gaps where
+    rows were dropped.
+    """
     usable = F.col("text").isNotNull() & ~F.col("text").isin("", "nan")
     cells = cells.withColumn("text", F.when(usable, F.col("text")))
     landed = land_positions(cells, keep=F.col("text").isNotNull(), limit=limit)
-    if limit is not None:
-        landed = landed.where(F.col("row_idx") < limit)
-    return landed.withColumn(
-        "id",
-        F.coalesce("id", F.concat(F.lit(f"{id_prefix or source}_"), F.col("row_idx").cast("string"))),
-    )
+    prefix = F.col("_prefix") if id_prefix is None else F.lit(id_prefix)
+    made = F.concat(prefix, F.lit("_"), F.col("row_idx").cast("string"))
+    return landed.withColumn("id", F.coalesce("id", made)).drop("_prefix")
+
+
+def land_verbatims(
+    df: DataFrame,
+    text: int | None,
+    id: int | None,
+    source_col: int | None,
+    lang_col: int | None,
+    source: str,
+    lang: str,
+    limit: int | None = None,
+    null_tokens: bool = False,
+    id_prefix: str | None = None,
+) -> DataFrame:
+    """All rows of `df`, normalised and numbered."""
+    cells = verbatim_cells(df, text, id, source_col, lang_col, source, lang, null_tokens)
+    return land_cells(cells, limit, id_prefix)
 
 
 def kept(landed: DataFrame) -> DataFrame:

@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxlake.functions.numbers import int_div
+from voxlake.functions.text import file_name
 from voxlake.session import small_side, write_table
 
 _SPLIT_BITS = 33  # monotonically_increasing_id: split number above, row in split below
-_ROW_MASK = (1 << _SPLIT_BITS) - 1
-_SHORT = 1_000  # rows of a trial run
+_NARROW = ("Project", "Filter", "SubqueryAlias")
+
+
+def _reads_files(df: DataFrame) -> bool:
+    """Whether `df` is a scan of files with nothing but projections and filters on it."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _NARROW:
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """Add `_path` and `_block`: where a row was read, for rows that come straight from files.
+
+    Anything else is placed by its split, in the order of the splits.
+    """
+    if {"_path", "_block"} <= set(df.columns):
+        return df
+    if _reads_files(df):
+        try:
+            return df.select(
+                "*", file_name(F.col("_metadata.file_path")).alias("_path"),
+                F.col("_metadata.file_block_start").alias("_block"),
+            )
+        except AnalysisException:  # a source without files, or a column of that name
+            pass
+    split = F.shiftright(F.monotonically_increasing_id(), _SPLIT_BITS)
+    return df.select("*", F.lit("").alias("_path"), split.alias("_block"))
 
 
 def land_positions(
@@ -18,55 +46,45 @@ def land_positions(
     """Write `df` once together with each row's 0-based position.
 
     Adds `row_idx` over all rows and, with `keep`, `keep` itself and `position`
-    over the kept rows only (meaningless on the others). Positions follow the
-    order of the input splits.
-
-    The split and the place inside it are written as data, so later stages do
-    not depend on the input being split the same way again. Inside a split the
-    kept rows are sorted to the front, which makes their places dense too; the
-    only thing left is one running total over the splits.
+    over the kept rows only (null on the others). Rows of files are in the order of
+    file name, block and line, however Spark packs them into splits; rows of other
+    frames in the order of their splits. `limit` keeps the rows with a smaller
+    `row_idx`.
 
-    `limit` is an upper bound on the wanted `row_idx`: a split never needs more
-    than its first `limit` rows for that. A trial run takes its few rows from
-    the first splits and leaves the others unread.
+    The rows of a block are always adjacent in their split. So a place inside the
+    block follows from written row tags, the kept rows' own tags are drawn on
+    them alone, and the only thing left is one running total over the blocks.
     """
-    if limit is not None and limit <= _SHORT:
-        df = df.sparkSession.createDataFrame(df.head(limit) if limit else [], df.schema)
-    tagged = df.withColumn("_row", F.monotonically_increasing_id())
-    if limit is not None and limit > _SHORT:
-        tagged = tagged.where(F.col("_row").bitwiseAND(F.lit(_ROW_MASK)) < limit)
+    tagged = with_place(df).withColumn("_row", F.monotonically_increasing_id())
     if keep is not None:
-        tagged = (
-            tagged.withColumn("keep", F.coalesce(keep, F.lit(False)))
-            .sortWithinPartitions(F.col("keep").desc(), F.col("_row"))
-            .withColumn("_kept", F.monotonically_increasing_id())
+        tagged = tagged.withColumn("keep", F.coalesce(keep, F.lit(False))).withColumn(
+            "_kept", F.when(F.col("keep"), F.monotonically_increasing_id())
         )
-    tagged = tagged.withColumn("_split", F.shiftright("_row", _SPLIT_BITS))
     landed = write_table(tagged, "landed")
 
-    sizes = landed.groupBy("_split").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        (F.count_if("keep") if keep is not None else F.lit(0).cast("bigint")).alias("_keeps"),
+    kept = keep is not None
+    sizes = landed.groupBy("_path", "_block").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first_row"),
+        (F.count_if("keep") if kept else F.lit(0).cast("bigint")).alias("_keeps"),
+        (F.min("_kept") if kept else F.lit(0).cast("bigint")).alias("_first_kept"),
     )
-    # One row per input split: thousands, whatever the number of rows.
-    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per block of a file: thousands, whatever the number of rows.
+    before = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = write_table(
         sizes.select(
-            "_split",
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
-            F.coalesce(F.sum("_keeps").over(before), F.lit(0)).alias("_keeps_before"),
+            "_path", "_block",
+            (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first_row")).alias("_to_row"),
+            (F.coalesce(F.sum("_keeps").over(before), F.lit(0)) - F.col("_first_kept")).alias("_to_kept"),
         ),
-        "splits",
+        "blocks",
     )
-
-    def place(tag: str, start: str) -> Column:
-        return F.col(start) + F.col(tag).bitwiseAND(F.lit(_ROW_MASK))
-
-    out = landed.join(small_side(starts), "_split")
-    out = out.withColumn("row_idx", place("_row", "_rows_before"))
-    if keep is not None:
-        out = out.withColumn("position", place("_kept", "_keeps_before"))
-    return out.drop("_split", "_row", "_kept", "_rows_before", "_keeps_before")
+    out = landed.join(small_side(starts), ["_path", "_block"])
+    out = out.withColumn("row_idx", F.col("_row") + F.col("_to_row"))
+    if kept:
+        out = out.withColumn("position", F.col("_kept") + F.col("_to_kept"))
+    if limit is not None:
+        out = out.where(F.col("row_idx") < limit)
+    return out.drop("_path", "_block", "_row", "_kept", "_to_row", "_to_kept")
 
 
 def running_totals(

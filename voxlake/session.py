@@ -118,3 +118,13 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(jpath):
         return []
     return sorted(s.getPath().getName() for s in fs.listStatus(jpath))
+
+
+def move_file(spark: SparkSession, folder: str, path: str) -> None:
+    """Give the only data file of a written folder a name of its own."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target = hadoop(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    (name,) = [n for n in list_names(spark, folder) if n.startswith("part-")]
+    fs.mkdirs(target.getParent())
+    fs.rename(hadoop(f"{folder}/{name}"), target)

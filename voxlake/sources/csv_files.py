@@ -1,0 +1,79 @@
+"""CSV files grouped by their header, each group read with its own columns."""
+
+from __future__ import annotations
+
+import csv
+import logging
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from voxlake.operators.positions import with_place
+from voxlake.sources.columns import distinct_headers
+
+CSV_OPTIONS = {"escape": '"', "encoding": "UTF-8"}
+# A header line longer than this is taken for a file that is no CSV.
+HEADER_BYTES = 1 << 20
+
+
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """First line of a file on any file system Spark knows; None when unreadable."""
+    hadoop = spark._jvm.org.apache.hadoop
+    jpath = hadoop.fs.Path(path)
+    try:
+        stream = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(jpath)
+        reader = hadoop.util.LineReader(stream)
+        try:
+            line = hadoop.io.Text()
+            read = reader.readLine(line, HEADER_BYTES, HEADER_BYTES)
+            if read >= HEADER_BYTES:
+                raise ValueError(f"no header within {HEADER_BYTES} bytes of {path}")
+            return line.toString()
+        finally:
+            reader.close()
+    except Py4JJavaError:
+        logging.getLogger(__name__).warning("cannot read %s, file is left out", path)
+        return None
+
+
+def files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files grouped by their header; empty and unreadable files are left out.
+
+    One short read per file, of at most HEADER_BYTES, like the listing itself.
+    """
+    with ThreadPoolExecutor(16) as pool:
+        lines = list(pool.map(lambda path: _first_line(spark, path), paths))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, line in zip(paths, lines):
+        cells = next(csv.reader([line.lstrip("\ufeff")]), []) if line else []
+        if cells:
+            groups.setdefault(tuple(cells), []).append(path)
+    return groups
+
+
+def csv_groups(
+    spark: SparkSession, paths: list[str], multiline: bool = True, surplus: str = "fail"
+) -> Iterator[DataFrame]:
+    """One text table per header, with `_path` and `_block` of each row.
+
+    Tables are scanned without schema inference, so `001` stays `001`. A row with
+    more cells than its header fails the job, or loses them with `surplus="drop"`.
+    """
+    if surplus not in ("fail", "drop"):
+        raise ValueError(f"unknown treatment of surplus cells {surplus!r}")
+    for header, files in files_by_header(spark, paths).items():
+        names = distinct_headers(header)
+        schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+        rows = spark.read.schema(schema).options(
+            header=True, multiLine=multiline, enforceSchema=True, **CSV_OPTIONS
+        ).csv(files)
+        placed = with_place(rows)
+        if surplus == "fail":
+            more = F.concat(F.lit("more cells than columns in "), F.col("_path"))
+            placed = placed.where(
+                F.when(F.col(f"c{len(names)}").isNull(), F.lit(True))
+                .otherwise(F.raise_error(more).cast("boolean"))
+            )
+        yield placed.drop(f"c{len(names)}").toDF(*names, "_path", "_block")

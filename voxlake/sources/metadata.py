@@ -2,67 +2,26 @@
 
 from __future__ import annotations
 
-import csv
-import logging
-from concurrent.futures import ThreadPoolExecutor
-
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from voxlake.functions.text import source_label
 from voxlake.schemas import ID_CANDIDATES, NULL_TOKENS, UPLOAD_TEXT_CANDIDATES
 from voxlake.session import list_names, small_side, write_table
-from voxlake.sources.columns import distinct_headers, find_column
-from voxlake.sources.readers import CSV_OPTIONS
+from voxlake.sources.columns import find_column
+from voxlake.sources.csv_files import csv_groups
 
+# More rows than any file holds.
+ROWS_PER_FILE = 1 << 40
 _ROW = "file string, row bigint, id string, text string, source string"
 
 
-def _first_line(spark: SparkSession, path: str) -> str | None:
-    """First line of a file on any file system Spark knows; None when unreadable."""
-    java = spark._jvm.java.io
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    try:
-        stream = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(jpath)
-        reader = java.BufferedReader(java.InputStreamReader(stream, "UTF-8"))
-        try:
-            return reader.readLine()
-        finally:
-            reader.close()
-    except Py4JJavaError:
-        logging.getLogger(__name__).warning("cannot read %s, file is left out", path)
-        return None
-
-
-def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by their header; empty and unreadable files are left out.
-
-    One short read per file, like the listing itself.
-    """
-    with ThreadPoolExecutor(16) as pool:
-        lines = list(pool.map(lambda path: _first_line(spark, path), paths))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path, line in zip(paths, lines):
-        cells = next(csv.reader([line.lstrip("\ufeff")]), []) if line else []
-        if cells:
-            groups.setdefault(tuple(cells), []).append(path)
-    return groups
-
-
 def _numbered(rows: DataFrame) -> DataFrame:
     """Add `row`, the place inside the file, from written scan positions.
 
     A file may be cut into several splits and a task may read several files;
     the rows of one block of a file are always adjacent.
     """
-    landed = write_table(
-        rows.select(
-            "*",
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_tag"),
-        ),
-        "raw-rows",
-    )
+    landed = write_table(rows.withColumn("_tag", F.monotonically_increasing_id()), "raw-rows")
     blocks = landed.groupBy("_path", "_block").agg(
         F.min("_tag").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
@@ -84,7 +43,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
     )
 
 
-def scan_raw_files(spark: SparkSession, folder: str, multiline: bool = True) -> DataFrame:
+def scan_raw_files(
+    spark: SparkSession, folder: str, multiline: bool = True, surplus: str = "fail"
+) -> DataFrame:
     """Rows of all `*.csv` files of a folder: (file, row, id, text, source).
 
     Columns are found by exact case, per file. Files without a text column are
@@ -92,52 +53,55 @@ def scan_raw_files(spark: SparkSession, folder: str, multiline: bool = True) ->
     label; an empty source or text cell becomes `nan`. Texts stay as they are.
     """
     paths = [f"{folder.rstrip('/')}/{n}" for n in list_names(spark, folder) if n.endswith(".csv")]
-    empty = spark.createDataFrame([], _ROW)
-    if not paths:
-        return empty
-    out = empty
-    for header, files in _headers(spark, paths).items():
-        names = distinct_headers(header)
+    label = source_label(F.col("_path"))
+
+    def cell(i: int) -> Column:
+        value = F.col(f"c{i}")
+        return F.coalesce(F.when(~value.isin(NULL_TOKENS), value), F.lit("nan"))
+
+    found = None
+    for df in csv_groups(spark, paths, multiline, surplus):
+        names = df.columns[:-2]
         text = find_column(names, UPLOAD_TEXT_CANDIDATES, case_sensitive=True)
         if text is None:
             continue
         id_ = find_column(names, ID_CANDIDATES, case_sensitive=True)
         source = find_column(names, ["source"], case_sensitive=True)
-        rows = spark.read.schema(", ".join(f"c{i} string" for i in range(len(names)))).options(
-            header=True, multiLine=multiline, **CSV_OPTIONS
-        ).csv(files)
-
-        def cell(i: int):
-            value = F.col(f"c{i}")
-            return F.coalesce(F.when(~value.isin(NULL_TOKENS), value), F.lit("nan"))
-
-        label = F.regexp_extract("file", r"([^/]*)\.csv$", 1)
-        label = F.substring_index(label, "_", 1)
-        numbered = _numbered(rows)
-        out = out.unionByName(
-            numbered.select(
-                "file", "row",
-                (F.concat(label, F.lit("_"), F.col("row").cast("string"))
-                 if id_ is None else cell(id_)).alias("id"),
-                cell(text).alias("text"),
-                (label if source is None else cell(source)).alias("source"),
-            )
+        mine = df.toDF(*[f"c{i}" for i in range(len(names))], "_path", "_block").select(
+            "_path", "_block",
+            (F.lit(None).cast("string") if id_ is None else cell(id_)).alias("id"),
+            cell(text).alias("text"),
+            (label if source is None else cell(source)).alias("source"),
         )
-    return out
+        found = mine if found is None else found.unionByName(mine)
+    if found is None:
+        return spark.createDataFrame([], _ROW)
+    made = F.concat(source_label(F.col("file")), F.lit("_"), F.col("row").cast("string"))
+    return _numbered(found).select(
+        "file", "row", F.coalesce("id", made).alias("id"), "text", "source"
+    )
 
 
 def latest_metadata(rows: DataFrame) -> DataFrame:
     """One row per id: the later file wins, inside a file the later row.
 
-    `max_by` combines map-side, so an id repeated in a third of all rows does
-    not gather in one task.
+    A file gets a number, so that the place of a row is one number too and its
+    largest per id a hash aggregation that combines map-side; texts join it once.
+    `rows` is read twice.
     """
-    return (
-        rows.groupBy("id")
-        .agg(F.max_by(F.struct("text", "source"), F.struct("file", "row")).alias("last"))
-        .select("id", "last.text", "last.source")
+    files = write_table(
+        rows.select("file").distinct()
+        .select("file", F.row_number().over(Window.orderBy("file")).alias("_file")), "files",
+    )
+    placed = rows.join(small_side(files), "file").withColumn(
+        "_place", F.col("_file") * ROWS_PER_FILE + F.col("row")
     )
+    last = placed.groupBy("id").agg(F.max("_place").alias("_last")).withColumnRenamed("id", "_id")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("_place") == F.col("_last"))
+    return placed.join(last, same).select("id", "text", "source")
 
 
-def load_raw_metadata(spark: SparkSession, folder: str, multiline: bool = True) -> DataFrame:
-    return latest_metadata(scan_raw_files(spark, folder, multiline))
+def load_raw_metadata(
+    spark: SparkSession, folder: str, multiline: bool = True, surplus: str = "fail"
+) -> DataFrame:
+    return latest_metadata(scan_raw_files(spark, folder, multiline, surplus))

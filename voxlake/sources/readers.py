@@ -4,37 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxlake.operators.normalize import land_verbatims
+from voxlake.functions.text import source_label
+from voxlake.operators.normalize import land_cells, land_verbatims, verbatim_cells
 from voxlake.schemas import DEFAULT_LANG, LANG_CANDIDATES, SOURCE_CANDIDATES
-from voxlake.session import path_exists
-from voxlake.sources.columns import (
-    detect_roles, distinct_headers, find_column, require_column,
-)
+from voxlake.session import matching_paths, path_exists
+from voxlake.sources.columns import detect_roles, find_column, require_column
+from voxlake.sources.csv_files import csv_groups
 
-CSV_OPTIONS = {"escape": '"', "encoding": "UTF-8"}
-
-
-def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """A CSV file, or a folder of parts with one header, as text columns.
-
-    The header is read on its own, so the table is scanned once, without schema
-    inference, and `001` stays `001`. Cells may hold line breaks; where they
-    are known not to, `multiline=False` lets Spark split large files.
-    """
-    if not path_exists(spark, path):
+def _require(spark: SparkSession, path: str) -> None:
+    """A file, a folder or a pattern that matches something."""
+    if not path_exists(spark, path) and not matching_paths(spark, path):
         raise FileNotFoundError(path)
-    options = {**CSV_OPTIONS, "multiLine": multiline}
-    first = spark.read.options(header=False, **options).csv(path).limit(1).collect()
-    if not first:
-        raise ValueError(f"no header in {path}")
-    names = [("" if v is None else v) for v in first[0]]
-    names[0] = names[0].lstrip("\ufeff")
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = spark.read.schema(schema).options(header=True, **options).csv(path)
-    return rows.toDF(*distinct_headers(names))
 
 
 def load_csv(
@@ -42,24 +26,41 @@ def load_csv(
     path: str,
     text_col: str | None = None,
     id_col: str | None = None,
-    source: str = "csv",
+    source: str | None = "csv",
     lang: str = DEFAULT_LANG,
     limit: int | None = None,
     multiline: bool = True,
+    surplus: str = "fail",
 ) -> DataFrame:
-    """Normalise a CSV: columns not given are found by name."""
-    df = read_csv(spark, path, multiline)
-    roles = detect_roles(df.columns)
-    if text_col is not None:
-        roles["text"] = require_column(df.columns, text_col)
-    if roles["text"] is None:
-        raise ValueError(f"no text column found; available: {df.columns}; give text_col")
-    if id_col is not None:
-        roles["id"] = require_column(df.columns, id_col)
-    return land_verbatims(
-        df, roles["text"], roles["id"], roles["source"], roles["lang"],
-        source, lang, limit, null_tokens=True,
-    )
+    """Normalise a CSV file or a folder of them: columns not given are found by name.
+
+    Files may differ in their headers; each is read with its own. With
+    `source=None` every file gives its label, the name up to the first `_`, as
+    default source and in generated ids. Cells may hold line breaks; where they are
+    known not to, `multiline=False` lets Spark split large files. A row with more
+    cells than its header fails the job, or loses them with `surplus="drop"`.
+    """
+    _require(spark, path)
+    files = sorted(map(unquote, spark.read.schema("c0 string").csv(path).inputFiles()))
+    default = source_label(F.col("_path")) if source is None else source
+    cells = None
+    for df in csv_groups(spark, files, multiline, surplus):
+        columns = df.columns[:-2]
+        roles = detect_roles(columns)
+        if text_col is not None:
+            roles["text"] = require_column(columns, text_col)
+        if roles["text"] is None:
+            raise ValueError(f"no text column found; available: {columns}; give text_col")
+        if id_col is not None:
+            roles["id"] = require_column(columns, id_col)
+        mine = verbatim_cells(
+            df, roles["text"], roles["id"], roles["source"], roles["lang"], default, lang,
+            null_tokens=True,
+        )
+        cells = mine if cells is None else cells.unionByName(mine)
+    if cells is None:
+        raise ValueError(f"no header in {path}")
+    return land_cells(cells, limit)
 
 
 @contextmanager
@@ -90,8 +91,7 @@ def load_jsonl(
     `detect=True` looks both up by name instead. `columns` lists the fields to
     read and saves the pass that finds them.
     """
-    if not path_exists(spark, path):
-        raise FileNotFoundError(path)
+    _require(spark, path)
     reader = spark.read.option("primitivesAsString", True)
     if columns is not None:
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
