@@ -30,7 +30,7 @@ def test_backfill(spark):
     pick = ["verbatim_id", "texte_original", "source"]
     assert rows(d.backfill(results(spark), raw(spark)).select(pick)) == want
     # with a large table and hot ids
-    assert rows(d.backfill(results(spark), raw(spark), hot_rows=0, salts=3, broadcast_rows=0).select(pick)) == want
+    assert rows(d.backfill(results(spark), raw(spark), hot_rows=1, broadcast_rows=0).select(pick)) == want
     bare = results(spark).drop("texte_original", "source")
     assert ("b", "last b", "s3") in rows(d.backfill(bare, raw(spark)).select(pick))
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from voxlake.operators.inference import answer_with
 from voxlake.operators.synthesis import (
@@ -6,7 +7,7 @@ from voxlake.operators.synthesis import (
 )
 from workload import transports
 
-from conftest import rows
+from conftest import no_wait, rows
 
 
 def comments(spark, n, theme="A"):
@@ -36,7 +37,7 @@ def test_merged_synthesis_does_not_depend_on_the_chunks(spark, lines, merge):
     analyses = frame(spark, comments(spark, 25) + comments(spark, 4, "B") + comments(spark, 2, "No"))
     done, failures = synthesize(
         categories(spark, "A", "B", "No", "Vide"), analyses,
-        answer_with(transports.echo_synthesizer("No")), lines, merge,
+        answer_with(transports.echo_synthesizer("No")), lines, merge, wait=no_wait,
     )
     got = {r["category"]: r for r in done.collect()}
     assert sorted(got) == ["A", "B", "Vide"]
@@ -45,6 +46,19 @@ def test_merged_synthesis_does_not_depend_on_the_chunks(spark, lines, merge):
     assert got["B"]["positive_points"] == ["B summary 0", "B summary 3"]
     assert tuple(got["Vide"])[1:] == ("Vide", [], [], "Aucun avis disponible pour cette catégorie.")
     assert [r["category"] for r in failures.collect()] == ["No"]
+    assert got["A"]["global_synthesis"] == "A: bilan 25" and got["B"]["global_synthesis"] == "B: bilan 4"
+
+
+def test_a_chunk_that_fails_once_is_asked_again(spark):
+    good = answer_with(transports.echo_synthesizer("No"))
+
+    def answers(prompts, attempt):
+        bad = (F.col("chunk") == 1) & F.lit(attempt == 0)
+        return good(prompts, attempt).withColumn("raw", F.when(~bad, F.col("raw")))
+
+    done, failures = synthesize(
+        categories(spark, "A"), frame(spark, comments(spark, 25)), answers, 10, wait=no_wait)
+    assert [r["global_synthesis"] for r in done.collect()] == ["A: bilan 25"] and failures.count() == 0
 
 
 def test_one_failing_chunk_leaves_the_category_out(spark):
@@ -57,7 +71,7 @@ def test_one_failing_chunk_leaves_the_category_out(spark):
 
     done, failures = synthesize(
         categories(spark, "A", "B"), frame(spark, comments(spark, 12) + comments(spark, 5, "B")),
-        answer_with(transport), 4, 2,
+        answer_with(transport), 4, 2, wait=no_wait,
     )
     assert [r["category"] for r in done.collect()] == ["B"]
     assert [tuple(r) for r in failures.collect()] == [("A", "no synthesis answer for A")]

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxlake.operators.harmonize import (
     apply_mapping, harmonize, harmonization_prompts, parse_mappings, theme_chunks, unique_themes,
@@ -14,7 +15,7 @@ from voxlake.operators.quantify import (
 )
 from voxlake.session import write_table
 
-from conftest import rows
+from conftest import no_wait, rows
 
 
 def themes_of(spark, names):
@@ -77,7 +78,7 @@ def test_no_themes_no_call(spark):
 ])
 def test_bad_answers_raise(spark, raw):
     with pytest.raises(ValueError):
-        harmonize(themes_of(spark, ["t"]), answer_with(lambda prompt: raw))
+        harmonize(themes_of(spark, ["t"]), answer_with(lambda prompt: raw), wait=no_wait)
 
 
 def test_answer_in_prose_is_read(spark):
@@ -145,10 +146,10 @@ def test_lookup_spreads_hot_keys_without_changing_rows(spark):
     table = write_table(spark.createDataFrame(
         [("hot", 1)] + [(f"k{i}", i) for i in range(0, 50, 2)], "k string, v int"), "t")
     plain = facts.join(table, "k", "left").select("id", "k", "v")
-    spread = lookup(facts, table, "k", hot_rows=20, salts=5, broadcast_rows=0)
+    spread = lookup(facts, table, "k", hot_rows=20, broadcast_rows=0)
     assert rows(spread.select("id", "k", "v")) == rows(plain)
     copies = spark.range(0, 300, 1, 4).selectExpr("'hot' as k")
-    spread = lookup(copies, table, "k", hot_rows=20, salts=5, broadcast_rows=0)
+    spread = lookup(copies, table, "k", hot_rows=20, broadcast_rows=0)
     assert rows(spread.groupBy("k", "v").count()) == [("hot", 1, 300)]
     assert rows(lookup(facts, table, "k").select("id", "k", "v")) == rows(plain)
 
@@ -207,10 +208,46 @@ def test_empty_input(spark):
     assert category_shares(d).first()["pct"] is None
 
 
-def test_large_mappings_stay_out_of_the_report_row(spark):
+def test_the_report_row_holds_counts_only(spark):
     analyses = analyses_of(spark, ("a", "neutre"), ("b", "positif"))
-    mapping = mapping_of(spark, {"a": "X", "b": "X"})
-    d = distribution_of(spark, analyses, mapping, ["X"])
-    assert report_document(d, mapping, "f").first()["mapping"] == {"a": "X", "b": "X"}
-    small = report_document(d, mapping, "f", mapping_rows=1).first()
-    assert small["mapping"] is None and small["theme_distribution"]["X"]["total"] == 2
+    d = distribution_of(spark, analyses, mapping_of(spark, {"a": "X", "b": "X"}), ["X"])
+    doc = report_document(d, "f")
+    assert doc.columns == ["metadata", "global_sentiment", "theme_distribution"]
+    assert doc.first()["theme_distribution"]["X"]["total"] == 2
+
+
+def test_several_calls_lose_no_name(spark):
+    """Values outside the categories, and keys nobody asked about, survive a merge."""
+    def transport(prompt):
+        names = [x[2:] for x in prompt.split("\nThemes:\n")[1].splitlines()]
+        mapping = {n: ("Hors" if n.endswith("0") else "A") for n in names if n.startswith("t")}
+        mapping.update({n: n for n in names if n in ("A", "Hors")}, extra="E")
+        return json.dumps({"categories": ["A"], "mapping": mapping})
+
+    names = [f"t{i:02d}" for i in range(30)]
+    want = {**{n: ("Hors" if n.endswith("0") else "A") for n in names}, "extra": "E"}
+    for per_call in (100, 4):
+        found = harmonize(themes_of(spark, names), answer_with(transport), themes_per_call=per_call, wait=no_wait)
+        assert dict(found.mapping.collect()) == want
+        assert [r["category"] for r in found.categories.collect()] == ["A"]
+
+
+def test_a_failing_chunk_is_asked_again(spark, folder):
+    names = [f"{c}{i:03d}" for c in "abc" for i in range(20)]
+    good, asked = answer_with(first_letters()), []
+
+    def answers(prompts, attempt):
+        asked.append((attempt, sorted(r["chunk"] for r in prompts.collect())))
+        bad = (F.col("chunk") == 2) & F.lit(attempt == 0 and len(asked) == 1)
+        return good(prompts, attempt).withColumn("raw", F.when(~bad, F.col("raw")))
+
+    waited = []
+    found = harmonize(themes_of(spark, names), answers, themes_per_call=25, wait=waited.append, at=f"{folder}/kept")
+    assert asked == [(0, [0, 1, 2]), (1, [2])] or asked[:2] == [(0, [0, 1, 2]), (1, [2])]
+    assert waited[:1] == [2] and found.mapping.count() == 60
+
+    def never(prompts, attempt):
+        raise AssertionError("asked again")
+
+    again = harmonize(themes_of(spark, names), never, themes_per_call=25, wait=waited.append, at=f"{folder}/kept")
+    assert rows(again.mapping) == rows(found.mapping)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from voxlake.functions.text import percent
-from voxlake.operators.lookup import HOT_ROWS, SALTS, lookup
+from voxlake.operators.lookup import HOT_ROWS, lookup
 from voxlake.operators.quantify import COUNT_COLUMNS, global_sentiment
 from voxlake.schemas import TEXT_NOT_FOUND, UNKNOWN_SOURCE
 from voxlake.session import BROADCAST_ROWS, is_small, write_table
@@ -25,7 +25,6 @@ def backfill(
     results: DataFrame,
     raw_rows: DataFrame,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Fill missing texts and sources from raw rows (file, row, id, text, source).
@@ -53,7 +52,7 @@ def backfill(
         ),
         "metadata",
     )
-    filled = lookup(gaps, known, "verbatim_id", hot_rows, salts, broadcast_rows)
+    filled = lookup(gaps, known, "verbatim_id", hot_rows, broadcast_rows)
     filled = filled.withColumn(
         "texte_original",
         F.when(no_text, F.coalesce("_text", F.lit(TEXT_NOT_FOUND)))
@@ -134,6 +133,6 @@ def text_search(rows: DataFrame, term: str) -> DataFrame:
     return rows.where(hit)
 
 
-def preview(df: DataFrame, n: int = 20) -> DataFrame:
-    """A few raw rows to look at; which ones is left to Spark."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 20, order: Sequence[str] = ()) -> DataFrame:
+    """A few raw rows to look at: the first along `order`, or whichever Spark finds first."""
+    return df.orderBy(*order).limit(n) if order else df.limit(n)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxlake.functions.numbers import int_div
 from voxlake.functions.strict_json import as_list, as_string, is_string, with_strict_json
-from voxlake.operators.inference import Answers, spread
+from voxlake.operators.inference import Answers, ask_in_rounds
 from voxlake.operators.lookup import lookup
 from voxlake.operators.positions import land_positions
-from voxlake.schemas import FALLBACK_CATEGORY, MAX_CATEGORIES, RAW_EXCERPT
+from voxlake.schemas import FALLBACK_CATEGORY, MAX_CATEGORIES, MAX_RETRIES, RAW_EXCERPT
 from voxlake.session import prepare, write_table
 
 THEMES_PER_CALL = 2_000
@@ -91,7 +93,7 @@ def parse_mappings(responses: DataFrame) -> DataFrame:
     )
     return parsed.select(
         "chunk",
-        problem.alias("problem"),
+        problem.alias("problem"), F.col("error").isNotNull().alias("unexpected"),
         F.transform("_categories", as_string).alias("categories"),
         F.transform("_pairs", lambda p: F.struct(
             p["key"].alias("theme"), as_string(p["value"]).alias("macro_theme"),
@@ -100,24 +102,31 @@ def parse_mappings(responses: DataFrame) -> DataFrame:
 
 
 def _ask(
-    themes: DataFrame, n: int, answers: Answers, max_categories: int, per_call: int
+    themes: DataFrame, answers: Answers, max_categories: int, per_call: int,
+    max_retries: int, wait: Callable[[float], None], at: str | None,
 ) -> tuple[DataFrame, DataFrame]:
     """One call per chunk: the read answers and their (theme, macro_theme) pairs.
 
-    Raises when any answer is unusable. With several calls each one only counts
-    for the themes it was asked about.
+    Unusable answers are asked for again; raises when one stays unusable. A theme
+    belongs to the call it was asked in; of names no call was asked about, the first
+    call that gives one counts.
     """
-    chunks = theme_chunks(themes, per_call)
-    prompts = spread(harmonization_prompts(chunks, max_categories), "chunk")
-    raw = write_table(answers(prompts, 0), "harmonization")
-    parsed = write_table(parse_mappings(raw), "mappings")
+    chunks = write_table(theme_chunks(themes, per_call), "chunks")
+    parsed = write_table(
+        ask_in_rounds(
+            harmonization_prompts(chunks, max_categories), ["chunk"], answers, parse_mappings,
+            "problem is not null and not unexpected", max_retries, wait, at,
+        ), "mappings",
+    )
     bad = parsed.where(F.col("problem").isNotNull()).select("problem").first()
     if bad is not None:
         raise ValueError(bad["problem"])
     pairs = parsed.select("chunk", F.explode("pairs").alias("p")).select("chunk", "p.*")
-    if n > per_call:
-        pairs = pairs.join(chunks.select("chunk", "theme"), ["chunk", "theme"], "left_semi")
-    return parsed, pairs.select("theme", "macro_theme")
+    owned = pairs.join(chunks.select("theme", F.col("chunk").alias("_own")), "theme", "left").where(
+        F.col("_own").isNull() | (F.col("_own") == F.col("chunk"))
+    )
+    first = owned.groupBy("theme").agg(F.min("chunk").alias("chunk"))
+    return parsed, owned.join(first, ["theme", "chunk"]).select("theme", "macro_theme")
 
 
 def harmonize(
@@ -126,13 +135,18 @@ def harmonize(
     max_categories: int = MAX_CATEGORIES,
     fallback: str = "first",
     themes_per_call: int = THEMES_PER_CALL,
+    max_retries: int = MAX_RETRIES,
+    wait: Callable[[float], None] = time.sleep,
+    at: str | None = None,
 ) -> Harmonization:
     """Ask for a mapping, then give every unmapped theme a category.
 
-    Up to `themes_per_call` themes are one call. More are cut into several
-    calls, and the category names they return are merged by further calls of
-    the same kind until one answer covers all; no task holds more than one
-    call's themes. No retry: a bad answer raises ValueError.
+    Up to `themes_per_call` themes are one call. More are cut into several calls,
+    and the names they use, whether listed as categories or not, are merged by
+    further calls of the same kind until one answer covers all; a name that a
+    merge leaves out stays as it is. No task holds more than one call's themes. A bad
+    answer is asked for again; if it stays bad, ValueError is raised. With `at`, a
+    folder, answers outlive a crash.
     """
     spark = themes.sparkSession
     themes = write_table(themes.select("theme").distinct(), "themes")
@@ -142,21 +156,24 @@ def harmonize(
             spark.createDataFrame([], "pos int, category string"),
             spark.createDataFrame([], "theme string, macro_theme string"),
         )
-    parsed, mapping = _ask(themes, n, answers, max_categories, themes_per_call)
+    asked = (answers, max_categories, themes_per_call, max_retries, wait, at)
+    parsed, mapping = _ask(themes, *asked)
+    mapping = write_table(mapping, "first-mapping")
     while n > themes_per_call:
         names = write_table(
-            parsed.select(F.explode("categories").alias("theme")).distinct(), "category-names"
+            parsed.select(F.explode("categories").alias("theme"))
+            .unionByName(mapping.select(F.col("macro_theme").alias("theme"))).distinct(),
+            "category-names",
         )
         left = names.count()
         if left >= n:
             raise ValueError(f"{n} themes were merged into {left} categories; nothing is gained")
         n = left
-        parsed, pairs = _ask(names, n, answers, max_categories, themes_per_call)
+        parsed, pairs = _ask(names, *asked)
         step = pairs.select(F.col("theme").alias("macro_theme"), F.col("macro_theme").alias("_merged"))
         mapping = write_table(
             lookup(mapping, write_table(step, "merge-step"), "macro_theme")
-            .select("theme", F.col("_merged").alias("macro_theme"))
-            .where(F.col("macro_theme").isNotNull()),
+            .select("theme", F.coalesce("_merged", "macro_theme").alias("macro_theme")),
             "merged-mapping",
         )
     categories = write_table(

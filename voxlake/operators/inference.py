@@ -2,21 +2,81 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from voxlake.schemas import MAX_RETRIES
+from voxlake.session import path_exists, write_table
 
 # (prompts, attempt) -> the key columns of the prompts plus raw and error
 Answers = Callable[[DataFrame, int], DataFrame]
 
 
+# Prompts that one task holds, in bytes.
+TASK_BYTES = 64 * 1024 * 1024
+
+
 def spread(prompts: DataFrame, *keys: str) -> DataFrame:
-    """One task per core for a modest number of prompts.
+    """A task per core for few prompts, more where their volume asks for it.
 
-    Adaptive execution would merge them by size into a few tasks, which then
+    Adaptive execution would merge few prompts by size into a few tasks, which then
     make their slow calls one after another. A fixed number is left alone.
+    `prompts` is read twice, once for its volume: build it on a written table.
+    """
+    size = prompts.agg(F.sum(F.octet_length("prompt").cast("bigint")).alias("n")).first()["n"] or 0
+    cores = prompts.sparkSession.sparkContext.defaultParallelism
+    return prompts.repartition(max(cores, math.ceil(size / TASK_BYTES)), *keys)
+
+
+def ask_in_rounds(
+    prompts: DataFrame,
+    keys: list[str],
+    answers: Answers,
+    parse: Callable[[DataFrame], DataFrame],
+    retry: str,
+    max_retries: int = MAX_RETRIES,
+    wait: Callable[[float], None] = time.sleep,
+    at: str | None = None,
+    all_attempts: bool = False,
+) -> DataFrame:
+    """Ask every prompt, then those again whose answer meets the condition `retry`.
+
+    `parse` reads (keys, raw, error) and keeps the keys; the last word on every
+    prompt is returned with its `attempt`, or all attempts. Before each further round there is a
+    wait that doubles. Raw answers are written before they are read. With `at`, a
+    folder, they are kept under a digest of the prompts: after a crash the same
+    prompts are not asked again.
     """
-    return prompts.repartition(prompts.sparkSession.sparkContext.defaultParallelism, *keys)
+    spark = prompts.sparkSession
+    prompts = write_table(prompts, "prompts")
+    if at is not None:
+        told = prompts.agg(
+            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*keys, "prompt")).alias("digest")
+        ).first()
+        at = f"{at}/{told['n']}-{(told['digest'] or 0) & (2**64 - 1):016x}"
+    final: list[DataFrame] = []
+    todo = prompts
+    for attempt in range(max_retries + 1):
+        if attempt > 0:
+            wait(2**attempt)
+        path = None if at is None else f"{at}.{attempt}"
+        if path is not None and path_exists(spark, f"{path}/_SUCCESS"):
+            raw = spark.read.parquet(path)
+        else:
+            raw = write_table(answers(spread(todo, *keys), attempt), "raw", path)
+        parsed = write_table(parse(raw).withColumn("attempt", F.lit(attempt)), "parsed")
+        again = parsed.where(retry).select(*keys)
+        last = attempt == max_retries or again.isEmpty()
+        over = F.lit(True) if last or all_attempts else ~F.coalesce(F.expr(retry), F.lit(False))
+        final.append(parsed.where(over))
+        if last:
+            break
+        todo = todo.join(again, keys, "left_semi")
+    return reduce(DataFrame.unionByName, final)
 
 
 def answer_with(

@@ -19,6 +19,8 @@ COUNT_COLUMNS = dict(zip(SENTIMENTS, ["positif", "negatif", "neutre"]))
 
 # More items than any answer holds.
 POSITIONS_PER_BATCH = 1 << 20
+# Macro themes that a report can hold; harmonisation asks for a handful.
+MOST_MACRO_THEMES = 100_000
 
 
 def _counts() -> list[Column]:
@@ -181,33 +183,21 @@ def one_row(*parts: DataFrame) -> DataFrame:
     return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
 
 
-def report_document(
-    distribution: DataFrame,
-    mapping: DataFrame,
-    source_file: str,
-    mapping_rows: int = 50_000,
-) -> DataFrame:
-    """The report as one row: metadata, global sentiment, distribution, mapping.
+def report_document(distribution: DataFrame, source_file: str) -> DataFrame:
+    """The report as one row: metadata, global sentiment, distribution.
 
-    The mapping is put into the row up to `mapping_rows` themes. Beyond that
-    the field is null and the mapping stays the table it is, which the caller
-    stores next to the report.
+    The mapping has a row per theme and is a table of its own, whatever its size.
     """
     counts = F.struct("total", *[F.col(c).alias(s) for s, c in COUNT_COLUMNS.items()])
+    # Macro themes are few by their purpose; more than one row can hold is an error.
+    few = F.when(F.count(F.lit(1)) > MOST_MACRO_THEMES, F.raise_error(F.lit(
+        f"more than {MOST_MACRO_THEMES} macro themes"))).otherwise(
+        F.map_from_entries(F.collect_list(F.struct("macro_theme", counts.alias("counts")))))
     doc = distribution.agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNT_COLUMNS.values()],
-        F.map_from_entries(F.collect_list(F.struct("macro_theme", counts.alias("counts")))).alias(
-            "theme_distribution"
-        ),
+        few.alias("theme_distribution"),
     )
-    if mapping.count() <= mapping_rows:
-        pairs = mapping.agg(
-            F.map_from_entries(F.collect_list(F.struct("theme", "macro_theme"))).alias("mapping")
-        )
-        doc = one_row(doc, pairs)
-    else:
-        doc = doc.withColumn("mapping", F.lit(None).cast("map<string,string>"))
     return doc.select(
         F.struct(
             F.lit(source_file).alias("source_file"),
@@ -218,5 +208,4 @@ def report_document(
             F.array(*[F.lit(s) for s in COUNT_COLUMNS]), F.array(*COUNT_COLUMNS.values())
         ).alias("global_sentiment"),
         "theme_distribution",
-        "mapping",
     )

@@ -8,17 +8,20 @@ fits one chunk costs exactly one call.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from voxlake.functions.numbers import int_div
 from voxlake.functions.strict_json import (
     as_list, as_string, field, is_string, with_strict_json,
 )
-from voxlake.operators.inference import Answers, spread
+from voxlake.operators.inference import Answers, ask_in_rounds
 from voxlake.operators.positions import running_totals
 from voxlake.operators.quantify import one_row
-from voxlake.schemas import EMPTY_SYNTHESIS, RAW_EXCERPT
-from voxlake.session import prepare, write_table
+from voxlake.schemas import EMPTY_SYNTHESIS, MAX_RETRIES, RAW_EXCERPT
+from voxlake.session import prepare, small_side, write_table
 
 LINES_PER_CALL = 5_000
 PARTS_PER_MERGE = 50
@@ -57,13 +60,14 @@ def category_reviews(
         .select("category", "chunk", F.size("g").cast("bigint").alias("n"),
                 F.array_join(F.col("g.line"), "\n").alias("lines"))
     )
-    return categories.select(F.col("macro_theme").alias("category")).distinct().join(
-        chunks, "category", "left"
-    ).select(
-        "category", F.coalesce("chunk", F.lit(0).cast("bigint")).alias("chunk"),
-        F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
-        F.coalesce("lines", F.lit("")).alias("lines"),
+    # Joining names with chunks would send all texts of a category to one task.
+    named = categories.select(F.col("macro_theme").alias("category")).distinct()
+    seen = rows.select("category").distinct()
+    empty = named.join(seen, "category", "left_anti").select(
+        "category", F.lit(0).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("n"),
+        F.lit("").alias("lines"),
     )
+    return chunks.unionByName(empty)
 
 
 def synthesis_prompts(chunks: DataFrame, instruction: str = SYNTHESIS_PROMPT) -> DataFrame:
@@ -103,6 +107,7 @@ def parse_syntheses(responses: DataFrame) -> DataFrame:
     )
     return parsed.select(
         "category", "chunk", problem.alias("problem"),
+        F.col("error").isNotNull().alias("unexpected"),
         as_string(field(j, "macro_theme")).alias("macro_theme"),
         F.transform("_pos", as_string).alias("positive_points"),
         F.transform("_neg", as_string).alias("negative_points"),
@@ -136,11 +141,15 @@ def synthesize(
     answers: Answers,
     lines_per_call: int = LINES_PER_CALL,
     parts_per_merge: int = PARTS_PER_MERGE,
+    max_retries: int = MAX_RETRIES,
+    wait: Callable[[float], None] = time.sleep,
+    at: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(syntheses, failures) per category; a failing category is left out.
 
     An empty category gets a fixed row without a call. Calls of all categories
-    and chunks run in parallel, without retry.
+    and chunks run in parallel; unusable answers are asked for again. With `at`, a
+    folder, answers outlive a crash.
     """
     if parts_per_merge < 2:
         raise ValueError("parts_per_merge must be at least 2")
@@ -151,20 +160,27 @@ def synthesize(
         F.array().cast("array<string>").alias("negative_points"),
         F.lit(EMPTY_SYNTHESIS).alias("global_synthesis"),
     )
-    prompts = spread(synthesis_prompts(chunks), "category", "chunk")
-    raw = write_table(answers(prompts, 0), "synthesis")
-    parts = write_table(parse_syntheses(raw), "syntheses")
+
+    def ask(prompts: DataFrame) -> DataFrame:
+        return ask_in_rounds(
+            prompts, ["category", "chunk"], answers, parse_syntheses,
+            "problem is not null and not unexpected", max_retries, wait, at,
+        ).drop("attempt", "unexpected")
+
+    parts = write_table(ask(synthesis_prompts(chunks)), "syntheses")
     failures = parts.where(F.col("problem").isNotNull()).select("category", "problem")
     # Each round divides the number of parts of a category by parts_per_merge.
     while parts.where(F.col("chunk") > 0).limit(1).count() > 0:
-        good = parts.join(failures.select("category").distinct(), "category", "left_anti")
-        several = good.where(F.col("chunk") > 0).select("category").distinct()
+        bad = small_side(write_table(failures.select("category").distinct(), "failed"))
+        good = write_table(parts.join(bad, "category", "left_anti"), "good")
+        several = small_side(
+            write_table(good.where(F.col("chunk") > 0).select("category").distinct(), "several")
+        )
         merged_in = good.join(several, "category", "left_semi")
         single = good.join(several, "category", "left_anti")
         lines = _partial_lines(merged_in, parts_per_merge)
-        prompts = spread(synthesis_prompts(lines, MERGE_PROMPT), "category", "chunk")
-        raw = write_table(answers(prompts, 0), "synthesis")
-        parts = write_table(parse_syntheses(raw).unionByName(single), "syntheses")
+        merged = ask(synthesis_prompts(lines, MERGE_PROMPT))
+        parts = write_table(merged.unionByName(single), "syntheses")
         failures = failures.unionByName(
             parts.where(F.col("problem").isNotNull()).select("category", "problem")
         )
