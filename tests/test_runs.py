@@ -7,7 +7,9 @@ from voxlake.operators.dashboard import kpis
 from voxlake.operators.inference import answer_with
 from voxlake.operators.normalize import kept
 from voxlake.plans import analysis
-from voxlake.plans.analysis import checkpoint, pending_batches, run_analysis, run_errors
+from voxlake.plans.analysis import (
+    checkpoint, pending_batches, release_run, run_analysis, run_errors,
+)
 from voxlake.plans.dashboard import dashboard_rows
 from voxlake.plans.quantification import quantify_run, synthesize_run
 from voxlake.plans.store import (
@@ -15,10 +17,10 @@ from voxlake.plans.store import (
 )
 from voxlake.schemas import ERROR
 from voxlake.sources.columns import label_from_path
-from voxlake.sources.readers import from_dataframe, load_csv
+from voxlake.sources.readers import from_dataframe, load_csv, load_jsonl
 from workload import transports
 
-from conftest import rows
+from conftest import no_wait, rows
 
 
 def comments(spark, n=25):
@@ -29,10 +31,6 @@ def comments(spark, n=25):
     return kept(from_dataframe(df, "text", "id"))
 
 
-def no_wait(seconds):
-    pass
-
-
 def recording(echo, bad=()):
     """An answering step that fails the batches of `bad` by (batch, attempt)."""
     good = answer_with(echo)
@@ -166,7 +164,7 @@ def test_parts_are_committed_one_by_one(spark, store):
 
     run = run_analysis(
         comments(spark, 45), answers, store, "r", batches_per_commit=2, wait=no_wait, on_progress=listener)
-    assert heard == [(2, 5, 20, 0), (4, 5, 40, 0), (5, 5, 45, 0)]
+    assert heard == [(1, 5, 10, 0), (2, 5, 20, 0), (3, 5, 30, 0), (4, 5, 40, 0), (5, 5, 45, 0)]
     assert answers.calls == [(0, [0, 1]), (0, [2, 3]), (0, [4])]
     assert run.parts == ("000000", "000001", "000002")
     assert ids(run.valid) == list(range(45)) == ids(load_results(store, "r"))
@@ -200,6 +198,39 @@ def test_the_bucketed_input_is_found_by_a_new_session(spark, store):
     assert ids(load_results(store, "r")) == list(range(25))
 
 
+def test_stored_errors_retire(spark, store):
+    verbatims = comments(spark)
+    for bad in ([(0, "always"), (1, "always")], [(0, "always"), (1, "always")], [(1, "always")]):
+        run_analysis(verbatims, recording(transports.echo_analyst(), bad), store, "r", max_retries=0, wait=no_wait)
+    assert [(e["type"], e["batch_idx"]) for e in run_errors(store, "r").collect()] == [("batch_failure", 1)]
+
+
+@pytest.mark.parametrize("size", ["64k", "1k"])
+def test_resume_with_other_splits(spark, store, folder, size):
+    for name, start, n in (("b", 60, 15), ("a", 0, 60), ("c", 75, 3)):
+        with open(f"{folder}/{name}.jsonl", "w") as f:
+            f.writelines(json.dumps({"id": f"doc_{i}", "text": f"comment number {i} {'x' * 80}"}) + "\n"
+                         for i in range(start, start + n))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        bad = recording(transports.echo_analyst(), [(2, "always")])
+        run_analysis(kept(load_jsonl(spark, f"{folder}/*.jsonl")), bad, store, "r", max_retries=0, wait=no_wait)
+        spark.conf.set(key, size)
+        good = recording(transports.echo_analyst())
+        run_analysis(kept(load_jsonl(spark, f"{folder}/*.jsonl")), good, store, "r", wait=no_wait)
+    finally:
+        spark.conf.set(key, before)
+    assert good.calls == [(0, [2])] and ids(load_results(store, "r")) == list(range(78))
+
+
+def test_release(spark, store):
+    run_analysis(comments(spark), answer_with(transports.echo_analyst()), store, "r", wait=no_wait)
+    release_run(store, "r")
+    assert not store.exists("batches", "r") and not store.exists("responses", "r")
+    assert ids(load_results(store, "r")) == list(range(25)) and run_errors(store, "r").count() == 0
+
+
 def test_no_input(spark, store):
     run = run_analysis(comments(spark, 1).where("false"), answer_with(transports.echo_analyst()),
                        store, "r", wait=no_wait)
@@ -234,7 +265,8 @@ def test_dashboard_rows(spark, store, folder):
     assert [r["macro_theme"] for r in dashboard_rows(store, "r").collect()] == ["M", "M"]
 
 
-def test_runs_and_errors_on_disk(spark, store):
+def test_runs_and_errors_on_disk(spark, folder):
+    store = Store(spark, folder, results_format="json")
     results = spark.createDataFrame([("a", "t", "s", "neutre", None)], "verbatim_id string, theme string, summary string, sentiment string, source string")
     for run_id in ("20240101_000000", "20250101_000000"):
         path = save_results(results, store, run_id)
@@ -262,23 +294,24 @@ def test_from_a_csv_file_to_the_report(spark, store, folder):
 
 def test_quantify_and_synthesise_a_run(spark, store):
     run_analysis(comments(spark), answer_with(transports.echo_analyst()), store, "r", wait=no_wait)
-    assert load_report(store, "r") == (None, None)
+    assert load_report(store, "r") == (None, None, None)
     done = quantify_run(store, "r", answer_with(transports.echo_harmonizer(["Produit", "Service"])))
     assert done.enriched.where("macro_theme is null").count() == 0
     report = done.report.first()
     assert report["metadata"]["total_verbatims"] == 25
     assert report["global_sentiment"]["positif"] == 9
     assert done.lines.first()["line"] == "Total verbatims analysés : 25"
-    syntheses, failures = synthesize_run(store, "r", answer_with(transports.echo_synthesizer("Service")))
+    syntheses, failures = synthesize_run(store, "r", answer_with(transports.echo_synthesizer("Service")), wait=no_wait)
     assert [r["category"] for r in failures.collect()] == ["Service"]
-    report, enriched = load_report(store, "r")
+    report, enriched, mapping = load_report(store, "r")
+    assert {r["theme"] for r in mapping.collect()} == {r["theme"] for r in enriched.collect()}
     stored = report.first()["syntheses"]
     assert set(stored) == {r["category"] for r in syntheses.collect()} and "Service" not in stored
     assert enriched.count() == 25
 
 
 def test_results_kept_in_columns(spark, folder):
-    store = Store(spark, folder, results_format="parquet")
+    store = Store(spark, folder)
     run = run_analysis(comments(spark), answer_with(transports.echo_analyst()), store, "r", wait=no_wait)
     assert ids(run.valid) == list(range(25)) == ids(load_results(store, "r"))
     done = quantify_run(store, "r", answer_with(transports.echo_harmonizer(["Produit"])))
@@ -297,8 +330,9 @@ def test_themes_that_differ_by_case_keep_their_entries(spark, store):
     )), store, "r")
     answer = '{"categories": ["Prix", "prix"], "mapping": {"Prix": "Prix", "prix": "prix"}}'
     quantify_run(store, "r", answer_with(lambda prompt: answer))
-    report = load_report(store, "r")[0].first()
-    assert report["mapping"] == {"Prix": "Prix", "prix": "prix"}
+    report, _, mapping = load_report(store, "r")
+    assert dict(mapping.collect()) == {"Prix": "Prix", "prix": "prix"}
+    report = report.first()
     assert {k: v["total"] for k, v in report["theme_distribution"].items()} == {"Prix": 1, "prix": 1}
     assert report["theme_distribution"]["prix"]["positif"] == 1
 
@@ -306,4 +340,4 @@ def test_themes_that_differ_by_case_keep_their_entries(spark, store):
 def test_a_run_without_results_is_not_quantified(spark, store):
     run_analysis(comments(spark, 2), recording(transports.echo_analyst(), [(0, "always")]), store, "r",
                  max_retries=0, wait=no_wait)
-    assert quantify_run(store, "r", answer_with(transports.echo_harmonizer([]))) is None
+    assert quantify_run(store, "r", answer_with(transports.echo_harmonizer([])), wait=no_wait) is None

@@ -7,7 +7,7 @@ from voxlake.session import list_names, shared_dir
 from voxlake.streaming import incremental
 from workload import transports
 
-from conftest import rows
+from conftest import no_wait, rows
 
 SCHEMA = "id string, text string, source string"
 
@@ -21,7 +21,8 @@ def write(folder, name, ids):
 def run(spark, store, folder, answers, id_col="id"):
     rows_ = incremental.read_stream(spark, "json", SCHEMA, f"{folder}/in", files_per_batch=1)
     query = incremental.analyse_stream(
-        rows_, answers, store, "s", f"{folder}/checkpoint", "text", id_col, batch_size=4)
+        rows_, answers, store, "s", f"{folder}/checkpoint", "text", id_col, batch_size=4,
+        wait=no_wait)
     query.awaitTermination()
     assert query.exception() is None
 
@@ -74,6 +75,30 @@ def test_a_replayed_epoch_replaces_itself(spark, store):
     assert sum(r["n"] for r in incremental.running_sentiment(store, "s").collect()) == 5
 
 
+def test_a_replayed_epoch_asks_nothing(spark, store):
+    frame = spark.createDataFrame([(f"doc_{i}", f"comment number {i}") for i in range(6)], "id string, text string")
+    incremental.analyse_epoch(frame, 0, answer_with(transports.echo_analyst()), store, "s", "text", "id")
+
+    def never(prompts, attempt):
+        raise AssertionError("asked again")
+
+    incremental.analyse_epoch(frame, 0, never, store, "s", "text", "id")
+    assert load_results(store, "s").count() == 6
+
+
+def test_counts_are_compacted(spark, store):
+    echo = answer_with(transports.echo_analyst())
+    for epoch in range(5):
+        frame = spark.createDataFrame(
+            [(f"doc_{i}", f"comment number {i}") for i in range(6 * epoch, 6 * epoch + 6)], "id string, text string")
+        incremental.analyse_epoch(frame, epoch, echo, store, "s", "text", "id")
+        if epoch in (1, 3):
+            incremental.compact_counts(store, "s", epoch)
+        total = sum(r["n"] for r in incremental.running_sentiment(store, "s").collect())
+        assert total == 6 * epoch + 6
+    assert sorted(store.committed("sentiment", "s")) == ["epoch-000000004", "upto-000000003"]
+
+
 def test_generated_ids_name_the_epoch_and_failures_are_kept(spark, store, folder):
     os.mkdir(f"{folder}/in")
     write(f"{folder}/in", "a.json", range(6))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import logging
 import time
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from voxlake.functions.numbers import int_div
 from voxlake.operators.batching import (
     assign_batches, build_prompts, fingerprint, group_batches, items_digest,
 )
-from voxlake.operators.inference import Answers
+from voxlake.operators.inference import Answers, spread
 from voxlake.operators.responses import OK, UNEXPECTED, failed_batches, parse_answers
 from voxlake.operators.validation import (
     all_errors, batch_progress, batch_tallies, check_batches, first_results, run_totals,
@@ -30,7 +31,10 @@ from voxlake.session import path_exists, small_side, write_table
 Progress = Callable[[int, int, int, int], None]
 
 BUCKET_BYTES = 256 * 1024 * 1024
-MAX_BUCKETS = 100_000  # Spark's own default limit for a bucketed table
+# Spark's own default limit for a bucketed table; beyond it buckets grow instead.
+MAX_BUCKETS = 100_000
+# Batches between two commits: what a crash can cost at most.
+BATCHES_PER_COMMIT = 100_000
 
 
 @dataclass(frozen=True)
@@ -119,8 +123,8 @@ class _Batches:
         self.name = f"spark_catalog.default.voxlake_batches_{digest}"
 
     def write(self, batched: DataFrame, buckets: int) -> None:
-        spread = batched.repartition(buckets, "batch_idx")
-        grouped = group_batches(spread).withColumn("digest", items_digest())
+        dealt = batched.repartition(buckets, "batch_idx")
+        grouped = group_batches(dealt).withColumn("digest", items_digest())
         spark = batched.sparkSession
         spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         (
@@ -167,7 +171,7 @@ def _open_run(
             spark.sparkContext.defaultParallelism, _scanned_bytes(batched) // BUCKET_BYTES
         )
         buckets = min(wanted, MAX_BUCKETS)
-    table.write(batched, buckets)
+    table.write(batched, int(buckets))
     batches = table.read(buckets)
     batches.agg(
         F.lit(run_id).alias("run_id"),
@@ -208,23 +212,25 @@ def checkpoint(store: Store, run_id: str) -> DataFrame:
 
 def _rounds(
     batches: DataFrame, todo: DataFrame, answers: Answers, store: Store, run_id: str, part: str,
-    max_retries: int, wait: Callable[[float], None],
+    max_retries: int, wait: Callable[[float], None], earlier: int,
 ) -> list[str]:
     """Ask until every batch is read or the attempts are used up.
 
     `todo` is a written list of batch ids. Each round writes the raw answers,
     reads them back to judge them, and hands the failed ids to the next round.
-    A transport error is final for this call. Returns the parts written.
+    A transport error is final for this call. Returns the parts written; `earlier`
+    is how many the part has from a crashed call.
     """
     attempts: list[str] = []
-    earlier = len([p for p in store.committed("responses", run_id) if p.startswith(f"{part}.")])
     for attempt in range(max_retries + 1):
         if todo.limit(1).count() == 0:
             break
         if attempt > 0:
             wait(2**attempt)
         name = f"{part}.{earlier + attempt:04d}"
-        prompts = build_prompts(batches.join(small_side(todo), "batch_idx", "left_semi"))
+        prompts = spread(
+            build_prompts(batches.join(small_side(todo), "batch_idx", "left_semi")), "batch_idx"
+        )
         asked = answers(prompts, attempt).select(
             "batch_idx", F.lit(attempt).alias("attempt"), "raw", "error"
         )
@@ -243,25 +249,25 @@ def run_analysis(
     batch_size: int = BATCH_SIZE,
     max_retries: int = MAX_RETRIES,
     resume: bool = True,
-    batches_per_commit: int | None = None,
+    batches_per_commit: int = BATCHES_PER_COMMIT,
     buckets: int | None = None,
     wait: Callable[[float], None] = time.sleep,
     on_progress: Progress | None = None,
 ) -> Run:
     """Analyse verbatims with the model behind `answers` and store the outcome.
 
-    Work is committed in parts of `batches_per_commit` batches (default: one
-    part). A part writes raw answers, judged answers, results, errors and, last
+    Work is committed in parts of `batches_per_commit` batches. A part writes raw answers, judged answers, results, errors and, last
     of all, its checkpoint. After a crash the answers already paid for are
     committed first, under the name of the unfinished part, so nothing is asked
     or stored twice. Batches without a readable answer stay out of the
     checkpoint and are replayed by the next call with the same `run_id`.
-    `on_progress` hears of every commit; the frame `Run.progress` has it by batch.
+    `on_progress` hears of every batch once its part is committed; the frame
+    `Run.progress` has the same.
     """
     spark = store.spark
     run_id = run_id or new_run_id(spark)
     batches, total = _open_run(verbatims, store, run_id, batch_size, resume, buckets)
-    width = batches_per_commit or max(total, 1)
+    width = batches_per_commit
 
     parts = _recover(batches, store, run_id)
     done = store.committed("checkpoint", run_id)
@@ -271,32 +277,40 @@ def run_analysis(
     unfinished = write_table(
         unfinished.select("batch_idx", int_div("batch_idx", width).alias("wave")), "unfinished"
     )
+    # One number per commit.
     waves = [r["wave"] for r in unfinished.select("wave").distinct().orderBy("wave").collect()]
+    asked = Counter(p.split(".")[0] for p in store.committed("responses", run_id))
 
-    handled = valid = errors = 0
+    so_far = (0, 0, 0)
     for i, wave in enumerate(waves):
         part = _part_name(len(done) + i)
         reach = (F.col("batch_idx") >= wave * width) & (F.col("batch_idx") < (wave + 1) * width)
         mine = batches.where(reach)
         todo = unfinished.where(F.col("wave") == wave).select("batch_idx")
-        attempts = _rounds(mine, todo, answers, store, run_id, part, max_retries, wait)
+        attempts = _rounds(
+            mine, todo, answers, store, run_id, part, max_retries, wait, asked[part]
+        )
         judged = _read_parts(store, "answers", run_id, attempts, _ANSWER)
         failed = write_table(failed_batches(judged), "failed")
         _commit(mine, judged, failed, store, run_id, part)
         parts.append(part)
         if on_progress is not None:
-            sums = Run(store, run_id, total, (part,)).summary.first()
-            handled, valid, errors = (
-                before + sums[c] for before, c in
-                zip((handled, valid, errors), ("total", "valid", "errors"))
-            )
-            try:
-                on_progress(handled, total, valid, errors)
-            except Exception:  # noqa: BLE001 - a failing listener does not stop the run
-                logging.getLogger(__name__).exception("on_progress failed")
+            so_far = _tell(on_progress, Run(store, run_id, total, (part,)), so_far)
     return Run(store, run_id, total, tuple(parts))
 
 
+def _tell(on_progress: Progress, run: Run, so_far: tuple[int, int, int]) -> tuple[int, int, int]:
+    """Call the listener once per batch of a committed part, in order."""
+    handled, valid, errors = so_far
+    for row in run.tallies.orderBy("batch_idx").toLocalIterator():
+        handled, valid, errors = handled + 1, valid + row["n_valid"], errors + row["n_errors"]
+        try:
+            on_progress(handled, run.total_batches, valid, errors)
+        except Exception:  # noqa: BLE001 - a failing listener does not stop the run
+            logging.getLogger(__name__).exception("on_progress failed")
+    return handled, valid, errors
+
+
 def _part_name(n: int) -> str:
     return f"{n:06d}"
 
@@ -351,4 +365,11 @@ def _commit(
 
 
 def run_errors(store: Store, run_id: str) -> DataFrame:
-    return load_errors(store, run_id, ERROR)
+    """Errors of a run that still hold: no failures of batches that are done by now."""
+    return load_errors(store, run_id, ERROR, _completed(store, run_id))
+
+
+def release_run(store: Store, run_id: str) -> None:
+    """Give up resuming a run: its input, raw and judged answers and its table go."""
+    store.spark.sql(f"DROP TABLE IF EXISTS {_Batches(store, run_id).name}")
+    store.release(run_id)

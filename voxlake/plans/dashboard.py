@@ -14,7 +14,7 @@ def dashboard_rows(store: Store, run_id: str, raw_folder: str | None = None) ->
 
     With `raw_folder`, missing texts and sources are looked up in its CSV files.
     """
-    _, enriched = load_report(store, run_id)
+    enriched = load_report(store, run_id)[1]
     rows = load_results(store, run_id) if enriched is None else enriched
     if raw_folder is not None:
         rows = backfill(rows, scan_raw_files(store.spark, raw_folder))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -40,19 +42,23 @@ def quantify_run(
     max_categories: int = MAX_CATEGORIES,
     fallback: str = "first",
     themes_per_call: int = THEMES_PER_CALL,
+    wait: Callable[[float], None] = time.sleep,
 ) -> Quantification | None:
     """Harmonise, count and store `enriched_results` and `quantification_report`.
 
     The mapping is stored as a table next to them. None when the run has no
     results.
     """
+    if store.exists("meta", run_id) and not store.exists("results", run_id):
+        return None  # a run without a single batch
     analyses = load_results(store, run_id)
     # One pass over the rows; themes, counts and distribution all follow from it.
     tallies = write_table(theme_tallies(analyses), "tallies")
     if tallies.limit(1).count() == 0:
         return None
     found = harmonize(
-        unique_themes(tallies), answers, max_categories, fallback, themes_per_call
+        unique_themes(tallies), answers, max_categories, fallback, themes_per_call,
+        wait=wait, at=store.path("harmonization", run_id),
     )
     mapping = write_table(found.mapping, "mapping", store.path("mapping", run_id))
     categories = write_table(found.categories, "categories", store.path("categories", run_id))
@@ -62,7 +68,7 @@ def quantify_run(
     enriched_path = store.save_rows(
         apply_mapping(analyses, mapping), store.path("enriched_results", run_id)
     )
-    report = report_document(distribution, mapping, store.path("results", run_id))
+    report = report_document(distribution, store.path("results", run_id))
     save_json(report.coalesce(1), store.path("quantification_report", run_id))
     return Quantification(
         Harmonization(categories, mapping), distribution,
@@ -75,6 +81,7 @@ def synthesize_run(
     run_id: str,
     answers: Answers,
     lines_per_call: int = LINES_PER_CALL,
+    wait: Callable[[float], None] = time.sleep,
 ) -> tuple[DataFrame, DataFrame]:
     """Synthesise every macro theme of a quantified run and put them into its report.
 
@@ -88,9 +95,11 @@ def synthesize_run(
     categories = store.spark.read.parquet(store.path("categories", run_id)).select(
         F.col("category").alias("macro_theme")
     ).unionByName(enriched.select("macro_theme")).distinct()
-    done, failures = synthesize(categories, enriched, answers, lines_per_call)
+    done, failures = synthesize(
+        categories, enriched, answers, lines_per_call, wait=wait, at=store.path("synthesis", run_id)
+    )
     done = write_table(done, "syntheses", store.path("syntheses", run_id))
-    report, _ = load_report(store, run_id)
+    report = load_report(store, run_id)[0]
     # The report is one row; its replacement is written elsewhere before it takes its place.
     renewed = write_table(attach_syntheses(report, done), "report")
     save_json(renewed.coalesce(1), store.path("quantification_report", run_id))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -15,6 +18,10 @@ STORED = T.StructType(ANALYSIS.fields + [
 ])
 
 
+# What a run keeps to go on after a crash.
+PAID = ("batches", "responses", "answers", "checked", "harmonization", "synthesis")
+
+
 def new_run_id(spark: SparkSession) -> str:
     return spark.range(1).select(
         F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss").alias("t")
@@ -25,13 +32,13 @@ def new_run_id(spark: SparkSession) -> str:
 class Store:
     """A folder that all executors see, laid out by kind and run.
 
-    `results_format="parquet"` keeps results and enriched rows in columns, so
-    that counting sentiments does not read texts; the default is JSON Lines.
+    Results and enriched rows are kept in columns, so that counting sentiments does
+    not read texts; `results_format="json"` writes JSON Lines instead.
     """
 
     spark: SparkSession
     root: str
-    results_format: str = "json"
+    results_format: str = "parquet"
 
     def __post_init__(self) -> None:
         if self.results_format not in ("json", "parquet"):
@@ -62,6 +69,16 @@ class Store:
         marks = matching_paths(self.spark, f"{self.path(kind, run_id)}/*/_SUCCESS")
         return [m.split("/")[-2] for m in marks]
 
+    def release(self, run_id: str, kinds: Sequence[str] = PAID) -> None:
+        """Delete what a finished run only needs to resume: input, answers, judgements.
+
+        Results, errors, tallies, checkpoint and reports stay; the run cannot replay
+        failed batches afterwards.
+        """
+        for kind in kinds:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(kind, run_id))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def runs(self) -> DataFrame:
         """Ids of the runs with results, newest name first."""
         names = [re.fullmatch(r"results_(.+)", n) for n in list_names(self.spark, self.root)]
@@ -82,6 +99,30 @@ def save_results(analyses: DataFrame, store: Store, run_id: str, part: str = "al
     return store.save_rows(analyses, f"{store.path('results', run_id)}/{part}")
 
 
+def save_runs(analyses: DataFrame, store: Store, run: str) -> None:
+    """Write the results of many runs at once; column `run` names the run of a row.
+
+    One write, partitioned by run; the folders are then moved to their places.
+    """
+    spark = store.spark
+    base = f"{store.root.rstrip('/')}/_runs-{uuid.uuid4().hex}"
+    writer = analyses.write.partitionBy(run)
+    if store.results_format == "json":
+        writer.option("ignoreNullFields", False).json(base)
+    else:
+        writer.parquet(base)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in list_names(spark, base):
+        if not name.startswith(f"{run}="):
+            continue
+        target = hadoop(store.path("results", unquote(name.split("=", 1)[1])) + "/all")
+        fs.delete(target, True)
+        fs.mkdirs(target.getParent())
+        fs.rename(hadoop(f"{base}/{name}"), target)
+    fs.delete(hadoop(base), True)
+
+
 def save_errors(
     errors: DataFrame, store: Store, run_id: str, part: str = "all", any_errors: bool | None = None
 ) -> str | None:
@@ -124,18 +165,42 @@ def load_results(store: Store, run_id: str) -> DataFrame:
     return store.read_rows(base)
 
 
-def load_errors(store: Store, run_id: str, schema: T.StructType) -> DataFrame:
+def load_errors(
+    store: Store, run_id: str, schema: T.StructType, completed: DataFrame | None = None
+) -> DataFrame:
+    """Stored errors of a run that still hold.
+
+    A batch that failed counts with its last failure only, and not at all once it is
+    among the `completed` ones (batch_idx). Errors of items and of answered batches
+    stay.
+    """
     spark, base = store.spark, store.path("errors", run_id)
     if not path_exists(spark, base):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", True).json(base)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(base)
+    failure = F.col("type").isin("batch_failure", "unexpected_error")
+    part = F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]+)/[^/]*$", 1).cast("bigint")
+    failed = rows.where(failure).withColumn("_part", part)
+    last = failed.groupBy("batch_idx").agg(F.max("_part").alias("_part"))
+    if completed is not None:
+        last = last.join(completed.select("batch_idx"), "batch_idx", "left_anti")
+    names = schema.fieldNames()
+    return rows.where(~failure).unionByName(
+        failed.join(last, ["batch_idx", "_part"]).select(*names)
+    )
 
 
-def load_report(store: Store, run_id: str) -> tuple[DataFrame | None, DataFrame | None]:
-    """The stored report and enriched rows of a run, None where not written yet."""
-    report = enriched = None
+def load_report(
+    store: Store, run_id: str
+) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """The stored report, enriched rows and mapping of a run, None where not written yet."""
+    report = enriched = mapping = None
     if store.exists("quantification_report", run_id):
         report = store.spark.read.schema(REPORT).json(store.path("quantification_report", run_id))
     if store.exists("enriched_results", run_id):
         enriched = store.read_rows(store.path("enriched_results", run_id))
-    return report, enriched
+    if store.exists("mapping", run_id):
+        mapping = store.spark.read.schema("theme string, macro_theme string").parquet(
+            store.path("mapping", run_id)
+        )
+    return report, enriched, mapping

@@ -59,7 +59,7 @@ MISSING_VERBATIMS = "{} verbatim(s) sauté(s) par le LLM"
 ATTEMPTS_FAILED = "Échec après {} tentatives: {}"
 NO_API_ANSWER = "Pas de réponse de l'API"
 INVALID_JSON = "JSON invalide: {}"
-INVALID_SCHEMA = "Validation du schéma: réponse non conforme"
+INVALID_SCHEMA = "Validation du schéma: réponse non conforme ({})"
 RAW_EXCERPT = 200
 
 # Lines of the text report, padded by the caller.
@@ -124,6 +124,5 @@ REPORT = T.StructType([
     T.StructField("theme_distribution", T.MapType(T.StringType(), T.StructType(
         [T.StructField(name, T.LongType()) for name in ["total", *SENTIMENTS]]
     ))),
-    T.StructField("mapping", T.MapType(T.StringType(), T.StringType())),
     T.StructField("syntheses", T.MapType(T.StringType(), SYNTHESIS)),
 ])

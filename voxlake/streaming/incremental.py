@@ -7,21 +7,23 @@ checkpoint remembers which files were taken.
 
 from __future__ import annotations
 
-from functools import reduce
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from voxlake.operators.batching import assign_batches, build_prompts, group_batches
-from voxlake.operators.inference import Answers, spread
+from voxlake.operators.inference import Answers, ask_in_rounds
 from voxlake.operators.normalize import kept
 from voxlake.operators.quantify import global_sentiment
 from voxlake.operators.responses import OK, UNEXPECTED, failed_batches, parse_answers
 from voxlake.operators.validation import all_errors, check_batches, valid_analyses
 from voxlake.plans.store import Store, save_errors, save_results
 from voxlake.schemas import BATCH_SIZE, DEFAULT_LANG, MAX_RETRIES, SENTIMENTS
-from voxlake.session import path_exists, scratch, small_side, write_table
-from voxlake.sources.readers import CSV_OPTIONS, from_dataframe
+from voxlake.session import list_names, path_exists, scratch, small_side, write_table
+from voxlake.sources.csv_files import CSV_OPTIONS
+from voxlake.sources.readers import from_dataframe
 
 
 def read_stream(
@@ -37,6 +39,10 @@ def read_stream(
     return reader.load(folder)
 
 
+# Epochs whose counts are summed into one folder.
+EPOCHS_PER_COUNT = 1_000
+
+
 def _epoch(epoch: int) -> str:
     return f"epoch-{epoch:09d}"
 
@@ -54,26 +60,26 @@ def analyse_epoch(
     batch_size: int = BATCH_SIZE,
     max_retries: int = MAX_RETRIES,
     null_tokens: bool = False,
+    wait: Callable[[float], None] = time.sleep,
 ) -> None:
     """Analyse one micro-batch and replace whatever its epoch stored before."""
     verbatims = kept(from_dataframe(
         frame, text_col, id_col, source, lang,
         id_prefix=f"{source}_{epoch}", null_tokens=null_tokens,
     ))
-    batched = spread(assign_batches(verbatims, batch_size), "batch_idx")
-    batches = write_table(group_batches(batched), "batches")
-    tries, todo = [], None
-    for attempt in range(max_retries + 1):
-        asked = batches if todo is None else batches.join(
-            small_side(todo), "batch_idx", "left_semi"
-        )
-        raw = answers(build_prompts(asked), attempt).withColumn("attempt", F.lit(attempt))
-        judged = write_table(parse_answers(write_table(raw, "raw")).drop("raw", "error"), "judged")
-        tries.append(judged)
-        todo = judged.where(~F.col("kind").isin(OK, UNEXPECTED)).select("batch_idx")
-        if todo.limit(1).count() == 0:
-            break
-    parsed = reduce(DataFrame.unionByName, tries)
+    batches = write_table(group_batches(assign_batches(verbatims, batch_size)), "batches")
+
+    def judge(raw: DataFrame) -> DataFrame:
+        return parse_answers(raw).drop("raw", "error")
+
+    # A replayed epoch asks the same prompts and finds its answers again.
+    parsed = write_table(
+        ask_in_rounds(
+            build_prompts(batches), ["batch_idx"], answers, judge,
+            f"kind not in ('{OK}', '{UNEXPECTED}')", max_retries, wait,
+            f"{store.path('responses', run_id)}/{_epoch(epoch)}", all_attempts=True,
+        ), "judged",
+    )
     checked = write_table(check_batches(parsed.where(F.col("kind") == OK), batches), "checked")
     failed = small_side(write_table(failed_batches(parsed), "failed"))
     valid = valid_analyses(checked)
@@ -99,6 +105,7 @@ def analyse_stream(
     max_retries: int = MAX_RETRIES,
     null_tokens: bool = False,
     every: str | None = None,
+    wait: Callable[[float], None] = time.sleep,
 ) -> StreamingQuery:
     """Start analysing a stream of comments.
 
@@ -111,8 +118,10 @@ def analyse_stream(
         with scratch(frame.sparkSession):
             analyse_epoch(
                 frame, epoch, answers, store, run_id, text_col, id_col, source, lang,
-                batch_size, max_retries, null_tokens,
+                batch_size, max_retries, null_tokens, wait,
             )
+            if epoch % EPOCHS_PER_COUNT == EPOCHS_PER_COUNT - 1:
+                compact_counts(store, run_id, epoch)
 
     return (
         rows.writeStream.foreachBatch(one_epoch)
@@ -122,16 +131,39 @@ def analyse_stream(
     )
 
 
-def running_sentiment(store: Store, run_id: str) -> DataFrame:
-    """Sentiment counts over all epochs so far, from three rows per epoch."""
+_COUNTS = "sentiment string, n bigint"
+
+
+def compact_counts(store: Store, run_id: str, epoch: int) -> None:
+    """Sum the counts of all epochs up to `epoch` into one folder of its own.
+
+    Its name tells what it holds, so counting stays right whichever of the older
+    folders are gone already.
+    """
+    base = store.path("sentiment", run_id)
+    total = f"{base}/upto-{epoch:09d}"
+    if not path_exists(store.spark, f"{total}/_SUCCESS"):
+        write_table(running_sentiment(store, run_id, epoch).coalesce(1), "sentiment", total)
+    for name in list_names(store.spark, base):
+        if name != f"upto-{epoch:09d}" and int(name.split("-")[1]) <= epoch:
+            path = store.spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+            path.getFileSystem(store.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def running_sentiment(store: Store, run_id: str, last: int | None = None) -> DataFrame:
+    """Sentiment counts over all epochs so far (up to `last`), from three rows per folder."""
     spark, base = store.spark, store.path("sentiment", run_id)
     domain = F.explode(F.array(*[F.lit(s) for s in SENTIMENTS])).alias("sentiment")
     zeros = spark.range(1).select(domain, F.lit(0).cast("bigint").alias("n"))
-    if path_exists(spark, base):
-        counts = spark.read.schema("sentiment string, n bigint").option(
-            "recursiveFileLookup", True
-        ).parquet(base)
-        zeros = zeros.unionByName(counts)
+    written = [(int(p.split("-")[1]), p) for p in store.committed("sentiment", run_id)]
+    totals = [e for e, p in written if p.startswith("upto-")]
+    since = max(totals, default=-1)
+    paths = [
+        f"{base}/{p}" for e, p in written
+        if (last is None or e <= last) and (e == since if p.startswith("upto-") else e > since)
+    ]
+    if paths:
+        zeros = zeros.unionByName(spark.read.schema(_COUNTS).parquet(*paths))
     return zeros.groupBy("sentiment").agg(F.sum("n").alias("n"))
 
 
