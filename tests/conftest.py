@@ -16,6 +16,7 @@ def spark():
         SparkSession.builder.master("local[8]").appName("voxlake-tests")
         .config("spark.sql.shuffle.partitions", "3")
         .config("spark.default.parallelism", "3")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
@@ -43,3 +44,7 @@ def store(spark, folder):
 def rows(df, *order):
     out = [tuple(r) for r in df.collect()]
     return sorted(out, key=lambda t: tuple((v is not None, str(v)) for v in t))
+
+
+def no_wait(seconds):
+    """Retries need no pause in tests."""

@@ -42,7 +42,12 @@ def dirty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_summary(text: Column) -> Column:
-    return F.left(F.regexp_replace(text, "[ \\t\\n\\r]+", " "), F.lit(60))
+    """A short start of the text; of longer ones also length and digest of the whole."""
+    plain = F.regexp_replace(text, "[ \\t\\n\\r]+", " ")
+    return F.when(F.length(plain) <= 60, plain).otherwise(F.concat(
+        F.left(plain, F.lit(60)), F.lit(" "), F.length(plain).cast("string"), F.lit(" "),
+        F.md5(plain),
+    ))
 
 
 def ideal(spark: SparkSession, sf_dir: str) -> DataFrame:

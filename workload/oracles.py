@@ -5,6 +5,7 @@ The expected rows come straight from the tables: no JSON is built or parsed.
 
 from __future__ import annotations
 
+from voxlake.operators.dashboard import RESULT_COLUMNS
 from voxlake.schemas import SENTIMENTS
 from voxlake.sources import datasets
 from workload import queries as q
@@ -48,13 +49,21 @@ clean AS (
 kept AS (SELECT * FROM clean WHERE text IS NOT NULL AND text NOT IN ('', 'nan'))
 """
 
-IDEAL = """
+def _summary(text: str) -> str:
+    plain = f"regexp_replace({text}, '[ \\t\\n\\r]+', ' ', 'g')"
+    return (
+        f"CASE WHEN length({plain}) <= 60 THEN {plain} "
+        f"ELSE left({plain}, 60) || ' ' || length({plain}) || ' ' || md5({plain}) END"
+    )
+
+
+IDEAL = f"""
 ideal AS (
   SELECT d.doc_id, d.doc_id // 10 AS batch_idx, d.doc_id % 10 AS p, 'doc_' || d.doc_id AS id,
     d.text, d.source, d.lang,
     CASE WHEN l.toxic = 1 THEN 'négatif' WHEN l.quality = 1 THEN 'positif' ELSE 'neutre' END AS sentiment,
     'theme ' || d.lang || ' ' || (d.doc_id % 23) AS theme,
-    left(regexp_replace(d.text, '[ \\t\\n\\r]+', ' ', 'g'), 60) AS summary,
+    {_summary('d.text')} AS summary,
     CASE WHEN d.doc_id % 29 = 4 THEN 'missing' WHEN d.doc_id % 31 = 6 THEN 'dup'
          WHEN d.doc_id % 37 = 8 THEN 'ghost' WHEN d.doc_id % 41 = 10 THEN 'long'
          WHEN d.doc_id % 43 = 12 THEN 'blank' WHEN d.doc_id % 47 = 14 THEN 'short'
@@ -193,7 +202,7 @@ def _report_lines() -> str:
     SELECT (row_number() OVER (ORDER BY block, sub))::INTEGER AS line_no, line FROM lines"""
 
 
-def _synthetic() -> str:
+def _synthetic(cut: bool = True) -> str:
     def draw(what: str, n: int) -> str:
         return f"(('0x' || substr(md5('7/{what}/' || id), 1, 8))::BIGINT % {n} + 1)"
 
@@ -221,7 +230,18 @@ def _synthetic() -> str:
         UNION ALL {' UNION ALL '.join(parts)}),
       shuffled AS (
         SELECT *, row_number() OVER (ORDER BY md5('7/order/' || id), id) AS place FROM everything)
-      SELECT id, text, source, lang FROM shuffled WHERE place <= (SELECT 4 * n FROM size)"""
+      SELECT id, text, source, lang FROM shuffled
+      WHERE place <= (SELECT 4 * n FROM size) OR {not cut}"""
+
+
+def _files() -> str:
+    """Rows of the three CSV files in file order, with the place in all and in their file."""
+    return """
+    files AS (
+      SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc_id) - 1 AS row,
+        row_number() OVER (ORDER BY file, doc_id) - 1 AS row_idx
+      FROM (SELECT doc_id, 'said "' || text || '",' AS text, lang, source,
+              ['avis été', 'b+c', 'd'][doc_id % 3 + 1] AS file FROM documents))"""
 
 
 _ATTEMPT_KIND = """CASE made WHEN 'none' THEN 'no_answer' WHEN 'prose' THEN 'bad_json'
@@ -280,7 +300,7 @@ ORACLES: dict[str, str] = {
           SELECT batch_idx, attempt, made, {_ATTEMPT_KIND} AS kind FROM attempts)
         SELECT batch_idx, attempt, kind, CASE kind
             WHEN 'no_answer' THEN 'Pas de réponse de l''API'
-            WHEN 'bad_schema' THEN 'Validation du schéma: réponse non conforme'
+            WHEN 'bad_schema' THEN 'Validation du schéma: réponse non conforme (analyses[0].sentiment)'
             ELSE 'JSON invalide: ' || CASE made WHEN 'prose' THEN 'Je ne peux pas répondre.'
               ELSE left(j.raw, 200) END END AS last_error
         FROM bad LEFT JOIN (
@@ -314,7 +334,8 @@ ORACLES: dict[str, str] = {
         FROM answered WHERE n_missing > 0""",
     "batch_failures": f"""{_ANSWERED} SELECT batch_idx, 'batch_failure' AS type,
           expected::INTEGER AS n_items,
-          'Échec après 3 tentatives: Validation du schéma: réponse non conforme' AS error FROM failed""",
+          'Échec après 3 tentatives: Validation du schéma: réponse non conforme (analyses[0].sentiment)' AS error
+        FROM failed""",
     "errors_by_type": f"""{_ANSWERED}, e AS (
           SELECT 'count_mismatch' AS type FROM answered WHERE expected <> got
           UNION ALL SELECT 'missing_verbatims' FROM answered WHERE n_missing > 0
@@ -397,13 +418,59 @@ ORACLES: dict[str, str] = {
     "stored_report": f"""{_THEMED} SELECT macro_theme AS category, total,
           CASE WHEN macro_theme = 'Hors liste' THEN NULL
                WHEN total = 0 THEN 'Aucun avis disponible pour cette catégorie.'
-               ELSE macro_theme || ': bilan' END AS global_synthesis,
+               ELSE macro_theme || ': bilan ' || total END AS global_synthesis,
           CASE WHEN macro_theme <> 'Hors liste' THEN least(positif, 2)::INTEGER END AS n_positive
         FROM distribution""",
     "streaming_sentiment": f"""
         WITH s AS (SELECT {_list(SENTIMENTS)}[doc_id % 3 + 1] AS sentiment,
-            left(regexp_replace({_strip('text')}, '[ \\t\\n\\r]+', ' ', 'g'), 60) AS summary FROM documents),
+            {_summary(_strip('text'))} AS summary FROM documents),
         ok AS (SELECT sentiment FROM s WHERE length({_strip('summary')}) >= 5)
         SELECT sentiment, count(ok.sentiment) AS n FROM {_DOMAIN} LEFT JOIN ok USING (sentiment)
         GROUP BY sentiment""",
+    "streaming_replay": f"""
+        WITH s AS (SELECT {_list(SENTIMENTS)}[doc_id % 3 + 1] AS sentiment,
+            {_summary(_strip('text'))} AS summary FROM documents)
+        SELECT sentiment, count(*) AS n, count(*) AS n_ids FROM s
+        WHERE length({_strip('summary')}) >= 5 GROUP BY sentiment""",
+    "theme_mapping_many": f"{_THEMED} SELECT theme, macro_theme FROM mapping",
+    "csv_source": f"""{_with(_files())}
+        SELECT row_idx, CASE file WHEN 'd' THEN doc_id::VARCHAR ELSE file || '_' || row_idx END AS id,
+          {_strip('text')} AS text, CASE file WHEN 'd' THEN 'd' ELSE source END AS source,
+          CASE file WHEN 'd' THEN 'fr' ELSE lang END AS lang, row_idx AS position FROM files""",
+    "raw_metadata_files": f"""{_with(_files())}
+        SELECT CASE file WHEN 'd' THEN doc_id::VARCHAR ELSE file || '_' || row END AS id, text,
+          CASE file WHEN 'd' THEN 'd' ELSE source END AS source FROM files WHERE file <> 'b+c'""",
+    "jsonl_source": f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx,
+          doc_id::VARCHAR AS id, 'said "' || {_strip('text || chr(34)')} || ',' AS text, source, lang,
+          row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents""",
+    "stored_errors": f"""{_ANSWERED}, e AS (
+          SELECT 'count_mismatch' AS type, batch_idx FROM answered WHERE expected <> got
+          UNION ALL SELECT 'missing_verbatims', batch_idx FROM answered WHERE n_missing > 0
+          UNION ALL SELECT 'item_validation', batch_idx FROM judged WHERE NOT ({_OK_ITEM})
+          UNION ALL SELECT 'batch_failure', batch_idx FROM failed)
+        SELECT type, batch_idx, count(*) AS n FROM e GROUP BY type, batch_idx""",
+    "resume_other_splits": f"""WITH p AS (
+          SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, 'said "' || text || '",' AS t FROM documents)
+        SELECT 'jsonl_' || i AS verbatim_id, length({_strip('t')}) || ' characters' AS summary,
+          i // 10 AS batch_idx, i % 10 AS pos FROM p""",
+    "checkpoint_state": f"""{_ANSWERED} SELECT 'run' AS run_id, (SELECT count(*) FROM answered) AS completed_batches,
+          (SELECT count(*) FROM sizes) AS total_batches, true AS recent""",
+    "first_rows": f"""{_ANSWERED} SELECT batch_idx, pos, verbatim_id, summary FROM judged
+        WHERE {_OK_ITEM} ORDER BY batch_idx, pos LIMIT 5""",
+    "progress_events": f"""{_ANSWERED} SELECT row_number() OVER w AS handled, (SELECT count(*) FROM sizes) AS total,
+          sum(n_valid) OVER w::BIGINT AS valid, sum(n_errors) OVER w::BIGINT AS errors,
+          row_number() OVER w AS call FROM tallies WINDOW w AS (ORDER BY batch_idx)""",
+    "run_id_format": "SELECT DISTINCT lang, true AS well_formed FROM documents",
+    "empty_run": """SELECT count(*) AS rows_read, 0::BIGINT AS rows_kept, 0::BIGINT AS valid,
+          0::BIGINT AS errors, 0::BIGINT AS completed, 0::BIGINT AS total, false AS quantified FROM documents""",
+    "result_columns": f"""{_THEMED}, c AS (SELECT count(id) AS a, count(source) AS b, count(text) AS c,
+          count(macro_theme) AS d, count(theme) AS e, count(summary) AS f, count(sentiment) AS g FROM enriched)
+        SELECT unnest(range(7))::INTEGER AS place,
+          unnest({_list(RESULT_COLUMNS)}) AS column_name, unnest([a, b, c, d, e, f, g]) AS n FROM c""",
+    "preview_rows": f"""{_with(IDEAL)} SELECT id AS verbatim_id, text AS texte_original FROM ideal
+        ORDER BY doc_id LIMIT 20""",
+    "global_shares": f"""{_with(IDEAL)}, g AS (SELECT sentiment, count(doc_id) AS n
+          FROM {_DOMAIN} LEFT JOIN ideal USING (sentiment) GROUP BY sentiment)
+        SELECT sentiment, n, {_PCT.format(n='n', total='(SELECT sum(n) FROM g)')} AS pct FROM g""",
+    "synthetic_reviews_all": _synthetic(cut=False),
 }

@@ -12,12 +12,14 @@ from voxlake.operators import (
 )
 from voxlake.operators.inference import answer_with
 from voxlake.operators.positions import land_positions
-from voxlake.plans.analysis import Run, pending_batches, run_analysis
+from voxlake.plans.analysis import Run, checkpoint, pending_batches, run_analysis, run_errors
 from voxlake.plans.quantification import Quantification, quantify_run, synthesize_run
-from voxlake.plans.store import Store, load_report, save_results
-from voxlake.session import new_path, prepare, write_table
+from voxlake.plans.store import (
+    Store, load_report, load_results, new_run_id, save_results, save_runs,
+)
+from voxlake.session import move_file, new_path, prepare, write_table
 from voxlake.sources import columns, datasets, metadata
-from voxlake.sources.readers import from_dataframe
+from voxlake.sources.readers import from_dataframe, load_csv, load_jsonl
 from voxlake.streaming import incremental
 from workload import frames as fx, transports
 
@@ -56,7 +58,9 @@ def _verbatims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return responses.parse_answers(fx.responses(spark, sf_dir))
+    """The judged answers, written: choosing among attempts reads them twice."""
+    judged = responses.parse_answers(fx.responses(spark, sf_dir)).drop("raw", "error")
+    return write_table(judged, "judged")
 
 
 def _checked(
@@ -69,7 +73,7 @@ def _checked(
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Checked batches, failed batches and sent batches from answers read once."""
-    parsed = write_table(_parsed(spark, sf_dir), "judged")
+    parsed = _parsed(spark, sf_dir)
     batches = fx.sent_batches(spark, sf_dir, carry=())
     checked = validation.check_batches(responses.first_accepted(parsed), batches)
     return checked, responses.failed_batches(parsed), batches
@@ -387,9 +391,9 @@ def list_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "analyses",
     )
     store = _store(spark)
-    for row in analyses.select("lang").distinct().collect():
-        mine = analyses.where(F.col("lang") == row["lang"]).drop("lang")
-        save_results(mine, store, f"run_{row['lang']}")
+    save_runs(
+        analyses.withColumn("run", F.concat(F.lit("run_"), "lang")).drop("lang"), store, "run"
+    )
     return store.runs()
 
 
@@ -401,10 +405,13 @@ def unique_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonize.unique_themes(fx.ideal_analyses(spark, sf_dir))
 
 
-def _harmonized(spark: SparkSession, sf_dir: str, fallback: str) -> DataFrame:
+def _harmonized(
+    spark: SparkSession, sf_dir: str, fallback: str, per_call: int = harmonize.THEMES_PER_CALL
+) -> DataFrame:
     found = harmonize.harmonize(
         harmonize.unique_themes(fx.ideal_analyses(spark, sf_dir)),
         answer_with(transports.echo_harmonizer(fx.CATEGORIES)), fallback=fallback,
+        themes_per_call=per_call, wait=no_wait,
     )
     return found.mapping.select("theme", "macro_theme")
 
@@ -414,6 +421,12 @@ def theme_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _harmonized(spark, sf_dir, "first")
 
 
+@query
+def theme_mapping_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over several calls and a merge."""
+    return _harmonized(spark, sf_dir, "first", per_call=20)
+
+
 @query
 def theme_mapping_autre(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _harmonized(spark, sf_dir, "autre")
@@ -464,15 +477,15 @@ def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     tallies = quantify.theme_tallies(fx.ideal_analyses(spark, sf_dir))
     macros = quantify.macro_tallies(tallies, mapping)
     doc = quantify.report_document(
-        quantify.theme_distribution(macros, found.categories), mapping, "results_run"
+        quantify.theme_distribution(macros, found.categories), "results_run"
     )
-    return doc.select(
+    mapped = mapping.agg(F.count(F.lit(1)).cast("int").alias("n_mapped"))
+    return quantify.one_row(doc.select(
         "metadata.source_file", "metadata.total_verbatims",
         *[F.col("global_sentiment")[s].alias(c) for s, c in quantify.COUNT_COLUMNS.items()],
         F.size("theme_distribution").alias("n_macro_themes"),
         F.col("theme_distribution")["Autre"]["total"].alias("n_autre"),
-        F.size("mapping").alias("n_mapped"),
-    )
+    ), mapped)
 
 
 # --- dashboard -------------------------------------------------------------------------
@@ -539,7 +552,7 @@ def synthesis_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     done, _ = synthesis.synthesize(
         *_for_synthesis(spark, sf_dir),
         answer_with(transports.echo_synthesizer("Hors liste")),
-        lines_per_call=LINES_PER_CALL, parts_per_merge=4,
+        lines_per_call=LINES_PER_CALL, parts_per_merge=4, wait=no_wait,
     )
     return synthesis.synthesis_points(done)
 
@@ -549,14 +562,14 @@ def _quantified(spark: SparkSession, sf_dir: str) -> tuple[Store, Quantification
     store = _store(spark)
     save_results(fx.ideal_analyses(spark, sf_dir), store, "run")
     answers = answer_with(transports.echo_harmonizer(fx.CATEGORIES))
-    return store, quantify_run(store, "run", answers)
+    return store, quantify_run(store, "run", answers, wait=no_wait)
 
 
 @query
 def enriched_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored rows of a quantified run, read back."""
     store, _ = _quantified(spark, sf_dir)
-    _, enriched = load_report(store, "run")
+    enriched = load_report(store, "run")[1]
     return enriched.select("verbatim_id", "theme", "macro_theme", "sentiment", "source")
 
 
@@ -565,8 +578,8 @@ def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored report with its syntheses, read back, one row per category."""
     store, _ = _quantified(spark, sf_dir)
     answers = answer_with(transports.echo_synthesizer("Hors liste"))
-    synthesize_run(store, "run", answers, LINES_PER_CALL)
-    report, _ = load_report(store, "run")
+    synthesize_run(store, "run", answers, LINES_PER_CALL, wait=no_wait)
+    report = load_report(store, "run")[0]
     return report.select(
         "syntheses", F.explode("theme_distribution").alias("category", "counts")
     ).select(
@@ -576,18 +589,213 @@ def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def streaming_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as a stream, analysed epoch by epoch."""
-    store = _store(spark)
-    schema = fx.table(spark, sf_dir, "documents").schema
-    docs = incremental.read_stream(
-        spark, "parquet", schema, sf_dir, pathGlobFilter="documents.parquet"
+def _stream_files(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as several files; the stream takes one of them per epoch."""
+    folder = new_path(spark, "stream-input")
+    docs = fx.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), "text", "source", "lang"
+    )
+    docs.repartition(4, "id").write.parquet(folder)
+    return folder
+
+
+def _streamed(spark: SparkSession, folder: str, store: Store, checkpoint: str) -> None:
+    rows = incremental.read_stream(
+        spark, "parquet", "id string, text string, source string, lang string", folder,
+        files_per_batch=1,
     )
-    named = docs.withColumn("id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
     incremental.analyse_stream(
-        named.select("id", "text", "source", "lang"),
-        answer_with(transports.echo_analyst()), store, "stream",
-        new_path(spark, "stream-checkpoint"), "text", "id",
+        rows, answer_with(transports.echo_analyst()), store, "stream", checkpoint, "text", "id",
+        wait=no_wait,
     ).awaitTermination()
+
+
+@query
+def streaming_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a stream of several epochs."""
+    store = _store(spark)
+    _streamed(spark, _stream_files(spark, sf_dir), store, new_path(spark, "stream-checkpoint"))
     return incremental.running_sentiment(store, "stream")
+
+
+@query
+def streaming_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stream twice, the second time without a checkpoint: epochs replace themselves."""
+    store, folder = _store(spark), _stream_files(spark, sf_dir)
+    for _ in range(2):
+        _streamed(spark, folder, store, new_path(spark, "stream-checkpoint"))
+    return incremental.stream_results(store, "stream").groupBy("sentiment").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("verbatim_id").alias("n_ids")
+    )
+
+
+# --- files ---------------------------------------------------------------------------------
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in id order, with quotes and line breaks, as they go to files."""
+    return fx.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit('said "'), "text", F.lit('",')).alias("text"), "lang", "source"
+    )
+
+
+def _csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """Three CSV files under names of one's own, two of them with other headers."""
+    folder, docs = new_path(spark, "csv"), _exported(spark, sf_dir)
+    k = F.col("doc_id")
+    kinds = {
+        "avis été_x.csv": docs.where(k % 3 == 0).select("doc_id", "text", "lang", "source"),
+        "b+c_x.csv": docs.where(k % 3 == 1).select(
+            "source", "lang", F.col("text").alias("Review"), F.col("doc_id").alias("n")),
+        "d_x.csv": docs.where(k % 3 == 2).select("text", F.col("doc_id").alias("id")),
+    }
+    for name, rows in kinds.items():
+        part = f"{folder}-part-{len(name)}"
+        # One file each, as users have them.
+        rows.coalesce(1).sortWithinPartitions(rows["n"] if "n" in rows.columns else rows[
+            "doc_id" if "doc_id" in rows.columns else "id"]).write.options(
+            header=True, escape='"', quoteAll=True).csv(part)
+        move_file(spark, part, f"{folder}/{name}")
+    return folder
+
+
+@query
+def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of CSV files with differing headers; each file is its own default source."""
+    landed = load_csv(spark, _csv_files(spark, sf_dir), source=None)
+    return normalize.kept(landed).select("row_idx", "id", "text", "source", "lang", "position")
+
+
+@query
+def raw_metadata_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.load_raw_metadata(spark, _csv_files(spark, sf_dir))
+
+
+@query
+def jsonl_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "jsonl")
+    docs = _exported(spark, sf_dir).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    docs.select(F.col("doc_id").alias("id"), "text", "lang", "source").write.json(folder)
+    return normalize.kept(load_jsonl(spark, folder)).select(
+        "row_idx", "id", "text", "source", "lang", "position"
+    )
+
+
+# --- what a run leaves behind -------------------------------------------------------------------
+
+
+@query
+def stored_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two calls that fail, one that succeeds where it can: errors that still hold."""
+    prepared = write_table(fx.responses(spark, sf_dir), "responses")
+    verbatims, store = _verbatims(spark, sf_dir), _store(spark)
+    for first, retries in ((0, 0), (0, 0), (1, 1)):
+        run_analysis(
+            verbatims, transports.from_responses(prepared, first), store, "run",
+            max_retries=retries, wait=no_wait,
+        )
+    return run_errors(store, "run").groupBy("type", "batch_idx").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def resume_other_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run started with large splits and resumed with small ones; all it has stored."""
+    folder = new_path(spark, "resumed")
+    docs = _exported(spark, sf_dir).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    docs.select("text", "lang", "source").write.json(folder)
+    store, key = _store(spark), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    echo = answer_with(transports.counting_analyst())
+    try:
+        for size, part in (("128m", lambda b: b % 2 == 0), ("64k", lambda b: b % 2 == 1)):
+            spark.conf.set(key, size)
+            some = transports.only(echo, part)
+            run_analysis(
+                normalize.kept(load_jsonl(spark, folder)), some, store, "run",
+                max_retries=0, wait=no_wait,
+            )
+    finally:
+        spark.conf.set(key, before)
+    return load_results(store, "run").select("verbatim_id", "summary", "batch_idx", "pos")
+
+
+@query
+def checkpoint_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a run stands; the time of its last commit is a time."""
+    run = _run(spark, sf_dir)
+    state = checkpoint(run.store, "run")
+    recent = F.col("last_update").between(F.date_sub(F.current_date(), 1), F.current_timestamp())
+    return state.select("run_id", "completed_batches", "total_batches", recent.alias("recent"))
+
+
+@query
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.first_results(
+        validation.valid_analyses(_checked(spark, sf_dir))
+    ).select("batch_idx", "pos", "verbatim_id", "summary")
+
+
+@query
+def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener hears: one call per batch, in order."""
+    heard: list[tuple[int, int, int, int]] = []
+    prepared = write_table(fx.responses(spark, sf_dir), "responses")
+    run_analysis(
+        _verbatims(spark, sf_dir), transports.from_responses(prepared), _store(spark), "run",
+        batches_per_commit=40, wait=no_wait, on_progress=lambda *counts: heard.append(counts),
+    )
+    return spark.createDataFrame(
+        heard, "handled bigint, total bigint, valid bigint, errors bigint"
+    ).withColumn("call", F.col("handled"))
+
+
+@query
+def run_id_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new run id for each language: a time down to the second."""
+    made = F.lit(new_run_id(spark))
+    return fx.table(spark, sf_dir, "documents").select("lang").distinct().select(
+        "lang", made.rlike("^[0-9]{8}_[0-9]{6}$").alias("well_formed")
+    )
+
+
+@query
+def empty_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are all blank: nothing is analysed and nothing quantified."""
+    docs = fx.table(spark, sf_dir, "documents").withColumn("text", F.lit("  "))
+    landed = from_dataframe(docs, "text")
+    store, echo = _store(spark), answer_with(transports.echo_analyst())
+    run = run_analysis(normalize.kept(landed), echo, store, "run", wait=no_wait)
+    done = quantify_run(store, "run", answer_with(transports.echo_harmonizer([])), wait=no_wait)
+    return quantify.one_row(normalize.ingest_counts(landed), run.summary).withColumn(
+        "quantified", F.lit(done is not None)
+    )
+
+
+@query
+def result_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and places of the columns that the results page shows, over all rows."""
+    shown = dashboard.ordered_columns(_enriched(spark, sf_dir))
+    counted = shown.agg(*[F.count(c).alias(c) for c in shown.columns])
+    return counted.select(F.posexplode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in shown.columns
+    ])).alias("place", "c")).select("place", "c.*")
+
+
+@query
+def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.preview(
+        fx.ideal_analyses(spark, sf_dir), order=["batch_idx", "pos"]
+    ).select("verbatim_id", "texte_original")
+
+
+@query
+def global_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantify.global_shares(quantify.global_sentiment(fx.ideal_analyses(spark, sf_dir)))
+
+
+@query
+def synthetic_reviews_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows that can be made, without a cut."""
+    docs = fx.table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("text")
+    english = land_positions(docs)
+    return datasets.multilingual_reviews(english, english.count())

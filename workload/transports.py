@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxlake.operators.inference import Answers
 
@@ -30,13 +30,48 @@ def counting() -> Callable[[str], str]:
     return transport
 
 
+def only(answers: Answers, wanted: Callable[[Column], Column]) -> Answers:
+    """Pass on the answers of some batches, picked by their number; the others get none."""
+
+    def some(prompts: DataFrame, attempt: int) -> DataFrame:
+        mine = wanted(F.col("batch_idx"))
+        return answers(prompts, attempt).withColumn("raw", F.when(mine, F.col("raw")))
+
+    return some
+
+
+def counting_analyst() -> Callable[[str], str]:
+    """Answers every comment, whatever its id, with the length of its text."""
+
+    def transport(prompt: str) -> str:
+        import json
+        import re
+
+        comments = prompt.split("\nComments:\n", 1)[1]
+        cells = re.split(r"(?m)^\[(jsonl_\d+)\] ", comments)[1:]
+        return json.dumps({"analyses": [
+            {"verbatim_id": vid, "theme": "theme", "sentiment": "neutre",
+             "summary": f"{len(text.removesuffix(chr(10)))} characters"}
+            for vid, text in zip(cells[::2], cells[1::2])
+        ]})
+
+    return transport
+
+
 def echo_analyst() -> Callable[[str], str]:
     """Answers every comment from its own text and id, without faults."""
 
     def transport(prompt: str) -> str:
+        import hashlib
         import json
         import re
 
+        def summary(text: str) -> str:
+            plain = re.sub(r"[ \t\n\r]+", " ", text.removesuffix("\n"))
+            if len(plain) <= 60:
+                return plain
+            return f"{plain[:60]} {len(plain)} {hashlib.md5(plain.encode()).hexdigest()}"
+
         comments = prompt.split("\nComments:\n", 1)[1]
         cells = re.split(r"(?m)^\[(doc_\d+)\] ", comments)[1:]
         out = []
@@ -45,7 +80,7 @@ def echo_analyst() -> Callable[[str], str]:
             out.append({
                 "verbatim_id": vid,
                 "theme": f"theme {n % 23}",
-                "summary": re.sub(r"[ \t\n\r]+", " ", text.removesuffix("\n"))[:60],
+                "summary": summary(text),
                 "sentiment": ["positif", "négatif", "neutre"][n % 3],
             })
         return json.dumps({"analyses": out}, ensure_ascii=False)
@@ -54,7 +89,7 @@ def echo_analyst() -> Callable[[str], str]:
 
 
 def echo_harmonizer(categories: list[str]) -> Callable[[str], str]:
-    """Maps `theme <lang> <n>` by n; leaves some themes out."""
+    """Maps `theme <lang> <n>` by n and leaves some themes out; other names stay as they are."""
 
     def transport(prompt: str) -> str:
         import json
@@ -62,7 +97,11 @@ def echo_harmonizer(categories: list[str]) -> Callable[[str], str]:
         mapping = {}
         for line in prompt.split("\nThemes:\n", 1)[1].splitlines():
             theme = line.removeprefix("- ")
-            n = int(theme.split(" ")[-1])
+            number = theme.split(" ")[-1]
+            if not number.isdigit():
+                mapping[theme] = theme
+                continue
+            n = int(number)
             macro = "Hors liste" if n == 22 else ["Produit", "Service", "Tarifs", None][n % 4]
             if macro is not None:
                 mapping[theme] = macro
@@ -72,7 +111,11 @@ def echo_harmonizer(categories: list[str]) -> Callable[[str], str]:
 
 
 def echo_synthesizer(refuse: str) -> Callable[[str], str]:
-    """First two positive and negative lines; refuses one category."""
+    """First two positive and negative lines, and how many lines were read in all.
+
+    A partial synthesis tells its count in its last words, so the counts of a merged
+    one add up and a lost chunk shows. Refuses one category.
+    """
 
     def transport(prompt: str) -> str:
         import json
@@ -81,6 +124,8 @@ def echo_synthesizer(refuse: str) -> Callable[[str], str]:
         if subject == refuse:
             return "Je ne peux pas répondre."
         rows = lines.splitlines()
+        parts = [r for r in rows if r.startswith("- [bilan] ")]
+        n = sum(int(r.rsplit(" ", 1)[1]) for r in parts) if parts else len(rows)
 
         def first_two(mark: str) -> list[str]:
             return [r.removeprefix(mark) for r in rows if r.startswith(mark)][:2]
@@ -89,7 +134,7 @@ def echo_synthesizer(refuse: str) -> Callable[[str], str]:
             "macro_theme": subject,
             "positive_points": first_two("- [positif] "),
             "negative_points": first_two("- [négatif] "),
-            "global_synthesis": f"{subject}: bilan",
+            "global_synthesis": f"{subject}: bilan {n}",
         }, ensure_ascii=False)
 
     return transport
