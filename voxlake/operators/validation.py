@@ -58,9 +58,7 @@ def check_batches(accepted: DataFrame, batches: DataFrame) -> DataFrame:
     )
 
     def judged(item: Column, i: Column) -> Column:
-        origin = F.try_element_at(
-            F.filter("sent", lambda s: s["id"] == item["verbatim_id"]), F.lit(-1)
-        )
+        origin = _origin(item["verbatim_id"])
         return F.struct(
             i.cast("bigint").alias("pos"),
             item.alias("data"),
@@ -77,6 +75,33 @@ def check_batches(accepted: DataFrame, batches: DataFrame) -> DataFrame:
     )
 
 
+def _origin(verbatim_id: Column) -> Column:
+    """The item that was sent under an id, the last one if there are two."""
+    return F.try_element_at(F.filter("sent", lambda s: s["id"] == verbatim_id), F.lit(-1))
+
+
+def places_and_ids(batches: DataFrame) -> DataFrame:
+    """Batches without texts: all that checking needs, and all a scan then reads."""
+    return batches.select("batch_idx", F.arrays_zip("items.pos", "items.id").alias("items"))
+
+
+def with_origins(checked: DataFrame, batches: DataFrame) -> DataFrame:
+    """Valid items of batches checked without texts, with the texts and sources that were sent."""
+    fine = F.filter("items", lambda x: F.size(x["issues"]) == 0).alias("items")
+    joined = checked.select("batch_idx", fine).join(
+        batches.select("batch_idx", F.col("items").alias("sent")), "batch_idx"
+    )
+
+    def filled(x: Column) -> Column:
+        origin = _origin(x["data"]["verbatim_id"])
+        return F.struct(
+            x["pos"].alias("pos"), x["data"].alias("data"), x["issues"].alias("issues"),
+            origin["text"].alias("text"), origin["source"].alias("source"),
+        )
+
+    return joined.select("batch_idx", F.transform("items", filled).alias("items"))
+
+
 def judged_items(checked: DataFrame) -> DataFrame:
     """One row per returned item."""
     # The outer form keeps Spark from adding a size filter on `items`, which

@@ -18,8 +18,8 @@ from voxlake.operators.batching import (
 from voxlake.operators.inference import Answers, spread
 from voxlake.operators.responses import OK, UNEXPECTED, failed_batches, parse_answers
 from voxlake.operators.validation import (
-    all_errors, batch_progress, batch_tallies, check_batches, first_results, run_totals,
-    valid_analyses,
+    all_errors, batch_progress, batch_tallies, check_batches, first_results, places_and_ids,
+    run_totals, valid_analyses, with_origins,
 )
 from voxlake.plans.store import (
     STORED, Store, load_errors, new_run_id, save_errors, save_results,
@@ -347,15 +347,16 @@ def _commit(
     """Validate the accepted answers and store the part; the checkpoint comes last."""
     # An accepted batch is never asked again, so there is one row per batch here.
     accepted = judged.where(F.col("kind") == OK)
+    slim = places_and_ids(batches)
     checked = write_table(
-        check_batches(accepted, batches), "checked", f"{store.path('checked', run_id)}/{part}"
+        check_batches(accepted, slim), "checked", f"{store.path('checked', run_id)}/{part}"
     )
-    save_results(valid_analyses(checked), store, run_id, part)
+    save_results(valid_analyses(with_origins(checked, batches)), store, run_id, part)
     tallies = write_table(
         batch_tallies(checked, failed), "tallies", f"{store.path('tallies', run_id)}/{part}"
     )
     save_errors(
-        all_errors(checked, small_side(failed), batches), store, run_id, part,
+        all_errors(checked, small_side(failed), slim), store, run_id, part,
         any_errors=tallies.where(F.col("n_errors") > 0).limit(1).count() > 0,
     )
     write_table(
