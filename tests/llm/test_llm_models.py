@@ -185,8 +185,9 @@ def test_forest_on_held_out_findings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     found = secret_scan.candidates(docs)
     labelled = secret_scan.labelled_findings(found)
+    words = secret_scan.word_counts(docs)
     ready = secret_scan.features(
-        labelled, secret_scan.dictionary(docs.limit(2_000), found), secret_scan.transitions(docs)
+        labelled, secret_scan.dictionary(found, words), secret_scan.transitions(words)
     ).withColumn("kept_out", F.pmod(F.xxhash64("value"), F.lit(3)) == 0)
     model = secret_scan.train(ready.where("not kept_out"))
     judged = model.transform(ready.where("kept_out")).groupBy("label").agg(
@@ -195,6 +196,15 @@ def test_forest_on_held_out_findings(spark):
     assert len(judged) == 2 and all(r.right > 0.97 and r.n > 30 for r in judged)
 
 
+def test_word_statistics(spark):
+    rows = [(1, "The cat, the CAT! a1 (dog)", None), (2, "cat\tdog\n", None), (3, None, None)]
+    words = secret_scan.word_counts(documents(spark, rows))
+    assert {r.word: r.n for r in words.collect() if r.word} == {"the": 2, "cat": 3, "dog": 2}
+    pairs = {r.pair: r.surprise for r in secret_scan.transitions(words).collect()}
+    assert set(pairs) == {"th", "he", "ca", "at", "do", "og"}
+    assert pairs["ca"] == pytest.approx(-np.log2(3.5 / 21.5))
+
+
 HEX = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
 
 

@@ -92,39 +92,38 @@ def labelled_findings(found: DataFrame) -> DataFrame:
     return out
 
 
-def dictionary(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(piece): letter runs of candidates that are words of the whole corpus."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over the whole corpus: lower case, no punctuation around, no digits.
+
+    Occurrences are summed up where they are read; only distinct words are cleaned.
+    """
+    raw = docs.select(F.explode(F.split("text", SPACES)).alias("raw")).groupBy("raw").count()
+    clean = F.lower(F.regexp_replace("raw", r"^\W+|\W+$", ""))
+    return write_table(
+        raw.where(~F.col("raw").rlike("[0-9]")).groupBy(clean.alias("word"))
+        .agg(F.sum("count").alias("n")), "words",
+    )
+
+
+def dictionary(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(piece): letter runs of candidates that are words of the corpus."""
     pieces = write_table(
         found.select(F.explode(F.expr(r"regexp_extract_all(value, '[A-Za-z]{3,}', 0)")).alias("piece"))
-        .select(F.lower("piece").alias("piece")).distinct(), "pieces",
-    )
-    words = (
-        docs.select(F.explode(F.split("text", SPACES)).alias("word"))
-        .where(~F.col("word").rlike("[0-9]"))
-        .select(F.lower(F.regexp_replace("word", r"^\W+|\W+$", "")).alias("piece"))
-    )
-    return write_table(
-        words.join(small_side(pieces), "piece", "left_semi").groupBy("piece")
-        .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DICTIONARY_TIMES).select("piece"),
-        "dictionary",
+        .select(F.lower("piece").alias("word")).distinct(), "pieces",
     )
+    known = words.where(F.col("n") >= DICTIONARY_TIMES).join(small_side(pieces), "word", "left_semi")
+    return write_table(known.select(F.col("word").alias("piece")), "dictionary")
 
 
-def transitions(docs: DataFrame, documents: int = 2_000) -> DataFrame:
-    """(pair, surprise): minus log2 of the chance of a character after another.
+def transitions(words: DataFrame) -> DataFrame:
+    """(pair, surprise): minus log2 of the chance of a character after another in the corpus.
 
-    From the words of about `documents` texts picked by a hash of the id; characters
-    other than a-z and 0-9 are one, so there are at most 1,369 pairs.
+    Characters other than a-z and 0-9 are one, so there are at most 1,369 pairs.
     """
-    total = docs.count()
-    part = F.pmod(F.xxhash64(F.lit("transitions"), "doc_id"), F.lit(1_000_000)) / 1_000_000
     pairs = (
-        docs.where(part < documents / max(total, 1))
-        .select(F.explode(F.split("text", SPACES)).alias("word"))
-        .where((F.length("word") > 1) & ~F.col("word").rlike(CANDIDATE))
-        .groupBy("word").count()
-        .select(F.explode(_pairs(F.col("word"))).alias("pair"), "count")
-        .groupBy("pair").agg(F.sum("count").alias("n"))
+        words.where(F.length("word") > 1)
+        .select(F.explode(_pairs(F.col("word"))).alias("pair"), "n")
+        .groupBy("pair").agg(F.sum("n").alias("n"))
     )
     firsts = pairs.groupBy(F.substring("pair", 1, 1).alias("first")).agg(F.sum("n").alias("all"))
     return write_table(
@@ -216,7 +215,8 @@ def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, findings: int
         n = found.count()
         part = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "place"), F.lit(1_000_000)) / 1_000_000
         labels = labelled_findings(found.where(part < findings / max(n, 1)))
-    known, surprise = dictionary(docs, found), transitions(docs)
+    words = word_counts(docs)
+    known, surprise = dictionary(found, words), transitions(words)
     labelled = write_table(
         features(labels, known, surprise).select("doc_id", "place", "word", "label", "features"), "labelled"
     )
