@@ -76,7 +76,9 @@ def test_resume_replays_failed_batches_only(spark, store):
     done = checkpoint(store, "r").first()
     assert tuple(done)[:3] == ("r", 2, 3) and done["last_update"] is not None
     good = recording(transports.echo_analyst())
-    two = run_analysis(verbatims, good, store, "r", wait=no_wait)
+    with pytest.raises(FileNotFoundError):
+        run_analysis(None, good, store, "other", wait=no_wait)
+    two = run_analysis(None, good, store, "r", wait=no_wait)  # the run has kept its input
     assert good.calls == [(0, [1])]
     assert ids(one.valid) == [*range(10), *range(20, 25)] and ids(two.valid) == list(range(10, 20))
     assert ids(load_results(store, "r")) == list(range(25))

@@ -183,20 +183,23 @@ def one_row(*parts: DataFrame) -> DataFrame:
     return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
 
 
+def one_row_of_macros(gathered: Column) -> Column:
+    """An aggregate that gathers macro themes. They are few by purpose; too many are an error."""
+    message = F.lit(f"more than {MOST_MACRO_THEMES} macro themes")
+    return F.when(F.count(F.lit(1)) > MOST_MACRO_THEMES, F.raise_error(message)).otherwise(gathered)
+
+
 def report_document(distribution: DataFrame, source_file: str) -> DataFrame:
     """The report as one row: metadata, global sentiment, distribution.
 
     The mapping has a row per theme and is a table of its own, whatever its size.
     """
     counts = F.struct("total", *[F.col(c).alias(s) for s, c in COUNT_COLUMNS.items()])
-    # Macro themes are few by their purpose; more than one row can hold is an error.
-    few = F.when(F.count(F.lit(1)) > MOST_MACRO_THEMES, F.raise_error(F.lit(
-        f"more than {MOST_MACRO_THEMES} macro themes"))).otherwise(
-        F.map_from_entries(F.collect_list(F.struct("macro_theme", counts.alias("counts")))))
+    pairs = F.map_from_entries(F.collect_list(F.struct("macro_theme", counts.alias("counts"))))
     doc = distribution.agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNT_COLUMNS.values()],
-        few.alias("theme_distribution"),
+        one_row_of_macros(pairs).alias("theme_distribution"),
     )
     return doc.select(
         F.struct(

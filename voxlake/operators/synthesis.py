@@ -19,7 +19,7 @@ from voxlake.functions.strict_json import (
 )
 from voxlake.operators.inference import Answers, ask_in_rounds
 from voxlake.operators.positions import running_totals
-from voxlake.operators.quantify import one_row
+from voxlake.operators.quantify import one_row, one_row_of_macros
 from voxlake.schemas import EMPTY_SYNTHESIS, MAX_RETRIES, RAW_EXCERPT
 from voxlake.session import prepare, small_side, write_table
 
@@ -197,9 +197,8 @@ def attach_syntheses(report: DataFrame, syntheses: DataFrame) -> DataFrame:
     One row per category.
     """
     entry = F.struct("macro_theme", "positive_points", "negative_points", "global_synthesis")
-    all_ = syntheses.agg(
-        F.map_from_entries(F.collect_list(F.struct("category", entry.alias("s")))).alias("syntheses")
-    )
+    pairs = F.map_from_entries(F.collect_list(F.struct("category", entry.alias("s"))))
+    all_ = syntheses.agg(one_row_of_macros(pairs).alias("syntheses"))
     return one_row(report.drop("syntheses"), all_)
 
 

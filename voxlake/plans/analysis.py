@@ -147,15 +147,21 @@ class _Batches:
 
 
 def _open_run(
-    verbatims: DataFrame, store: Store, run_id: str, batch_size: int, resume: bool,
+    verbatims: DataFrame | None, store: Store, run_id: str, batch_size: int, resume: bool,
     buckets: int | None,
 ) -> tuple[DataFrame, int]:
     """The grouped batches and their number; refuses a run with other input."""
     spark = store.spark
-    batched = assign_batches(verbatims, batch_size)
     table = _Batches(store, run_id)
     meta_path = store.path("meta", run_id) + "/run"
-    if store.committed("meta", run_id):
+    opened = bool(store.committed("meta", run_id))
+    if verbatims is None:
+        if not opened:
+            raise FileNotFoundError(f"run {run_id} was never started")
+        meta = spark.read.schema(_META).json(meta_path).first()
+        return table.read(meta["buckets"]), meta["total_batches"]
+    batched = assign_batches(verbatims, batch_size)
+    if opened:
         if not resume:
             raise FileExistsError(f"run {run_id} exists; resume it or choose another id")
         meta = spark.read.schema(_META).json(meta_path).first()
@@ -242,7 +248,7 @@ def _rounds(
 
 
 def run_analysis(
-    verbatims: DataFrame,
+    verbatims: DataFrame | None,
     answers: Answers,
     store: Store,
     run_id: str | None = None,
@@ -260,7 +266,9 @@ def run_analysis(
     of all, its checkpoint. After a crash the answers already paid for are
     committed first, under the name of the unfinished part, so nothing is asked
     or stored twice. Batches without a readable answer stay out of the
-    checkpoint and are replayed by the next call with the same `run_id`.
+    checkpoint and are replayed by the next call with the same `run_id`. Such a call
+    may leave the verbatims out (None): the run has kept its input, and nothing is
+    read or numbered again. Given, they are compared with what was kept.
     `on_progress` hears of every batch once its part is committed; the frame
     `Run.progress` has the same.
     """

@@ -373,9 +373,9 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One call with a single attempt, one resuming with two more; what stays open."""
     prepared = write_table(fx.responses(spark, sf_dir), "responses")
     verbatims, store = _verbatims(spark, sf_dir), _store(spark)
-    for first, retries in ((0, 0), (1, 1)):
+    for given, first, retries in ((verbatims, 0, 0), (None, 1, 1)):
         run_analysis(
-            verbatims, transports.from_responses(prepared, first), store, "run",
+            given, transports.from_responses(prepared, first), store, "run",
             max_retries=retries, wait=no_wait,
         )
     return pending_batches(store, "run")
