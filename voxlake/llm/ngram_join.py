@@ -29,7 +29,7 @@ from voxlake.session import small_side, write_table
 
 PERCENT = 80
 # Tokens of one block, and of one counting task on average.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 BUCKET_TOKENS = 2_000_000
 # From this frequency on tokens count as equally frequent.
 FREQUENT = 64

@@ -13,6 +13,7 @@ import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -44,14 +45,18 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(vocabulary)
+        self.vocabulary = vocabulary
         with open(vocabulary, encoding="utf-8") as file:
             stored = json.load(file)
         self.special = [t["content"] for t in stored["added_tokens"]]
         self.fast = self._merges(stored["model"])
 
+    @cached_property
+    def slow(self):  # noqa: ANN201 - only loaded where it is needed
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def _merges(self, model: dict) -> tiktoken.Encoding | None:
         ids = {t: i for t, i in model["vocab"].items() if t not in self.special}
         merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]

@@ -9,7 +9,7 @@ import xxhash
 
 SHINGLE = 5
 # Words whose hashes a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
