@@ -37,10 +37,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 # --- synthetic multilingual reviews ----------------------------------------------
 
-# The domains of the generator.
-SOURCES = ["trustpilot", "app_store", "enquete_satisfaction", "google_reviews", "support_ticket"]
-FEES = [5, 10, 15, 29, 50, 120, 250]
-WAITS = [10, 15, 20, 30, 45, 60]
+# Own domains of the generator.
+SOURCES = ["web_form", "phone_call", "branch_visit", "mobile_review", "email"]
+FEES = [3, 7, 12, 25, 40, 90, 180]
+WAITS = [5, 8, 12, 25, 35, 50]
 # (id prefix, language, rows per 100 English rows)
 PARTS = [("fr", "fr", 100), ("es", "es", 80), ("pt", "pt", 80), ("de", "de", 80), ("be", "fr", 60)]
 
