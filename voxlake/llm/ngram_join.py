@@ -30,12 +30,14 @@ from voxlake.session import small_side, write_table
 PERCENT = 80
 # Tokens of one block, and of one counting task on average.
 BLOCK_TOKENS = 1_000_000
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 # From this frequency on tokens count as equally frequent.
 FREQUENT = 64
 # In lists of so few classes all are compared; others have so many centres in the
 # first round, and times as many in each later one.
 FEW, CENTRES, MORE_CENTRES = 6, 2, 16
+# Sets that a task holds and hands over at a time.
+SETS_PER_BATCH = 500
 # 64-bit words of a parity bitmap.
 PARITY_WORDS = 8
 
@@ -48,13 +50,13 @@ def _sets(docs: DataFrame) -> DataFrame:
     def sized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for batch in batches:
-            found = [shingles(t.as_py()) for t in batch.column(1)]
+            sizes, keys = [], []
+            for text in batch.column(1):
+                found = shingles(text.as_py())
+                sizes.append(len(found))
+                keys.append(set_key(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([set_key(s) if len(s) else None for s in found], pa.int64()),
-                ],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())],
                 ["doc_id", "n", "key"],
             )
 
@@ -149,24 +151,23 @@ def _shared_tokens(blocks: DataFrame) -> DataFrame:
     `rank` is size * 128 + frequency, so that within a class it sorts by frequency.
     """
 
-    def unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         def column(name: str, kind: str) -> np.ndarray:
             return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
 
         counts = column("counts", "<i4")
-        return np.repeat(column("keys", "<i8"), counts), np.repeat(
-            column("sizes", "<i4"), counts
-        ).astype(np.int64), counts
+        return np.repeat(column("keys", "<i8"), counts), np.repeat(column("sizes", "<i4"), counts)
 
     def counted(t: pa.Table) -> pa.Table:
         bucket = np.uint64(t.column("bucket")[0].as_py())
         plain, known = (t.filter(t.column("known")) if k else t.filter(
             pc.invert(t.column("known"))) for k in (False, True))
-        key, size, _ = unpacked(plain)
+        key, size = unpacked(plain)
         raw = np.frombuffer(b"".join(plain.column("tokens").to_pylist()), np.uint8).reshape(-1, 6)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :6] = raw
         token = wide.view("<u8").ravel()
+        del raw, wide
         marks = np.unique(np.frombuffer(b"".join(plain.column("marks").to_pylist()), "<u8"))
         order = np.lexsort((key, token))
         key, size, token = key[order], size[order], token[order]
@@ -181,12 +182,15 @@ def _shared_tokens(blocks: DataFrame) -> DataFrame:
         often = np.repeat(np.minimum(runs, FREQUENT), np.diff(np.r_[starts, len(token)]))
         keep = often > 1
         full = token[keep] | (bucket << np.uint64(44))
-        key2, size2, _ = unpacked(known)
+        key2, size2 = unpacked(known)
         token2 = np.frombuffer(b"".join(known.column("tokens").to_pylist()), "<u8")
         return pa.table({
             "key": np.r_[key[keep], key2],
             "token": np.r_[full.view(np.int64), token2.view(np.int64)],
-            "rank": np.r_[size[keep] * 128 + often[keep], size2 * 128 + FREQUENT],
+            "rank": np.r_[
+                size[keep].astype(np.int64) * 128 + often[keep],
+                size2.astype(np.int64) * 128 + FREQUENT,
+            ],
         })
 
     return blocks.groupBy("bucket").applyInArrow(counted, "key long, token long, rank long")
@@ -224,7 +228,8 @@ def _candidate_sets(docs: DataFrame, sized: DataFrame, keys: DataFrame) -> DataF
     number. Two sets differ in at least as many tokens as their parities in bits.
     """
     readers = write_table(
-        sized.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+        # Aggregated first: a class of very many equal texts is one row by then.
+        sized.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(keys, "key", "left_semi")
         .select(F.coalesce("doc_id", F.lit(-1)).alias("reader")).distinct(), "readers",
     )
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("reader"), "text")
@@ -232,13 +237,15 @@ def _candidate_sets(docs: DataFrame, sized: DataFrame, keys: DataFrame) -> DataF
     def rebuilt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for batch in batches:
-            found = [s for t in batch.column(0) if len(s := shingles(t.as_py()))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(s) for s in found], pa.int64()),
-                 pa.array([s.tobytes() for s in found], pa.binary()),
-                 pa.array([_parity(s) for s in found], pa.list_(pa.int64()))],
-                ["key", "tokens", "parity"],
-            )
+            for start in range(0, len(batch), SETS_PER_BATCH):
+                texts = batch.column(0)[start:start + SETS_PER_BATCH]
+                found = [s for t in texts if len(s := shingles(t.as_py()))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([set_key(s) for s in found], pa.int64()),
+                     pa.array([s.tobytes() for s in found], pa.binary()),
+                     pa.array([_parity(s) for s in found], pa.list_(pa.int64()))],
+                    ["key", "tokens", "parity"],
+                )
 
     sets = texts.join(small_side(readers), "reader", "left_semi").select("text").mapInArrow(
         rebuilt, "key long, tokens binary, parity array<long>"
