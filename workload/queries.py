@@ -742,7 +742,7 @@ def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = write_table(fx.responses(spark, sf_dir), "responses")
     run_analysis(
         _verbatims(spark, sf_dir), transports.from_responses(prepared), _store(spark), "run",
-        batches_per_commit=40, wait=no_wait, on_progress=lambda *counts: heard.append(counts),
+        batches_per_commit=400, wait=no_wait, on_progress=lambda *counts: heard.append(counts),
     )
     return spark.createDataFrame(
         heard, "handled bigint, total bigint, valid bigint, errors bigint"
