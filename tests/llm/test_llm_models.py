@@ -1,5 +1,6 @@
 """Language identification, HTML extraction and secret scanning: held-out accuracy and cases."""
 
+import hashlib
 import html
 import re
 import zlib
@@ -235,6 +236,34 @@ def test_secrets_without_candidates_or_with_one_class(spark):
     assert [(r.score, r.secret) for r in got] == [(0.0, False)]
 
 
+def key(i):
+    return hashlib.sha256(str(i).encode()).hexdigest()[:40]
+
+
+@pytest.mark.parametrize("form, values", [
+    ('{{"id":"{0}","secret":"{1}"}}', "01"), ('"api_key":"{1}"', "1"), ('token="{1}"', "1"),
+    ("API_KEY={1}", "1"), ("--define=api_key={1}", "1"), ("a={0};password={1}", "01"),
+    ("https://example.org/x?id={0}&access_token={1}", "01"), ('"my_long_s3_secret_key":"{1}"', "n1"),
+    ("password=hunter2and99", "h"),
+])
+def test_candidates_inside_words(spark, form, values):
+    meant = {"0": (key(0), 0), "1": (key(1), 1), "n": ("my_long_s3_secret_key", 0), "h": ("password=hunter2and99", 1)}
+    found = secret_scan.candidates(documents(spark, [(1, "see " + form.format(key(0), key(1)) + " there", None)]))
+    # The first rows are the findings, copies made from them follow.
+    rows = secret_scan.labelled_findings(found).where("before = array('see')").collect()
+    got = sorted({(r.nth, r.value, int(r.label)) for r in rows if r.word.count(r.value) and "/objects/" not in r.word
+                  and not r.value.startswith("your_token")})
+    assert got == [(k, *meant[v]) for k, v in enumerate(values)]
+
+
+def test_secrets_inside_words(spark):
+    forms = ['{{"id":"{0}","secret":"{1}"}}', "API_KEY={1}", "https://example.org/x?id={0}&access_token={1}"]
+    rows = [(i, "see " + forms[i % 3].format(key(i), key(1000 + i)) + " there", None) for i in range(90)]
+    got = secret_scan.scan_secrets(documents(spark, rows)).collect()
+    assert len(got) == 150
+    assert {r.value_sha256 for r in got if r.secret} == {hashlib.sha256(key(1000 + i).encode()).hexdigest() for i in range(90)}
+
+
 def test_no_python_in_native_plans(spark):
     for name in ("op2_chat_formatting", "op5_secret_scan"):
         df = QUERIES[name](spark, SF)

@@ -23,6 +23,10 @@ KEY_WORDS = (
 )
 PLACEHOLDER_WORDS = ("changeme", "dummy", "example", "fake", "placeholder", "sample", "test", "xxx", "your")
 HASH_WORDS = ("blob", "checksum", "commit", "digest", "etag", "fingerprint", "hash", "md5", "rev", "sha", "sha1", "sha256", "version")
+# What a candidate starts with when it is assigned to a name without blanks.
+NAME = "^.*=(?=[^=])"
+# Characters of a neighbouring word that count, those next to the candidate.
+NEAR = 200
 # Labelled findings the forest is trained on, in expectation.
 TRAIN_FINDINGS = 4_000
 TREES, DEPTH, SEED = 40, 7, 7
@@ -37,19 +41,37 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, word, before, after, value): every word that holds a candidate.
+    """(doc_id, place, before, after, nth, front, value, word): every candidate of every word.
 
-    `place` is the word's number in its text, `before` its three predecessors.
+    `place` is the word's number in its text, `before` its three predecessors, `nth`
+    the candidate's number in its word. `front` is the word's own text ahead of the
+    candidate, from the one before it on, with a name and `=` that the candidate
+    starts with; `word` reads on to the next one. `value` is the candidate without
+    that name, or with it where the rest is too short for a candidate.
     """
     words = F.split("text", SPACES)
 
     def described(w: Column, i: Column) -> Column:
         return F.when(w.rlike(CANDIDATE), F.struct(
             i.alias("place"), w.alias("word"),
-            F.slice(F.col("words"), F.greatest(F.lit(1), i - 2), F.least(i, F.lit(3))).alias("before"),
-            F.get(F.col("words"), i + 1).alias("after"),
+            F.transform(
+                F.slice(F.col("words"), F.greatest(F.lit(1), i - 2), F.least(i, F.lit(3))),
+                lambda x: F.right(x, F.lit(NEAR)),
+            ).alias("before"),
+            F.left(F.get(F.col("words"), i + 1), F.lit(NEAR)).alias("after"),
         ))
 
+    def told(hit: Column, k: Column) -> Column:
+        last = F.when(k > 0, F.regexp_replace(F.get(F.col("hits"), k - 1), NAME, "")).otherwise("")
+        ahead = F.concat(last, F.get(F.col("gaps"), k))
+        name = F.regexp_extract(hit, NAME, 0)
+        rest = F.regexp_replace(hit, NAME, "")
+        return F.struct(
+            k.alias("nth"), F.concat(ahead, name).alias("front"),
+            F.when(rest.rlike(CANDIDATE), rest).otherwise(hit).alias("value"),
+            F.concat(ahead, hit, F.get(F.col("gaps"), k + 1)).alias("word"),
+        )
+
     found = F.filter(F.transform("words", described), lambda x: x.isNotNull())
     return (
         docs.where(F.col("text").rlike(CANDIDATE))
@@ -57,7 +79,13 @@ def candidates(docs: DataFrame) -> DataFrame:
         .select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
         .withColumn("before", F.coalesce("before", F.array().cast("array<string>")))
         .withColumn("after", F.coalesce("after", F.lit("")))
-        .withColumn("value", F.regexp_extract("word", CANDIDATE, 0))
+        .select(
+            "doc_id", "place", "before", "after",
+            F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)).alias("hits"),
+            F.split("word", CANDIDATE).alias("gaps"),
+        )
+        .select("doc_id", "place", "before", "after", F.explode(F.transform("hits", told)).alias("f"))
+        .select("doc_id", "place", "before", "after", "f.*")
     )
 
 
@@ -69,19 +97,19 @@ def labelled_findings(found: DataFrame) -> DataFrame:
     where such a value is harmless (a path, a named digest, a placeholder), and each
     harmless one stays what it is.
     """
-    beside = F.concat_ws(" ", "before")
+    beside = F.concat_ws(" ", "before", "front")
     named = beside.rlike(rf"(?i)(?:^|[^a-z])(?:{'|'.join(KEY_WORDS)})\W*(?:[=:]|:=|=>)\W*$")
     real = found.withColumn("label", named.cast("double"))
     secret = real.where("label = 1")
     words = F.array(*map(F.lit, HASH_WORDS))
-    turn = F.pmod(F.xxhash64("doc_id", "place"), F.lit(len(HASH_WORDS)))
-    path = secret.withColumn("word", F.concat(F.lit("/objects/"), "value", F.lit(".bin")))
-    digest = secret.withColumn("word", F.col("value")).withColumn(
+    turn = F.pmod(F.xxhash64("doc_id", "place", "nth"), F.lit(len(HASH_WORDS)))
+    path = secret.withColumn("front", F.lit("/objects/")).withColumn("word", F.concat("front", "value", F.lit(".bin")))
+    digest = secret.withColumn("front", F.lit("")).withColumn("word", F.col("value")).withColumn(
         "before", F.array(F.lit("the"), F.get(words, turn))
     )
-    stand_in = secret.withColumn("value", F.concat(F.lit("your_token_here_"), F.col("place").cast("string"))).withColumn(
-        "word", F.concat(F.lit('"'), "value", F.lit('"'))
-    )
+    stand_in = secret.withColumn(
+        "value", F.concat_ws("_", F.lit("your_token_here"), "place", "nth")
+    ).withColumn("word", F.concat("front", "value", F.lit('"')))
     other = secret.withColumn("before", F.array(F.lit("api_key"), F.lit(":")))
     harmless = [
         t.withColumn("label", F.lit(0.0)) for t in (path, digest.withColumn("after", F.lit("")), stand_in)
@@ -166,7 +194,7 @@ def features(found: DataFrame, known: DataFrame, surprise: DataFrame) -> DataFra
             "coverage", F.coalesce(F.col("word_letters"), F.lit(0)) / F.length("value")
         ).select("value", "transition", "coverage"), "looked_up",
     )
-    beside = F.concat_ws(" ", F.concat_ws(" ", "before"), "after")
+    beside = F.concat_ws(" ", "before", "front", "after")
     described = numbered.join(looked_up, "value").select(
         "*",
         n.cast("double").alias("length"),
@@ -180,7 +208,7 @@ def features(found: DataFrame, known: DataFrame, surprise: DataFrame) -> DataFra
         F.regexp_count("word", F.lit(r"[/\\]")).cast("double").alias("slashes"),
         F.regexp_count("word", F.lit(r"\.")).cast("double").alias("dots"),
         F.col("word").rlike("""["'`]""").cast("double").alias("quoted"),
-        F.concat_ws(" ", "before", F.split_part("word", F.col("value"), F.lit(1)))
+        F.concat_ws(" ", "before", "front")
         .rlike(r"""[=:]>?[\s"'`]*$""").cast("double").alias("assigned"),
         _near(beside, KEY_WORDS).alias("key_near"),
         _near(F.concat_ws(" ", beside, "word"), PLACEHOLDER_WORDS).alias("placeholder_near"),
@@ -194,12 +222,12 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED
     )
-    rows = labelled.select("doc_id", "place", "word", "label", "features").repartition(1)
-    return forest.fit(rows.sortWithinPartitions("doc_id", "place", "word", "label"))
+    order = ["doc_id", "place", "nth", "word", "label"]
+    return forest.fit(labelled.select(*order, "features").repartition(1).sortWithinPartitions(*order))
 
 
 def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, findings: int = TRAIN_FINDINGS) -> DataFrame:
-    """(doc_id, place, length, value_sha256, score, secret) per candidate of `docs` (doc_id, text).
+    """(doc_id, place, nth, length, value_sha256, score, secret) per candidate of `docs` (doc_id, text).
 
     `score` is the forest's share of votes for a secret, `secret` whether it is above
     a half. `labels` are labelled findings, with the columns of `candidates` and
@@ -213,12 +241,12 @@ def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, findings: int
     found = write_table(candidates(docs), "candidates")
     if labels is None:
         n = found.count()
-        part = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "place"), F.lit(1_000_000)) / 1_000_000
+        part = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "place", "nth"), F.lit(1_000_000)) / 1_000_000
         labels = labelled_findings(found.where(part < findings / max(n, 1)))
     words = word_counts(docs)
     known, surprise = dictionary(found, words), transitions(words)
     labelled = write_table(
-        features(labels, known, surprise).select("doc_id", "place", "word", "label", "features"), "labelled"
+        features(labels, known, surprise).select("doc_id", "place", "nth", "word", "label", "features"), "labelled"
     )
     classes = [r["label"] for r in labelled.select("label").distinct().collect()]
     ready = features(found, known, surprise)
@@ -230,6 +258,6 @@ def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, findings: int
             "score", vector_to_array("probability").getItem(1)
         )
     return scored.select(
-        "doc_id", F.col("place").cast("long").alias("place"), F.col("length").cast("int").alias("length"),
+        "doc_id", F.col("place").cast("long").alias("place"), "nth", F.col("length").cast("int").alias("length"),
         F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") > 0.5).alias("secret"),
     )
