@@ -264,6 +264,20 @@ def test_secrets_inside_words(spark):
     assert {r.value_sha256 for r in got if r.secret} == {hashlib.sha256(key(1000 + i).encode()).hexdigest() for i in range(90)}
 
 
+def test_few_secrets_among_many_candidates(spark):
+    """Two secrets in 20,000 candidates, far fewer than one in the sample by size alone."""
+    rows = [(i, " ".join(f"see {key(f'{i} {k}')} there" for k in range(200)), None) for i in range(100)]
+    rows += [(200 + i, f'then token = "{key(i)}" there', None) for i in range(2)]
+    docs = documents(spark, rows)
+    found = secret_scan.candidates(docs)
+    sample = secret_scan.drawn(found, 50).groupBy(secret_scan.is_named().alias("label")).count().collect()
+    sizes = {r["label"]: r["count"] for r in sample}
+    assert sizes[1.0] == 2 and 20 < sizes[0.0] < 100
+    for findings in (50, secret_scan.TRAIN_FINDINGS):
+        got = secret_scan.scan_secrets(docs, findings=findings)
+        assert sorted(r.doc_id for r in got.where("secret").collect()) == [200, 201]
+
+
 def test_no_python_in_native_plans(spark):
     for name in ("op2_chat_formatting", "op5_secret_scan"):
         df = QUERIES[name](spark, SF)

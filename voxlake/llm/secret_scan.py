@@ -27,7 +27,7 @@ HASH_WORDS = ("blob", "checksum", "commit", "digest", "etag", "fingerprint", "ha
 NAME = "^.*=(?=[^=])"
 # Characters of a neighbouring word that count, those next to the candidate.
 NEAR = 200
-# Labelled findings the forest is trained on, in expectation.
+# Findings of each label that the forest is trained on, in expectation, without their copies.
 TRAIN_FINDINGS = 4_000
 TREES, DEPTH, SEED = 40, 7, 7
 # A letter run is a word when the corpus has it so often outside candidates.
@@ -89,6 +89,23 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
 
 
+def is_named() -> Column:
+    """Whether a finding is assigned to a name like a key: its label."""
+    beside = F.concat_ws(" ", "before", "front")
+    return beside.rlike(rf"(?i)(?:^|[^a-z])(?:{'|'.join(KEY_WORDS)})\W*(?:[=:]|:=|=>)\W*$").cast("double")
+
+
+def drawn(found: DataFrame, findings: int) -> DataFrame:
+    """About `findings` of `found` with either label, all where there are no more, picked by a hash."""
+    label = is_named()
+    sizes = {r["label"]: r["count"] for r in found.groupBy(label.alias("label")).count().collect()}
+    share = F.lit(0.0)
+    for kind, n in sizes.items():
+        share = F.when(label == kind, F.lit(findings / n)).otherwise(share)
+    part = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "place", "nth"), F.lit(2**40)) / 2**40
+    return found.where(part < share)
+
+
 def labelled_findings(found: DataFrame) -> DataFrame:
     """Findings with `label`: what they are, and the same values where they are none.
 
@@ -97,9 +114,7 @@ def labelled_findings(found: DataFrame) -> DataFrame:
     where such a value is harmless (a path, a named digest, a placeholder), and each
     harmless one stays what it is.
     """
-    beside = F.concat_ws(" ", "before", "front")
-    named = beside.rlike(rf"(?i)(?:^|[^a-z])(?:{'|'.join(KEY_WORDS)})\W*(?:[=:]|:=|=>)\W*$")
-    real = found.withColumn("label", named.cast("double"))
+    real = found.withColumn("label", is_named())
     secret = real.where("label = 1")
     words = F.array(*map(F.lit, HASH_WORDS))
     turn = F.pmod(F.xxhash64("doc_id", "place", "nth"), F.lit(len(HASH_WORDS)))
@@ -231,8 +246,8 @@ def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, findings: int
 
     `score` is the forest's share of votes for a secret, `secret` whether it is above
     a half. `labels` are labelled findings, with the columns of `candidates` and
-    `label`; without them they are made from about `findings` candidates, picked by
-    a hash. Whole texts are read; a null or empty text has no candidates. Rows
+    `label`; without them they are made from all candidates, of which about
+    `findings` of each label are picked by a hash. Whole texts are read; a null or empty text has no candidates. Rows
     with null or equal ids are scanned one by one. When the labels know one class
     only, every candidate gets that class. No candidates give no rows; other columns
     are ignored.
@@ -240,9 +255,7 @@ def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, findings: int
     docs = docs.select("doc_id", "text").where("text is not null")
     found = write_table(candidates(docs), "candidates")
     if labels is None:
-        n = found.count()
-        part = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "place", "nth"), F.lit(1_000_000)) / 1_000_000
-        labels = labelled_findings(found.where(part < findings / max(n, 1)))
+        labels = labelled_findings(drawn(found, findings))
     words = word_counts(docs)
     known, surprise = dictionary(found, words), transitions(words)
     labelled = write_table(
