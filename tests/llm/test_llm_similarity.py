@@ -113,6 +113,18 @@ def test_components_of_odd_documents(spark):
     assert len(kept.columns) == 12
 
 
+def test_lists_with_large_sums_of_hashes(spark, monkeypatch):
+    """Five keys with the largest hashes stand for a million with usual ones."""
+    monkeypatch.setattr(ngram_join.F, "shiftrightunsigned", lambda *_: ngram_join.F.lit(2**62))
+    prefixes = spark.createDataFrame(
+        [(True, token, key, 9, 1) for token in (1, 2) for key in range(5)],
+        "a boolean, token long, key long, n int, unshared int",
+    )
+    sets = spark.createDataFrame([(key, 0) for key in range(5)], "key long, parity int")
+    got = ngram_join._posting_lists(prefixes, sets).select("list", "key").collect()
+    assert sorted(map(tuple, got)) == [(1, key) for key in range(5)]
+
+
 def test_jaccard_query_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

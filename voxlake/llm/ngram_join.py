@@ -308,7 +308,7 @@ def _posting_lists(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
     hashed = F.xxhash64("key")
     alike = entries.groupBy("token").agg(
         F.count(F.lit(1)).alias("m"), F.bit_xor(hashed).alias("x"),
-        F.sum(F.shiftrightunsigned(hashed, 20)).alias("s"),
+        F.sum(F.shiftrightunsigned(hashed, 20).cast("decimal(38,0)")).alias("s"),
     ).where("m > 1")
     kept = write_table(
         alike.groupBy("m", "x", "s").agg(F.min("token").alias("token")).select("token"), "lists"
