@@ -148,6 +148,29 @@ def test_pages(weights, body, want):
     assert html_extraction.main_text(page(body), *weights) == want
 
 
+LONG = f"<h1>Head</h1><p>{WORDS}</p><p>{WORDS}</p>"
+
+
+@pytest.mark.parametrize("body", [
+    f"<div class='no-sidebar'>{LONG}</div>", f"<article class='post ad-free'>{LONG}</article>",
+    f"<article class='widget'>{LONG}</article>", f"<main class='content-with-comments'>{LONG}</main>",
+    f"<div class='widget'><article>{LONG}</article></div>", f"<main id='share'><div>{LONG}</div></main>",
+    f"<div data-id='ad' data-role='banner'>{LONG}</div>", f"<form><article>{LONG}</article></form>",
+    f"<form action=x><div>{LONG}</div></form><form><p>Subscribe to us</p></form>",
+    f"<main><article>{LONG}</article><section class='comments'><article><p>I like it</p></article></section></main>",
+    f"<aside><article><p>Read this too</p></article></aside><article>{LONG}</article>",
+])
+def test_containers_are_not_hidden(weights, body):
+    for around in ("<html><body class='home has-sidebar'>{}</body></html>", "<html id=widget><body class=ad>{}</body></html>"):
+        assert html_extraction.main_text(around.format(body), *weights) == f"Head\n{WORDS}\n{WORDS}"
+
+
+def test_equal_articles_in_marked_elements_are_kept():
+    item = "<div class='widget'><article><p>One two three</p></article></div>"
+    assert html_extraction.main_text(item * 3, {}, {"article": -0.1, "/article": -0.1, "div": -0.1, "/div": -0.1,
+                                                    "p": -0.1, "/p": -0.1}) == "\n".join(["One two three"] * 3)
+
+
 def test_best_region_is_the_best_of_all():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -35,11 +36,14 @@ BOILERPLATE = frozenset(
     " select svg template title".split()
 )
 CONTENT = frozenset(["article", "main"])
-# Words in class, id or role that mark what is not the article.
+FORMS = frozenset(["fieldset", "form"])
+# Elements that no mark hides, and values of class, id or role, whole
+# ones between blanks, that mark what is not the article.
+NEVER_MARKED = frozenset(["article", "body", "html", "main"])
 _NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo"
+    r"(?:^|\s)(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo"
     r"|cookies?|disqus|footer|menu|nav|navigation|newsletter|notice|pagination|popup|promo\w*|related"
-    r"|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])"
+    r"|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|\s)"
 )
 
 _TOKEN = re.compile(
@@ -50,7 +54,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-z][a-z0-9:-]*)([^>]*)>",
     re.S | re.I,
 )
-_MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARKED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # (kind, words or None, text or None, inside content, new block before)
 Token = tuple[str, int, str, bool, bool]
@@ -58,15 +62,91 @@ Token = tuple[str, int, str, bool, bool]
 
 def _kind(name: str, attributes: str) -> tuple[str, bool]:
     """Kind of an element, and whether its attributes say that it is not the article."""
+    if name in NEVER_MARKED:
+        return name, False
     marks = " ".join("".join(m).lower() for m in _MARKED.findall(attributes)) if attributes else ""
     return name, bool(marks and _NOT_ARTICLE.search(marks))
 
 
+_HOLDS = re.compile(r"<(?:article|main|fieldset|form)\b", re.I)
+
+
+def _plain(page: str, found: list[re.Match[str]]) -> set[int]:
+    """Start tags, by their place in `found`, of elements that are not hidden for what they hold.
+
+    These are elements that hold an article or main element, unless a longer one stands
+    beside them, as with an article and its comments; and forms with most of the words
+    that stand outside other boilerplate. A form without end tag ends as in `tokens`.
+    """
+    if not _HOLDS.search(page):
+        return set()
+    # (name, place, words before, seen words before, boilerplate), and how often each name is open.
+    opened: list[tuple[str, int, int, int, bool]] = []
+    names: Counter[str] = Counter()
+    spans: list[tuple[str, int, int, int, int]] = []  # name, place, end, words, seen words
+    words = seen = hidden = 0
+
+    def close(name: str | None, end: int) -> None:
+        nonlocal hidden
+        while opened:
+            last, place, before, seen_before, boilerplate = opened.pop()
+            names[last] -= 1
+            hidden -= boilerplate
+            if boilerplate or last in CONTENT or last in FORMS or last == "header":
+                spans.append((last, place, end, words - before, seen - seen_before))
+            if last == name:
+                return
+
+    at = 0
+    for k, match in enumerate(found):
+        n = len(page[at:match.start()].split())
+        words += n
+        seen += 0 if hidden else n
+        at = match.end()
+        name = (match[3] or match[6] or "").lower()
+        if not name:
+            continue
+        if match[2] or match[5]:
+            if names[name]:
+                close(name, k)
+            continue
+        if name not in INLINE and names["p"]:
+            close("p", k)
+        attributes = match[4] or match[7] or ""
+        if name in VOID or attributes.rstrip().endswith("/"):
+            continue
+        boilerplate = _kind(name, attributes)[1] or name in BOILERPLATE and name not in FORMS
+        opened.append((name, k, words, seen, boilerplate))
+        names[name] += 1
+        hidden += boilerplate
+    n = len(page[at:].split())
+    words += n
+    seen += 0 if hidden else n
+    close(None, len(found))
+
+    content = sorted((place, end, n) for name, place, end, n, _ in spans if name in CONTENT)
+    places = [c[0] for c in content]
+    longest = sorted(content, key=lambda c: -c[2])
+    plain = set()
+    for name, place, end, _, in_form in spans:
+        inside = content[bisect_right(places, place):bisect_left(places, end)]
+        most = max((c[2] for c in inside), default=0)
+        beside = False
+        for c in longest:
+            if c[2] <= most or beside:
+                break
+            beside = c[1] <= place or c[0] >= end
+        if inside and not beside or name in FORMS and 2 * in_form > seen:
+            plain.add(place)
+    return plain
+
+
 def tokens(page: str) -> Iterator[Token]:
     """Tags and stretches of text, in page order; character references are decoded.
 
-    What stands inside boilerplate elements is left out, their own tags are not. Markup
-    may be broken:
+    What stands inside boilerplate elements is left out, their own tags are not. An
+    element is no boilerplate when it holds the article, or is a form with most of the
+    words. Markup may be broken:
     an end tag without its start is ignored, a block ends an open paragraph, and an
     element that is never closed ends with the one around it.
     """
@@ -99,7 +179,9 @@ def tokens(page: str) -> Iterator[Token]:
             yield "", 0, " ", content > 0, False
 
     at = 0
-    for match in _TOKEN.finditer(page):
+    found = list(_TOKEN.finditer(page))
+    plain = _plain(page, found)
+    for k, match in enumerate(found):
         yield from words(page[at:match.start()])
         at = match.end()
         name = (match[3] or match[6] or "").lower()
@@ -118,6 +200,7 @@ def tokens(page: str) -> Iterator[Token]:
             continue
         attributes = match[4] or match[7] or ""
         kind, marked = _kind(name, attributes)
+        marked = marked and k not in plain
         if name not in INLINE and names["p"]:
             close("p")
         if not hidden:
@@ -125,7 +208,7 @@ def tokens(page: str) -> Iterator[Token]:
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
         outside = name == "header" and not content
-        boilerplate = marked or name in BOILERPLATE or outside
+        boilerplate = marked or (name in BOILERPLATE or outside) and k not in plain
         inline = name in INLINE and name != "a"
         opened.append((name, boilerplate, opened[-1][2] if inline and opened else "" if inline else name))
         names[name] += 1
