@@ -241,6 +241,28 @@ def test_moved_blocks_are_found_again():
     assert sorted(line_dedup.common_blocks(matches, 8)) == [0, 1, 2, 10, 11, 12]
 
 
+def test_line_dedup_of_repeated_lines(spark):
+    """Plain lines are compared, however often they stand in a text."""
+    rng = random.Random(4)
+    pool = ["}", "else {", "la la la", "a refrain of six words here", "one line of nine words that may stand twice"]
+    pool += [f"line {k} of it" for k in range(12)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    rows += [(100, f"new\n{pool[4]}\nand\n{pool[4]}")]
+    found = line_dedup.repeated_lines(documents(spark, rows)).collect()
+    lost = defaultdict(set)
+    texts = [(i, t.split("\n")) for i, t in rows]
+    for k, (later, new) in enumerate(texts):
+        for _, old in texts[:k]:
+            for a in range(len(old)):
+                for b in range(len(new)):
+                    n = 0
+                    while a + n < len(old) and b + n < len(new) and old[a + n] == new[b + n]:
+                        n += 1
+                    if len(" ".join(new[b:b + n]).split()) >= line_dedup.BLOCK_WORDS:
+                        lost[later].update(range(b, b + n))
+    assert {r.doc_id: set(r.places) for r in found} == lost and lost[100] == {1, 3}
+
+
 def test_line_dedup_query(spark):
     got = {r.doc_id: r.text for r in QUERIES["op3_line_dedup"](spark, SF).collect()}
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

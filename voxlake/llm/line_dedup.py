@@ -2,7 +2,8 @@
 
 Documents that share enough words in consecutive lines are found through hashes of
 short line windows, aligned with patience diff, and the common blocks are deleted
-from the later document, the one with the larger id.
+from the later document, the one with the larger id. Lines that repeat within a text
+are no anchors across different repeats; the windows themselves find their blocks.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ def _hash(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
-def line_rows(text: str, block_words: int) -> list[tuple[int, int, int | None, int | None, int]]:
-    """(place, line, ahead, behind, words) of the lines that have words.
+def line_rows(text: str, block_words: int) -> list[tuple[int, int, int | None, int | None, int, int, int]]:
+    """(place, line, ahead, behind, words, ahead_lines, behind_lines) of the lines that have words.
 
     `line` tells repeats of a line in one text apart by their number. `ahead` and
     `behind` stand for the fewest lines from here on, or up to here, that have
-    `block_words` words together; they are null where the text has no more. Every
-    line of a common block of that many words lies in such a window inside the block.
+    `block_words` words together; they are null where the text has no more, and do not
+    tell repeats apart. Every line of a common block of that many words lies in such a window inside the block.
     """
     lines = [b" ".join(x.split()) for x in text.encode("utf-8", "replace").split(b"\n")]
     places = [k for k, line in enumerate(lines) if line]
@@ -44,10 +45,11 @@ def line_rows(text: str, block_words: int) -> list[tuple[int, int, int | None, i
     for place in places:
         seen[lines[place]] += 1
         told.append(b"%d\n%s" % (seen[lines[place]], lines[place]))
+    plain = [lines[k] for k in places]
     upto = [0, *accumulate(words)]
 
     def window(start: int, end: int) -> int:
-        return _hash(b"\n".join(told[start:end]))
+        return _hash(b"\n".join(plain[start:end]))
 
     rows = []
     for at, line in enumerate(told):
@@ -56,7 +58,7 @@ def line_rows(text: str, block_words: int) -> list[tuple[int, int, int | None, i
         rows.append((
             at, _hash(line),
             window(at, end) if end < len(upto) else None,
-            window(start, at + 1) if start >= 0 else None, words[at],
+            window(start, at + 1) if start >= 0 else None, words[at], end - at, at + 1 - start,
         ))
     return rows
 
@@ -120,14 +122,15 @@ def _lines(docs: DataFrame, block_words: int) -> DataFrame:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1))
                 for row in line_rows(text.as_py() or "", block_words)
             ]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.int32()] * 3]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)],
-                ["doc_id", "place", "line", "ahead", "behind", "words"],
+                [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 8, kinds)],
+                ["doc_id", "place", "line", "ahead", "behind", "words", "ahead_lines", "behind_lines"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(
-        split, "doc_id long, place int, line long, ahead long, behind long, words int"
+        split, "doc_id long, place int, line long, ahead long, behind long, words int,"
+        " ahead_lines int, behind_lines int",
     )
 
 
@@ -173,17 +176,26 @@ def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame
     )
     # Every window leads to the first document that has it: as many pairs as there
     # are later occurrences, however frequent it is.
-    windows = lines.select("doc_id", F.explode(F.array_distinct(F.array("ahead", "behind"))).alias("window"))
-    windows = windows.where("window is not null")
+    ahead = F.struct(
+        F.col("place").alias("start"), F.col("ahead_lines").alias("n"), F.col("ahead").alias("window")
+    )
+    behind = F.struct(
+        (F.col("place") + 1 - F.col("behind_lines")).alias("start"), F.col("behind_lines").alias("n"),
+        F.col("behind").alias("window"),
+    )
+    windows = lines.select("doc_id", F.explode(F.array_distinct(F.array(ahead, behind))).alias("w"))
+    windows = windows.select("doc_id", "w.*").where("window is not null")
     firsts = write_table(
         windows.groupBy("window")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .where("first < last").select("window", "first"), "firsts",
     )
-    pairs = write_table(
-        windows.join(firsts, "window").where("doc_id > first")
-        .select("doc_id", "first").distinct(), "pairs",
+    matched = write_table(
+        windows.join(firsts, "window").where("doc_id > first").select("doc_id", "first", "start", "n"), "matched",
     )
+    pairs = write_table(matched.select("doc_id", "first").distinct(), "pairs")
+    # A window has at most `block_words` lines.
+    covered = matched.select("doc_id", F.explode(F.expr("sequence(start, start + n - 1)")).alias("place"))
     later = write_table(
         pairs.join(lines.select("doc_id", "line", "words", F.col("place").alias("at_later")), "doc_id"),
         "later",
@@ -194,7 +206,7 @@ def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame
     ).select("doc_id", "first", "at_first", "at_later", "words")
     together = matches.repartition("doc_id", "first").sortWithinPartitions("doc_id", "first")
     return write_table(
-        _aligned(together, block_words).groupBy("doc_id")
+        _aligned(together, block_words).unionByName(covered).groupBy("doc_id")
         .agg(F.sort_array(F.collect_set("place")).alias("places")), "places",
     )
 
