@@ -1,0 +1,340 @@
+"""Token counts, alignment of tokenizers and ranked search against brute force."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from conftest import SF
+from voxlake.llm import lexical_search, token_alignment, token_counts
+from voxlake.llm.oracles import ORACLES
+from voxlake.llm.queries import PIECES, QUERIES, VOCABULARY
+from voxlake.llm.vocabularies import vocabulary
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+SNIPPETS = [
+    " ", "  ", "\n", "\t", "a", "the", "'s", "12", "é", "▁", "　", "\x1c", "<|endoftext|>", "</s>", "<0x41>",
+    "xxxxx", "!", "中", "́", "\x85", "ﬁ", "​", "\0", "\U0001f600", "The", " end",
+]
+ODD = [
+    (1, "The cat sat."), (2, None), (3, ""), (4, " "), (5, "a▁b"), (6, "<|endoftext|> the"), (7, "x" * 50_000),
+    (8, "The cat sat."), (8, "The cat sat."), (None, "The cat sat."), (None, None), (9, "the the cat " * 3_000),
+    (10, "\n\n"), (11, "naïve 中文 \U0001f600"), (12, "!!! ..."),
+]
+
+
+def odd(spark, rows=ODD, key="doc_id"):
+    """Null, empty, long and repeated rows, with columns whose names the operators use."""
+    extra = ["digest", "n_tokens", "version", "vector", "hash", "m", "item", "links", "score"]
+    schema = f"{key} long, text string, " + ", ".join(f"{c} int" for c in extra)
+    return spark.createDataFrame([(*r, *range(len(extra))) for r in rows], schema)
+
+
+def random_texts(n, seed):
+    pick = random.Random(seed)
+    return ["".join(pick.choice(SNIPPETS) for _ in range(pick.randint(0, 14))) for _ in range(n)]
+
+
+def documents():
+    return duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+
+
+# --- vocabularies --------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    plain = Tokenizer.from_file(VOCABULARY)
+    plain.encode_special_tokens = True
+    return Tokenizer.from_file(VOCABULARY), plain, sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+def test_ids_are_those_of_the_libraries(libraries):
+    default, plain, pieces = libraries
+    a, b, words = vocabulary(VOCABULARY), vocabulary(PIECES), vocabulary(WORDS)
+    lower = Tokenizer.from_file(WORDS)
+    for text in random_texts(3_000, 1) + [t or "" for _, t in documents()]:
+        assert a.ids(text).tolist() == default.encode(text, add_special_tokens=False).ids
+        assert a.plain_ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert b.ids(text).tolist() == pieces.encode(text)
+        assert words.ids(text).tolist() == lower.encode(text, add_special_tokens=False).ids
+
+
+def test_vocabulary_is_read_once():
+    assert vocabulary(VOCABULARY) is vocabulary(VOCABULARY)
+
+
+# --- op12 ----------------------------------------------------------------------------
+
+
+def brute_counts(rows, default, limit):
+    out = Counter()
+    for doc_id, text in rows:
+        n = len(default.encode(text or "", add_special_tokens=False).ids)
+        out[doc_id, len((text or "").encode()), n, n > limit] += 1
+    return out
+
+
+def counted(df):
+    return Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in df.collect())
+
+
+def test_token_counts(spark, folder, libraries):
+    got = token_counts.count_tokens(odd(spark), VOCABULARY, f"{folder}/cache", limit=3)
+    assert counted(got) == brute_counts(ODD, libraries[0], 3)
+
+
+def test_token_counts_query(spark, libraries):
+    got = QUERIES["op12_token_counts"](spark, SF)
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert counted(got) == brute_counts(documents(), libraries[0], 1024)
+
+
+def test_counts_of_nothing(spark, folder):
+    assert token_counts.count_tokens(odd(spark, []), VOCABULARY, f"{folder}/cache").collect() == []
+
+
+def test_only_missing_texts_are_encoded(spark, folder, libraries, monkeypatch):
+    cache = f"{folder}/cache"
+    asked = spark.sparkContext.accumulator(0)
+    encoded = token_counts._encoded
+    seen = lambda texts, path: encoded(texts, path).where(F.udf(lambda d: asked.add(1) or True, "boolean")("digest"))
+    monkeypatch.setattr(token_counts, "_encoded", seen)
+    first = [r for r in ODD if r[1] != "</s>"]
+    assert counted(token_counts.count_tokens(odd(spark, first), VOCABULARY, cache)) == brute_counts(first, libraries[0], 1024)
+    distinct = len({t or "" for _, t in first})
+    assert asked.value == distinct
+    later = [*ODD, (20, "new"), (21, "new"), (22, "newer")]
+    assert counted(token_counts.count_tokens(odd(spark, later), VOCABULARY, cache)) == brute_counts(later, libraries[0], 1024)
+    assert asked.value == distinct + 2
+    # Without the bound on broadcasts the same.
+    monkeypatch.setattr("voxlake.session.BROADCAST_ROWS", 0)
+    last = [*later, (23, "newest")]
+    assert counted(token_counts.count_tokens(odd(spark, last), VOCABULARY, cache)) == brute_counts(last, libraries[0], 1024)
+    # Another tokenizer has counts of its own.
+    pieces = token_counts.count_tokens(odd(spark, [(1, "new")]), PIECES, cache).first()
+    assert pieces.n_tokens == len(libraries[2].encode("new"))
+    assert token_counts.cached_counts(spark, cache, PIECES).count() == 1
+
+
+def test_a_digest_that_was_appended_twice_counts_once(spark, folder, libraries):
+    cache = f"{folder}/cache"
+    docs = odd(spark)
+    token_counts.count_tokens(docs, VOCABULARY, cache).collect()
+    path = token_counts._counts_path(cache, VOCABULARY)
+    spark.read.parquet(path).limit(4).write.mode("append").parquet(path)
+    assert counted(token_counts.count_tokens(docs, VOCABULARY, cache)) == brute_counts(ODD, libraries[0], 1024)
+
+
+# --- op11 ----------------------------------------------------------------------------
+
+
+def letters():
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def brute_alignment(text, libraries):
+    """(a tokens, b tokens) as (id, start, end), by the libraries' own names of tokens."""
+    _, plain, pieces = libraries
+    if not text:
+        return [], []
+    of = letters()
+    sides = [
+        [(i, bytes(of[c] for c in plain.id_to_token(i))) for i in plain.encode(" " + text, add_special_tokens=False).ids],
+        [(i, bytes([int(pieces.id_to_piece(i)[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", pieces.id_to_piece(i))
+          else pieces.id_to_piece(i).replace("▁", " ").encode()) for i in pieces.encode(text)],
+    ]
+    out = []
+    for side in sides:
+        if b"".join(t for _, t in side) != (" " + text).encode():
+            return [], []
+        at, placed = 0, []
+        for i, t in side:
+            placed.append((i, at, at + len(t)))
+            at += len(t)
+        out.append(placed)
+    return out[0], out[1]
+
+
+def brute_rows(rows, libraries):
+    sides = [(doc_id, *brute_alignment(text, libraries)) for doc_id, text in rows]
+    links = []
+    for _, a, b in sides:
+        ends = {e: i for i, _, e in b}
+        links.append([(i, ends[e]) for i, _, e in a if e in ends])
+    count = Counter(p for doc in links for p in doc)
+    highest = defaultdict(int)
+    for (_, b), n in count.items():
+        highest[b] = max(highest[b], n)
+    out = Counter()
+    for (doc_id, a, b), doc in zip(sides, links):
+        cuts = sorted({e for _, _, e in a} & {e for _, _, e in b})
+        parts, low = [], 0
+        for cut in cuts:
+            parts.append("|".join(",".join(str(i) for i, s, e in side if low <= s and e <= cut) for side in (a, b)))
+            low = cut
+        digest = hashlib.sha256(";".join(parts).encode()).hexdigest() if parts else ""
+        out[(doc_id, len(a), len(b), len(cuts), len(doc), sum(count[p] == highest[p[1]] for p in doc),
+             sum(count[p] for p in doc), digest)] += 1
+    return out
+
+
+COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def alignment_rows(spark, rows, monkeypatch):
+    schema = "doc_id long, text string, links int, n_a int"
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], schema).repartition(3)
+    monkeypatch.setattr("voxlake.llm.queries.table", lambda *_: docs)
+    return Counter(tuple(r) for r in QUERIES["op11_cross_tokenizer_alignment"](spark, SF).select(COLUMNS).collect())
+
+
+def test_alignment_of_odd_texts(spark, libraries, monkeypatch):
+    short = [(d, t[:2_000] if t else t) for d, t in ODD]
+    rows = short + list(enumerate(random_texts(400, 2), 100))
+    assert alignment_rows(spark, rows, monkeypatch) == brute_rows(rows, libraries)
+
+
+def test_alignment_query(spark, libraries):
+    rows = [(d, t) for d, t in documents() if len(t or "") < 6_000]
+    sizes = {d for d, t in documents() if len(t or "") < 6_000}
+    got = QUERIES["op11_cross_tokenizer_alignment"](spark, SF).select(COLUMNS).collect()
+    assert sorted(got, key=lambda r: r.doc_id) and len(got) == len(documents())
+    want = {r[0]: r for r in brute_rows(rows, libraries)}
+    for r in got:
+        if r.doc_id in sizes:  # counts are those of all documents
+            assert tuple(r)[:5] + (r.groups_sha256,) == want[r.doc_id][:5] + (want[r.doc_id][7],)
+
+
+def test_alignment_of_nothing(spark, monkeypatch):
+    assert not alignment_rows(spark, [], monkeypatch)
+    assert set(alignment_rows(spark, [(1, None), (2, "")], monkeypatch)) == {(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")}
+
+
+def test_overlaps_and_cuts(spark, libraries):
+    rows = [(k, t) for k, t in enumerate(random_texts(200, 3) + [t for _, t in ODD if t and len(t) < 99])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for r in token_alignment.align_tokens(docs, VOCABULARY, PIECES).collect():
+        a, b = brute_alignment(dict(rows)[r.doc_id], libraries)
+        want = [(i, j) for i, (_, s, e) in enumerate(a) for j, (_, t, f) in enumerate(b) if s < f and t < e]
+        assert [tuple(o) for o in r.overlaps] == want
+        assert r.cuts == sorted({e for _, _, e in a} & {e for _, _, e in b})
+        assert len(r.links) == len(r.cuts)
+
+
+def test_long_texts_are_aligned_alone(spark, libraries, monkeypatch):
+    monkeypatch.setattr(token_alignment, "BATCH_BYTES", 40)
+    rows = list(enumerate(random_texts(60, 4) + ["the cat " * 40]))
+    assert alignment_rows(spark, rows, monkeypatch) == brute_rows(rows, libraries)
+
+
+def test_pairs_are_bounded_by_the_vocabularies(spark):
+    aligned = token_alignment.align_tokens(spark.read.parquet(f"{SF}/documents.parquet"), VOCABULARY, PIECES)
+    pairs = token_alignment.pair_counts(aligned.select("links"))
+    known = [vocabulary(p).token_bytes for p in (VOCABULARY, PIECES)]
+    rows = pairs.collect()
+    assert 0 < len(rows) <= token_alignment.most_pairs(VOCABULARY, PIECES) < 400_000
+    for r in rows:
+        a, b = known[0][r.a_id], known[1][r.b_id]
+        assert a.endswith(b) or b.endswith(a)
+
+
+# --- op13 ----------------------------------------------------------------------------
+
+TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+def brute_search(docs, items, best):
+    terms = [(d, Counter(TERM.findall((t or "").translate(UPPER)))) for d, t in docs]
+    big = sum(1 for _, c in terms if c)
+    words = sum(sum(c.values()) for _, c in terms)
+    df = Counter(t for _, c in terms for t in c)
+    asked = defaultdict(set)
+    for item, text in items:
+        asked[item] |= set(TERM.findall((text or "").translate(UPPER)))
+    out = []
+    for item, want in asked.items():
+        scores = []
+        for d, c in terms:
+            m = 50 + (50 * sum(c.values()) * big) // words if words else 50
+            score = sum(
+                math.floor(1000 * math.log((2 * big + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 20 * m))
+                for t in want if t in c
+            )
+            if score:
+                scores.append((-score, d is None, d))
+        for rank, (score, _, d) in enumerate(sorted(scores, key=lambda s: (s[0], s[1], s[2] or 0))[:best], 1):
+            out.append((item, rank, d, -score))
+    return Counter(out)
+
+
+def found(df):
+    assert df.columns == ["item_id", "rank", "doc_id", "score"]
+    return Counter(tuple(r) for r in df.collect())
+
+
+ITEMS = [(1, "The CAT!"), (2, None), (3, "zzz unknown"), (4, "中文 É é 12"), (4, "sat"), (None, "cat"), (5, ""), (6, "the x")]
+
+
+@pytest.mark.parametrize("pass_terms", [200_000, 2])
+def test_search_of_odd_texts(spark, pass_terms):
+    docs = ODD + [(k, "the cat") for k in range(100, 180)] + [(k, f"cat {k % 7}") for k in range(200, 260)]
+    got = lexical_search.ranked_search(odd(spark, docs), odd(spark, ITEMS, "item_id"), 50, pass_terms)
+    assert found(got) == brute_search(docs, ITEMS, 50)
+
+
+@pytest.mark.parametrize("cells", [50, 2_000_000])
+def test_search_of_random_bags(spark, cells, monkeypatch):
+    monkeypatch.setattr(lexical_search, "CELLS", cells)
+    pick = random.Random(5)
+    word = [f"w{k}" for k in range(12)]
+    docs = [(pick.choice([k, k, k, None]), " ".join(pick.choices(word, k=pick.randint(0, 5)))) for k in range(600)]
+    items = [(k, " ".join(pick.choices(word, k=pick.randint(1, 4)))) for k in range(15)]
+    got = lexical_search.ranked_search(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(7),
+        spark.createDataFrame(items, "item_id long, text string"), 10,
+    )
+    assert found(got) == brute_search(docs, items, 10)
+
+
+def test_sums_beyond_doubles(spark, monkeypatch):
+    made = lexical_search.Postings.__init__
+    monkeypatch.setattr(
+        lexical_search.Postings, "__init__", lambda self, *a: (made(self, *a), setattr(self, "exact", False))[0]
+    )
+    docs = [(k, f"a b{k % 3} c") for k in range(30)]
+    got = lexical_search.ranked_search(odd(spark, docs), odd(spark, [(1, "b1 a")], "item_id"), 7)
+    assert found(got) == brute_search(docs, [(1, "b1 a")], 7)
+
+
+def test_search_of_nothing(spark):
+    for docs, items in (([], ITEMS), (ODD, []), ([(1, None), (2, "!")], ITEMS), (ODD, [(1, None)])):
+        assert found(lexical_search.ranked_search(odd(spark, docs), odd(spark, items, "item_id"))) == Counter()
+
+
+def test_copies_are_scored_once(spark):
+    docs = [(k, "cat sat " * (1 + k % 2)) for k in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.sparkContext.broadcast({b"cat": 0})
+    assert lexical_search._vectors(frame, known).groupBy("vector").count().count() == 2
+    got = lexical_search.ranked_search(frame, odd(spark, [(1, "cat")], "item_id"))
+    assert found(got) == brute_search(docs, [(1, "cat")], 50)
+
+
+def test_search_query_matches_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = Counter(con.execute(ORACLES["op13_ranked_search"]).fetchall())
+    assert len(want) and found(QUERIES["op13_ranked_search"](spark, SF)) == want

@@ -126,3 +126,27 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(b, vec_
        least(vec_id, coalesce(b, vec_id)) = vec_id AS kept
 FROM embeddings LEFT JOIN low ON vec_id = low.a LEFT JOIN n ON vec_id = n.a
 """
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op13_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_TERMS}') AS terms FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_FOLDED}, '{_TERMS}')) AS term FROM benchmark),
+t AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d)
+  GROUP BY doc_id, n, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM t, s GROUP BY term, docs
+), r AS (
+  SELECT item_id, doc_id,
+         sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words))))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
