@@ -193,7 +193,7 @@ COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
 
 
 def alignment_rows(spark, rows, monkeypatch):
-    schema = "doc_id long, text string, links int, n_a int"
+    schema = "doc_id long, text string, linked_a int, n_a int"
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], schema).repartition(3)
     monkeypatch.setattr("voxlake.llm.queries.table", lambda *_: docs)
     return Counter(tuple(r) for r in QUERIES["op11_cross_tokenizer_alignment"](spark, SF).select(COLUMNS).collect())
@@ -227,9 +227,10 @@ def test_overlaps_and_cuts(spark, libraries):
     for r in token_alignment.align_tokens(docs, VOCABULARY, PIECES).collect():
         a, b = brute_alignment(dict(rows)[r.doc_id], libraries)
         want = [(i, j) for i, (_, s, e) in enumerate(a) for j, (_, t, f) in enumerate(b) if s < f and t < e]
-        assert [tuple(o) for o in r.overlaps] == want
+        assert list(zip(r.overlap_a, r.overlap_b)) == want
         assert r.cuts == sorted({e for _, _, e in a} & {e for _, _, e in b})
-        assert len(r.links) == len(r.cuts)
+        ends = [{e: i for i, _, e in side} for side in (a, b)]
+        assert r.linked_a == [ends[0][c] for c in r.cuts] and r.linked_b == [ends[1][c] for c in r.cuts]
 
 
 def test_long_texts_are_aligned_alone(spark, libraries, monkeypatch):
@@ -240,7 +241,7 @@ def test_long_texts_are_aligned_alone(spark, libraries, monkeypatch):
 
 def test_pairs_are_bounded_by_the_vocabularies(spark):
     aligned = token_alignment.align_tokens(spark.read.parquet(f"{SF}/documents.parquet"), VOCABULARY, PIECES)
-    pairs = token_alignment.pair_counts(aligned.select("links"))
+    pairs = token_alignment.pair_counts(aligned)
     known = [vocabulary(p).token_bytes for p in (VOCABULARY, PIECES)]
     rows = pairs.collect()
     assert 0 < len(rows) <= token_alignment.most_pairs(VOCABULARY, PIECES) < 400_000

@@ -78,11 +78,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = token_alignment.align_tokens(table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
+    aligned = token_alignment.align_tokens(table(spark, sf_dir, "documents"), VOCABULARY, PIECES, overlaps=False)
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
     kept = aligned.select(
         "doc_id", "n_a", "n_b", F.size("cuts").cast("long").alias("n_groups"),
-        F.size("links").cast("long").alias("n_links"), digest.alias("groups_sha256"), "links",
+        F.size("linked_a").cast("long").alias("n_links"), digest.alias("groups_sha256"), *token_alignment.LINKS,
     )
     return token_alignment.with_link_strength(write_table(kept, "aligned"))
 

@@ -14,17 +14,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from voxlake.llm.vocabularies import Vocabulary, once_per_worker, vocabulary
 
 # Bytes of text that are aligned at a time; a longer text is aligned alone.
 BATCH_BYTES = 500_000
+# Links that are counted or looked up at a time.
+BATCH_LINKS = 500_000
 
-_NAMES = ["doc_id", "n_a", "n_b", "groups", "cuts", "links", "overlaps"]
+LINKS = ["linked_a", "linked_b"]
 _SCHEMA = (
-    "doc_id long, n_a long, n_b long, groups string, cuts array<long>,"
-    " links array<struct<a_id:int,b_id:int>>, overlaps array<struct<a:int,b:int>>"
+    "doc_id long, n_a long, n_b long, groups string, cuts array<int>,"
+    " linked_a array<int>, linked_b array<int>"
 )
 
 
@@ -65,7 +68,8 @@ def overlapping(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     """Batches of texts to aligned tokens, for two vocabulary files."""
 
-    def __init__(self, a: str, b: str) -> None:
+    def __init__(self, a: str, b: str, overlaps: bool) -> None:
+        self.overlaps = overlaps
         self.sides: list[Vocabulary] = [vocabulary(a), vocabulary(b)]
         self.known = [v.token_bytes for v in self.sides]
         self.lengths = [np.array([len(t) for t in known], np.int64) for known in self.known]
@@ -101,20 +105,20 @@ class Aligner:
             """Offsets of each document's rows, given the places of their tokens."""
             return np.searchsorted(places, np.r_[0, np.cumsum(side.per_doc)]).astype(np.int32)
 
-        links, overlaps = per_doc(a, last_a), per_doc(a, at_a)
+        cuts = per_doc(a, last_a)
         before = [np.r_[0, np.cumsum(s.per_doc)] for s in (a, b)]
-        doc_of = [np.repeat(np.arange(len(texts)), np.diff(o)) for o in (links, overlaps)]
-        size = np.r_[0, np.cumsum(np.bincount(
-            np.repeat(np.arange(len(texts)), a.per_doc), self.lengths[0][a.ids], len(texts)
-        ))].astype(np.int64)
-        columns = [
-            doc_ids, pa.array(a.per_doc), pa.array(b.per_doc),
-            self._groups(a, b, last_a, last_b),
-            pa.ListArray.from_arrays(links, pa.array(a.ends[last_a] - size[doc_of[0]])),
-            _structs(links, a_id=a.ids[last_a], b_id=b.ids[last_b]),
-            _structs(overlaps, a=at_a - before[0][doc_of[1]], b=at_b - before[1][doc_of[1]]),
-        ]
-        return pa.RecordBatch.from_arrays(columns, _NAMES)
+        size = np.r_[0, a.ends][before[0]]  # bytes ahead of each document
+        columns = {
+            "doc_id": doc_ids, "n_a": pa.array(a.per_doc), "n_b": pa.array(b.per_doc),
+            "groups": self._groups(a, b, last_a, last_b),
+            "cuts": _lists(cuts, a.ends[last_a] - np.repeat(size[:-1], np.diff(cuts))),
+            "linked_a": _lists(cuts, a.ids[last_a]), "linked_b": _lists(cuts, b.ids[last_b]),
+        }
+        if self.overlaps:
+            rows = per_doc(a, at_a)
+            for name, at, first in (("overlap_a", at_a, before[0]), ("overlap_b", at_b, before[1])):
+                columns[name] = _lists(rows, at - np.repeat(first[:-1], np.diff(rows)))
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     def _groups(self, a: Tokens, b: Tokens, last_a: np.ndarray, last_b: np.ndarray) -> pa.Array:
         """Each document's groups as text: `a1,a2|b1;a3|b2,b3`."""
@@ -135,19 +139,19 @@ class Aligner:
         return pa.array([flat[x:y][:-1] for x, y in zip(at[:-1], at[1:])], pa.string())
 
 
-def _structs(offsets: np.ndarray, **columns: np.ndarray) -> pa.ListArray:
-    values = [pa.array(c.astype(np.int32)) for c in columns.values()]
-    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(values, names=list(columns)))
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)))
 
 
-def align_tokens(docs: DataFrame, a: str, b: str) -> DataFrame:
+def align_tokens(docs: DataFrame, a: str, b: str, overlaps: bool = True) -> DataFrame:
     """Tokens of vocabulary files `a` and `b` over each text of `docs` (doc_id, text), aligned.
 
     `a` encodes the text with a space in front, `b` the text alone, to which it adds the
     space itself. Special strings inside a text are ordinary text. One row per row of
     `docs`: n_a and n_b tokens; `groups` as text, ids of a and b between common ends;
-    `cuts`, the byte offsets of these ends, the space included; `links`, the ids of the
-    tokens that end there; `overlaps`, the places of all tokens that share a byte.
+    `cuts`, the byte offsets of these ends, the space included; `linked_a` and `linked_b`,
+    the ids of the two tokens that end at each; with `overlaps` also `overlap_a` and
+    `overlap_b`, the places of any two tokens that share a byte.
 
     A text that is null or empty, or that one side does not give back byte by byte, has
     no tokens, empty lists and an empty `groups`. Rows with null or repeated ids are
@@ -156,7 +160,7 @@ def align_tokens(docs: DataFrame, a: str, b: str) -> DataFrame:
     """
 
     def aligned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = Aligner(a, b)
+        align = Aligner(a, b, overlaps)
         for batch in batches:
             held: list[str | None] = []
             start = size = 0
@@ -168,7 +172,8 @@ def align_tokens(docs: DataFrame, a: str, b: str) -> DataFrame:
                     yield align(batch.column(0)[start:at + 1], held)
                     held, start, size = [], at + 1, 0
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(aligned, _SCHEMA)
+    schema = f"{_SCHEMA}, overlap_a array<int>, overlap_b array<int>" if overlaps else _SCHEMA
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(aligned, schema)
 
 
 def most_pairs(a: str, b: str) -> int:
@@ -188,15 +193,15 @@ def most_pairs(a: str, b: str) -> int:
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """(a_id, b_id, n): how many of the `links` of all rows hold each pair of ids.
+    """(a_id, b_id, n): how many links of all rows of `links` hold each pair of ids.
 
     Counted in every task first: as many rows as pairs can link, at most, leave it.
     """
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts = np.array([], np.int64), np.array([], np.int64)
-        for batch in batches:
-            new, n = np.unique(_codes(batch.column(0).flatten()), return_counts=True)
+        for batch in _parts(batches):
+            new, n = np.unique(_codes(batch), return_counts=True)
             merged, at = np.unique(np.r_[pairs, new], return_inverse=True)
             summed = np.zeros(len(merged), np.int64)
             np.add.at(summed, at, np.r_[counts, n])
@@ -206,17 +211,29 @@ def pair_counts(links: DataFrame) -> DataFrame:
             ["a_id", "b_id", "n"],
         )
 
-    parts = links.select("links").mapInArrow(counted, "a_id int, b_id int, n long")
+    parts = links.select(*LINKS).mapInArrow(counted, "a_id int, b_id int, n long")
     return parts.groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
 
 
-def _codes(links: pa.StructArray) -> np.ndarray:
-    a, b = (links.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about BATCH_LINKS links, one row at least."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column(LINKS[0])).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // BATCH_LINKS
+        cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(batch)]
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if y > x:
+                yield batch.slice(x, y - x)
+
+
+def _codes(batch: pa.RecordBatch) -> np.ndarray:
+    """Both ids of every link as one number."""
+    a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in LINKS)
     return (a << 32) | b
 
 
 def with_link_strength(aligned: DataFrame) -> DataFrame:
-    """`aligned`, a written table with `links`, with n_best and count_sum instead of them.
+    """`aligned`, a written table, with n_best and count_sum instead of its links.
 
     A link counts as often as its pair of ids is linked in all rows. `n_best` is the
     number of a row's links whose count is the highest among the pairs of their b id,
@@ -231,19 +248,19 @@ def with_link_strength(aligned: DataFrame) -> DataFrame:
     highest = np.zeros(of_b.max(initial=-1) + 1, np.int64)
     np.maximum.at(highest, of_b, n)
     table = aligned.sparkSession.sparkContext.broadcast((code, n, n == highest[of_b]))
-    names = [c for c in aligned.columns if c != "links"]
+    names = [c for c in aligned.columns if c not in LINKS]
 
     def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, times, best = table.value
-        for batch in batches:
-            links = batch.column("links")
-            at = np.searchsorted(pairs, _codes(links.flatten()))
-            ends = np.r_[0, np.cumsum(pa.compute.list_value_length(links).to_numpy(zero_copy_only=False))]
+        for batch in _parts(batches):
+            at = np.searchsorted(pairs, _codes(batch))
+            sizes = pc.list_value_length(batch.column(LINKS[0]))
+            ends = np.r_[0, np.cumsum(sizes.to_numpy(zero_copy_only=False))]
             totals = [np.r_[0, np.cumsum(v[at])][ends] for v in (best.astype(np.int64), times)]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], *[pa.array(np.diff(t)) for t in totals]],
                 [*names, "n_best", "count_sum"],
             )
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in aligned.schema if f.name != "links")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in aligned.schema if f.name in names)
     return aligned.mapInArrow(judged, f"{kept}, n_best long, count_sum long")
