@@ -262,8 +262,11 @@ def _parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _verified(pairs: DataFrame, filters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that pass the other orders' filters, with `linked`."""
+def _verified(pairs: DataFrame, filters: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Pairs (u, v) that pass the other orders' filters, with `linked`.
+
+    Of `sets` only those of such pairs are moved, as later rounds ask for few.
+    """
 
     def side(table: DataFrame, name: str) -> DataFrame:
         return table.select(*[F.col(c).alias(name if c == "key" else f"{name}_{c}") for c in table.columns])
@@ -274,6 +277,10 @@ def _verified(pairs: DataFrame, filters: DataFrame, sets: DataFrame, percent: in
         .where(F.arrays_overlap("u_b", "v_b") & F.arrays_overlap("u_c", "v_c"))
         .select("u", "v")
     )
+    close = write_parts(close, "close", rows)
+    wanted = write_parts(
+        close.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "wanted", rows
+    )
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +294,7 @@ def _verified(pairs: DataFrame, filters: DataFrame, sets: DataFrame, percent: in
                 ["u", "v", "linked"],
             )
 
-    sets = sets.select("key", "tokens")
+    sets = sets.select("key", "tokens").join(small_side(wanted), "key", "left_semi")
     return (
         close.join(side(sets, "u"), "u").join(side(sets, "v"), "v")
         .select("u", "v", "u_tokens", "v_tokens")
@@ -395,7 +402,7 @@ def _links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | No
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = write_parts(pairs, "pairs", rows)
-        verdicts = write_table(_verified(pairs.select("u", "v"), filters, sets, percent), "verdicts")
+        verdicts = write_table(_verified(pairs.select("u", "v"), filters, sets, percent, rows), "verdicts")
         done = pairs.select("u", "v") if done is None else done.unionByName(pairs.select("u", "v"))
         linked = verdicts.where("linked").select("u", "v")
         found = linked if found is None else found.unionByName(linked)
