@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,79 @@ _NOT_ARTICLE = re.compile(
     r"|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|\s)"
 )
 
+_OPENS = re.compile(r"(/?)([a-z][a-z0-9:-]*)", re.I)
+_RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "textarea")}
+_UNQUOTED = re.compile(r"""[^<>"']*+""")
+
+
+class Tag(NamedTuple):
+    """Markup between two stretches of text; comments and the like have no name."""
+
+    start: int
+    end: int
+    closing: bool
+    name: str
+    attributes: str
+
+
+def markup(page: str) -> Iterator[Tag]:
+    """Tags, comments, declarations, and raw elements with what they hold, in page order.
+
+    A tag ends at the first `>` outside quotes. Where a `<` or the end of the page comes
+    first, quotes mean nothing in it and in the tags up to there: each ends at its first
+    `>`. What no `>` follows is text. So every character is looked at a few times, however
+    broken the page.
+    """
+    at, broken, last = 0, 0, page.rfind(">")
+
+    def quoted_end(place: int) -> tuple[int, bool]:
+        """Where the tag whose attributes begin at `place` ends, or where it is broken."""
+        while True:
+            place = _UNQUOTED.match(page, place).end()
+            if place >= len(page) or page[place] == "<":
+                return place, False
+            if page[place] == ">":
+                return place, True
+            closes = page.find(page[place], place + 1)
+            if closes < 0:
+                return len(page), False
+            place = closes + 1
+
+    while (start := page.find("<" if at <= last else "<!--", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            at = len(page) if close < 0 else close + 3
+            yield Tag(start, at, False, "", "")
+        elif start > last:
+            continue
+        elif page[at] in "!?":
+            at = page.find(">", at) + 1
+            yield Tag(start, at, False, "", "")
+        elif opens := _OPENS.match(page, at):
+            closing, name = bool(opens[1]), opens[2].lower()
+            if not closing and name in _RAW:
+                close = _RAW[name].search(page, page.find(">", opens.end()) + 1)
+                at = close.end() if close else len(page)
+                yield Tag(start, at, False, "", "")
+                continue
+            if start < broken:
+                end = page.find(">", opens.end())
+            else:
+                end, whole = quoted_end(opens.end())
+                if not whole:
+                    broken, end = end, page.find(">", opens.end())
+            at = end + 1
+            yield Tag(start, at, closing, name, page[opens.end():end])
+
+
+_MARKED = frozenset(["article", "body", "html", "main"])
+_NOT_ARTICLE = re.compile(
+    r"(?:^|\s)(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo"
+    r"|cookies?|disqus|footer|menu|nav|navigation|newsletter|notice|pagination|popup|promo\w*|related"
+    r"|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|\s)"
+)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -71,7 +145,7 @@ def _kind(name: str, attributes: str) -> tuple[str, bool]:
 _HOLDS = re.compile(r"<(?:article|main|fieldset|form)\b", re.I)
 
 
-def _plain(page: str, found: list[re.Match[str]]) -> set[int]:
+def _plain(page: str, found: list[Tag]) -> set[int]:
     """Start tags, by their place in `found`, of elements that are not hidden for what they hold.
 
     These are elements that hold an article or main element, unless a longer one stands
@@ -80,64 +154,69 @@ def _plain(page: str, found: list[re.Match[str]]) -> set[int]:
     """
     if not _HOLDS.search(page):
         return set()
-    # (name, place, words before, seen words before, boilerplate), and how often each name is open.
-    opened: list[tuple[str, int, int, int, bool]] = []
+    # [name, place, words before, seen words before, boilerplate, most words of an article
+    # inside or None], and how often each name is open.
+    opened: list[list] = []
     names: Counter[str] = Counter()
-    spans: list[tuple[str, int, int, int, int]] = []  # name, place, end, words, seen words
+    spans: list[tuple[int, int, str, int, int, int | None]] = []  # place, end, name, words, seen words, most
     words = seen = hidden = 0
 
     def close(name: str | None, end: int) -> None:
         nonlocal hidden
         while opened:
-            last, place, before, seen_before, boilerplate = opened.pop()
+            last, place, before, seen_before, boilerplate, most = opened.pop()
             names[last] -= 1
             hidden -= boilerplate
+            own = words - before
             if boilerplate or last in CONTENT or last in FORMS or last == "header":
-                spans.append((last, place, end, words - before, seen - seen_before))
+                spans.append((place, end, last, own, seen - seen_before, most))
+            if opened and (last in CONTENT or most is not None):
+                opened[-1][5] = max(opened[-1][5] or 0, most or 0, own if last in CONTENT else 0)
             if last == name:
                 return
 
     at = 0
-    for k, match in enumerate(found):
-        n = len(page[at:match.start()].split())
+    for k, tag in enumerate(found):
+        n = len(page[at:tag.start].split())
         words += n
         seen += 0 if hidden else n
-        at = match.end()
-        name = (match[3] or match[6] or "").lower()
-        if not name:
+        at = tag.end
+        if not tag.name:
             continue
-        if match[2] or match[5]:
-            if names[name]:
-                close(name, k)
+        if tag.closing:
+            if names[tag.name]:
+                close(tag.name, k)
             continue
-        if name not in INLINE and names["p"]:
+        if tag.name not in INLINE and names["p"]:
             close("p", k)
-        attributes = match[4] or match[7] or ""
-        if name in VOID or attributes.rstrip().endswith("/"):
+        if tag.name in VOID or tag.attributes.rstrip().endswith("/"):
             continue
-        boilerplate = _kind(name, attributes)[1] or name in BOILERPLATE and name not in FORMS
-        opened.append((name, k, words, seen, boilerplate))
-        names[name] += 1
+        boilerplate = _kind(tag.name, tag.attributes)[1] or tag.name in BOILERPLATE and tag.name not in FORMS
+        opened.append([tag.name, k, words, seen, boilerplate, None])
+        names[tag.name] += 1
         hidden += boilerplate
     n = len(page[at:].split())
     words += n
     seen += 0 if hidden else n
     close(None, len(found))
 
-    content = sorted((place, end, n) for name, place, end, n, _ in spans if name in CONTENT)
-    places = [c[0] for c in content]
-    longest = sorted(content, key=lambda c: -c[2])
+    longest = sorted(n for _, _, name, n, _, _ in spans if name in CONTENT)
+    around: list[int] = []  # minus the words of the articles around, the longest first
+    ends: list[int] = []
     plain = set()
-    for name, place, end, _, in_form in spans:
-        inside = content[bisect_right(places, place):bisect_left(places, end)]
-        most = max((c[2] for c in inside), default=0)
-        beside = False
-        for c in longest:
-            if c[2] <= most or beside:
-                break
-            beside = c[1] <= place or c[0] >= end
-        if inside and not beside or name in FORMS and 2 * in_form > seen:
+    for place, end, name, n, in_form, most in sorted(spans):
+        while ends and ends[-1] <= place:
+            ends.pop()
+            around.pop()
+        # Articles longer than those inside stand around, are this one, or stand beside.
+        least = most or 0
+        longer = len(longest) - bisect_right(longest, least) - bisect_left(around, -least)
+        beside = longer > (name in CONTENT and n > least)
+        if most is not None and not beside or name in FORMS and 2 * in_form > seen:
             plain.add(place)
+        if name in CONTENT:
+            ends.append(end)
+            around.append(-n)
     return plain
 
 
@@ -179,33 +258,31 @@ def tokens(page: str) -> Iterator[Token]:
             yield "", 0, " ", content > 0, False
 
     at = 0
-    found = list(_TOKEN.finditer(page))
+    found = list(markup(page))
     plain = _plain(page, found)
-    for k, match in enumerate(found):
-        yield from words(page[at:match.start()])
-        at = match.end()
-        name = (match[3] or match[6] or "").lower()
+    for k, tag in enumerate(found):
+        yield from words(page[at:tag.start])
+        at, name = tag.end, tag.name
         if not name:
             continue
         if name not in INLINE:
             fresh = True
         elif name == "br" and not hidden:
             yield "", 0, " ", content > 0, False
-        if match[2] or match[5]:
+        if tag.closing:
             if names[name]:
                 before = hidden
                 close(name)
                 if not before or not hidden:
                     yield "/" + name, -1, "", content > 0, fresh
             continue
-        attributes = match[4] or match[7] or ""
-        kind, marked = _kind(name, attributes)
+        kind, marked = _kind(name, tag.attributes)
         marked = marked and k not in plain
         if name not in INLINE and names["p"]:
             close("p")
         if not hidden:
             yield kind + "!" * marked, -1, "", content > 0, fresh
-        if name in VOID or attributes.rstrip().endswith("/"):
+        if name in VOID or tag.attributes.rstrip().endswith("/"):
             continue
         outside = name == "header" and not content
         boilerplate = marked or (name in BOILERPLATE or outside) and k not in plain
