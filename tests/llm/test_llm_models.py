@@ -3,10 +3,12 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -196,6 +198,48 @@ def test_odd_pages(spark):
 # --- secrets -----------------------------------------------------------------------------------
 
 
+LONG = 1_000_000
+
+
+@pytest.mark.parametrize("page", [
+    '<a b="c ', "<a b ", "<a b", "<article>x ", "<form>a ", "<script ", "<!--", "<a '\"><b", "class=' ", "<", "<div class=\"advert",
+    "</a", "&", "<![", "<a\"'",
+])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_broken_pages_of_a_megabyte(page, end):
+    start = time.time()
+    html_extraction.main_text("<article>some words</article>" + page * (LONG // len(page)) + end, {}, {})
+    assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<a title="x > y">z</a>', [(0, 17, "a"), (18, 22, "a")]),
+    ('<a title="x >z</a> b', [(0, 13, "a"), (14, 18, "a")]),
+    ("<a <b>", [(0, 6, "a")]), ("a < b <!-- <p> --> <p", [(6, 18, "")]), ("<style>a<b</style x></style >c", [(0, 29, "")]),
+    ("x > <!-- no end", [(4, 15, "")]), ("<!doctype html><p/>", [(0, 15, ""), (15, 19, "p")]), ("1 < 2 > 0", []),
+])
+def test_markup(page, want):
+    assert [(t.start, t.end, t.name) for t in html_extraction.markup(page)] == want
+
+
+def test_candidates_of_odd_texts_of_a_megabyte(spark):
+    rows = ["a" * LONG, "-" * LONG, "=" * LONG, "9" * LONG, "ab1" + "=" * LONG, ("-" * LONG) + "a", "key" + ":" * LONG + "x1" + "a" * 20,
+            "key" + "!:" * (LONG // 2) + "," + "x1" + "a" * 20]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    start = time.time()
+    out = secret_scan.scan_secrets(docs).collect()
+    assert time.time() - start < 120
+    assert {(r.doc_id, r.length) for r in out} == {(3, LONG), (4, LONG + 3), (6, 22), (7, 22)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aZ9+/_=-. \"", max_size=60))
+def test_candidate_pattern(text):
+    """Whole runs of such characters, of 16 and more, that hold a digit."""
+    want = [m for m in re.findall("[A-Za-z0-9+/_=-]+", text) if len(m) >= 16 and re.search("[0-9]", m)]
+    assert [m[0] for m in re.finditer(secret_scan.CANDIDATE, text)] == want
+
+
 def test_secret_query(spark):
     """Every assigned token is found, no card number or digest is."""
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_MORE}/documents.parquet").collect()}

@@ -16,7 +16,10 @@ from voxlake.llm.common import SPACES
 from voxlake.session import small_side, write_table
 
 # What a candidate is, and words beside one.
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+# Looked at where a run of such characters begins and nowhere else, so that long runs
+# take no longer than short ones.
+_RUN = "[A-Za-z0-9+/_=-]"
+CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z+/_=-]*+[0-9]){_RUN}{{16,}}+"
 KEY_WORDS = (
     "access", "api", "apikey", "auth", "authorization", "bearer", "credential", "credentials",
     "key", "passwd", "password", "private", "pwd", "secret", "token",
@@ -89,9 +92,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _front() -> Column:
+    """The word's own text ahead of a candidate, as much of it as counts."""
+    return F.right("front", F.lit(NEAR))
+
+
 def is_named() -> Column:
     """Whether a finding is assigned to a name like a key: its label."""
-    beside = F.concat_ws(" ", "before", "front")
+    beside = F.concat_ws(" ", "before", _front())
     return beside.rlike(rf"(?i)(?:^|[^a-z])(?:{'|'.join(KEY_WORDS)})\W*(?:[=:]|:=|=>)\W*$").cast("double")
 
 
@@ -141,7 +149,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     Occurrences are summed up where they are read; only distinct words are cleaned.
     """
     raw = docs.select(F.explode(F.split("text", SPACES)).alias("raw")).groupBy("raw").count()
-    clean = F.lower(F.regexp_replace("raw", r"^\W+|\W+$", ""))
+    clean = F.lower(F.regexp_replace("raw", r"^\W++|(?<!\W)\W++$", ""))
     return write_table(
         raw.where(~F.col("raw").rlike("[0-9]")).groupBy(clean.alias("word"))
         .agg(F.sum("count").alias("n")), "words",
@@ -178,8 +186,7 @@ def transitions(words: DataFrame) -> DataFrame:
 
 def _pairs(text: Column) -> Column:
     plain = F.regexp_replace(F.lower(text), "[^a-z0-9]", "-")
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(plain) - 1))
-    return F.transform(places, lambda i: plain.substr(i, F.lit(2)))
+    return F.regexp_extract_all(plain, F.lit("(?=(..))"), F.lit(1))
 
 
 def _near(column: Column, words: tuple[str, ...]) -> Column:
@@ -190,28 +197,27 @@ def features(found: DataFrame, known: DataFrame, surprise: DataFrame) -> DataFra
     """`found` with the features, in one vector `features`."""
     n = F.length("value")
     letters = F.expr(r"regexp_extract_all(lower(value), '[a-z]{3,}', 0)")
-    numbered = found.withColumn("finding", F.monotonically_increasing_id())
-    numbered = write_table(numbered, "findings")
-    # Values repeat; each is looked up once.
-    values = numbered.select("value").distinct()
+    numbered = write_table(found.withColumn("digest", F.sha2("value", 256)), "findings")
+    # Values repeat; each is looked up once, and only its digest goes with its pieces.
+    values = write_table(numbered.groupBy("digest").agg(F.first("value").alias("value")), "values")
     rare = (
-        values.select("value", F.explode(_pairs(F.col("value"))).alias("pair"))
+        values.select("digest", F.explode(_pairs(F.col("value"))).alias("pair"))
         .join(small_side(surprise), "pair", "left")
-        .groupBy("value").agg(F.avg(F.coalesce("surprise", F.lit(12.0))).alias("transition"))
+        .groupBy("digest").agg(F.avg(F.coalesce("surprise", F.lit(12.0))).alias("transition"))
     )
     covered = (
-        values.select("value", F.explode(letters).alias("piece"))
-        .join(small_side(known), "piece").groupBy("value")
+        values.select("digest", F.explode(letters).alias("piece"))
+        .join(small_side(known), "piece").groupBy("digest")
         .agg(F.sum(F.length("piece")).alias("word_letters"))
     )
     looked_up = write_table(
-        rare.join(covered, "value", "left").withColumn(
-            "coverage", F.coalesce(F.col("word_letters"), F.lit(0)) / F.length("value")
-        ).select("value", "transition", "coverage"), "looked_up",
+        rare.join(covered, "digest", "left")
+        .select("digest", "transition", F.coalesce("word_letters", F.lit(0)).alias("word_letters")), "looked_up",
     )
-    beside = F.concat_ws(" ", "before", "front", "after")
-    described = numbered.join(looked_up, "value").select(
+    beside = F.concat_ws(" ", "before", _front(), "after")
+    described = numbered.join(looked_up, "digest").select(
         "*",
+        (F.col("word_letters") / n).alias("coverage"),
         n.cast("double").alias("length"),
         (F.size(F.array_distinct(F.split("value", ""))) / n).alias("distinct_share"),
         (F.regexp_count("value", F.lit("[0-9]")) / n).alias("digit_share"),
@@ -223,7 +229,7 @@ def features(found: DataFrame, known: DataFrame, surprise: DataFrame) -> DataFra
         F.regexp_count("word", F.lit(r"[/\\]")).cast("double").alias("slashes"),
         F.regexp_count("word", F.lit(r"\.")).cast("double").alias("dots"),
         F.col("word").rlike("""["'`]""").cast("double").alias("quoted"),
-        F.concat_ws(" ", "before", "front")
+        F.concat_ws(" ", "before", _front())
         .rlike(r"""[=:]>?[\s"'`]*$""").cast("double").alias("assigned"),
         _near(beside, KEY_WORDS).alias("key_near"),
         _near(F.concat_ws(" ", beside, "word"), PLACEHOLDER_WORDS).alias("placeholder_near"),
