@@ -105,6 +105,7 @@ def count_tokens(
     counts = write_table(
         cached_counts(spark, cache, path).join(keyed.select("digest").distinct(), "digest", "left_semi"), "counts"
     )
-    return lookup(keyed, counts, "digest").select(
+    # Both grow with the corpus, so neither is broadcast.
+    return lookup(keyed, counts, "digest", broadcast_rows=0).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest"
     )
