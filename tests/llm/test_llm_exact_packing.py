@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from conftest import SF
 from voxlake.llm import exact_dedup, packing
 from voxlake.llm.queries import QUERIES, VOCABULARY
+from voxlake.llm.vocabularies import vocabulary
 
 ODD = [
     (1, "a  b"), (2, "a b"), (3, "a\tb"), (4, None), (5, ""), (6, " "), (7, "  \n"),
@@ -76,7 +77,7 @@ def tokenizer():
 
 @pytest.fixture(scope="module")
 def encode():
-    return packing.Encoder(VOCABULARY)
+    return lambda text: vocabulary(VOCABULARY).ids(text).tobytes()
 
 
 @settings(max_examples=300, deadline=None)

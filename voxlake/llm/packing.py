@@ -9,79 +9,27 @@ ranks the pieces of each length and gives each rank its place.
 from __future__ import annotations
 
 import bisect
-import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from functools import cached_property
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from voxlake.session import write_table
+from voxlake.llm.vocabularies import vocabulary
+from voxlake.session import small_side, write_table
 
 CAPACITY = 2048
 # Exchanges tried at most. Each acts on all bins that are filled alike, so this
 # bounds the work on the driver whatever the corpus; places stay right without it.
 MOST_EXCHANGES = 4_000
 
-# Fixed value: how byte-level BPE of this kind cuts a text into words.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit numbers.
-
-    The ids are those of `tokenizers` for the vocabulary file, a byte-level BPE whose
-    merges are numbered in the order in which they apply. `tiktoken` reads the same
-    merges and is several times faster; a text that holds a special token goes to
-    `tokenizers` itself, as does any text if the merges are numbered otherwise.
-    """
-
-    def __init__(self, vocabulary: str) -> None:
-        self.vocabulary = vocabulary
-        with open(vocabulary, encoding="utf-8") as file:
-            stored = json.load(file)
-        self.special = [t["content"] for t in stored["added_tokens"]]
-        self.fast = self._merges(stored["model"])
-
-    @cached_property
-    def slow(self):  # noqa: ANN201 - only loaded where it is needed
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_file(self.vocabulary)
-
-    def _merges(self, model: dict) -> tiktoken.Encoding | None:
-        ids = {t: i for t, i in model["vocab"].items() if t not in self.special}
-        merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
-        if [ids.get(m.replace(" ", "")) for m in merged] != list(range(256, 256 + len(merged))):
-            return None
-        letters = byte_letters()
-        ranks = {bytes(letters[c] for c in t): i for t, i in ids.items()}
-        return tiktoken.Encoding(
-            "vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
-
-    def __call__(self, text: str) -> bytes:
-        if self.fast is None or any(t in text for t in self.special):
-            ids = self.slow.encode(text, add_special_tokens=False).ids
-            return np.asarray(ids, dtype="<u4").tobytes()
-        return np.asarray(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
-
-
-def byte_letters() -> dict[str, int]:
-    """The byte behind each letter of a byte-level vocabulary: printable ones stand for themselves."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 def cut_pieces(ids: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces: whole capacities, after a first shorter one."""
     first = ids % capacity or min(ids, capacity)
@@ -89,19 +37,19 @@ def cut_pieces(ids: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], ids])]
 
 
-def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     """One row per piece, with the split it was read in and its place among equal lengths there."""
     schema = (
         "doc_id long, piece int, start long, length long, ids_crc32 long, split int, place long"
     )
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, split = Encoder(vocabulary), TaskContext.get().partitionId()
+        encode, split = vocabulary(path).ids, TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + b"\0\0\0\0"
+                ids = encode(text.as_py() or "").tobytes() + b"\0\0\0\0"
                 for k, (start, n) in enumerate(cut_pieces(len(ids) // 4, capacity)):
                     crc = zlib.crc32(ids[4 * start:4 * (start + n)])
                     out.append((doc_id, k, start, n, crc, split, seen[n]))
@@ -260,15 +208,15 @@ def _places(bins: Counter[Pattern]) -> dict[int, np.ndarray]:
     return {n: np.array(r, dtype=np.int64) for n, r in rows.items()}
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of `docs` (doc_id, text) and where they lie in sequences of `capacity` tokens.
 
-    A document is its ids and the id 0; a null text is the 0 alone. Rows with
+    `path` is a vocabulary file. A document is its ids and the id 0; a null text is the 0 alone. Rows with
     equal or null ids are packed like any other. An empty table gives no rows;
     other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = write_table(tokenised_pieces(docs, vocabulary, capacity), "pieces")
+    pieces = write_table(tokenised_pieces(docs, path, capacity), "pieces")
     per_split = pieces.groupBy("length", "split").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     starts = write_table(
@@ -299,7 +247,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -
                 [*kept.schema.names, "sequence_id", "offset"],
             )
 
-    return pieces.join(starts.drop("n"), ["length", "split"]).select(
+    starts = small_side(starts.drop("n"))
+    return pieces.join(starts, ["length", "split"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "base", "place"
     ).mapInArrow(
         placed,
