@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from voxlake.operators.sealing import GROUP, Seals, ask, sealed
 from voxlake.schemas import MAX_RETRIES
-from voxlake.session import path_exists, write_table
+from voxlake.session import delete_path, path_exists, small_side, write_table
 
 # (prompts, attempt) -> the key columns of the prompts plus raw and error
 Answers = Callable[[DataFrame, int], DataFrame]
@@ -48,8 +50,8 @@ def ask_in_rounds(
     `parse` reads (keys, raw, error) and keeps the keys; the last word on every
     prompt is returned with its `attempt`, or all attempts. Before each further round there is a
     wait that doubles. Raw answers are written before they are read. With `at`, a
-    folder, they are kept under a digest of the prompts: after a crash the same
-    prompts are not asked again.
+    folder, they are kept under a digest of the prompts, and tasks seal them as they
+    come: after a crash the same prompts are not asked again.
     """
     spark = prompts.sparkSession
     prompts = write_table(prompts, "prompts")
@@ -64,10 +66,12 @@ def ask_in_rounds(
         if attempt > 0:
             wait(2**attempt)
         path = None if at is None else f"{at}.{attempt}"
-        if path is not None and path_exists(spark, f"{path}/_SUCCESS"):
+        if path is None:
+            raw = write_table(answers(spread(todo, *keys), attempt), "raw")
+        elif path_exists(spark, f"{path}/_SUCCESS"):
             raw = spark.read.parquet(path)
         else:
-            raw = write_table(answers(spread(todo, *keys), attempt), "raw", path)
+            raw = _ask_the_rest(answers, todo, keys, attempt, path)
         parsed = write_table(parse(raw).withColumn("attempt", F.lit(attempt)), "parsed")
         again = parsed.where(retry).select(*keys)
         last = attempt == max_retries or again.isEmpty()
@@ -79,46 +83,71 @@ def ask_in_rounds(
     return reduce(DataFrame.unionByName, final)
 
 
-def answer_with(
-    transport: Callable[[str], str | None], concurrency: int | None = None, threads: int = 1
-) -> Answers:
-    """Make an answering step from `transport(prompt) -> text or None`.
+def _ask_the_rest(answers: Answers, todo: DataFrame, keys: list[str], attempt: int, path: str) -> DataFrame:
+    """Ask what no earlier call has sealed for this path, and write all answers there."""
+    spark, seals = todo.sparkSession, f"{path}.seals"
+    names = [*keys, "raw", "error"]
+    if not path_exists(spark, seals):
+        return write_answers(answers, spread(todo, *keys), attempt, "raw", path, seals, names)
+    fields = [todo.schema[k] for k in keys] + [T.StructField(c, T.StringType()) for c in ("raw", "error")]
+    kept = write_table(sealed(spark, seals, T.StructType(fields), keys), "unsealed")
+    rest = spread(todo.join(small_side(kept.select(*keys)), keys, "left_anti"), *keys)
+    return write_answers(answers, rest, attempt, "raw", path, seals, names, kept)
 
-    None means no answer: timeout, HTTP or network failure. An exception is an
-    unexpected error; it is kept with its prompt and fails no other one.
-    `concurrency` sets into how many tasks the prompts are spread; each task
-    makes up to `threads` calls at a time, as a call mostly waits.
-    The result must be written before it is read: a call is neither free nor
-    repeatable, and a plan that is reused would call again.
-    """
 
-    def answers(prompts: DataFrame, attempt: int) -> DataFrame:
+@dataclass(frozen=True)
+class Asker:
+    """An answering step that calls the model; see `answer_with`."""
+
+    transport: Callable[[str], str | None]
+    concurrency: int | None
+    threads: int
+    group: int
+
+    def __call__(self, prompts: DataFrame, attempt: int, seals: str | None = None) -> DataFrame:
+        """Keys, raw and error; with `seals`, a folder, answers are kept there as they come."""
         keys = [c for c in prompts.columns if c not in ("prompt", "n_items")]
         todo = prompts.select(*keys, "prompt")
-        if concurrency is not None:
-            todo = todo.repartition(concurrency, *keys)
+        if self.concurrency is not None:
+            todo = todo.repartition(self.concurrency, *keys)
         schema = T.StructType(
             [todo.schema[k] for k in keys]
             + [T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())]
         )
+        transport, threads, group = self.transport, self.threads, self.group
 
         def call(frames: Iterator) -> Iterator:
-            from concurrent.futures import ThreadPoolExecutor
-
-            def one(prompt: str) -> tuple[str | None, str | None]:
-                try:
-                    return transport(prompt), None
-                except Exception as e:  # noqa: BLE001 - kept as a row
-                    return None, str(e) or type(e).__name__
-
-            with ThreadPoolExecutor(threads) as pool:
-                for frame in frames:
-                    answered = list(pool.map(one, frame["prompt"]))
-                    out = frame.drop(columns="prompt")
-                    out["raw"] = [raw for raw, _ in answered]
-                    out["error"] = [error for _, error in answered]
-                    yield out
+            from pyspark import TaskContext
+
+            mine = None if seals is None else Seals(seals, TaskContext.get().partitionId(), keys)
+            yield from ask(frames, transport, keys, threads, mine, group)
 
         return todo.mapInPandas(call, schema)
 
-    return answers
+
+def answer_with(
+    transport: Callable[[str], str | None], concurrency: int | None = None, threads: int = 1, group: int = GROUP
+) -> Asker:
+    """Make an answering step from `transport(prompt) -> text or None`.
+
+    None means no answer: timeout, HTTP or network failure. An exception is an
+    unexpected error; it is kept with its prompt and fails no other one.
+    `concurrency` sets into how many tasks the prompts are spread; each task
+    makes up to `threads` calls at a time, as a call mostly waits.
+    The result must be written before it is read: a call is neither free nor
+    repeatable, and a plan that is reused would call again. Stored runs let tasks seal
+    every `group` answers, so that a task or a call that is killed costs no more.
+    """
+    return Asker(transport, concurrency, threads, group)
+
+
+def write_answers(
+    answers: Answers, prompts: DataFrame, attempt: int, name: str, path: str, seals: str,
+    columns: list[Column | str], more: DataFrame | None = None,
+) -> DataFrame:
+    """Ask `prompts` and write `columns` of the answers, and `more`, at `path`; seals are needed until then."""
+    asked = answers(prompts, attempt, seals) if isinstance(answers, Asker) else answers(prompts, attempt)
+    rows = asked.select(*columns)
+    written = write_table(rows if more is None else rows.unionByName(more), name, path)
+    delete_path(prompts.sparkSession, seals)
+    return written

@@ -15,8 +15,9 @@ from voxlake.functions.numbers import int_div
 from voxlake.operators.batching import (
     assign_batches, build_prompts, fingerprint, group_batches, items_digest,
 )
-from voxlake.operators.inference import Answers, spread
+from voxlake.operators.inference import Answers, spread, write_answers
 from voxlake.operators.responses import OK, UNEXPECTED, failed_batches, parse_answers
+from voxlake.operators.sealing import sealed
 from voxlake.operators.validation import (
     all_errors, batch_progress, batch_tallies, check_batches, first_results, places_and_ids,
     run_totals, valid_analyses, with_origins,
@@ -25,7 +26,7 @@ from voxlake.plans.store import (
     STORED, Store, load_errors, new_run_id, save_errors, save_results,
 )
 from voxlake.schemas import BATCH_SIZE, ERROR, MAX_RETRIES
-from voxlake.session import path_exists, small_side, write_table
+from voxlake.session import delete_path, list_names, path_exists, small_side, write_table
 
 # (batches handled by this call, all batches, valid rows, errors)
 Progress = Callable[[int, int, int, int], None]
@@ -237,10 +238,11 @@ def _rounds(
         prompts = spread(
             build_prompts(batches.join(small_side(todo), "batch_idx", "left_semi")), "batch_idx"
         )
-        asked = answers(prompts, attempt).select(
-            "batch_idx", F.lit(attempt).alias("attempt"), "raw", "error"
+        raw = write_answers(
+            answers, prompts, attempt, "responses", f"{store.path('responses', run_id)}/{name}",
+            f"{store.path('seals', run_id)}/{name}",
+            ["batch_idx", F.lit(attempt).alias("attempt"), "raw", "error"],
         )
-        raw = write_table(asked, "responses", f"{store.path('responses', run_id)}/{name}")
         judged = _judge(raw, store, run_id, name)
         attempts.append(name)
         todo = judged.where(~F.col("kind").isin(OK, UNEXPECTED)).select("batch_idx")
@@ -336,6 +338,7 @@ def _recover(batches: DataFrame, store: Store, run_id: str) -> list[str]:
     Parts follow one another, so only the first uncommitted one can have answers.
     """
     part = _part_name(len(store.committed("checkpoint", run_id)))
+    _unseal(store, run_id, part)
     asked = [p for p in store.committed("responses", run_id) if p.startswith(f"{part}.")]
     judged_parts = store.committed("answers", run_id)
     for name in asked:
@@ -349,6 +352,21 @@ def _recover(batches: DataFrame, store: Store, run_id: str) -> list[str]:
     return [part]
 
 
+def _unseal(store: Store, run_id: str, part: str) -> None:
+    """Make a round of what a crashed call had sealed in one that it did not end."""
+    written, base = store.committed("responses", run_id), store.path("seals", run_id)
+    for name in list_names(store.spark, base):
+        if name.startswith(f"{part}.") and name not in written:
+            rows = sealed(store.spark, f"{base}/{name}", "batch_idx bigint, raw string, error string", ["batch_idx"])
+            # Asked once for this round; which attempt it was follows from the rounds before.
+            attempt = F.lit(int(name.split(".")[1])).alias("attempt")
+            write_table(
+                rows.select("batch_idx", attempt, "raw", "error"), "responses",
+                f"{store.path('responses', run_id)}/{name}",
+            )
+        delete_path(store.spark, f"{base}/{name}")
+
+
 def _commit(
     batches: DataFrame, judged: DataFrame, failed: DataFrame, store: Store, run_id: str, part: str
 ) -> None:

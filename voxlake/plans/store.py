@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from voxlake.schemas import ANALYSIS, REPORT, REQUIRED_FIELDS, SENTIMENTS, SUMMARY_MAX
 from voxlake.session import list_names, matching_paths, path_exists
@@ -19,13 +19,16 @@ STORED = T.StructType(ANALYSIS.fields + [
 
 
 # What a run keeps to go on after a crash.
-PAID = ("batches", "responses", "answers", "checked", "harmonization", "synthesis")
+PAID = ("batches", "seals", "responses", "answers", "checked", "harmonization", "synthesis")
+
+
+def run_id_now() -> Column:
+    """A run id: the time of the query, down to the second."""
+    return F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")
 
 
 def new_run_id(spark: SparkSession) -> str:
-    return spark.range(1).select(
-        F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss").alias("t")
-    ).first()["t"]
+    return spark.range(1).select(run_id_now().alias("t")).first()["t"]
 
 
 @dataclass(frozen=True)

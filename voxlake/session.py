@@ -104,6 +104,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder with all it holds, if it is there."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a glob pattern, from one listing."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(pattern)

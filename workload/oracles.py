@@ -453,6 +453,11 @@ ORACLES: dict[str, str] = {
           SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, 'said "' || text || '",' AS t FROM documents)
         SELECT 'jsonl_' || i AS verbatim_id, length({_strip('t')}) || ' characters' AS summary,
           i // 10 AS batch_idx, i % 10 AS pos FROM p""",
+    "sealed_answers": f"""WITH p AS (
+          SELECT doc_id, {_summary(_strip('text'))} AS summary, row_number() OVER (ORDER BY doc_id) - 1 AS i
+          FROM documents WHERE {_strip('text')} <> '')
+        SELECT 'doc_' || doc_id AS verbatim_id, summary, i // 10 AS batch_idx, 1::BIGINT AS answers FROM p
+        WHERE length({_strip('summary')}) >= 5""",
     "checkpoint_state": f"""{_ANSWERED} SELECT 'run' AS run_id, (SELECT count(*) FROM answered) AS completed_batches,
           (SELECT count(*) FROM sizes) AS total_batches, true AS recent""",
     "first_rows": f"""{_ANSWERED} SELECT batch_idx, pos, verbatim_id, summary FROM judged

@@ -15,7 +15,7 @@ from voxlake.operators.positions import land_positions
 from voxlake.plans.analysis import Run, checkpoint, pending_batches, run_analysis, run_errors
 from voxlake.plans.quantification import Quantification, quantify_run, synthesize_run
 from voxlake.plans.store import (
-    Store, load_report, load_results, new_run_id, save_results, save_runs,
+    Store, load_report, load_results, run_id_now, save_results, save_runs,
 )
 from voxlake.session import move_file, new_path, prepare, write_table
 from voxlake.sources import columns, datasets, metadata
@@ -737,24 +737,40 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a listener hears: one call per batch, in order."""
-    heard: list[tuple[int, int, int, int]] = []
+    """What a listener hears, one row per batch in order, from the tallies a run has written."""
     prepared = write_table(fx.responses(spark, sf_dir), "responses")
-    run_analysis(
+    run = run_analysis(
         _verbatims(spark, sf_dir), transports.from_responses(prepared), _store(spark), "run",
-        batches_per_commit=400, wait=no_wait, on_progress=lambda *counts: heard.append(counts),
+        batches_per_commit=400, wait=no_wait,
     )
-    return spark.createDataFrame(
-        heard, "handled bigint, total bigint, valid bigint, errors bigint"
-    ).withColumn("call", F.col("handled"))
+    return run.progress.select(
+        F.col("batch_no").alias("handled"), F.col("total_batches").alias("total"),
+        F.col("cum_valid").alias("valid"), F.col("cum_errors").alias("errors"), F.col("batch_no").alias("call"),
+    )
+
+
+@query
+def sealed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose tasks are killed over some prompts, and resumed: results, and answers paid for a batch.
+
+    What a killed task had sealed is not asked again; the rest of its prompts are.
+    """
+    verbatims, store = _verbatims(spark, sf_dir), _store(spark)
+    try:
+        run_analysis(verbatims, answer_with(transports.killing(transports.echo_analyst()), group=2), store, "run", wait=no_wait)
+    except Exception:  # noqa: BLE001 - the job ends with its task
+        pass
+    run_analysis(None, answer_with(transports.echo_analyst(), group=2), store, "run", wait=no_wait)
+    paid = spark.read.schema("batch_idx bigint").option("recursiveFileLookup", True).parquet(store.path("responses", "run"))
+    paid = write_table(paid.groupBy("batch_idx").agg(F.count(F.lit(1)).alias("answers")), "paid")
+    return load_results(store, "run").join(paid, "batch_idx").select("verbatim_id", "summary", "batch_idx", "answers")
 
 
 @query
 def run_id_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new run id for each language: a time down to the second."""
-    made = F.lit(new_run_id(spark))
     return fx.table(spark, sf_dir, "documents").select("lang").distinct().select(
-        "lang", made.rlike("^[0-9]{8}_[0-9]{6}$").alias("well_formed")
+        "lang", run_id_now().rlike("^[0-9]{8}_[0-9]{6}$").alias("well_formed")
     )
 
 

@@ -88,6 +88,19 @@ def echo_analyst() -> Callable[[str], str]:
     return transport
 
 
+def killing(transport: Callable[[str], str | None], share: int = 20) -> Callable[[str], str | None]:
+    """Kills the task that asks one of about every `share` prompts."""
+
+    def deadly(prompt: str) -> str | None:
+        import zlib
+
+        if zlib.crc32(prompt.encode()) % share == 0:
+            raise type("Killed", (BaseException,), {})("killed")
+        return transport(prompt)
+
+    return deadly
+
+
 def echo_harmonizer(categories: list[str]) -> Callable[[str], str]:
     """Maps `theme <lang> <n>` by n and leaves some themes out; other names stay as they are."""
 
