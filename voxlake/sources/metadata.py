@@ -8,7 +8,7 @@ from voxlake.functions.text import source_label
 from voxlake.schemas import ID_CANDIDATES, NULL_TOKENS, UPLOAD_TEXT_CANDIDATES
 from voxlake.session import list_names, small_side, write_table
 from voxlake.sources.columns import find_column
-from voxlake.sources.csv_files import csv_groups
+from voxlake.sources.csv_records import csv_rows
 
 # More rows than any file holds.
 ROWS_PER_FILE = 1 << 40
@@ -55,27 +55,27 @@ def scan_raw_files(
     paths = [f"{folder.rstrip('/')}/{n}" for n in list_names(spark, folder) if n.endswith(".csv")]
     label = source_label(F.col("_path"))
 
-    def cell(i: int) -> Column:
-        value = F.col(f"c{i}")
-        return F.coalesce(F.when(~value.isin(NULL_TOKENS), value), F.lit("nan"))
-
-    found = None
-    for df in csv_groups(spark, paths, multiline, surplus):
-        names = df.columns[:-2]
+    def roles(names: list[str]) -> dict[str, int | None] | None:
         text = find_column(names, UPLOAD_TEXT_CANDIDATES, case_sensitive=True)
         if text is None:
-            continue
-        id_ = find_column(names, ID_CANDIDATES, case_sensitive=True)
-        source = find_column(names, ["source"], case_sensitive=True)
-        mine = df.toDF(*[f"c{i}" for i in range(len(names))], "_path", "_block").select(
-            "_path", "_block",
-            (F.lit(None).cast("string") if id_ is None else cell(id_)).alias("id"),
-            cell(text).alias("text"),
-            (label if source is None else cell(source)).alias("source"),
-        )
-        found = mine if found is None else found.unionByName(mine)
-    if found is None:
+            return None
+        return {
+            "text": text, "id": find_column(names, ID_CANDIDATES, case_sensitive=True),
+            "source": find_column(names, ["source"], case_sensitive=True),
+        }
+
+    def cell(name: str) -> Column:
+        value = F.col(name)
+        return F.coalesce(F.when(~value.isin(NULL_TOKENS), value), F.lit("nan"))
+
+    rows = csv_rows(spark, paths, roles, multiline, surplus)
+    if rows is None:
         return spark.createDataFrame([], _ROW)
+    found = rows.select(
+        "_path", "_block",
+        F.when(F.col("has_id"), cell("id")).alias("id"), cell("text").alias("text"),
+        F.when(F.col("has_source"), cell("source")).otherwise(label).alias("source"),
+    )
     made = F.concat(source_label(F.col("file")), F.lit("_"), F.col("row").cast("string"))
     return _numbered(found).select(
         "file", "row", F.coalesce("id", made).alias("id"), "text", "source"

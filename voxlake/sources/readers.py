@@ -13,7 +13,7 @@ from voxlake.operators.normalize import land_cells, land_verbatims, verbatim_cel
 from voxlake.schemas import DEFAULT_LANG, LANG_CANDIDATES, SOURCE_CANDIDATES
 from voxlake.session import matching_paths, path_exists
 from voxlake.sources.columns import detect_roles, find_column, require_column
-from voxlake.sources.csv_files import csv_groups
+from voxlake.sources.csv_records import PLACE, ROLES, csv_rows
 
 def _require(spark: SparkSession, path: str) -> None:
     """A file, a folder or a pattern that matches something."""
@@ -36,30 +36,30 @@ def load_csv(
 
     Files may differ in their headers; each is read with its own. With
     `source=None` every file gives its label, the name up to the first `_`, as
-    default source and in generated ids. Cells may hold line breaks; where they are
-    known not to, `multiline=False` lets Spark split large files. A row with more
-    cells than its header fails the job, or loses them with `surplus="drop"`.
+    default source and in generated ids. Cells may hold line breaks, and large files
+    are split all the same; where no cell does, `multiline=False` saves the look for
+    them. A row with more cells than its header fails the job, or loses them with
+    `surplus="drop"`.
     """
     _require(spark, path)
     files = sorted(map(unquote, spark.read.schema("c0 string").csv(path).inputFiles()))
     default = source_label(F.col("_path")) if source is None else source
-    cells = None
-    for df in csv_groups(spark, files, multiline, surplus):
-        columns = df.columns[:-2]
-        roles = detect_roles(columns)
+
+    def roles(columns: list[str]) -> dict[str, int | None]:
+        found = detect_roles(columns)
         if text_col is not None:
-            roles["text"] = require_column(columns, text_col)
-        if roles["text"] is None:
+            found["text"] = require_column(columns, text_col)
+        if found["text"] is None:
             raise ValueError(f"no text column found; available: {columns}; give text_col")
         if id_col is not None:
-            roles["id"] = require_column(columns, id_col)
-        mine = verbatim_cells(
-            df, roles["text"], roles["id"], roles["source"], roles["lang"], default, lang,
-            null_tokens=True,
-        )
-        cells = mine if cells is None else cells.unionByName(mine)
-    if cells is None:
+            found["id"] = require_column(columns, id_col)
+        return found
+
+    rows = csv_rows(spark, files, roles, multiline, surplus)
+    if rows is None:
         raise ValueError(f"no header in {path}")
+    # A column that a file lacks is like one of nulls: ids are made, defaults hold.
+    cells = verbatim_cells(rows.select(*ROLES, *PLACE), 0, 1, 2, 3, default, lang, null_tokens=True)
     return land_cells(cells, limit)
 
 

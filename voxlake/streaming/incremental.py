@@ -22,7 +22,7 @@ from voxlake.operators.validation import all_errors, check_batches, valid_analys
 from voxlake.plans.store import Store, save_errors, save_results
 from voxlake.schemas import BATCH_SIZE, DEFAULT_LANG, MAX_RETRIES, SENTIMENTS
 from voxlake.session import list_names, path_exists, scratch, small_side, write_table
-from voxlake.sources.csv_files import CSV_OPTIONS
+from voxlake.sources.csv_records import CSV_OPTIONS
 from voxlake.sources.readers import from_dataframe
 
 

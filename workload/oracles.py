@@ -235,10 +235,10 @@ def _synthetic(cut: bool = True) -> str:
 
 
 def _files() -> str:
-    """Rows of the three CSV files in file order, with the place in all and in their file."""
+    """Rows of the CSV files in file order, with the place in all and in their file."""
     return """
     files AS (
-      SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc_id) - 1 AS row,
+      SELECT *, row_number() OVER (PARTITION BY file, doc_id // 250 ORDER BY doc_id) - 1 AS row,
         row_number() OVER (ORDER BY file, doc_id) - 1 AS row_idx
       FROM (SELECT doc_id, 'said "' || text || '",' AS text, lang, source,
               ['avis été', 'b+c', 'd'][doc_id % 3 + 1] AS file FROM documents))"""
@@ -439,7 +439,8 @@ ORACLES: dict[str, str] = {
           CASE file WHEN 'd' THEN 'fr' ELSE lang END AS lang, row_idx AS position FROM files""",
     "raw_metadata_files": f"""{_with(_files())}
         SELECT CASE file WHEN 'd' THEN doc_id::VARCHAR ELSE file || '_' || row END AS id, text,
-          CASE file WHEN 'd' THEN 'd' ELSE source END AS source FROM files WHERE file <> 'b+c'""",
+          CASE file WHEN 'd' THEN 'd' ELSE source END AS source FROM files WHERE file <> 'b+c'
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id DESC) = 1""",
     "jsonl_source": f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx,
           doc_id::VARCHAR AS id, 'said "' || {_strip('text || chr(34)')} || ',' AS text, source, lang,
           row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents""",

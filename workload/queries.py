@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from voxlake.functions.numbers import int_div
 from voxlake.functions.strict_json import with_strict_json
 from voxlake.operators import (
     batching, dashboard, harmonize, normalize, quantify, responses, synthesis, validation,
@@ -17,7 +18,7 @@ from voxlake.plans.quantification import Quantification, quantify_run, synthesiz
 from voxlake.plans.store import (
     Store, load_report, load_results, run_id_now, save_results, save_runs,
 )
-from voxlake.session import move_file, new_path, prepare, write_table
+from voxlake.session import list_names, move_file, new_path, prepare, write_table
 from voxlake.sources import columns, datasets, metadata
 from voxlake.sources.readers import from_dataframe, load_csv, load_jsonl
 from voxlake.streaming import incremental
@@ -639,23 +640,30 @@ def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+DOCS_PER_FILE = 250
+
+
 def _csv_files(spark: SparkSession, sf_dir: str) -> str:
-    """Three CSV files under names of one's own, two of them with other headers."""
+    """CSV files under names of one's own, of three kinds, two of them with other headers.
+
+    A file holds the documents of one kind among DOCS_PER_FILE ids in a row.
+    """
     folder, docs = new_path(spark, "csv"), _exported(spark, sf_dir)
-    k = F.col("doc_id")
+    k, span = F.col("doc_id"), int_div("doc_id", DOCS_PER_FILE)
     kinds = {
-        "avis été_x.csv": docs.where(k % 3 == 0).select("doc_id", "text", "lang", "source"),
-        "b+c_x.csv": docs.where(k % 3 == 1).select(
-            "source", "lang", F.col("text").alias("Review"), F.col("doc_id").alias("n")),
-        "d_x.csv": docs.where(k % 3 == 2).select("text", F.col("doc_id").alias("id")),
+        "avis été": docs.where(k % 3 == 0).select(span.alias("span"), "doc_id", "text", "lang", "source"),
+        "b+c": docs.where(k % 3 == 1).select(
+            span.alias("span"), "source", "lang", F.col("text").alias("Review"), F.col("doc_id").alias("n")),
+        "d": docs.where(k % 3 == 2).select(span.alias("span"), "text", F.col("doc_id").alias("id")),
     }
     for name, rows in kinds.items():
         part = f"{folder}-part-{len(name)}"
-        # One file each, as users have them.
-        rows.coalesce(1).sortWithinPartitions(rows["n"] if "n" in rows.columns else rows[
-            "doc_id" if "doc_id" in rows.columns else "id"]).write.options(
+        order = {"avis été": "doc_id", "b+c": "n", "d": "id"}[name]
+        rows.repartition("span").sortWithinPartitions("span", order).write.partitionBy("span").options(
             header=True, escape='"', quoteAll=True).csv(part)
-        move_file(spark, part, f"{folder}/{name}")
+        for made in list_names(spark, part):
+            if made.startswith("span="):
+                move_file(spark, f"{part}/{made}", f"{folder}/{name}_{int(made[5:]):08d}.csv")
     return folder
 
 
