@@ -1,0 +1,66 @@
+"""A row limit reads the files that hold the rows, and no others."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from voxlake.operators import positions
+from voxlake.operators.normalize import kept
+from voxlake.sources import csv_records
+from voxlake.sources.csv_records import first_csv_files
+from voxlake.sources.readers import load_csv, load_jsonl
+
+FILES, EACH = 60, 5
+
+
+@pytest.fixture
+def landed(monkeypatch):
+    """Rows that were written with their positions."""
+    seen, write = [], positions.write_table
+
+    def noted(df, name, path=None):
+        out = write(df, name, path)
+        if name == "landed":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(positions, "write_table", noted)
+    return seen
+
+
+def texts(df):
+    return [r["text"] for r in kept(df).orderBy("row_idx").collect()]
+
+
+@pytest.mark.parametrize("limit, most", [(0, 1), (1, 1), (5, 1), (6, 5), (40, 21), (10_000, FILES)])
+def test_a_limit_over_many_files(spark, folder, landed, limit, most):
+    for k in range(FILES):
+        with open(f"{folder}/é {k:03d}.jsonl", "w") as file:
+            file.write("".join(f'{{"text": "t{EACH * k + i}"}}\n' for i in range(EACH)))
+    assert texts(load_jsonl(spark, folder, limit=limit, columns=["text"])) == [f"t{i}" for i in range(min(limit, FILES * EACH))]
+    assert landed == [most * EACH]
+
+
+def test_files_are_left_out_by_name(spark, folder):
+    spark.range(0, 400, 1, 40).write.parquet(f"{folder}/t")
+    placed = positions.with_place(spark.read.parquet(f"{folder}/t"))
+    few = positions.first_files(placed, 25)
+    assert len({r["_path"] for r in few.select("_path").distinct().collect()}) == 5
+    plan = few._jdf.queryExecution().executedPlan()
+    few.write.format("noop").mode("overwrite").save()
+    assert few.count() == 50 and "PartitionFilters" in plan.toString()
+
+
+def test_a_limit_over_csv_files(spark, folder, landed):
+    for k in range(12):
+        with open(f"{folder}/a_{k:02d}.csv", "w") as file:
+            file.write("text,id\n" + "".join(f'"t\n{EACH * k + i}",{EACH * k + i}\n\n' for i in range(EACH)))
+    with open(f"{folder}/a_.csv", "w"):
+        pass
+    for limit, most in ((3, 5), (30, 12)):
+        assert texts(load_csv(spark, folder, limit=limit)) == [f"t\n{i}" for i in range(limit)]
+    assert landed[0] < landed[1] <= 60
+    files = sorted(f"{folder}/a_{k:02d}.csv" for k in range(12))
+    assert len(first_csv_files(spark, files, 5)) == 1 and len(first_csv_files(spark, files, 6)) == 5
+    assert len(first_csv_files(spark, files, 1_000)) == 12
+    ranges = csv_records._ranges(csv_records._lines(spark, files[:1]), True)
+    assert ranges.agg(F.sum("n_closed").alias("n")).first()["n"] == EACH + 1

@@ -58,10 +58,14 @@ class Range:
         self.closed, self.opened = False, multiline  # whether a cell is open by now, if none or one was
         self.head: list[str] = []  # lines up to the end of the record that was open
         self.closes = not multiline
+        self.n_closed = self.n_opened = 0  # records that begin here
         self.first: list[str] = []  # lines of the first record, if none was open
         self.first_ends = False
 
     def add(self, line: str) -> None:
+        if line.strip("\r"):
+            self.n_closed += not self.closed
+            self.n_opened += not self.opened
         closed = self.multiline and ends_inside(line, self.closed)
         if not self.first_ends and (self.first or line.strip("\r")):
             self.first.append(line)
@@ -79,6 +83,7 @@ class Range:
         return (
             self.path, self.block, self.closed, self.opened, "\n".join(self.head) if self.multiline else "",
             self.closes, first, self.block == 0 and not self.first_ends and bool(self.first),
+            self.n_closed, self.n_opened,
         )
 
 
@@ -96,16 +101,17 @@ def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-_RANGE = "_path string, _block long, closed boolean, opened boolean, head string, closes boolean, first string, first_open boolean"
+_RANGE = "_path string, _block long, closed boolean, opened boolean, head string, closes boolean, first string, first_open boolean, n_closed long, n_opened long"
 _BEGINS = "_path string, _block long, inside boolean, feeds long"
 
 
 def _ranges(lines: DataFrame, multiline: bool) -> DataFrame:
     def summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(rows: list[Range]) -> pa.RecordBatch:
-            columns = list(zip(*[r.row() for r in rows])) or [()] * 8
-            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.bool_(), pa.string(), pa.bool_()]
-            names = ["_path", "_block", "closed", "opened", "head", "closes", "first", "first_open"]
+            columns = list(zip(*[r.row() for r in rows])) or [()] * 10
+            text, truth, number = pa.string(), pa.bool_(), pa.int64()
+            kinds = [text, number, truth, truth, text, truth, text, truth, number, number]
+            names = ["_path", "_block", "closed", "opened", "head", "closes", "first", "first_open", "n_closed", "n_opened"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         now: Range | None = None
@@ -208,6 +214,22 @@ def _records(lines: DataFrame, begins: DataFrame, multiline: bool) -> DataFrame:
     )
 
 
+def first_csv_files(spark: SparkSession, paths: Sequence[str], limit: int, multiline: bool = True) -> list[str]:
+    """The first of `paths` that hold `limit` records between them, or all; the others are not read."""
+    start, end, held = 0, 1, 0
+    while end < len(paths):
+        ranges = _ranges(_lines(spark, list(paths[start:end])), multiline)
+        begun = ranges.join(_begins(ranges).select(*PLACE, "inside"), PLACE).select(
+            "_path", F.when(F.col("inside"), F.col("n_opened")).otherwise(F.col("n_closed")).alias("n")
+        )
+        per_file = begun.groupBy("_path").agg(F.sum("n").alias("n")).where("n > 0")
+        held += per_file.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).first()["n"]  # without the header
+        if held >= limit:
+            return list(paths[:end])
+        start, end = end, end + 4 * (end - start)
+    return list(paths)
+
+
 Roles = Callable[[list[str]], dict[str, int | None] | None]
 ROLES = ("text", "id", "source", "lang")
 

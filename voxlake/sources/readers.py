@@ -13,7 +13,7 @@ from voxlake.operators.normalize import land_cells, land_verbatims, verbatim_cel
 from voxlake.schemas import DEFAULT_LANG, LANG_CANDIDATES, SOURCE_CANDIDATES
 from voxlake.session import matching_paths, path_exists
 from voxlake.sources.columns import detect_roles, find_column, require_column
-from voxlake.sources.csv_records import PLACE, ROLES, csv_rows
+from voxlake.sources.csv_records import PLACE, ROLES, csv_rows, first_csv_files
 
 def _require(spark: SparkSession, path: str) -> None:
     """A file, a folder or a pattern that matches something."""
@@ -39,10 +39,12 @@ def load_csv(
     default source and in generated ids. Cells may hold line breaks, and large files
     are split all the same; where no cell does, `multiline=False` saves the look for
     them. A row with more cells than its header fails the job, or loses them with
-    `surplus="drop"`.
+    `surplus="drop"`. With `limit`, files that follow so many records are not read.
     """
     _require(spark, path)
     files = sorted(map(unquote, spark.read.schema("c0 string").csv(path).inputFiles()))
+    if limit is not None:
+        files = first_csv_files(spark, files, limit, multiline)
     default = source_label(F.col("_path")) if source is None else source
 
     def roles(columns: list[str]) -> dict[str, int | None]:
