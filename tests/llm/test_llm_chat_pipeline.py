@@ -20,7 +20,7 @@ from voxlake.llm.queries import QUERIES, VOCABULARY
 NAMES = [
     "op1_exact_dedup", "op2_chat_formatting", "op3_line_dedup", "op4_language_id", "op5_secret_scan",
     "op6_best_fit_packing", "op7_html_extraction", "op8_source_mixing", "op9_embedding_near_dedup",
-    "op10_ngram_jaccard_join", "pipeline",
+    "op10_ngram_jaccard_join", "op11_cross_tokenizer_alignment", "op12_token_counts", "op13_ranked_search", "pipeline",
 ]
 
 
@@ -32,7 +32,7 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - {"op10_ngram_jaccard_join"}))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     result = con.execute(ORACLES[name])
     names = [d[0] for d in result.description]
