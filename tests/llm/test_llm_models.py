@@ -150,23 +150,42 @@ def test_pages(weights, body, want):
     assert html_extraction.main_text(page(body), *weights) == want
 
 
-LONG = f"<h1>Head</h1><p>{WORDS}</p><p>{WORDS}</p>"
+BODY = f"<h1>Head</h1><p>{WORDS}</p><p>{WORDS}</p>"
 
 
 @pytest.mark.parametrize("body", [
-    f"<div class='no-sidebar'>{LONG}</div>", f"<article class='post ad-free'>{LONG}</article>",
-    f"<article class='widget'>{LONG}</article>", f"<main class='content-with-comments'>{LONG}</main>",
-    f"<div class='widget'><article>{LONG}</article></div>", f"<main id='share'><div>{LONG}</div></main>",
-    f"<div data-id='ad' data-role='banner'>{LONG}</div>", f"<form><article>{LONG}</article></form>",
-    f"<form action=x><div>{LONG}</div></form><form><p>Subscribe to us</p></form>",
-    f"<main><article>{LONG}</article><section class='comments'><article><p>I like it</p></article></section></main>",
-    f"<aside><article><p>Read this too</p></article></aside><article>{LONG}</article>",
+    f"<div class='no-sidebar'>{BODY}</div>", f"<article class='post ad-free'>{BODY}</article>",
+    f"<article class='widget'>{BODY}</article>", f"<main class='content-with-comments'>{BODY}</main>",
+    f"<div class='widget'><article>{BODY}</article></div>", f"<main id='share'><div>{BODY}</div></main>",
+    f"<div data-id='ad' data-role='banner'>{BODY}</div>", f"<form><article>{BODY}</article></form>",
+    f"<form action=x><div>{BODY}</div></form><form><p>Subscribe to us</p></form>",
+    f"<main><article>{BODY}</article><section class='comments'><article><p>I like it</p></article></section></main>",
+    f"<aside><article><p>Read this too</p></article></aside><article>{BODY}</article>",
 ])
 def test_containers_are_not_hidden(weights, body):
     for around in ("<html><body class='home has-sidebar'>{}</body></html>", "<html id=widget><body class=ad>{}</body></html>"):
         assert html_extraction.main_text(around.format(body), *weights) == f"Head\n{WORDS}\n{WORDS}"
 
 
+@pytest.mark.parametrize("mark", [
+    "class='post-comments'", "id='comment-list'", "class='sidebar--left'", "class='cookie-notice'", "class='box ad-slot'",
+    "class='site-footer'", "id=main_navigation", "class='Related-Posts'", "class='widget-area'", "role=complementary",
+])
+def test_longer_names_mark_what_is_not_the_article(weights, mark):
+    other = f"<div {mark}><p>{WORDS}</p><p>{WORDS}</p><p>{WORDS}</p></div>"
+    assert html_extraction.main_text(page(f"<article>{BODY}{other}</article>"), *weights) == f"Head\n{WORDS}\n{WORDS}"
+    assert html_extraction.main_text(page(f"<article>{BODY}</article>{other}"), *weights) == f"Head\n{WORDS}\n{WORDS}"
+
+
+@pytest.mark.parametrize("mark", [
+    "with-sidebar", "post category-social tag-menu", "page sidebar-right", "builder-widget", "builder-widget-text",
+    "layout--banner", "js-popup", "marketshare", "admin", "has-comments",
+])
+def test_names_about_the_page_hide_nothing(weights, mark):
+    for body in (f"<div class='{mark}'>{BODY}</div>", f"<div class='{mark}'><article>{BODY}</article></div>"):
+        assert html_extraction.main_text(page(body + "<p>Short</p>"), *weights).startswith(f"Head\n{WORDS}\n{WORDS}")
+
+
 def test_equal_articles_in_marked_elements_are_kept():
     item = "<div class='widget'><article><p>One two three</p></article></div>"
     assert html_extraction.main_text(item * 3, {}, {"article": -0.1, "/article": -0.1, "div": -0.1, "/div": -0.1,

@@ -38,14 +38,20 @@ BOILERPLATE = frozenset(
 )
 CONTENT = frozenset(["article", "main"])
 FORMS = frozenset(["fieldset", "form"])
-# Elements that no mark hides, and values of class, id or role, whole
-# ones between blanks, that mark what is not the article.
+# Elements that no mark hides, and words of class, id or role that mark
+# what is not the article.
 NEVER_MARKED = frozenset(["article", "body", "html", "main"])
-_NOT_ARTICLE = re.compile(
-    r"(?:^|\s)(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo"
-    r"|cookies?|disqus|footer|menu|nav|navigation|newsletter|notice|pagination|popup|promo\w*|related"
-    r"|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|\s)"
+COMMENT_WORDS = frozenset("comment comments disqus respond".split())
+OTHER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary"
+    " consent contentinfo cookie cookies footer menu nav navigation newsletter notice pagination"
+    " popup promo promos promotion related share sharing sidebar social sponsor sponsored sponsors"
+    " subscribe widget".split()
 )
+# Words that turn a mark into a word about the page or about its topic, and
+# words that say little as the end of a name, as builders of pages call every block so.
+ABOUT_WORDS = frozenset("category format has is js no not status tag type with without".split())
+VAGUE_ENDS = frozenset(["widget"])
 
 _OPENS = re.compile(r"(/?)([a-z][a-z0-9:-]*)", re.I)
 _RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "textarea")}
@@ -113,36 +119,44 @@ def markup(page: str) -> Iterator[Tag]:
             yield Tag(start, at, closing, name, page[opens.end():end])
 
 
-_MARKED = frozenset(["article", "body", "html", "main"])
-_NOT_ARTICLE = re.compile(
-    r"(?:^|\s)(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo"
-    r"|cookies?|disqus|footer|menu|nav|navigation|newsletter|notice|pagination|popup|promo\w*|related"
-    r"|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|\s)"
-)
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"""|<(/?)([a-z][a-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>"""
-    r"|<(/?)([a-z][a-z0-9:-]*)([^>]*)>",
-    re.S | re.I,
-)
 _MARKED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # (kind, words or None, text or None, inside content, new block before)
 Token = tuple[str, int, str, bool, bool]
 
 
-def _kind(name: str, attributes: str) -> tuple[str, bool]:
-    """Kind of an element, and whether its attributes say that it is not the article."""
-    if name in NEVER_MARKED:
-        return name, False
-    marks = " ".join("".join(m).lower() for m in _MARKED.findall(attributes)) if attributes else ""
-    return name, bool(marks and _NOT_ARTICLE.search(marks))
+_JOINT = re.compile(r"[-_:]+")
+
+
+def _mark(attributes: str) -> str:
+    """What class, id and role say of an element: "whole", "part" or nothing.
+
+    A word of the lists is a whole mark when it stands alone between blanks, or when it
+    speaks of comments, and otherwise part of one when it begins or ends a longer name, as
+    in `sidebar--left` and `cookie-notice`.
+    """
+    part = ""
+    for name in " ".join("".join(m) for m in _MARKED.findall(attributes)).lower().split():
+        if name in OTHER_WORDS or name in COMMENT_WORDS:
+            return "whole"
+        words = [w for w in _JOINT.split(name) if w]
+        if len(words) < 2 or words[0] in ABOUT_WORDS:
+            continue
+        if words[0] in COMMENT_WORDS or words[-1] in COMMENT_WORDS:
+            return "whole"
+        if words[0] in OTHER_WORDS or words[-1] in OTHER_WORDS and words[-1] not in VAGUE_ENDS:
+            part = "part"
+    return part
+
+
+def _kind(name: str, attributes: str) -> tuple[str, str]:
+    """Kind of an element, and how its attributes mark it as not the article."""
+    return name, "" if name in NEVER_MARKED or not attributes else _mark(attributes)
 
 
-_HOLDS = re.compile(r"<(?:article|main|fieldset|form)\b", re.I)
+_HOLDS = re.compile(r"<(?:article|main|fieldset|form)\b|[-_:](?:%s)\b|\b(?:%s)[-_:]" % (
+    "|".join(sorted(OTHER_WORDS)), "|".join(sorted(OTHER_WORDS))
+), re.I)
 
 
 def _plain(page: str, found: list[Tag]) -> set[int]:
@@ -154,24 +168,25 @@ def _plain(page: str, found: list[Tag]) -> set[int]:
     """
     if not _HOLDS.search(page):
         return set()
-    # [name, place, words before, seen words before, boilerplate, most words of an article
-    # inside or None], and how often each name is open.
+    # [name, place, words before, seen words before, boilerplate, marked in part, most words
+    # of an article inside or None], and how often each name is open.
     opened: list[list] = []
     names: Counter[str] = Counter()
-    spans: list[tuple[int, int, str, int, int, int | None]] = []  # place, end, name, words, seen words, most
+    # Place, end, name, marked in part, words, seen words, most words of an article inside.
+    spans: list[tuple[int, int, str, bool, int, int, int | None]] = []
     words = seen = hidden = 0
 
     def close(name: str | None, end: int) -> None:
         nonlocal hidden
         while opened:
-            last, place, before, seen_before, boilerplate, most = opened.pop()
+            last, place, before, seen_before, boilerplate, part, most = opened.pop()
             names[last] -= 1
             hidden -= boilerplate
             own = words - before
-            if boilerplate or last in CONTENT or last in FORMS or last == "header":
-                spans.append((place, end, last, own, seen - seen_before, most))
+            if boilerplate or part or last in CONTENT or last in FORMS or last == "header":
+                spans.append((place, end, last, part, own, seen - seen_before, most))
             if opened and (last in CONTENT or most is not None):
-                opened[-1][5] = max(opened[-1][5] or 0, most or 0, own if last in CONTENT else 0)
+                opened[-1][6] = max(opened[-1][6] or 0, most or 0, own if last in CONTENT else 0)
             if last == name:
                 return
 
@@ -191,8 +206,9 @@ def _plain(page: str, found: list[Tag]) -> set[int]:
             close("p", k)
         if tag.name in VOID or tag.attributes.rstrip().endswith("/"):
             continue
-        boilerplate = _kind(tag.name, tag.attributes)[1] or tag.name in BOILERPLATE and tag.name not in FORMS
-        opened.append([tag.name, k, words, seen, boilerplate, None])
+        mark = _kind(tag.name, tag.attributes)[1]
+        boilerplate = mark == "whole" or tag.name in BOILERPLATE and tag.name not in FORMS
+        opened.append([tag.name, k, words, seen, boilerplate, mark == "part", None])
         names[tag.name] += 1
         hidden += boilerplate
     n = len(page[at:].split())
@@ -200,11 +216,11 @@ def _plain(page: str, found: list[Tag]) -> set[int]:
     seen += 0 if hidden else n
     close(None, len(found))
 
-    longest = sorted(n for _, _, name, n, _, _ in spans if name in CONTENT)
+    longest = sorted(n for _, _, name, _, n, _, _ in spans if name in CONTENT)
     around: list[int] = []  # minus the words of the articles around, the longest first
     ends: list[int] = []
     plain = set()
-    for place, end, name, n, in_form, most in sorted(spans):
+    for place, end, name, part, n, inside, most in sorted(spans):
         while ends and ends[-1] <= place:
             ends.pop()
             around.pop()
@@ -212,7 +228,8 @@ def _plain(page: str, found: list[Tag]) -> set[int]:
         least = most or 0
         longer = len(longest) - bisect_right(longest, least) - bisect_left(around, -least)
         beside = longer > (name in CONTENT and n > least)
-        if most is not None and not beside or name in FORMS and 2 * in_form > seen:
+        wide = name in FORMS or part and not longest and name not in BOILERPLATE
+        if most is not None and not beside or wide and 2 * inside > seen:
             plain.add(place)
         if name in CONTENT:
             ends.append(end)
@@ -277,7 +294,7 @@ def tokens(page: str) -> Iterator[Token]:
                     yield "/" + name, -1, "", content > 0, fresh
             continue
         kind, marked = _kind(name, tag.attributes)
-        marked = marked and k not in plain
+        marked = bool(marked) and k not in plain
         if name not in INLINE and names["p"]:
             close("p")
         if not hidden:
