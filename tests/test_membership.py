@@ -1,0 +1,80 @@
+"""Bloom filters lose no wanted key and let few others through."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from voxlake.operators import dashboard
+from voxlake.operators.membership import bloom_filter, filter_words, maybe_wanted
+from voxlake.session import write_table
+from workload import frames as fx
+
+from conftest import SF, rows
+
+
+def keys(spark, n, name="id"):
+    return write_table(spark.range(n).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias(name)), "keys")
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 5_000, 100_000])
+def test_no_key_is_lost_and_few_others_pass(spark, n):
+    wanted = keys(spark, n)
+    facts = spark.range(n + 200_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("id"), "id")
+    facts = facts.toDF("id", "n")
+    passed = maybe_wanted(facts, "id", wanted)
+    assert passed.where(F.col("n") < n).count() == n
+    assert passed.where(F.col("n") >= n).count() / 200_000 < 0.02
+
+
+def test_a_full_filter_still_loses_nothing(spark):
+    wanted = keys(spark, 20_000)
+    facts = wanted.withColumn("n", F.lit(1)).unionByName(spark.createDataFrame([(None, 2)], "id string, n int"))
+    for most in (1, 16, 300, 1_000):
+        passed = maybe_wanted(facts, "id", wanted, most_words=most)
+        assert passed.count() == 20_000 and passed.where("n = 2").count() == 0
+    # Half as large as it should be, it still keeps most others out.
+    facts = spark.range(20_000, 120_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("id"))
+    assert maybe_wanted(facts, "id", wanted, most_words=filter_words(20_000) // 2).count() / 100_000 < 0.15
+
+
+def test_the_filter_has_its_size(spark):
+    words = bloom_filter(keys(spark, 1_000), "id", 1_000).first()["words"]
+    assert len(words) == filter_words(1_000) == 157
+    assert 0.3 < sum(bin(w & (2**64 - 1)).count("1") for w in words) / (157 * 64) < 0.6
+
+
+def test_nothing_wanted_and_odd_keys(spark):
+    facts = spark.createDataFrame([("",), (None,), ("é",), ("a" * 100_000,)], "id string")
+    none = write_table(facts.where("false"), "none")
+    assert maybe_wanted(facts, "id", none).count() == 0
+    assert rows(maybe_wanted(facts, "id", write_table(facts, "all"))) == [("",), ("a" * 100_000,), ("é",)]
+    numbers = write_table(spark.range(50), "numbers")
+    assert maybe_wanted(spark.range(100), "id", numbers).where("id < 50").count() == 50
+
+
+def test_raw_rows_are_filtered_in_their_scan(spark):
+    raw = write_table(fx.raw_files(spark, SF), "raw")
+    wanted = write_table(raw.select("id").distinct().limit(3), "wanted")
+    cut = maybe_wanted(raw, "id", wanted)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Subquery")[0] and "Join" not in plan and "Python" not in plan
+    assert cut.select("id").distinct().count() >= 3
+
+
+def test_backfill_reads_what_passes(spark, monkeypatch):
+    seen = []
+    write = dashboard.write_table
+
+    def noted(df, name, path=None):
+        out = write(df, name, path)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(dashboard, "write_table", noted)
+    raw = spark.range(20_000).select(
+        F.lit("f").alias("file"), F.col("id").alias("row"), F.col("id").cast("string").alias("id"),
+        F.concat(F.lit("text "), "id").alias("text"), F.lit("web").alias("source"))
+    gaps = spark.range(0, 20_000, 100).select(F.col("id").cast("string").alias("verbatim_id"),
+                                             F.lit("").alias("texte_original"), F.lit(None).cast("string").alias("source"))
+    got = dashboard.backfill(gaps, raw)
+    assert got.where(F.col("texte_original") == F.concat(F.lit("text "), "verbatim_id")).count() == 200
+    assert dict(seen)["wanted"] == 200 and 200 <= dict(seen)["passed"] < 800 and dict(seen)["metadata"] == 200

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxlake.functions.text import percent
 from voxlake.operators.lookup import HOT_ROWS, lookup
+from voxlake.operators.membership import maybe_wanted
 from voxlake.operators.quantify import COUNT_COLUMNS, global_sentiment
 from voxlake.schemas import TEXT_NOT_FOUND, UNKNOWN_SOURCE
-from voxlake.session import BROADCAST_ROWS, is_small, write_table
+from voxlake.session import BROADCAST_ROWS, write_table
 from voxlake.sources.metadata import latest_metadata
 
 RESULT_COLUMNS = [
@@ -29,9 +30,9 @@ def backfill(
 ) -> DataFrame:
     """Fill missing texts and sources from raw rows (file, row, id, text, source).
 
-    Rows that already have both, normally almost all, skip the join. The raw
-    rows are cut down to the ids in need: before they are shuffled when these
-    are few enough to broadcast, else after the latest row per id was found.
+    Rows that already have both, normally almost all, skip the join. A Bloom filter of
+    the ids in need cuts the raw rows down inside their scan, however many ids there
+    are; what passes is joined with the ids themselves.
     """
     for name in ("texte_original", "source"):
         if name not in results.columns:
@@ -41,10 +42,8 @@ def backfill(
     complete = results.where(~(no_text | no_source))
     gaps = results.where(no_text | no_source)
     wanted = write_table(gaps.select(F.col("verbatim_id").alias("id")).distinct(), "wanted")
-    if is_small(wanted, broadcast_rows):
-        latest = latest_metadata(raw_rows.join(F.broadcast(wanted), "id", "left_semi"))
-    else:
-        latest = latest_metadata(raw_rows).join(wanted, "id", "left_semi")
+    passed = write_table(maybe_wanted(raw_rows, "id", wanted), "passed")
+    latest = latest_metadata(passed).join(wanted, "id", "left_semi")
     known = write_table(
         latest.select(
             F.col("id").alias("verbatim_id"),

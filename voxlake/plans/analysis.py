@@ -22,6 +22,7 @@ from voxlake.operators.validation import (
     all_errors, batch_progress, batch_tallies, check_batches, first_results, places_and_ids,
     run_totals, valid_analyses, with_origins,
 )
+from voxlake.plans.search import index_missing, index_part
 from voxlake.plans.store import (
     STORED, Store, load_errors, new_run_id, save_errors, save_results,
 )
@@ -261,6 +262,7 @@ def run_analysis(
     buckets: int | None = None,
     wait: Callable[[float], None] = time.sleep,
     on_progress: Progress | None = None,
+    index: bool = False,
 ) -> Run:
     """Analyse verbatims with the model behind `answers` and store the outcome.
 
@@ -272,7 +274,8 @@ def run_analysis(
     may leave the verbatims out (None): the run has kept its input, and nothing is
     read or numbered again. Given, they are compared with what was kept.
     `on_progress` hears of every batch once its part is committed; the frame
-    `Run.progress` has the same.
+    `Run.progress` has the same. `index` adds the results of every part to the
+    search index of the run.
     """
     spark = store.spark
     run_id = run_id or new_run_id(spark)
@@ -280,6 +283,8 @@ def run_analysis(
     width = batches_per_commit
 
     parts = _recover(batches, store, run_id)
+    if index:
+        index_missing(store, run_id)
     done = store.committed("checkpoint", run_id)
     unfinished = batches.select("batch_idx")
     if done:
@@ -304,6 +309,8 @@ def run_analysis(
         failed = write_table(failed_batches(judged), "failed")
         _commit(mine, judged, failed, store, run_id, part)
         parts.append(part)
+        if index:
+            index_part(store, run_id, part)
         if on_progress is not None:
             so_far = _tell(on_progress, Run(store, run_id, total, (part,)), so_far)
     return Run(store, run_id, total, tuple(parts))

@@ -18,6 +18,7 @@ from voxlake.operators.quantify import (
 from voxlake.operators.synthesis import (
     LINES_PER_CALL, attach_syntheses, synthesize,
 )
+from voxlake.plans.search import index_part
 from voxlake.plans.store import Store, load_report, load_results, save_json
 from voxlake.schemas import MAX_CATEGORIES
 from voxlake.session import write_table
@@ -43,11 +44,12 @@ def quantify_run(
     fallback: str = "first",
     themes_per_call: int = THEMES_PER_CALL,
     wait: Callable[[float], None] = time.sleep,
+    index: bool = False,
 ) -> Quantification | None:
     """Harmonise, count and store `enriched_results` and `quantification_report`.
 
-    The mapping is stored as a table next to them. None when the run has no
-    results.
+    The mapping is stored as a table next to them; `index` adds a search index of
+    the enriched rows. None when the run has no results.
     """
     if store.exists("meta", run_id) and not store.exists("results", run_id):
         return None  # a run without a single batch
@@ -68,6 +70,8 @@ def quantify_run(
     enriched_path = store.save_rows(
         apply_mapping(analyses, mapping), store.path("enriched_results", run_id)
     )
+    if index:
+        index_part(store, run_id, kind="enriched_results")
     report = report_document(distribution, store.path("results", run_id))
     save_json(report.coalesce(1), store.path("quantification_report", run_id))
     return Quantification(

@@ -180,6 +180,18 @@ def _kpi() -> str:
                SELECT *, {shares} FROM k"""
 
 
+def _search(term: str) -> str:
+    return f"""{_THEMED}, rows AS (SELECT id AS verbatim_id, source, text AS texte_original,
+          macro_theme, theme, sentiment, summary FROM enriched)
+        SELECT * FROM rows WHERE contains(lower(verbatim_id), lower('{term}'))
+          OR contains(lower(source), lower('{term}'))
+          OR contains(lower(texte_original), lower('{term}'))
+          OR contains(lower(macro_theme), lower('{term}'))
+          OR contains(lower(theme), lower('{term}'))
+          OR contains(lower(sentiment), lower('{term}'))
+          OR contains(lower(summary), lower('{term}'))"""
+
+
 def _report_lines() -> str:
     pct = _PCT.format(n="n", total="total")
     return f"""{_THEMED},
@@ -392,15 +404,8 @@ ORACLES: dict[str, str] = {
           macro_theme, theme, sentiment, summary FROM enriched
         WHERE source IN {_in(q.EXPLORER['sources'])} AND macro_theme IN {_in(q.EXPLORER['macro_themes'])}
           AND sentiment IN {_in(q.EXPLORER['sentiments'])}""",
-    "text_search": f"""{_THEMED}, rows AS (SELECT id AS verbatim_id, source, text AS texte_original,
-          macro_theme, theme, sentiment, summary FROM enriched)
-        SELECT * FROM rows WHERE contains(lower(verbatim_id), lower('{q.SEARCH_TERM}'))
-          OR contains(lower(source), lower('{q.SEARCH_TERM}'))
-          OR contains(lower(texte_original), lower('{q.SEARCH_TERM}'))
-          OR contains(lower(macro_theme), lower('{q.SEARCH_TERM}'))
-          OR contains(lower(theme), lower('{q.SEARCH_TERM}'))
-          OR contains(lower(sentiment), lower('{q.SEARCH_TERM}'))
-          OR contains(lower(summary), lower('{q.SEARCH_TERM}'))""",
+    "text_search": _search(q.SEARCH_TERM),
+    "text_search_indexed": _search(q.INDEXED_TERM),
     "synthesis_inputs": f"""{_THEMED}, placed AS (
           SELECT *, (row_number() OVER (PARTITION BY macro_theme ORDER BY doc_id) - 1)
             // {q.LINES_PER_CALL} AS chunk FROM enriched)

@@ -13,6 +13,7 @@ from voxlake.operators import (
 )
 from voxlake.operators.inference import answer_with
 from voxlake.operators.positions import land_positions
+from voxlake.plans import search
 from voxlake.plans.analysis import Run, checkpoint, pending_batches, run_analysis, run_errors
 from voxlake.plans.quantification import Quantification, quantify_run, synthesize_run
 from voxlake.plans.store import (
@@ -29,6 +30,7 @@ QUERIES: dict[str, Query] = {}
 
 LINES_PER_CALL = 100
 SEARCH_TERM = "Theme EN 2"
+INDEXED_TERM = "DOC_77"
 KPI_SOURCES = ["src0", "src3", "src7"]
 EXPLORER = {
     "sources": ["src1", "src2", "src5"],
@@ -529,6 +531,17 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.text_search(dashboard.explore(_enriched(spark, sf_dir)), SEARCH_TERM)
 
 
+@query
+def text_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rarer term in stored rows, through the search index of two commits."""
+    store, enriched = _store(spark), write_table(_enriched(spark, sf_dir), "enriched")
+    for part in (0, 1):
+        rows = enriched.where(F.col("batch_idx") % 2 == part).repartitionByRange("batch_idx", "pos")
+        save_results(rows, store, "run", f"{part:06d}")
+        search.index_part(store, "run", f"{part:06d}")
+    return search.search_run(store, "run", INDEXED_TERM).rows
+
+
 # --- synthesis and streaming -------------------------------------------------------------
 
 
