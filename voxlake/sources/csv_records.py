@@ -94,10 +94,13 @@ def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, obj
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of files and where they were read; Spark cuts large files where it likes."""
+    """Lines of files and where they were read; Spark cuts large files where it likes.
+
+    Bytes that are no UTF-8 become U+FFFD, as Spark's parser of files has it.
+    """
     return spark.read.option("lineSep", "\n").text(paths).select(
         file_name(F.col("_metadata.file_path")).alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"), "value",
+        F.col("_metadata.file_block_start").alias("_block"), F.make_valid_utf8("value").alias("value"),
     )
 
 
