@@ -1,4 +1,5 @@
 import json
+from threading import Event
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,45 @@ def test_parts_are_committed_one_by_one(spark, store):
     assert tuple(run.summary.first()) == (45, 0, 5, 5)
 
 
+def test_parts_are_at_work_together(spark, store):
+    good, second = recording(transports.echo_analyst(), [(0, 0)]), Event()
+
+    def answers(prompts, attempt):
+        if attempt == 1:
+            assert second.wait(60)  # the first part is asked again while the second one is at work
+        elif good.calls:
+            second.set()
+        return good(prompts, attempt)
+
+    run = run_analysis(comments(spark), answers, store, "r", batches_per_commit=1, wait=no_wait)
+    assert run.parts == ("000000", "000001", "000002") and ids(run.valid) == list(range(25))
+
+
+def test_a_crash_with_several_parts_at_work(spark, store, monkeypatch):
+    verbatims, answers, commit = comments(spark, 45), recording(transports.echo_analyst()), analysis._commit
+    with monkeypatch.context() as m:
+        def crash(batches, judged, failed, store, run_id, part):
+            if part in ("000000", "000003"):
+                raise RuntimeError("driver lost")
+            commit(batches, judged, failed, store, run_id, part)
+
+        m.setattr(analysis, "_commit", crash)
+        with pytest.raises(RuntimeError):
+            run_analysis(verbatims, answers, store, "r", batches_per_commit=1, wait=no_wait)
+    assert store.committed("checkpoint", "r") == ["000001", "000002", "000004"]
+    again = recording(transports.echo_analyst())
+    run = run_analysis(verbatims, again, store, "r", wait=no_wait)
+    assert again.calls == [] and run.parts == ("000000", "000003")
+    assert ids(load_results(store, "r")) == list(range(45))
+
+
+def test_prepared_answers_outside_a_part_are_not_read(spark):
+    prepared = spark.range(100).selectExpr("id batch_idx", "0 attempt", "string(id) raw")
+    asked = transports.from_responses(prepared)(spark.range(40, 43).toDF("batch_idx"), 0)
+    assert "<= 42" in asked._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(asked.select("raw")) == [("40",), ("41",), ("42",)]
+
+
 def test_unexpected_errors_are_not_retried_in_the_same_call(spark, store):
     def transport(prompt):
         raise RuntimeError("no such model")

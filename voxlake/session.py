@@ -80,8 +80,11 @@ def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     kinds = dict(table.dtypes)
     if any(k.startswith(("array", "map", "struct", "variant", "binary")) for k in kinds.values()):
         return False
-    if table.count() > rows:  # from the file footers, without reading a column
+    held = table.count()  # from the file footers, without reading a column
+    if held > rows:
         return False
+    if held == 0 or "string" not in kinds.values():
+        return 16 * len(kinds) * held <= BROADCAST_BYTES
     per_row = F.lit(16 * len(kinds))
     for name, kind in kinds.items():
         if kind == "string":

@@ -106,8 +106,15 @@ def _store(spark: SparkSession) -> Store:
     return Store(spark, new_path(spark, "store"))
 
 
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The responses, written in order: each part of a run reads its own."""
+    order = ["attempt", "batch_idx"]
+    responses = write_table(fx.responses(spark, sf_dir), "unordered")
+    return write_table(responses.repartitionByRange(*order).sortWithinPartitions(*order), "responses")
+
+
 def _run(spark: SparkSession, sf_dir: str) -> Run:
-    prepared = write_table(fx.responses(spark, sf_dir), "responses")
+    prepared = _prepared(spark, sf_dir)
     return run_analysis(
         _verbatims(spark, sf_dir), transports.from_responses(prepared), _store(spark), "run",
         wait=no_wait,
@@ -374,7 +381,7 @@ def analysis_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One call with a single attempt, one resuming with two more; what stays open."""
-    prepared = write_table(fx.responses(spark, sf_dir), "responses")
+    prepared = _prepared(spark, sf_dir)
     verbatims, store = _verbatims(spark, sf_dir), _store(spark)
     for given, first, retries in ((verbatims, 0, 0), (None, 1, 1)):
         run_analysis(
@@ -708,7 +715,7 @@ def jsonl_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stored_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two calls that fail, one that succeeds where it can: errors that still hold."""
-    prepared = write_table(fx.responses(spark, sf_dir), "responses")
+    prepared = _prepared(spark, sf_dir)
     verbatims, store = _verbatims(spark, sf_dir), _store(spark)
     for first, retries in ((0, 0), (0, 0), (1, 1)):
         run_analysis(
@@ -759,7 +766,7 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a listener hears, one row per batch in order, from the tallies a run has written."""
-    prepared = write_table(fx.responses(spark, sf_dir), "responses")
+    prepared = _prepared(spark, sf_dir)
     run = run_analysis(
         _verbatims(spark, sf_dir), transports.from_responses(prepared), _store(spark), "run",
         batches_per_commit=400, wait=no_wait,

@@ -10,10 +10,18 @@ from voxlake.operators.inference import Answers
 
 
 def from_responses(responses: DataFrame, first_attempt: int = 0) -> Answers:
-    """Answer each batch with the prepared response of the attempt asked for."""
+    """Answer each batch with the prepared response of the attempt asked for.
+
+    Of responses written in the order of attempts and batches only those between the
+    first and the last batch asked for are read.
+    """
 
     def answers(prompts: DataFrame, attempt: int) -> DataFrame:
-        prepared = responses.where(F.col("attempt") == first_attempt + attempt)
+        reach = prompts.agg(F.min("batch_idx").alias("first"), F.max("batch_idx").alias("last")).first()
+        prepared = responses.where(
+            (F.col("attempt") == first_attempt + attempt)
+            & F.col("batch_idx").between(reach["first"], reach["last"])
+        )
         return prompts.select("batch_idx").join(
             prepared.select("batch_idx", "raw"), "batch_idx", "left"
         ).withColumn("error", F.lit(None).cast("string"))
