@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -699,11 +700,27 @@ def raw_metadata_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.load_raw_metadata(spark, _csv_files(spark, sf_dir))
 
 
+# Text in a file of the workload's own, in bytes; a file is the work of one task.
+FILE_BYTES = 64 * 1024 * 1024
+
+
+def _files_of(docs: DataFrame, least: int) -> int:
+    """Number of files for texts: a multiple of `least`, so that none is much beyond FILE_BYTES."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint")).alias("n")).first()["n"] or 0
+    return least * max(1, math.ceil(size / (least * FILE_BYTES)))
+
+
+def _json_files(spark: SparkSession, sf_dir: str, *names: str | Column) -> str:
+    """Exported documents as JSON Lines in id order, three files or more."""
+    folder, docs = new_path(spark, "jsonl"), _exported(spark, sf_dir)
+    ordered = docs.repartitionByRange(_files_of(docs, 3), "doc_id").sortWithinPartitions("doc_id")
+    ordered.select(*names).write.json(folder)
+    return folder
+
+
 @query
 def jsonl_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_path(spark, "jsonl")
-    docs = _exported(spark, sf_dir).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
-    docs.select(F.col("doc_id").alias("id"), "text", "lang", "source").write.json(folder)
+    folder = _json_files(spark, sf_dir, F.col("doc_id").alias("id"), "text", "lang", "source")
     return normalize.kept(load_jsonl(spark, folder)).select(
         "row_idx", "id", "text", "source", "lang", "position"
     )
@@ -728,9 +745,7 @@ def stored_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def resume_other_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run started with large splits and resumed with small ones; all it has stored."""
-    folder = new_path(spark, "resumed")
-    docs = _exported(spark, sf_dir).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
-    docs.select("text", "lang", "source").write.json(folder)
+    folder = _json_files(spark, sf_dir, "text", "lang", "source")
     store, key = _store(spark), "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(key)
     echo = answer_with(transports.counting_analyst())
