@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from voxlake.session import list_names
+from voxlake.operators.normalize import kept
+from voxlake.session import list_names, own_splits
+from voxlake.sources.readers import load_jsonl
 from workload import queries
 
 from conftest import rows
@@ -31,3 +33,23 @@ def test_json_files_grow_in_number_not_in_size(spark, folder, monkeypatch):
     before = rows(queries.jsonl_source(spark, sf))
     monkeypatch.setattr(queries, "FILE_BYTES", 1000)
     assert rows(queries.jsonl_source(spark, sf)) == before
+
+
+def test_small_splits_share_tasks_and_files(spark, folder):
+    path = f"{folder}/in"
+    texts = spark.range(2000).selectExpr("id", "concat(repeat('text ', 20), id) text")
+    texts.repartitionByRange(3, "id").sortWithinPartitions("id").write.json(path)
+    key, places = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(key)
+    try:
+        for size in ("128m", "1k"):
+            spark.conf.set(key, size)
+            landed = load_jsonl(spark, path)
+            assert len(landed.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism + 10
+            with own_splits(spark):
+                assert spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() == 128 << 20
+                places.append(rows(kept(landed).select("id", "position")))
+            assert spark.conf.get(key) == size
+    finally:
+        spark.conf.set(key, before)
+    assert places[0] == places[1] and {int(i) - p for i, p in places[0]} == {0}

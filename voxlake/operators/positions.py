@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from urllib.parse import unquote
 
@@ -10,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxlake.functions.numbers import int_div
 from voxlake.functions.text import file_name
-from voxlake.session import small_side, write_table
+from voxlake.session import own_splits, scanned_bytes, small_side, write_table
 
 _SPLIT_BITS = 33  # monotonically_increasing_id: split number above, row in split below
+# Bytes of files a task lands at least, unless that leaves cores idle.
+LAND_BYTES = 32 * 1024 * 1024
 _NARROW = ("Project", "Filter", "SubqueryAlias")
 
 
@@ -60,6 +63,17 @@ def first_files(df: DataFrame, limit: int) -> DataFrame:
     return df
 
 
+def _fewer_tasks(df: DataFrame) -> DataFrame:
+    """Several splits a task where they are small; every block of a file stays in one piece.
+
+    Each task writes a file, and a file for every few rows is read back far more slowly.
+    """
+    if not _reads_files(df):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(4 * cores, math.ceil(scanned_bytes(df) / LAND_BYTES)))
+
+
 def land_positions(
     df: DataFrame, keep: Column | None = None, limit: int | None = None
 ) -> DataFrame:
@@ -78,6 +92,7 @@ def land_positions(
     df = with_place(df)
     if limit is not None and _reads_files(df):
         df = first_files(df, limit)
+    df = _fewer_tasks(df)
     tagged = df.withColumn("_row", F.monotonically_increasing_id())
     if keep is not None:
         tagged = tagged.withColumn("keep", F.coalesce(keep, F.lit(False))).withColumn(
@@ -93,15 +108,14 @@ def land_positions(
     )
     # One row per block of a file: thousands, whatever the number of rows.
     before = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = write_table(
-        sizes.select(
-            "_path", "_block",
-            (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first_row")).alias("_to_row"),
-            (F.coalesce(F.sum("_keeps").over(before), F.lit(0)) - F.col("_first_kept")).alias("_to_kept"),
-        ),
-        "blocks",
+    starts = sizes.select(
+        "_path", "_block",
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first_row")).alias("_to_row"),
+        (F.coalesce(F.sum("_keeps").over(before), F.lit(0)) - F.col("_first_kept")).alias("_to_kept"),
     )
-    out = landed.join(small_side(starts), ["_path", "_block"])
+    with own_splits(df.sparkSession):
+        starts = small_side(write_table(starts, "blocks"))
+    out = landed.join(starts, ["_path", "_block"])
     out = out.withColumn("row_idx", F.col("_row") + F.col("_to_row"))
     if kept:
         out = out.withColumn("position", F.col("_kept") + F.col("_to_kept"))

@@ -33,7 +33,8 @@ from voxlake.plans.store import (
 )
 from voxlake.schemas import BATCH_SIZE, ERROR, MAX_RETRIES
 from voxlake.session import (
-    BROADCAST_ROWS, delete_path, list_names, path_exists, small_side, write_table,
+    BROADCAST_ROWS, delete_path, list_names, own_splits, path_exists, scanned_bytes, small_side,
+    write_table,
 )
 
 # (batches handled by this call, all batches, valid rows, errors)
@@ -112,14 +113,6 @@ def _read_parts(
     return store.spark.read.schema(schema).parquet(*paths)
 
 
-def _scanned_bytes(df: DataFrame) -> int:
-    """Size of the largest table the plan reads."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return max(
-        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
-    )
-
-
 class _Batches:
     """The grouped input, kept as a table bucketed and sorted by batch.
 
@@ -158,7 +151,7 @@ class _Batches:
 
 
 def _open_run(
-    verbatims: DataFrame | None, store: Store, run_id: str, batch_size: int, resume: bool,
+    batched: DataFrame | None, store: Store, run_id: str, batch_size: int, resume: bool,
     buckets: int | None,
 ) -> tuple[DataFrame, int]:
     """The grouped batches and their number; refuses a run with other input."""
@@ -166,12 +159,11 @@ def _open_run(
     table = _Batches(store, run_id)
     meta_path = store.path("meta", run_id) + "/run"
     opened = bool(store.committed("meta", run_id))
-    if verbatims is None:
+    if batched is None:
         if not opened:
             raise FileNotFoundError(f"run {run_id} was never started")
         meta = spark.read.schema(_META).json(meta_path).first()
         return table.read(meta["buckets"]), meta["total_batches"]
-    batched = assign_batches(verbatims, batch_size)
     if opened:
         if not resume:
             raise FileExistsError(f"run {run_id} exists; resume it or choose another id")
@@ -185,7 +177,7 @@ def _open_run(
 
     if buckets is None:
         wanted = max(
-            spark.sparkContext.defaultParallelism, _scanned_bytes(batched) // BUCKET_BYTES
+            spark.sparkContext.defaultParallelism, scanned_bytes(batched) // BUCKET_BYTES
         )
         buckets = min(wanted, MAX_BUCKETS)
     table.write(batched, int(buckets))
@@ -289,11 +281,23 @@ def run_analysis(
     `Run.progress` has the same. `index` adds the results of every part to the
     search index of the run.
     """
-    spark = store.spark
-    run_id = run_id or new_run_id(spark)
-    batches, total = _open_run(verbatims, store, run_id, batch_size, resume, buckets)
-    width = batches_per_commit
+    run_id = run_id or new_run_id(store.spark)
+    batched = None if verbatims is None else assign_batches(verbatims, batch_size)
+    with own_splits(store.spark):
+        return _run_parts(
+            batched, answers, store, run_id, batch_size, max_retries, resume, batches_per_commit,
+            buckets, wait, on_progress, index, parts_at_once,
+        )
+
 
+def _run_parts(
+    batched: DataFrame | None, answers: Answers, store: Store, run_id: str, batch_size: int,
+    max_retries: int, resume: bool, width: int, buckets: int | None,
+    wait: Callable[[float], None], on_progress: Progress | None, index: bool, parts_at_once: int,
+) -> Run:
+    """Open or resume the run, and ask and commit what is not done yet."""
+    spark = store.spark
+    batches, total = _open_run(batched, store, run_id, batch_size, resume, buckets)
     parts = _recover(batches, store, run_id)
     if index:
         index_missing(store, run_id)

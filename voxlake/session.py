@@ -21,6 +21,33 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Bytes of a task that reads files: Spark's own default.
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+@contextmanager
+def own_splits(spark: SparkSession) -> Iterator[None]:
+    """Read tables of one's own in splits of the usual size, however small the session wants its input's."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    if spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() >= SPLIT_BYTES:
+        yield
+        return
+    spark.conf.set(key, str(SPLIT_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def scanned_bytes(df: DataFrame) -> int:
+    """Size of the largest table the plan reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return max(
+        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
+    )
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors see: the one the session names.
 

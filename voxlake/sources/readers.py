@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voxlake.functions.text import source_label
 from voxlake.operators.normalize import land_cells, land_verbatims, verbatim_cells
 from voxlake.schemas import DEFAULT_LANG, LANG_CANDIDATES, SOURCE_CANDIDATES
-from voxlake.session import matching_paths, path_exists
+from voxlake.session import matching_paths, own_splits, path_exists
 from voxlake.sources.columns import detect_roles, find_column, require_column
 from voxlake.sources.csv_records import PLACE, ROLES, csv_rows, first_csv_files
 
@@ -98,7 +98,8 @@ def load_jsonl(
     if columns is not None:
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
     with _case_sensitive(spark):
-        df = reader.json(path)
+        with own_splits(spark):  # the pass that finds the fields
+            df = reader.json(path)
         roles = detect_roles(df.columns)
         if not detect:
             roles["text"] = find_column(df.columns, [text_field], case_sensitive=True)
