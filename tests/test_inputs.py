@@ -53,3 +53,15 @@ def test_small_splits_share_tasks_and_files(spark, folder):
     finally:
         spark.conf.set(key, before)
     assert places[0] == places[1] and {int(i) - p for i, p in places[0]} == {0}
+
+
+def test_stream_files_grow_in_number_and_epochs_do_not(spark, folder, monkeypatch):
+    sf = documents(spark, folder)
+    before = rows(queries.streaming_sentiment(spark, sf))
+    monkeypatch.setattr(queries, "FILE_BYTES", 1000)
+    stores = []
+    made = queries._store
+    monkeypatch.setattr(queries, "_store", lambda spark: stores.append(made(spark)) or stores[-1])
+    assert len(files(spark, queries._stream_files(spark, sf))) == 8
+    assert rows(queries.streaming_sentiment(spark, sf)) == before
+    assert len(stores[0].committed("sentiment", "stream")) == 4

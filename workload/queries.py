@@ -611,20 +611,23 @@ def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+EPOCHS = 4
+
+
 def _stream_files(spark: SparkSession, sf_dir: str) -> str:
-    """All documents as several files; the stream takes one of them per epoch."""
+    """All documents as several files; the stream takes a quarter of them per epoch."""
     folder = new_path(spark, "stream-input")
     docs = fx.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), "text", "source", "lang"
     )
-    docs.repartition(4, "id").write.parquet(folder)
+    docs.repartition(_files_of(docs, EPOCHS), "id").write.parquet(folder)
     return folder
 
 
 def _streamed(spark: SparkSession, folder: str, store: Store, checkpoint: str) -> None:
     rows = incremental.read_stream(
         spark, "parquet", "id string, text string, source string, lang string", folder,
-        files_per_batch=1,
+        files_per_batch=math.ceil(len([n for n in list_names(spark, folder) if n.startswith("part-")]) / EPOCHS),
     )
     incremental.analyse_stream(
         rows, answer_with(transports.echo_analyst()), store, "stream", checkpoint, "text", "id",
