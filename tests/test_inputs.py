@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from voxlake.operators import inference
 from voxlake.operators.normalize import kept
 from voxlake.session import list_names, own_splits
 from voxlake.sources.readers import load_jsonl
@@ -65,3 +66,17 @@ def test_stream_files_grow_in_number_and_epochs_do_not(spark, folder, monkeypatc
     assert len(files(spark, queries._stream_files(spark, sf))) == 8
     assert rows(queries.streaming_sentiment(spark, sf)) == before
     assert len(stores[0].committed("sentiment", "stream")) == 4
+
+
+def test_a_task_holds_few_prompts_as_strings(spark, monkeypatch):
+    def sizes(frames, transport, keys, threads, seals, group):
+        for frame in frames:
+            out = frame.drop(columns="prompt")
+            out["raw"], out["error"] = str(len(frame)), None
+            yield out
+
+    monkeypatch.setattr(inference, "ask", sizes)
+    prompts = spark.range(1000).selectExpr("id batch_idx", "string(id) prompt").coalesce(1)
+    told = inference.answer_with(str.upper, group=2)(prompts, 0).collect()
+    assert [r["batch_idx"] for r in told] == list(range(1000))
+    assert {r["raw"] for r in told} == {"32", "8"} and {r["error"] for r in told} == {None}

@@ -20,6 +20,8 @@ Answers = Callable[[DataFrame, int], DataFrame]
 
 # Prompts that one task holds, in bytes.
 TASK_BYTES = 64 * 1024 * 1024
+# Groups of prompts that a task without seals holds as Python's strings.
+SLICE_GROUPS = 16
 
 
 def spread(prompts: DataFrame, *keys: str) -> DataFrame:
@@ -115,14 +117,28 @@ class Asker:
             + [T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())]
         )
         transport, threads, group = self.transport, self.threads, self.group
+        step = max(group, threads) * (SLICE_GROUPS if seals is None else 1)
 
-        def call(frames: Iterator) -> Iterator:
+        def call(batches: Iterator) -> Iterator:
+            import pyarrow as pa
             from pyspark import TaskContext
 
             mine = None if seals is None else Seals(seals, TaskContext.get().partitionId(), keys)
-            yield from ask(frames, transport, keys, threads, mine, group)
+            named: list = []
 
-        return todo.mapInPandas(call, schema)
+            def frames() -> Iterator:
+                # Prompts become Python's own strings a few at a time.
+                for batch in batches:
+                    for start in range(0, batch.num_rows, step):
+                        part = batch.slice(start, step)
+                        named[:] = [part.column(k) for k in keys]
+                        yield part.to_pandas()
+
+            for out in ask(frames(), transport, keys, threads, mine, group):
+                told = [pa.Array.from_pandas(out[c], type=pa.string()) for c in ("raw", "error")]
+                yield pa.RecordBatch.from_arrays([*named, *told], [*keys, "raw", "error"])
+
+        return todo.mapInArrow(call, schema)
 
 
 def answer_with(
