@@ -1,9 +1,12 @@
 """What the queries write for themselves before they read it as a user would."""
 
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.operators import inference
 from voxlake.operators.normalize import kept
+from voxlake.plans import search
+from voxlake.plans.store import save_results
 from voxlake.session import list_names, own_splits
 from voxlake.sources.readers import load_jsonl
 from workload import queries
@@ -80,3 +83,18 @@ def test_a_task_holds_few_prompts_as_strings(spark, monkeypatch):
     told = inference.answer_with(str.upper, group=2)(prompts, 0).collect()
     assert [r["batch_idx"] for r in told] == list(range(1000))
     assert {r["raw"] for r in told} == {"32", "8"} and {r["error"] for r in told} == {None}
+
+
+def test_an_index_shuffles_rows_not_trigrams(spark, store, monkeypatch):
+    texts = [(k, f"comment number {k:04d} " + "about the product " * 20) for k in range(200)]
+    stored = spark.createDataFrame(texts, "batch_idx long, texte_original string").coalesce(2)
+    save_results(stored, store, "r", "000000")
+    dealt = []
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda *a: dealt.append(a))
+    monkeypatch.setattr(DataFrame, "distinct", lambda *a: dealt.append(a))
+    search.index_part(store, "r", "000000")
+    monkeypatch.undo()
+    assert dealt == []
+    postings = spark.read.parquet(store.path("search_results", "r") + "/*/postings")
+    assert postings.count() == postings.distinct().count() > 0
+    assert search.search_run(store, "r", "number 0123").rows.count() == 1

@@ -70,18 +70,17 @@ def index_part(
     known = [c for c in columns if c in rows.columns]
     target = f"{_path(store, run_id, kind)}/{part or 'all'}"
     delete_path(spark, target)
-    held = F.array_distinct(F.flatten(F.array(*[
-        F.coalesce(trigrams(F.col(c).cast("string")), F.array().cast("array<string>")) for c in known
-    ])))
-    postings = rows.select(
+    # A block's rows are brought together as they are: far fewer bytes than their trigrams.
+    blocks = rows.select(
         F.xxhash64(file_name(F.col("_metadata.file_path"))).alias("file"),
-        int_div(F.monotonically_increasing_id(), block_rows).alias("block"), held.alias("grams"),
-    ).select(F.explode("grams").alias("gram"), "file", "block").distinct()
-    # A trigram that every block has is dealt over several files of the index.
-    (
-        postings.repartitionByRange("gram", "file", "block")
-        .sortWithinPartitions("gram", "file", "block").write.parquet(f"{target}/postings")
-    )
+        int_div(F.monotonically_increasing_id(), block_rows).alias("block"), *known,
+    ).groupBy("file", "block").agg(F.collect_list(F.struct(*known)).alias("rows"))
+    grams = F.array_distinct(F.flatten(F.transform("rows", lambda r: F.array_distinct(F.flatten(F.array(*[
+        F.coalesce(trigrams(r[c].cast("string")), F.array().cast("array<string>")) for c in known
+    ]))))))
+    postings = blocks.select(F.explode(grams).alias("gram"), "file", "block")
+    # Every file of the index is in the order of trigrams, so a look reads few of its pages.
+    postings.sortWithinPartitions("gram", "file", "block").write.parquet(f"{target}/postings")
     _listed(spark, names).select(
         "name", F.xxhash64("name").alias("file"), F.array(*map(F.lit, known)).alias("columns")
     ).write.parquet(f"{target}/files")
