@@ -7,9 +7,10 @@ from voxlake.operators import inference
 from voxlake.operators.normalize import kept
 from voxlake.plans import search
 from voxlake.plans.store import save_results
-from voxlake.session import list_names, own_splits
+from voxlake.session import list_names, own_splits, write_table
 from voxlake.sources.readers import load_jsonl
-from workload import queries
+from voxlake.streaming import incremental
+from workload import queries, transports
 
 from conftest import rows
 
@@ -98,3 +99,20 @@ def test_an_index_shuffles_rows_not_trigrams(spark, store, monkeypatch):
     postings = spark.read.parquet(store.path("search_results", "r") + "/*/postings")
     assert postings.count() == postings.distinct().count() > 0
     assert search.search_run(store, "r", "number 0123").rows.count() == 1
+
+
+def test_an_epoch_writes_texts_once_grouped_and_once_as_results(spark, store, monkeypatch):
+    written = {}
+
+    def noted(df, name, path=None):
+        written[name] = df.schema.simpleString()
+        return write_table(df, name, path)
+
+    monkeypatch.setattr(incremental, "write_table", noted)
+    monkeypatch.setattr(inference, "write_table", noted)
+    frame = spark.createDataFrame([(f"doc_{i}", f"comment number {i}") for i in range(6)], "id string, text string")
+    echo = inference.answer_with(transports.echo_analyst())
+    incremental.analyse_epoch(frame, 0, echo, store, "s", "text", "id")
+    assert "prompts" not in written and "text:" in written["batches"] and "text:" not in written["checked"]
+    told = incremental.stream_results(store, "s").select("texte_original")
+    assert rows(told) == [(f"comment number {i}",) for i in range(6)]

@@ -46,6 +46,7 @@ def ask_in_rounds(
     wait: Callable[[float], None] = time.sleep,
     at: str | None = None,
     all_attempts: bool = False,
+    written: bool = False,
 ) -> DataFrame:
     """Ask every prompt, then those again whose answer meets the condition `retry`.
 
@@ -53,10 +54,11 @@ def ask_in_rounds(
     prompt is returned with its `attempt`, or all attempts. Before each further round there is a
     wait that doubles. Raw answers are written before they are read. With `at`, a
     folder, they are kept under a digest of the prompts, and tasks seal them as they
-    come: after a crash the same prompts are not asked again.
+    come: after a crash the same prompts are not asked again. Prompts are written first,
+    unless they are `written`: made from a written table by projections alone.
     """
     spark = prompts.sparkSession
-    prompts = write_table(prompts, "prompts")
+    prompts = prompts if written else write_table(prompts, "prompts")
     if at is not None:
         told = prompts.agg(
             F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*keys, "prompt")).alias("digest")

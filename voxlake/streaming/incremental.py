@@ -18,7 +18,9 @@ from voxlake.operators.inference import Answers, ask_in_rounds
 from voxlake.operators.normalize import kept
 from voxlake.operators.quantify import global_sentiment
 from voxlake.operators.responses import OK, UNEXPECTED, failed_batches, parse_answers
-from voxlake.operators.validation import all_errors, check_batches, valid_analyses
+from voxlake.operators.validation import (
+    all_errors, check_batches, places_and_ids, valid_analyses, with_origins,
+)
 from voxlake.plans.store import Store, save_errors, save_results
 from voxlake.schemas import BATCH_SIZE, DEFAULT_LANG, MAX_RETRIES, SENTIMENTS
 from voxlake.session import list_names, path_exists, scratch, small_side, write_table
@@ -78,15 +80,17 @@ def analyse_epoch(
             build_prompts(batches), ["batch_idx"], answers, judge,
             f"kind not in ('{OK}', '{UNEXPECTED}')", max_retries, wait,
             f"{store.path('responses', run_id)}/{_epoch(epoch)}", all_attempts=True,
+            written=True,
         ), "judged",
     )
-    checked = write_table(check_batches(parsed.where(F.col("kind") == OK), batches), "checked")
+    # Texts are neither checked nor written with the checked answers; results join them once.
+    slim = places_and_ids(batches)
+    checked = write_table(check_batches(parsed.where(F.col("kind") == OK), slim), "checked")
     failed = small_side(write_table(failed_batches(parsed), "failed"))
-    valid = valid_analyses(checked)
-    save_results(valid, store, run_id, _epoch(epoch))
-    save_errors(all_errors(checked, failed, batches), store, run_id, _epoch(epoch))
+    save_results(valid_analyses(with_origins(checked, batches)), store, run_id, _epoch(epoch))
+    save_errors(all_errors(checked, failed, slim), store, run_id, _epoch(epoch))
     write_table(
-        global_sentiment(valid), "sentiment",
+        global_sentiment(valid_analyses(checked)), "sentiment",
         f"{store.path('sentiment', run_id)}/{_epoch(epoch)}",
     )
 
