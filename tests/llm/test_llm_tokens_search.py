@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -239,6 +241,35 @@ def test_long_texts_are_aligned_alone(spark, libraries, monkeypatch):
     assert alignment_rows(spark, rows, monkeypatch) == brute_rows(rows, libraries)
 
 
+def test_unfaithful_texts_between_others(spark, libraries, monkeypatch):
+    # Texts that one side does not give back stand before, between and after others of their batch.
+    rows = list(enumerate(["a▁b", "The cat", "▁", "x", "x", None, "▁▁ a", "the the", "", "a▁b"]))
+    assert [bool(a) for a, _ in (brute_alignment(t, libraries) for _, t in rows)].count(True) == 4
+    assert alignment_rows(spark, rows, monkeypatch) == brute_rows(rows, libraries)
+
+
+def test_alignment_costs_less_than_encoding():
+    """Beyond the two libraries' own work, a batch takes a fraction of their time."""
+    texts = [t for _, t in documents()]
+    align = token_alignment.Aligner(VOCABULARY, PIECES, False)
+
+    def encode():
+        for t in filter(None, texts):
+            align.sides[0].plain_ids(" " + t), align.sides[1].plain_ids(t)
+
+    def seconds(work):
+        taken = []
+        for _ in range(3):
+            start = time.process_time()
+            work()
+            taken.append(time.process_time() - start)
+        return min(taken)
+
+    doc_ids = pa.array([d for d, _ in documents()], pa.int64())
+    align(doc_ids, texts)
+    assert seconds(lambda: align(doc_ids, texts)) < 1.6 * seconds(encode)
+
+
 def test_pairs_are_bounded_by_the_vocabularies(spark):
     aligned = token_alignment.align_tokens(spark.read.parquet(f"{SF}/documents.parquet"), VOCABULARY, PIECES)
     pairs = token_alignment.pair_counts(aligned)

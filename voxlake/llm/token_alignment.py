@@ -1,7 +1,8 @@
 """Alignment of two tokenizers over the same bytes.
 
-Per batch, one `merge_asof` in each direction, keyed by document, finds for every token
-the token of the other side that covers its start. The union of both directions is all
+Per batch, one `merge_asof` in each direction finds for every token the token of the
+other side that covers its start. The texts lie end to end and both sides give back the
+same bytes, so no token reaches into another text. The union of both directions is all
 overlapping pairs; pairs that end together link, and their ends cut the tokens of both
 sides into groups.
 """
@@ -43,26 +44,31 @@ class Tokens:
     @classmethod
     def of(cls, ids: list[np.ndarray], lengths: np.ndarray) -> Tokens:
         all_ids = np.concatenate(ids) if ids else np.array([], "<u4")
-        ends = np.cumsum(lengths[all_ids])
-        return cls(all_ids, np.array([len(i) for i in ids], np.int64), ends - lengths[all_ids], ends)
+        sizes = lengths[all_ids]
+        ends = np.cumsum(sizes)
+        return cls(all_ids, np.array([len(i) for i in ids], np.int64), ends - sizes, ends)
 
     def frame(self, name: str) -> pd.DataFrame:
         """Sorted by start, as documents follow each other."""
-        return pd.DataFrame({
-            "start": self.starts, "doc": np.repeat(np.arange(len(self.per_doc)), self.per_doc),
-            name: np.arange(len(self.ids)),
-        })
+        return pd.DataFrame({"start": self.starts, name: np.arange(len(self.ids))})
+
+    def marked(self, places: np.ndarray) -> np.ndarray:
+        """True for the tokens at `places`."""
+        out = np.zeros(len(self.ids), bool)
+        out[places] = True
+        return out
 
 
 def overlapping(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of tokens that share a byte, as places in `a` and `b`, in text order."""
     left, right = a.frame("a"), b.frame("b")
-    covers = [pd.merge_asof(left, right, on="start", by="doc"), pd.merge_asof(right, left, on="start", by="doc")]
-    both = np.concatenate([c["a"].to_numpy(np.int64) + c["b"].to_numpy(np.int64) for c in covers])
     # Along the text the sum of both places grows with every further pair, so it names the pair.
-    _, first = np.unique(both, return_index=True)
-    pairs = [np.concatenate([c[n].to_numpy(np.int64) for c in covers])[first] for n in "ab"]
-    return pairs[0], pairs[1]
+    of_a = np.full(len(a.ids) + len(b.ids), -1)
+    for cover in (pd.merge_asof(left, right, on="start"), pd.merge_asof(right, left, on="start")):
+        at_a, at_b = (cover[n].to_numpy(np.int64) for n in "ab")
+        of_a[at_a + at_b] = at_a
+    sums = np.flatnonzero(of_a >= 0)
+    return of_a[sums], sums - of_a[sums]
 
 
 class Aligner:
@@ -73,30 +79,35 @@ class Aligner:
         self.sides: list[Vocabulary] = [vocabulary(a), vocabulary(b)]
         self.known = [v.token_bytes for v in self.sides]
         self.lengths = [np.array([len(t) for t in known], np.int64) for known in self.known]
-        widest = len(str(max(map(len, self.known))))
-        # Numbers of a batch become text at once: digits and a mark, in cells of one width.
-        self.cells = once_per_worker(("cells", a, b), lambda: [
-            np.array([f"{i}{mark}" for i in range(len(known))], f"S{widest + 1}")
-            .view(np.uint8).reshape(len(known), widest + 1)
-            for known, marks in zip(self.known, (",|", ",;")) for mark in marks
-        ])
-
-    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both sides; none if one of them does not stand for the text's bytes."""
+        self.spelled = once_per_worker(
+            ("spelled", a, b), lambda: [pa.array(known, pa.large_binary()) for known in self.known]
+        )
+        # Ids as text with the mark that follows: within a group, at its end, at the text's end.
+        self.cells = once_per_worker(("cells", a, b), lambda: pa.array(
+            [f"{i}{mark}" for known, marks in zip(self.known, ([",", "|"], [",", ";", ""]))
+             for mark in marks for i in range(len(known))], pa.large_string(),
+        ))
+
+    def ids(self, texts: list[str | None]) -> list[list[np.ndarray]]:
+        """Of both sides, the ids of each text; none if one side does not stand for the text's bytes."""
         none = np.array([], "<u4")
-        if not text:
-            return none, none
-        whole = " " + text
-        found = self.sides[0].plain_ids(whole), self.sides[1].plain_ids(text)
-        raw = whole.encode()
-        for ids, known in zip(found, self.known):
-            if b"".join(map(known.__getitem__, ids.tolist())) != raw:
-                return none, none
+        raw = [f" {t}".encode() if t else b"" for t in texts]
+        found = [
+            [self.sides[0].plain_ids(f" {t}") if t else none for t in texts],
+            [self.sides[1].plain_ids(t) if t else none for t in texts],
+        ]
+        for ids, lengths, spelled in zip(found, self.lengths, self.spelled):
+            side = Tokens.of(ids, lengths)
+            flat = _bytes(spelled.take(pa.array(side.ids))).to_pybytes()
+            ends = np.r_[0, side.ends][np.r_[0, np.cumsum(side.per_doc)]].tolist()
+            for k, (x, y) in enumerate(zip(ends[:-1], ends[1:])):
+                if flat[x:y] != raw[k]:
+                    found[0][k] = found[1][k] = none
+                    raw[k] = b""
         return found
 
     def __call__(self, doc_ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
-        found = [self.ids(t) for t in texts]
-        a, b = (Tokens.of([f[k] for f in found], self.lengths[k]) for k in (0, 1))
+        a, b = (Tokens.of(ids, lengths) for ids, lengths in zip(self.ids(texts), self.lengths))
         at_a, at_b = overlapping(a, b)
         together = a.ends[at_a] == b.ends[at_b]
         last_a, last_b = at_a[together], at_b[together]  # of each group
@@ -124,19 +135,22 @@ class Aligner:
         """Each document's groups as text: `a1,a2|b1;a3|b2,b3`."""
         # A token's place in the text: after the tokens of its side, and those groups of the other.
         n_a, n_b = len(a.ids), len(b.ids)
-        group_a = np.searchsorted(last_a, np.arange(n_a))
-        group_b = np.searchsorted(last_b, np.arange(n_b))
-        place_a = np.arange(n_a) + np.r_[0, last_b + 1][group_a]
-        place_b = np.arange(n_b) + (last_a + 1)[group_b] if n_b else np.array([], np.int64)
-        width = self.cells[0].shape[1]
-        text = np.zeros((n_a + n_b, width), np.uint8)
-        text[place_a], text[place_b] = self.cells[0][a.ids], self.cells[2][b.ids]
-        text[place_a[last_a]], text[place_b[last_b]] = self.cells[1][a.ids[last_a]], self.cells[3][b.ids[last_b]]
-        used = text != 0
-        ends = np.cumsum(np.r_[0, used.sum(axis=1)])
-        flat = text[used].tobytes().decode("ascii")
-        at = ends[np.r_[0, np.cumsum(a.per_doc + b.per_doc)]]
-        return pa.array([flat[x:y][:-1] for x, y in zip(at[:-1], at[1:])], pa.string())
+        ends_a, ends_b = a.marked(last_a), b.marked(last_b)
+        text_ends = b.marked(np.cumsum(b.per_doc)[b.per_doc > 0] - 1)
+        place_a = np.arange(n_a) + np.r_[0, last_b + 1][np.cumsum(ends_a) - ends_a]
+        place_b = np.arange(n_b) + np.r_[last_a + 1, 0][np.cumsum(ends_b) - ends_b]
+        known_a, known_b = map(len, self.known)
+        cell = np.empty(n_a + n_b, np.int64)
+        cell[place_a] = a.ids + known_a * ends_a
+        cell[place_b] = b.ids + 2 * known_a + known_b * (ends_b + text_ends.astype(np.int64))
+        text = self.cells.take(pa.array(cell))
+        at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1)[np.r_[0, np.cumsum(a.per_doc + b.per_doc)]]
+        return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), _bytes(text)).cast(pa.string())
+
+
+def _bytes(array: pa.Array) -> pa.Buffer:
+    """What the values of a new array of strings or bytes hold, end to end."""
+    return array.buffers()[2] or pa.py_buffer(b"")
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
