@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import statistics
 import time
 from collections import Counter, defaultdict
 
@@ -258,16 +259,15 @@ def test_alignment_costs_less_than_encoding():
             align.sides[0].plain_ids(" " + t), align.sides[1].plain_ids(t)
 
     def seconds(work):
-        taken = []
-        for _ in range(3):
-            start = time.process_time()
-            work()
-            taken.append(time.process_time() - start)
-        return min(taken)
+        start = time.process_time()
+        work()
+        return time.process_time() - start
 
     doc_ids = pa.array([d for d, _ in documents()], pa.int64())
     align(doc_ids, texts)
-    assert seconds(lambda: align(doc_ids, texts)) < 1.6 * seconds(encode)
+    # One after the other, as other work on the machine slows both.
+    shares = [seconds(lambda: align(doc_ids, texts)) / seconds(encode) for _ in range(9)]
+    assert statistics.median(shares) < 1.6
 
 
 def test_pairs_are_bounded_by_the_vocabularies(spark):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from voxlake.llm.vocabularies import Vocabulary, once_per_worker, vocabulary
 
 # Bytes of text that are aligned at a time; a longer text is aligned alone.
-BATCH_BYTES = 500_000
+BATCH_BYTES = 250_000
 # Links that are counted or looked up at a time.
 BATCH_LINKS = 500_000
 
