@@ -188,6 +188,54 @@ def test_parts_are_at_work_together(spark, store):
     assert run.parts == ("000000", "000001", "000002") and ids(run.valid) == list(range(25))
 
 
+def together(answers):
+    """An answering step that may be asked for several parts in one call."""
+    def asked(prompts, attempt):
+        return answers(prompts, attempt)
+
+    asked.together = True
+    return asked
+
+
+def test_parts_are_asked_and_written_in_common_jobs(spark, store, monkeypatch):
+    verbatims, bad = comments(spark, 45), [(1, 0), (3, "always")]
+    alone = recording(transports.echo_analyst(), bad)
+    whole = run_analysis(verbatims, alone, store, "whole", max_retries=1, wait=no_wait)
+    answers, written, write = recording(transports.echo_analyst(), bad), [], analysis.write_table
+
+    def noted(df, name, *where):
+        written.append(name)
+        return write(df, name, *where)
+
+    monkeypatch.setattr(analysis, "write_table", noted)
+    run = run_analysis(
+        verbatims, together(answers), store, "r", batches_per_commit=1, max_retries=1, wait=no_wait, index=True)
+    assert answers.calls == alone.calls == [(0, [0, 1, 2, 3, 4]), (1, [1, 3])]
+    assert sorted(written) == [
+        "answers", "answers", "checked", "checkpoint", "failed", "responses", "responses", "tallies",
+        "unfinished"]
+    assert run.parts == tuple(f"{n:06d}" for n in range(5))
+    for kind in ("responses", "answers"):
+        names = [f"{n:06d}.0000" for n in range(5)] + ["000001.0001", "000003.0001"]
+        assert sorted(store.committed(kind, "r")) == sorted(names)
+    for frame in ("valid", "errors", "tallies", "progress", "summary"):
+        assert rows(getattr(run, frame)) == rows(getattr(whole, frame)), frame
+    assert store.committed("errors", "r") == ["000003"] and not store.exists("staged", "r")
+    again = recording(transports.echo_analyst())
+    two = run_analysis(None, again, store, "r", wait=no_wait)
+    assert again.calls == [(0, [3])] and ids(two.valid) == list(range(30, 40))
+
+
+def test_a_part_does_not_read_the_texts_of_others(spark, store):
+    table = analysis._Batches(store, "r")
+    table.write(analysis.assign_batches(comments(spark, 6000), 10), 1)
+    part = table.read(1).where("batch_idx >= 100 and batch_idx < 110").select("items.text")
+    assert part.count() == 10
+    part.collect()
+    scan = part._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() <= 128
+
+
 def test_a_crash_with_several_parts_at_work(spark, store, monkeypatch):
     verbatims, answers, commit = comments(spark, 45), recording(transports.echo_analyst()), analysis._commit
     with monkeypatch.context() as m:

@@ -14,7 +14,8 @@ from voxlake.operators.sealing import GROUP, Seals, ask, sealed
 from voxlake.schemas import MAX_RETRIES
 from voxlake.session import delete_path, path_exists, small_side, write_table
 
-# (prompts, attempt) -> the key columns of the prompts plus raw and error
+# (prompts, attempt) -> the key columns of the prompts plus raw and error. One with a true
+# attribute `together` may be asked the prompts of several parts of a run in one call.
 Answers = Callable[[DataFrame, int], DataFrame]
 
 
@@ -24,16 +25,23 @@ TASK_BYTES = 64 * 1024 * 1024
 SLICE_GROUPS = 16
 
 
-def spread(prompts: DataFrame, *keys: str) -> DataFrame:
+def tasks_for(prompts: DataFrame) -> int:
     """A task per core for few prompts, more where their volume asks for it.
 
-    Adaptive execution would merge few prompts by size into a few tasks, which then
-    make their slow calls one after another. A fixed number is left alone.
-    `prompts` is read twice, once for its volume: build it on a written table.
+    `prompts` is read for its volume: build it on a written table.
     """
     size = prompts.agg(F.sum(F.octet_length("prompt").cast("bigint")).alias("n")).first()["n"] or 0
     cores = prompts.sparkSession.sparkContext.defaultParallelism
-    return prompts.repartition(max(cores, math.ceil(size / TASK_BYTES)), *keys)
+    return max(cores, math.ceil(size / TASK_BYTES))
+
+
+def spread(prompts: DataFrame, *keys: str) -> DataFrame:
+    """Prompts dealt out to as many tasks as they ask for.
+
+    Adaptive execution would merge few prompts by size into a few tasks, which then
+    make their slow calls one after another. A fixed number is left alone.
+    """
+    return prompts.repartition(tasks_for(prompts), *keys)
 
 
 def ask_in_rounds(

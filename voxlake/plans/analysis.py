@@ -9,18 +9,19 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextvars import copy_context
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import partial
 from itertools import count
 from threading import Event
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxlake.functions.numbers import int_div
 from voxlake.operators.batching import (
     assign_batches, build_prompts, fingerprint, group_batches, items_digest,
 )
-from voxlake.operators.inference import Answers, Asker, spread, write_answers
+from voxlake.operators.inference import Answers, Asker, tasks_for, write_answers
 from voxlake.operators.responses import OK, UNEXPECTED, failed_batches, parse_answers
 from voxlake.operators.sealing import sealed
 from voxlake.operators.validation import (
@@ -29,7 +30,7 @@ from voxlake.operators.validation import (
 )
 from voxlake.plans.search import index_missing, index_part
 from voxlake.plans.store import (
-    STORED, Store, load_errors, new_run_id, save_errors, save_results,
+    PART, STORED, Store, load_errors, new_run_id, save_errors, save_results,
 )
 from voxlake.schemas import BATCH_SIZE, ERROR, MAX_RETRIES
 from voxlake.session import (
@@ -43,9 +44,12 @@ Progress = Callable[[int, int, int, int], None]
 BUCKET_BYTES = 256 * 1024 * 1024
 # Spark's own default limit for a bucketed table; beyond it buckets grow instead.
 MAX_BUCKETS = 100_000
+# Batches in a page of the grouped input. Pages are skipped by the batches they hold; without
+# a limit a page has 20,000 of them, and a part would read the texts of many others.
+PAGE_BATCHES = 64
 # Batches between two commits: with the parts at work, what a crash can cost at most.
 BATCHES_PER_COMMIT = 100_000
-# Parts at work at a time. A part is many short jobs, which leave most of a cluster idle.
+# Parts at work at a time. Apart, the many short jobs of each would leave most of a cluster idle.
 PARTS_AT_ONCE = 8
 
 
@@ -134,6 +138,7 @@ class _Batches:
         (
             grouped.write.mode("overwrite").format("parquet")
             .bucketBy(buckets, "batch_idx").sortBy("batch_idx")
+            .option("parquet.page.row.count.limit", PAGE_BATCHES)
             .option("path", self.path).saveAsTable(self.name)
         )
 
@@ -219,36 +224,149 @@ def checkpoint(store: Store, run_id: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class _Group:
+    """Parts at work together. Each of their tables is written in one job for all of them.
+
+    A table of one part is written in its place. Those of several parts are staged, with a
+    folder for each part, and these folders are then moved to their places.
+    """
+
+    store: Store
+    run_id: str
+    # Wave to name of its part, both in order.
+    parts: dict[int, str]
+    width: int
+
+    @property
+    def alone(self) -> bool:
+        return len(self.parts) == 1
+
+    def part(self) -> Column:
+        """Name of the part of `batch_idx`."""
+        if self.alone:
+            return F.lit(*self.parts.values())
+        # A map is not written out in generated code, so all groups share that code.
+        pairs = [c for wave, part in self.parts.items() for c in (F.lit(wave).cast("bigint"), F.lit(part))]
+        return F.try_element_at(F.create_map(*pairs), int_div("batch_idx", self.width))
+
+    def told(self, rows: DataFrame, kind: str) -> DataFrame:
+        """Rows with their part, and room for them under the staged kinds."""
+        delete_path(self.store.spark, self.store.staged(kind, self.run_id))
+        return rows.withColumn(PART, self.part())
+
+    def write(self, rows: DataFrame, kind: str, names: dict[str, str] | None = None) -> DataFrame:
+        """Write a table; with `names`, of its folder for each part, it is put in place at once."""
+        store, run_id = self.store, self.run_id
+        if self.alone:
+            (part,) = self.parts.values()
+            return write_table(rows, kind, f"{store.path(kind, run_id)}/{(names or {}).get(part, part)}")
+        staged = write_table(self.told(rows, kind), kind, store.staged(kind, run_id), PART)
+        if names is None:
+            return staged
+        for part, name in names.items():
+            store.put(kind, run_id, part, name)
+        return _read_parts(store, kind, run_id, [*names.values()], rows.schema)
+
+
 def _rounds(
-    batches: DataFrame, todo: DataFrame, answers: Answers, store: Store, run_id: str, part: str,
-    max_retries: int, wait: Callable[[float], None], earlier: int,
-) -> list[str]:
+    batches: DataFrame, todo: DataFrame, left: dict[str, int], answers: Answers, group: _Group,
+    max_retries: int, wait: Callable[[float], None], earlier: Counter, pool: _Pool,
+) -> tuple[list[str], dict[str, BaseException]]:
     """Ask until every batch is read or the attempts are used up.
 
-    `todo` is a written list of batch ids. Each round writes the raw answers,
-    reads them back to judge them, and hands the failed ids to the next round.
-    A transport error is final for this call. Returns the parts written; `earlier`
-    is how many the part has from a crashed call.
+    `todo` is a written list of batch ids, `left` how many each part has of them. Each
+    round writes the raw answers, reads them back to judge them, and hands the failed ids
+    to the next round. A transport error is final for this call. Returns the rounds
+    written and what ended parts early; `earlier` is how many rounds a part has from
+    crashed calls.
     """
     attempts: list[str] = []
+    failures: dict[str, BaseException] = {}
+    # Tasks that the first round took: enough for what is left of it, and looked for once.
+    tasks: dict[str, int] = {}
     for attempt in range(max_retries + 1):
-        left = todo.count()
-        if left == 0:
+        names = {
+            part: f"{part}.{earlier[part] + attempt:04d}" for part in group.parts.values()
+            if left.get(part) and part not in failures
+        }
+        if not names:
             break
         if attempt > 0:
             wait(2**attempt)
-        name = f"{part}.{earlier + attempt:04d}"
-        asked = F.broadcast(todo) if left <= BROADCAST_ROWS else todo
-        prompts = spread(build_prompts(batches.join(asked, "batch_idx", "left_semi")), "batch_idx")
-        raw = write_answers(
-            answers, prompts, attempt, "responses", f"{store.path('responses', run_id)}/{name}",
-            f"{store.path('seals', run_id)}/{name}",
-            ["batch_idx", F.lit(attempt).alias("attempt"), "raw", "error"],
-        )
-        judged = _judge(raw, store, run_id, name)
-        attempts.append(name)
-        todo = judged.where(~F.col("kind").isin(OK, UNEXPECTED)).select("batch_idx")
-    return attempts
+        columns = ["batch_idx", F.lit(attempt).alias("attempt"), "raw", "error"]
+        if len(names) > 1 and getattr(answers, "together", False):
+            prompts = _prompts(batches, todo, sum(left.values()), tasks, "")
+            raw = group.write(answers(prompts, attempt).select(*columns), "responses", names)
+        else:
+            failures |= _ask_each(
+                batches, todo, left, answers, group, attempt, names, columns, tasks, pool
+            )
+            names = {part: name for part, name in names.items() if part not in failures}
+            if not names:
+                break
+            raw = _read_parts(group.store, "responses", group.run_id, [*names.values()], _RESPONSE)
+        judged = _judge(raw, group, names)
+        attempts += names.values()
+        again = judged.where(~F.col("kind").isin(OK, UNEXPECTED)).select("batch_idx")
+        todo = again.withColumn(PART, group.part())
+        left = {r[PART]: r["count"] for r in todo.groupBy(PART).count().collect()}
+    return [name for name in attempts if name.split(".")[0] not in failures], failures
+
+
+def _prompts(
+    batches: DataFrame, todo: DataFrame, left: int, tasks: dict[str, int], whose: str
+) -> DataFrame:
+    """The prompts of `todo`, spread over as many tasks as were found for the first round."""
+    todo = todo.select("batch_idx")
+    asked = F.broadcast(todo) if left <= BROADCAST_ROWS else todo
+    prompts = build_prompts(batches.join(asked, "batch_idx", "left_semi"))
+    if whose not in tasks:
+        tasks[whose] = tasks_for(prompts)
+    cores = batches.sparkSession.sparkContext.defaultParallelism
+    return prompts.repartition(max(cores, min(tasks[whose], left)), "batch_idx")
+
+
+def _ask_each(
+    batches: DataFrame, todo: DataFrame, left: dict[str, int], answers: Answers, group: _Group,
+    attempt: int, names: dict[str, str], columns: list[Column | str], tasks: dict[str, int],
+    pool: _Pool,
+) -> dict[str, BaseException]:
+    """Ask the parts of a round in calls of their own; `answers` hears of first rounds in order."""
+    store, run_id = group.store, group.run_id
+    heard = {part: Event() for part in names}
+    before = dict(zip([*names][1:], names))
+
+    def one_part(wave: int, part: str) -> None:
+        def in_turn(prompts: DataFrame, attempt: int) -> DataFrame:
+            if attempt == 0 and part in before:
+                heard[before[part]].wait()
+            try:
+                return answers(prompts, attempt)
+            finally:
+                heard[part].set()
+
+        try:
+            mine = _waves(batches, group.width, wave, wave)
+            prompts = _prompts(mine, todo.where(F.col(PART) == part), left[part], tasks, part)
+            write_answers(
+                answers if isinstance(answers, Asker) else in_turn, prompts, attempt, "responses",
+                f"{store.path('responses', run_id)}/{names[part]}",
+                f"{store.path('seals', run_id)}/{names[part]}", columns,
+            )
+        finally:
+            heard[part].set()
+
+    return pool({
+        part: partial(one_part, wave, part) for wave, part in group.parts.items() if part in names
+    })
+
+
+def _waves(batches: DataFrame, width: int, first: int, last: int) -> DataFrame:
+    """Batches of some waves."""
+    return batches.where(
+        (F.col("batch_idx") >= first * width) & (F.col("batch_idx") < (last + 1) * width)
+    )
 
 
 def run_analysis(
@@ -269,9 +387,12 @@ def run_analysis(
     """Analyse verbatims with the model behind `answers` and store the outcome.
 
     Work is committed in parts of `batches_per_commit` batches, `parts_at_once` of them
-    at work at a time, from threads of their own. `answers` hears of the first rounds of
-    the parts in order. A part writes raw answers, judged answers, results, errors and, last
-    of all, its checkpoint. When a part fails, no further one is started. After a crash the
+    at work at a time. Each part is asked in a call of its own, from a thread of its own, and
+    `answers` hears of first rounds in order; an answering step with a true attribute
+    `together` is asked all of them in one call. What follows is one job for all of them.
+    A part keeps raw answers, judged answers, results, errors and, last of all, its
+    checkpoint. When a part fails, the others at work are committed, and no further one is
+    started. After a crash the
     answers already paid for are committed first, under the names of the unfinished parts,
     so nothing is asked or stored twice. Batches without a readable answer stay out of the
     checkpoint and are replayed by the next call with the same `run_id`. Such a call
@@ -309,63 +430,73 @@ def _run_parts(
         unfinished.select("batch_idx", int_div("batch_idx", width).alias("wave")), "unfinished"
     )
     # One number per commit.
-    waves = [r["wave"] for r in unfinished.select("wave").distinct().orderBy("wave").collect()]
-    asked = Counter(p.split(".")[0] for p in store.committed("responses", run_id))
-
-    names = _free_names({*done, *parts})
-    named = [(next(names), wave) for wave in waves]
-    heard = [Event() for _ in range(len(named) + 1)]
-    heard[0].set()
-    broken = Event()
-
-    def one_part(i: int, part: str, wave: int) -> None:
-        if broken.is_set():
-            return
-        reach = (F.col("batch_idx") >= wave * width) & (F.col("batch_idx") < (wave + 1) * width)
-        mine = batches.where(reach)
-        todo = unfinished.where(F.col("wave") == wave).select("batch_idx")
+    held = {r["wave"]: r["count"] for r in unfinished.groupBy("wave").count().orderBy("wave").collect()}
+    earlier = Counter(p.split(".")[0] for p in store.committed("responses", run_id))
+
+    named = list(zip(held, _free_names({*done, *parts})))
+    so_far, step = (0, 0, 0), max(parts_at_once, 1)
+    try:
+        with _Pool(spark, step) as pool:
+            for start in range(0, len(named), step):
+                group = _Group(store, run_id, dict(named[start:start + step]), width)
+                failures = _one_group(
+                    group, batches, unfinished, held, answers, max_retries, wait, earlier, index, pool
+                )
+                for part in group.parts.values():
+                    if part in failures:
+                        raise failures[part]
+                    parts.append(part)
+                    if on_progress is not None:
+                        so_far = _tell(on_progress, Run(store, run_id, total, (part,)), so_far)
+    finally:
+        delete_path(spark, store.path("staged", run_id))
+    return Run(store, run_id, total, tuple(parts))
 
-        def in_turn(prompts: DataFrame, attempt: int) -> DataFrame:
-            if attempt > 0:
-                return answers(prompts, attempt)
-            heard[i].wait()
-            try:
-                return answers(prompts, attempt)
-            finally:
-                heard[i + 1].set()
 
+class _Pool(ThreadPoolExecutor):
+    """Threads for steps that go on together; one that fails does not stop the others."""
+
+    def __init__(self, spark: SparkSession, threads: int) -> None:
+        super().__init__(threads)
+        self.inherit = inheritable_thread_target(spark)
+
+    def __call__(self, steps: dict[str, Callable[[], object]]) -> dict[str, BaseException]:
+        """Run some steps by name; returns what ended those that failed."""
+        started = {
+            name: self.submit(copy_context().run, self.inherit(step)) for name, step in steps.items()
+        }
+        return {name: e for name, done in started.items() if (e := done.exception()) is not None}
+
+
+def _one_group(
+    group: _Group, batches: DataFrame, unfinished: DataFrame, held: dict[int, int],
+    answers: Answers, max_retries: int, wait: Callable[[float], None], earlier: Counter,
+    index: bool, pool: _Pool,
+) -> dict[str, BaseException]:
+    """Ask and commit some parts. Those that fail leave the others alone and are returned."""
+    store, run_id, (first, *_, last) = group.store, group.run_id, (*group.parts, *group.parts)
+    mine = _waves(batches, group.width, first, last)
+    todo = unfinished.where(F.col("wave").between(first, last)).select(
+        "batch_idx", group.part().alias(PART)
+    )
+    attempts, failures = _rounds(
+        mine, todo, {part: held[wave] for wave, part in group.parts.items()}, answers, group,
+        max_retries, wait, earlier, pool,
+    )
+    sound = {wave: part for wave, part in group.parts.items() if part not in failures}
+    if sound:
+        group = replace(group, parts=sound)
+        judged = _read_parts(store, "answers", run_id, attempts, _ANSWER)
+        staged = _stage(mine, judged, write_table(failed_batches(judged), "failed"), group, pool)
+    for part in sound.values():
         try:
-            attempts = _rounds(
-                mine, todo, answers if isinstance(answers, Asker) else in_turn, store, run_id,
-                part, max_retries, wait, asked[part],
-            )
-            judged = _read_parts(store, "answers", run_id, attempts, _ANSWER)
-            failed = write_table(failed_batches(judged), "failed")
-            _commit(mine, judged, failed, store, run_id, part)
-            if index:
-                index_part(store, run_id, part)
-        except BaseException:
-            broken.set()
-            raise
-        finally:
-            heard[i + 1].set()
-
-    so_far = (0, 0, 0)
-    with ThreadPoolExecutor(max(parts_at_once, 1)) as pool:
-        work = inheritable_thread_target(spark)(one_part)
-        started = [
-            pool.submit(copy_context().run, work, i, part, wave)
-            for i, (part, wave) in enumerate(named)
-        ]
-        try:
-            for (part, _), commit in zip(named, started):
-                commit.result()
-                parts.append(part)
-                if on_progress is not None:
-                    so_far = _tell(on_progress, Run(store, run_id, total, (part,)), so_far)
-        finally:
-            pool.shutdown(cancel_futures=True)
-    return Run(store, run_id, total, tuple(parts))
+            _commit(mine, staged, None, store, run_id, part)
+        except BaseException as e:
+            failures[part] = e
+    if index:
+        committed = [part for part in sound.values() if part not in failures]
+        failures |= pool({part: partial(index_part, store, run_id, part) for part in committed})
+    return failures
 
 
 def _tell(on_progress: Progress, run: Run, so_far: tuple[int, int, int]) -> tuple[int, int, int]:
@@ -389,11 +520,8 @@ def _part_name(n: int) -> str:
     return f"{n:06d}"
 
 
-def _judge(raw: DataFrame, store: Store, run_id: str, name: str) -> DataFrame:
-    return write_table(
-        parse_answers(raw).drop("raw", "error"), "answers",
-        f"{store.path('answers', run_id)}/{name}",
-    )
+def _judge(raw: DataFrame, group: _Group, names: dict[str, str]) -> DataFrame:
+    return group.write(parse_answers(raw).drop("raw", "error"), "answers", names)
 
 
 def _recover(batches: DataFrame, store: Store, run_id: str) -> list[str]:
@@ -407,7 +535,9 @@ def _recover(batches: DataFrame, store: Store, run_id: str) -> list[str]:
     judged_parts = store.committed("answers", run_id)
     for name in asked:
         if name not in judged_parts:
-            _judge(_read_parts(store, "responses", run_id, [name], _RESPONSE), store, run_id, name)
+            part = name.split(".")[0]
+            raw = _read_parts(store, "responses", run_id, [name], _RESPONSE)
+            _judge(raw, _Group(store, run_id, {0: part}, 1), {part: name})
     nothing = store.spark.createDataFrame([], "batch_idx bigint, type string, error string")
     found = []
     for part in sorted({p.split(".")[0] for p in asked}):
@@ -434,28 +564,67 @@ def _unseal(store: Store, run_id: str, done: set[str]) -> None:
         delete_path(store.spark, f"{base}/{name}")
 
 
-def _commit(
-    batches: DataFrame, judged: DataFrame, failed: DataFrame, store: Store, run_id: str, part: str
-) -> None:
-    """Validate the accepted answers and store the part; the checkpoint comes last."""
+@dataclass(frozen=True)
+class _Staged:
+    """Tables of a group, ready to be committed part by part."""
+
+    group: _Group
+    checked: DataFrame
+
+
+def _stage(
+    batches: DataFrame, judged: DataFrame, failed: DataFrame, group: _Group,
+    pool: _Pool | None = None,
+) -> _Staged:
+    """Validate the accepted answers of a group and write what its parts store."""
     # An accepted batch is never asked again, so there is one row per batch here.
     accepted = judged.where(F.col("kind") == OK)
     slim = places_and_ids(batches)
-    checked = write_table(
-        check_batches(accepted, slim), "checked", f"{store.path('checked', run_id)}/{part}"
-    )
-    save_results(valid_analyses(with_origins(checked, batches)), store, run_id, part)
-    tallies = write_table(
-        batch_tallies(checked, failed), "tallies", f"{store.path('tallies', run_id)}/{part}"
-    )
-    save_errors(
-        all_errors(checked, small_side(failed), slim), store, run_id, part,
-        any_errors=tallies.where(F.col("n_errors") > 0).limit(1).count() > 0,
-    )
-    write_table(
-        checked.select("batch_idx", F.current_timestamp().alias("committed_at")), "checkpoint",
-        f"{store.path('checkpoint', run_id)}/{part}",
-    )
+    checked = group.write(check_batches(accepted, slim), "checked")
+    results = valid_analyses(with_origins(checked, batches))
+    tallies = batch_tallies(checked, failed)
+    if group.alone:
+        (part,) = group.parts.values()
+        save_results(results, group.store, group.run_id, part)
+        tallies = group.write(tallies, "tallies")
+        save_errors(
+            all_errors(checked, small_side(failed), slim), group.store, group.run_id, part,
+            any_errors=tallies.where(F.col("n_errors") > 0).limit(1).count() > 0,
+        )
+        return _Staged(group, checked)
+
+    def errors() -> None:
+        found = all_errors(checked, small_side(failed), slim)
+        save_errors(group.told(found, "errors"), group.store, group.run_id, None)
+
+    # Tables of a few numbers a batch get one file a part.
+    failures = pool({
+        "results": lambda: save_results(group.told(results, "results"), group.store, group.run_id, None),
+        "tallies": lambda: group.write(tallies.repartition(group.part()), "tallies"),
+        "errors": errors,
+        "checkpoint": lambda: group.write(_completion(checked).repartition(group.part()), "checkpoint"),
+    })
+    for e in failures.values():
+        raise e
+    return _Staged(group, checked)
+
+
+def _completion(checked: DataFrame) -> DataFrame:
+    return checked.select("batch_idx", F.current_timestamp().alias("committed_at"))
+
+
+def _commit(
+    batches: DataFrame, judged: DataFrame | _Staged, failed: DataFrame | None, store: Store,
+    run_id: str, part: str,
+) -> None:
+    """Store a part; the checkpoint comes last. `judged` may have been staged with other parts."""
+    if not isinstance(judged, _Staged):
+        judged = _stage(batches, judged, failed, _Group(store, run_id, {0: part}, 1))
+    if judged.group.alone:
+        judged.group.write(_completion(judged.checked), "checkpoint")
+        return
+    for kind in ("checked", "results", "tallies", "errors", "checkpoint"):
+        store.put(kind, run_id, part, empty=kind != "errors")
 
 
 def run_errors(store: Store, run_id: str) -> DataFrame:

@@ -19,7 +19,11 @@ STORED = T.StructType(ANALYSIS.fields + [
 
 
 # What a run keeps to go on after a crash.
-PAID = ("batches", "seals", "responses", "answers", "checked", "harmonization", "synthesis")
+PAID = (
+    "batches", "seals", "responses", "answers", "checked", "staged", "harmonization", "synthesis",
+)
+# Column that tells the parts of staged rows apart.
+PART = "part"
 
 
 def run_id_now() -> Column:
@@ -47,11 +51,12 @@ class Store:
         if self.results_format not in ("json", "parquet"):
             raise ValueError(f"unknown results format {self.results_format!r}")
 
-    def save_rows(self, rows: DataFrame, path: str) -> str:
-        """Write results or enriched rows, replacing what is there."""
+    def save_rows(self, rows: DataFrame, path: str, by: str | None = None) -> str:
+        """Write results or enriched rows, replacing what is there; `by` as in `write_table`."""
         if self.results_format == "json":
-            return save_json(rows, path)
-        rows.write.mode("overwrite").parquet(path)
+            return save_json(rows, path, by)
+        writer = rows.write.mode("overwrite")
+        (writer if by is None else writer.partitionBy(by)).parquet(path)
         return path
 
     def read_rows(self, path: str | list[str]) -> DataFrame:
@@ -64,6 +69,30 @@ class Store:
     def path(self, kind: str, run_id: str) -> str:
         return f"{self.root.rstrip('/')}/{kind}_{run_id}"
 
+    def staged(self, kind: str, run_id: str) -> str:
+        """Where tables of several parts are written before each part gets its own folder."""
+        return f"{self.path('staged', run_id)}/{kind}"
+
+    def put(
+        self, kind: str, run_id: str, part: str, name: str | None = None, empty: bool = True
+    ) -> None:
+        """Give what was staged for a part its place, marked as written to the end.
+
+        What is there is replaced. Without rows the place is an empty folder, or none
+        unless `empty`.
+        """
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        staged = hadoop(f"{self.staged(kind, run_id)}/{PART}={part}")
+        target = hadoop(f"{self.path(kind, run_id)}/{name or part}")
+        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(target, True)
+        if not empty and not fs.exists(staged):
+            return
+        fs.create(hadoop(staged, "_SUCCESS")).close()
+        fs.mkdirs(target.getParent())
+        if not fs.rename(staged, target):
+            raise OSError(f"{staged.toString()} could not be moved to {target.toString()}")
+
     def exists(self, kind: str, run_id: str) -> bool:
         return path_exists(self.spark, self.path(kind, run_id))
 
@@ -91,14 +120,20 @@ class Store:
         )
 
 
-def save_json(df: DataFrame, path: str) -> str:
+def save_json(df: DataFrame, path: str, by: str | None = None) -> str:
     """JSON Lines, replacing what is there; nulls are written out."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    writer = df.write.mode("overwrite").option("ignoreNullFields", False)
+    (writer if by is None else writer.partitionBy(by)).json(path)
     return path
 
 
-def save_results(analyses: DataFrame, store: Store, run_id: str, part: str = "all") -> str:
-    """Write results of a run, or of one part of it; writing again replaces them."""
+def save_results(analyses: DataFrame, store: Store, run_id: str, part: str | None = "all") -> str:
+    """Write results of a run, or of one part of it; writing again replaces them.
+
+    With None the rows tell their part and are staged.
+    """
+    if part is None:
+        return store.save_rows(analyses, store.staged("results", run_id), PART)
     return store.save_rows(analyses, f"{store.path('results', run_id)}/{part}")
 
 
@@ -127,12 +162,16 @@ def save_runs(analyses: DataFrame, store: Store, run: str) -> None:
 
 
 def save_errors(
-    errors: DataFrame, store: Store, run_id: str, part: str = "all", any_errors: bool | None = None
+    errors: DataFrame, store: Store, run_id: str, part: str | None = "all",
+    any_errors: bool | None = None,
 ) -> str | None:
     """Write errors, only when there are any or older ones have to be replaced.
 
-    `any_errors` spares the look when the caller knows.
+    `any_errors` spares the look when the caller knows. With None the rows tell their part
+    and are staged.
     """
+    if part is None:
+        return save_json(errors, store.staged("errors", run_id), PART)
     path = f"{store.path('errors', run_id)}/{part}"
     if any_errors is None:
         any_errors = errors.limit(1).count() > 0

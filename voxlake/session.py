@@ -88,14 +88,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def write_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write `df` once and read it back: cuts lineage and survives lost executors."""
+def write_table(
+    df: DataFrame, name: str, path: str | None = None, by: str | None = None
+) -> DataFrame:
+    """Write `df` once and read it back: cuts lineage and survives lost executors.
+
+    `by`, the last column, gets a folder for each of its values.
+    """
     spark = df.sparkSession
     if path is None:
         path = new_path(spark, name)
         if (mine := _scratch.get()) is not None:
             mine.append(path)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer if by is None else writer.partitionBy(by)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,7 @@ from voxlake.operators import (
 from voxlake.operators.inference import answer_with
 from voxlake.operators.positions import land_positions
 from voxlake.plans import search
-from voxlake.plans.analysis import Run, checkpoint, pending_batches, run_analysis, run_errors
+from voxlake.plans.analysis import PAGE_BATCHES, Run, checkpoint, pending_batches, run_analysis, run_errors
 from voxlake.plans.quantification import Quantification, quantify_run, synthesize_run
 from voxlake.plans.store import (
     Store, load_report, load_results, run_id_now, save_results, save_runs,
@@ -108,10 +108,13 @@ def _store(spark: SparkSession) -> Store:
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The responses, written in order: each part of a run reads its own."""
+    """The responses, written in order and in short pages: each part of a run reads its own."""
     order = ["attempt", "batch_idx"]
     responses = write_table(fx.responses(spark, sf_dir), "unordered")
-    return write_table(responses.repartitionByRange(*order).sortWithinPartitions(*order), "responses")
+    ordered = responses.repartitionByRange(*order).sortWithinPartitions(*order)
+    path = new_path(spark, "responses")
+    ordered.write.option("parquet.page.row.count.limit", PAGE_BATCHES).parquet(path)
+    return spark.read.schema(responses.schema).parquet(path)
 
 
 def _run(spark: SparkSession, sf_dir: str) -> Run:

@@ -13,7 +13,7 @@ def from_responses(responses: DataFrame, first_attempt: int = 0) -> Answers:
     """Answer each batch with the prepared response of the attempt asked for.
 
     Of responses written in the order of attempts and batches only those between the
-    first and the last batch asked for are read.
+    first and the last batch asked for are read. A run asks for several parts in one call.
     """
 
     def answers(prompts: DataFrame, attempt: int) -> DataFrame:
@@ -26,6 +26,7 @@ def from_responses(responses: DataFrame, first_attempt: int = 0) -> Answers:
             prepared.select("batch_idx", "raw"), "batch_idx", "left"
         ).withColumn("error", F.lit(None).cast("string"))
 
+    answers.together = True  # a look into a table, whichever parts of a run it is for
     return answers
 
 
