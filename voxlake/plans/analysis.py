@@ -34,7 +34,7 @@ from voxlake.plans.store import (
 )
 from voxlake.schemas import BATCH_SIZE, ERROR, MAX_RETRIES
 from voxlake.session import (
-    BROADCAST_ROWS, delete_path, list_names, own_splits, path_exists, scanned_bytes, small_side,
+    BROADCAST_ROWS, delete_path, few_rows_held, list_names, own_splits, path_exists, scanned_bytes, small_side,
     write_table,
 )
 
@@ -404,7 +404,7 @@ def run_analysis(
     """
     run_id = run_id or new_run_id(store.spark)
     batched = None if verbatims is None else assign_batches(verbatims, batch_size)
-    with own_splits(store.spark):
+    with own_splits(store.spark), few_rows_held(store.spark):
         return _run_parts(
             batched, answers, store, run_id, batch_size, max_retries, resume, batches_per_commit,
             buckets, wait, on_progress, index, parts_at_once,

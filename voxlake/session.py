@@ -40,6 +40,23 @@ def own_splits(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+# Rows that a scan holds at a time. A grouped batch is some 20 KB of texts, and Spark's own 4,096
+# of them are vectors of more than 100 MB a task.
+HELD_ROWS = 256
+
+
+@contextmanager
+def few_rows_held(spark: SparkSession) -> Iterator[None]:
+    """Let scans hold fewer rows at a time, for tables whose rows are long."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(HELD_ROWS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def scanned_bytes(df: DataFrame) -> int:
     """Size of the largest table the plan reads."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
